@@ -78,6 +78,8 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(self.size, bool)
+        self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.memo = Memo(self._words, np.uint32)
 
     def _words(self, words):
@@ -86,7 +88,7 @@ class WordEncoder:
         plain = list(dict.fromkeys(s for s in stems if s.isalpha()))
         known = {s: ids for a in range(0, len(plain), 512) for s, ids in zip(plain[a : a + 512], self._joined(plain[a : a + 512]))}
         rest = [w for w, s in zip(words, stems) if s not in known]
-        known.update(zip(rest, self._apart([*rest, ".", ","])))
+        known.update(zip(rest, self._apart(rest)))
         point, comma = self._apart([".", ","])
         return [known[w] if w in known else known[s] + (point if w[-1] == "." else comma) for w, s in zip(words, stems)]
 
@@ -94,13 +96,12 @@ class WordEncoder:
         return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
     def _joined(self, words):
-        """The same, in one call, as the tokenizer tells which word each id came from; apart if it splits a word."""
-        found = self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0]
-        of = np.array(found.word_ids, np.int64)
-        if len(of) == 0 or of[-1] != len(words) - 1:
+        """The same, in one call, as the last id of each word can be told; apart if the tokenizer splits a word."""
+        ids = self._apart([" ".join(words)])[0]
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(words):
             return self._apart(words)
-        ends = np.searchsorted(of, np.arange(len(words)), "right").tolist()
-        return [found.ids[i:j] for i, j in zip([0, *ends[:-1]], ends)]
+        return [ids[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         out = []
