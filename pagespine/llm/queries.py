@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, token_records
+from . import bpe, language_id, quality_rules, token_records
 
 QUERIES = {
+    "op1_language_id": language_id.op1_language_id,
+    "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_token_records": token_records.op4_token_records,
     "op5_byte_bpe": bpe.op5_byte_bpe,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
