@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality_rules, token_records
+from . import bpe, language_id, quality_rules, simhash, token_records
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_quality_rules": quality_rules.op2_quality_rules,
     "op4_token_records": token_records.op4_token_records,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op7_simhash": simhash.op7_simhash,
 }
 
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
