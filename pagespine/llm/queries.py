@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality_rules, simhash, token_records
+from . import bpe, language_id, line_dedup, quality_rules, simhash, token_records
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
     "op2_quality_rules": quality_rules.op2_quality_rules,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_token_records": token_records.op4_token_records,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_simhash": simhash.op7_simhash,
