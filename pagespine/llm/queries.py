@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, line_dedup, quality_rules, simhash, token_records
+from . import bpe, decontaminate, language_id, line_dedup, quality_rules, simhash, token_records, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -11,6 +11,8 @@ QUERIES = {
     "op4_token_records": token_records.op4_token_records,
     "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_simhash": simhash.op7_simhash,
+    "op8_warc": warc.op8_warc,
+    "op9_decontaminate": decontaminate.op9_decontaminate,
 }
 
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
