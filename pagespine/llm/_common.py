@@ -75,7 +75,7 @@ def make_dirs(path: str) -> None:
 
 def open_write(path: str):
     where, p = filesystem(path)
-    return where.open_output_stream(p)
+    return where.open_output_stream(p, compression=None)
 
 
 def open_read(path: str):
