@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, quality_rules, simhash, token_records, warc
+from . import bpe, decontaminate, language_id, line_dedup, lm_score, quality_rules, simhash, token_records, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_token_records": token_records.op4_token_records,
     "op5_byte_bpe": bpe.op5_byte_bpe,
+    "op6_lm_score": lm_score.op6_lm_score,
     "op7_simhash": simhash.op7_simhash,
     "op8_warc": warc.op8_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
