@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, lm_score, quality_rules, simhash, token_records, warc
+from . import bpe, decontaminate, language_id, line_dedup, lm_score, quality_rules, repeats, simhash, token_records, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_simhash": simhash.op7_simhash,
     "op8_warc": warc.op8_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
+    "op10_repeats": repeats.op10_repeats,
 }
 
 SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
