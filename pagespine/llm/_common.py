@@ -6,6 +6,7 @@ import gc
 import os
 import tempfile
 import uuid
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -109,10 +110,23 @@ def split_sum(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
+class _Codes(dict):
+    """Gives each new string the next number and notes it."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list = []
+
+    def __missing__(self, string):
+        self.new.append(string)
+        self[string] = code = len(self)
+        return code
+
+
 class Memo:
     """Codes of distinct strings with a run of numbers each, made once per worker and bounded in entries.
 
-    ``make(strings)`` returns one array of numbers per string. ``look_up(strings)`` returns the runs of all
+    ``make(strings)`` returns one list of numbers per string. ``look_up(strings)`` returns the runs of all
     strings end to end and their lengths.
     """
 
@@ -121,33 +135,28 @@ class Memo:
         self.clear()
 
     def clear(self):
-        self.codes: dict = {}
+        self.codes = _Codes()
         self.flat, self.used = np.empty(1 << 16, self.dtype), 0
         self.starts, self.sizes = np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
 
     def _add(self, strings):
-        runs = self.make(strings)
-        n, sizes = len(self.codes), np.fromiter(map(len, runs), np.int64, len(runs))
-        self.starts, self.sizes = _room(self.starts, n + len(runs)), _room(self.sizes, n + len(runs))
-        self.flat = _room(self.flat, self.used + int(sizes.sum()))
-        self.sizes[n : n + len(runs)] = sizes
-        self.starts[n : n + len(runs)] = self.used + np.cumsum(sizes) - sizes
-        if len(runs):
-            joined = np.concatenate([np.asarray(r, self.dtype) for r in runs])
-            self.flat[self.used : self.used + len(joined)] = joined
-            self.used += len(joined)
-        self.codes.update(zip(strings, range(n, n + len(runs))))
+        runs, known = self.make(strings), len(self.codes) - len(strings)
+        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        self.starts, self.sizes = _room(self.starts, len(self.codes)), _room(self.sizes, len(self.codes))
+        self.sizes[known : len(self.codes)] = sizes
+        self.starts[known : len(self.codes)] = self.used + np.cumsum(sizes) - sizes
+        total = int(sizes.sum())
+        self.flat = _room(self.flat, self.used + total)
+        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(runs), self.dtype, total)
+        self.used += total
 
     def look_up(self, strings: list) -> tuple[np.ndarray, np.ndarray]:
-        found = list(map(self.codes.get, strings))
-        if None in found:
-            missing = list(dict.fromkeys(s for s, k in zip(strings, found) if k is None))
-            if len(self.codes) + len(missing) > self.limit and self.codes:
-                self.clear()
-                missing = list(dict.fromkeys(strings))
-            self._add(missing)
-            found = list(map(self.codes.__getitem__, strings))
-        at = np.fromiter(found, np.int64, len(found))
+        if len(self.codes) > self.limit:
+            self.clear()
+        at = np.fromiter(map(self.codes.__getitem__, strings), np.int64, len(strings))
+        if self.codes.new:
+            self._add(self.codes.new)
+            self.codes.new = []
         sizes, starts = self.sizes[at], self.starts[at]
         place = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
         return self.flat[place], sizes

@@ -87,7 +87,13 @@ class Codec:
     def _encode_chunks(self, chunks):
         tokens, counts = [], []
         for chunk in chunks:
-            found = self.pre_tokens.findall(chunk)
+            word = chunk[1:] if chunk[0] == " " else chunk
+            if word.isalpha():
+                found = [chunk]
+            elif word[-1:] in (".", ",") and word[:-1].isalpha():
+                found = [chunk[:-1], word[-1]]
+            else:
+                found = self.pre_tokens.findall(chunk)
             counts.append(len(found))
             tokens += [t.encode("utf-8", "replace").decode("latin-1").translate(self.spell) for t in found]
         runs = []

@@ -7,7 +7,8 @@ they are. Lines one character insertion, deletion or substitution apart share a
 Each line emits all its variants as hashed keys; equal keys are joined by aggregation to the earliest line under the
 key, so a key that many lines share never yields their pairs; the edit distance of each line to its witness is then
 verified on the texts. Only lines that can have a partner emit: of two lines one edit apart, one half is equal at its
-own end, so a line whose two half keys no other line has can't have one.
+own end, so a line whose two half keys no other line has can't have one; and cut into ``SEGMENTS``, they are equal but
+for one segment, so of the rest those lines go whose keys without one segment no other line has.
 
 A line goes if an equal line is earlier, or a line one edit away is earlier; earlier is by (doc_id, text hash, line
 number), a null id first, and a line's first occurrence counts. So the earliest stays. Defined results: a null text
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +28,7 @@ from ._common import materialise, runs_of, table, text_key
 
 MIN_CHARS = 30
 SLICE_CHARS = 1 << 18
+SEGMENTS = 16
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -63,6 +66,19 @@ def variants(lines: list[str]):
     return of, placed.view(np.int64), bare.view(np.int64), own.view(np.int64)
 
 
+def segment_keys(line: str) -> set[int]:
+    """Keys of the line without each of its segments; lines one edit apart share one, at the shorter one's length."""
+    keys, n = set(), len(line)
+    for m in (n, n - 1):
+        for q in range(SEGMENTS):
+            a, b = m * q // SEGMENTS, m * (q + 1) // SEGMENTS
+            digest = xxhash.xxh64(line[:a].encode("utf-8", "surrogatepass"), seed=q)
+            digest.update(b"\xff%d\xff" % m)
+            digest.update(line[n - (m - b) :].encode("utf-8", "surrogatepass"))
+            keys.add(digest.intdigest() - (1 << 63))
+    return keys
+
+
 def _lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
     """Each line that takes part: its document and number, and the line."""
     cut = docs.select(F.col(doc_id).alias("doc"), text_key(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
@@ -102,6 +118,16 @@ def doomed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_char
         "able-lines",
     )
 
+    def without_one(batches):
+        for batch in batches:
+            keys = [segment_keys(line) for line in batch.column(1).to_pylist()]
+            of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array([x for k in keys for x in k], pa.int64())], names=["h", "segment"])
+
+    rest = texts.select("h", "line").mapInArrow(without_one, "h long, segment long")
+    paired = rest.groupBy("segment").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("segment")
+    texts = materialise(texts.join(rest.join(paired, "segment", "left_semi").select("h").distinct(), "h", "left_semi"), "paired-lines")
+
     def emit(batches):
         for batch in batches:
             lines = batch.column(2).to_pylist()
