@@ -129,6 +129,20 @@ def _spans(texts: list[bytes]):
         yield parts[x:y], b"".join(texts[i][a : a + n] for (i, a), n in zip(parts[x:y], sizes[x:y])), np.cumsum(sizes[x:y])
 
 
+def stable_order(x: np.ndarray) -> np.ndarray:
+    """The order that sorts numbers of 0 to 2**32 - 1, equal ones by place: number and place sorted as one."""
+    return (np.sort((x.astype(np.uint64) << np.uint64(32)) | np.arange(len(x), dtype=np.uint64)) & np.uint64(0xFFFFFFFF)).astype(np.int64)
+
+
+def dense(x: np.ndarray) -> np.ndarray:
+    """The rank of each value among the distinct ones, from 0."""
+    order = np.argsort(x)
+    lined = x[order]
+    out = np.empty(len(x), np.int64)
+    out[order] = np.cumsum(np.concatenate(([False], lined[1:] != lined[:-1]))) if len(x) else 0
+    return out
+
+
 def symbols(strings: list[bytes]):
     """Symbols of all strings at each place where one starts, with the place one symbol on (-1: the end)."""
     lens = np.fromiter(map(len, strings), np.int64, len(strings))
@@ -152,12 +166,12 @@ class Shard:
     def __init__(self, symbol: np.ndarray, place: np.ndarray, following: np.ndarray, of: np.ndarray):
         n = len(symbol)
         sequence = of * SYMBOL + place % SYMBOL
-        # ranks by more and more leading symbols; an end ranks first
-        rank = np.zeros(n + 1, np.int64)
-        for _ in range(int(place.max(initial=0)) // SYMBOL + 1):
-            key = symbol * (int(rank.max()) + 2) + np.where(following >= 0, rank[following] + 1, 0)
-            rank[:n] = np.unique(key, return_inverse=True)[1]
-        order = np.lexsort((sequence, rank[:n]))
+        # ranks by 1, 2, 4, ... leading symbols; an end ranks first
+        rank, then, depth = dense(symbol), following, 1
+        while depth <= int(place.max(initial=0)) // SYMBOL:
+            rank = dense(rank * (n + 1) + np.where(then >= 0, rank[then] + 1, 0))
+            then, depth = np.where(then >= 0, then[then], -1), 2 * depth
+        order = np.argsort(rank * (int(sequence.max(initial=0)) + 1) + sequence)
         last = np.flatnonzero(following < 0)
         last = last[np.argsort(sequence[last], kind="stable")]
         first = place < SYMBOL
@@ -177,8 +191,8 @@ def merge(shards: list[Shard], depth: int):
     block = np.zeros(len(source), np.int64)
     for _ in range(depth):
         lined = np.empty_like(before)
-        lined[np.argsort(source, kind="stable")] = before  # each shard's rows keep their own order
-        dealt = np.argsort(lined, kind="stable")
+        lined[stable_order(source)] = before  # each shard's rows keep their own order
+        dealt = stable_order(lined)
         first, then = lined[dealt], block[dealt]
         then[first == 0] = 0  # an end is followed by nothing
         border = np.zeros(len(dealt), np.int64)
@@ -190,7 +204,7 @@ def merge(shards: list[Shard], depth: int):
 def repeated(strings: list[bytes], starts: np.ndarray, counts: np.ndarray, shard_bytes: int = SHARD_BYTES) -> list[np.ndarray]:
     """For each string which of its first ``starts`` LENGTH-byte strings occur at another place or in another copy."""
     symbol, of, place, following = symbols(strings)
-    symbol = np.unique(symbol, return_inverse=True)[1].astype(np.int64) + 1
+    symbol = dense(symbol) + 1
     bounds = np.searchsorted(of, [a for a, _ in runs_of([len(s) for s in strings], shard_bytes)] + [len(strings)])
     shards = []
     for a, b in zip(bounds[:-1], bounds[1:]):
@@ -198,7 +212,7 @@ def repeated(strings: list[bytes], starts: np.ndarray, counts: np.ndarray, shard
         shards.append(Shard(symbol[a:b], place[a:b], np.where(own >= 0, own - a, -1), of[a:b]))
     source, block = merge(shards, LENGTH // SYMBOL)
     suffix = np.empty(len(source), np.int64)
-    suffix[np.argsort(source, kind="stable")] = np.concatenate([np.where(s.rows >= 0, s.rows + a, -1) for s, a in zip(shards, bounds)])
+    suffix[stable_order(source)] = np.concatenate([np.where(s.rows >= 0, s.rows + a, -1) for s, a in zip(shards, bounds)])
     real = suffix >= 0
     suffix, block = suffix[real], block[real]
     able = place[suffix] < starts[of[suffix]]
