@@ -47,7 +47,7 @@ _STATS = {
     "n_symbols": "CAST(length(coalesce({text}, '')) - length(translate(coalesce({text}, ''), '#*$%&|<>', '')) AS BIGINT)",
     "n_lines": "CAST(size(q_lines) AS BIGINT)",
     "n_dup_lines": "CAST(size(q_lines) - size(array_distinct(q_lines)) AS BIGINT)",
-    "n_stops": r"CAST(size(filter(q_lines, x -> x rlike '[.!?][\\x20\\x09-\\x0D]*$')) AS BIGINT)",
+    "n_stops": r"CAST(size(filter(q_lines, x -> x rlike '[.!?][\\x20\\x09-\\x0D]*\\z')) AS BIGINT)",
     # each found window adds the words that the one before it doesn't reach
     "n_repeat_words": "CAST(CASE WHEN size(q_found) = 0 THEN 0 ELSE aggregate(sequence(1, size(q_found)), 0, (n, k) -> n + CASE WHEN k = size(q_found) THEN 3 ELSE least(3, q_found[least(k, size(q_found) - 1)] - q_found[k - 1]) END) END AS BIGINT)",
 }
