@@ -253,7 +253,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     made = materialise(bodies.filter(F.length("body") >= LENGTH).mapInArrow(cut, f"doc {kind}, key long, start long, n int, core long, piece long"), "pieces")
     distinct = made.groupBy("core", "piece").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "key", "start", "n")).alias("at"))
     shared = distinct.groupBy("core").agg(F.sum("times").alias("total")).filter("total > 1").select("core")
-    entries = distinct.join(shared, "core", "left_semi")
+    entries = materialise(distinct.join(shared, "core", "left_semi"), "entries")
     wanted = entries.groupBy("at.doc", "at.key").agg(F.collect_list(F.struct("at.start", "at.n", "core", "piece", "times")).alias("wanted")).withColumnsRenamed({"doc": "__doc", "key": "__key"})
     holders = bodies.join(wanted, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("body", "wanted")
 
