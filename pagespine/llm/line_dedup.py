@@ -105,7 +105,7 @@ def doomed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_char
     # lines that share a half with another line
     halves = distinct.select("h", "g", "first", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("half")
-    able = halves.join(shared, "half", "left_semi").select("h", "g", "first").distinct()
+    able = materialise(halves.join(shared, "half", "left_semi").select("h", "g", "first").distinct(), "able")
 
     # their texts, from the document of their first occurrence
     wanted = able.groupBy("first.doc", "first.key").agg(F.collect_list(F.struct("first.no", "h", "g")).alias("wanted")).withColumnRenamed("doc", "__doc").withColumnRenamed("key", "__key")
@@ -151,7 +151,7 @@ def doomed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_char
     longer_goes = rests.join(shortest, "variant").filter("of < first").select("h", "first", F.col("oh").alias("wh"))
     first_rest = rests.groupBy("variant").agg(F.min(F.struct("first", "h")).alias("w"))
     shorter_goes = owns.join(first_rest, "variant").filter("w.first < first").select("h", "first", F.col("w.h").alias("wh"))
-    claims = near.unionByName(longer_goes).unionByName(shorter_goes).select("h", "wh").distinct()
+    claims = materialise(near.unionByName(longer_goes).unionByName(shorter_goes).select("h", "wh").distinct(), "claims")
 
     # verify each claim on the texts
     a, b = texts.select("h", F.col("line").alias("mine")), texts.select(F.col("h").alias("wh"), F.col("line").alias("theirs"))
