@@ -1,2 +1,137 @@
-"""To come."""
-QUERIES, SQL = {}, {}
+"""Link graphs and crawls over known pages: admission, frontier order, representatives, reachability, sitemaps, robots."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions import urls as U
+from ..plans.contract import keep_first
+from ._registry import read, registry
+from .pages import _PARTS
+
+QUERIES, SQL, query = registry()
+
+
+def admitted(found: DataFrame, denied: tuple[str, ...], blocked_prefixes: tuple[str, ...], per_host: int) -> DataFrame:
+    """URLs whose host isn't denied and whose path isn't blocked, the first ``per_host`` of each host (the crawl's own cap)."""
+    host, path = U.domain(F.col("url")), U.part(F.col("url"), "path")
+    able = found.withColumn("host", host).filter(~F.col("host").isin(*denied))
+    for prefix in blocked_prefixes:
+        able = able.filter(~path.startswith(prefix))
+    rank = F.row_number().over(Window.partitionBy("host").orderBy("page_id"))
+    return able.withColumn("__n", rank).filter(F.col("__n") <= per_host).drop("__n")
+
+
+_SHAPE = "'/' || array_to_string(list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: CASE WHEN regexp_matches(x, '[0-9]') THEN ':id' ELSE x END), '/')"
+
+
+@query("crawl_admission", f"""WITH {_PARTS}, d AS (SELECT page_id, CASE WHEN host LIKE 'www.%' THEN substr(host, 5) ELSE host END AS host, path FROM parts)
+SELECT host, page_id FROM d WHERE host <> 'example.org' AND NOT starts_with(path, '/tag') QUALIFY row_number() OVER (PARTITION BY host ORDER BY page_id) <= 3""")
+def crawl_admission(spark, sf):
+    return admitted(read(spark, sf, "pages").select("page_id", "url"), ("example.org",), ("/tag",), 3).select("host", "page_id")
+
+
+def frontier(candidates: DataFrame, seen: DataFrame, max_depth: int) -> DataFrame:
+    """New URLs in the order they are to be popped: the last batch first, in it the best score first; each URL once."""
+    fresh = candidates.filter(F.col("depth") <= max_depth).join(seen.select("url"), "url", "left_anti")
+    return keep_first(fresh, ["url"], ["batch", "ord"])
+
+
+def pop_order() -> Column:
+    return F.struct((-F.col("batch")).alias("b"), (-F.col("score")).alias("s"), F.col("ord").alias("o"))
+
+
+@query("frontier_order", """WITH c AS (SELECT 'u' || (event_id % 500) AS url, user_id % 10 AS batch, event_id AS ord, value AS score, CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 AS depth FROM events),
+f AS (SELECT * FROM c WHERE depth <= 3 AND url NOT IN (SELECT 'u' || o_orderkey FROM orders WHERE o_orderkey < 100) QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch, ord) = 1)
+SELECT url, batch, score, row_number() OVER (PARTITION BY batch ORDER BY score DESC, ord) AS place FROM f""")
+def frontier_order(spark, sf):
+    """Places within each batch; batches themselves follow each other from last to first."""
+    c = read(spark, sf, "events").select(F.concat(F.lit("u"), (F.col("event_id") % 500).cast("string")).alias("url"), (F.col("user_id") % 10).alias("batch"), F.col("event_id").alias("ord"), F.col("value").alias("score"), (F.get_json_object("props", "$.k").cast("long") % 6).alias("depth"))
+    seen = read(spark, sf, "orders").filter("o_orderkey < 100").select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"))
+    w = Window.partitionBy("batch").orderBy(F.desc("score"), "ord")
+    return frontier(c, seen, 3).select("url", "batch", "score", F.row_number().over(w).cast("long").alias("place"))
+
+
+def representatives(results: DataFrame, cluster: Column, order: str, limit: int | None = None) -> DataFrame:
+    """The first URL of each cluster in order; up to ``limit``, others fill what is left."""
+    ranked = results.withColumn("__c", cluster)
+    first = ranked.groupBy("__c").agg(F.min(order).alias("__first"))
+    marked = ranked.join(first, "__c").withColumn("again", F.col(order) != F.col("__first")).drop("__c", "__first")
+    return marked.filter(~F.col("again")) if limit is None else marked.orderBy("again", order).limit(limit)
+
+
+@query("representative_urls", f"WITH {_PARTS}, s AS (SELECT page_id, url, {_SHAPE} AS shape FROM parts) SELECT page_id, url FROM s ORDER BY row_number() OVER (PARTITION BY shape ORDER BY page_id) > 1, page_id LIMIT 40")
+def representative_urls(spark, sf):
+    """A page of each path shape, filled up to 40 (the feature's own limit)."""
+    return representatives(read(spark, sf, "pages").select("page_id", "url"), U.path_shape(F.col("url")), "page_id", 40).select("page_id", "url")
+
+
+# Segments of pages that only list or serve the site.
+ARTIFACT_SEGMENTS = ("tag", "tags", "category", "categories", "author", "login", "search", "feed", "page")
+
+
+def evidence(text_chars: Column, links: Column) -> Column:
+    """How much text a page has for its links, 0 to 1."""
+    return F.when(text_chars == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), text_chars / 1500) - F.least(F.lit(0.8), links / 50)))
+
+
+@query("scrape_targets", f"""WITH {_PARTS}, e AS (SELECT page_id, length(html) AS chars, len(regexp_extract_all(html, '<a[ >]')) AS links, len(list_intersect(list_transform(string_split(path, '/'), lambda x: lower(x)), {list(ARTIFACT_SEGMENTS)})) > 0 AS artifact FROM parts)
+SELECT page_id, artifact, round(CASE WHEN chars = 0 THEN 0 ELSE greatest(0, least(1, chars / 1500) - least(0.8, links / 50)) END, 9) AS evidence, links FROM e""")
+def scrape_targets(spark, sf):
+    """What targets are ordered by: list pages last, then more evidence, then fewer links."""
+    links = F.regexp_count("html", F.lit("<a[ >]"))
+    parts = F.transform(F.split(U.part(F.col("url"), "path"), "/"), lambda x: F.lower(x))
+    return read(spark, sf, "pages").select("page_id", F.arrays_overlap(parts, F.array(*map(F.lit, ARTIFACT_SEGMENTS))).alias("artifact"), F.round(evidence(F.length("html"), links), 9).alias("evidence"), links.cast("long").alias("links"))
+
+
+@query("crawl_gate", f"""WITH {_PARTS}, h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"?#]*)', 1)) AS path FROM pages), s AS (SELECT page_id, {_SHAPE} AS shape FROM h)
+SELECT page_id, count(*) AS links, count(DISTINCT shape) AS shapes, count(*) >= 3 AND count(DISTINCT shape) >= 2 AS passes FROM s GROUP BY 1""")
+def crawl_gate(spark, sf, least_links: int = 3, least_shapes: int = 2):
+    """Whether a page has enough local links, of enough shapes, to crawl on."""
+    h = read(spark, sf, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('<a href="(/[^"?#]*)'), 1)).alias("path"))
+    s = h.withColumn("shape", U.path_shape(F.concat(F.lit("http://x"), "path")))
+    return s.groupBy("page_id").agg(F.count(F.lit(1)).alias("links"), F.countDistinct("shape").alias("shapes")).withColumn("passes", (F.col("links") >= least_links) & (F.col("shapes") >= least_shapes))
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
+    """node, depth: the fewest steps from a seed, breadth first; each round joins the last round's nodes only."""
+    found = frontier_ = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    for depth in range(1, max_depth + 1):
+        following = frontier_.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
+        frontier_ = following.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        found = found.unionByName(frontier_)
+    return found
+
+
+@query("reachability", """WITH RECURSIVE e AS (SELECT n_nationkey AS source, (n_nationkey * 2 + 1) % 25 AS target FROM nation UNION ALL SELECT n_nationkey, (n_nationkey + 7) % 25 FROM nation), r AS (SELECT 0 AS node, 0 AS depth UNION SELECT target, depth + 1 FROM r JOIN e ON node = source WHERE depth < 4)
+SELECT node::BIGINT AS node, min(depth)::INTEGER AS depth FROM r GROUP BY 1""")
+def reachability(spark, sf):
+    n = read(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("source"))
+    edges = n.withColumn("target", (F.col("source") * 2 + 1) % 25).unionByName(n.withColumn("target", (F.col("source") + 7) % 25))
+    return reachable(edges, n.filter("source = 0").select(F.col("source").alias("node")), 4)
+
+
+def sitemap_entries(xml: Column) -> Column:
+    """struct<is_index, urls>: the locations of a sitemap, or the sitemaps of an index."""
+    return F.struct(xml.rlike("<sitemapindex[ >]").alias("is_index"), F.transform(F.regexp_extract_all(xml, F.lit(r"<(?:loc|link)>\s*([^<]*?)\s*</(?:loc|link)>"), 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))).alias("urls"))
+
+
+@query("sitemap_urls", "SELECT page_id, replace(url, '#top', '') AS loc, page_id % 5 = 0 AS is_index FROM pages")
+def sitemap_urls(spark, sf):
+    """Locations in a sitemap made of each page's URL."""
+    body = F.concat(F.lit("\n  <loc> "), F.replace(F.replace("url", F.lit("#top"), F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("</loc>"))
+    xml = F.when(F.col("page_id") % 5 == 0, F.concat(F.lit("<sitemapindex><sitemap>"), body, F.lit("</sitemap></sitemapindex>"))).otherwise(F.concat(F.lit("<urlset><url>"), body, F.lit("</url></urlset>")))
+    s = read(spark, sf, "pages").select("page_id", sitemap_entries(xml).alias("s"))
+    return s.select("page_id", F.explode("s.urls").alias("loc"), F.col("s.is_index").alias("is_index"))
+
+
+def robots_sitemaps(text: Column) -> Column:
+    lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
+    return F.transform(F.filter(lines, lambda x: x.rlike(r"(?i)^sitemap:\s*\S")), lambda x: F.trim(F.regexp_replace(x, r"(?i)^sitemap:", "")))
+
+
+@query("robots_sitemaps", "SELECT n_nationkey AS site, 'https://' || lower(n_name) || '/sitemap.xml' AS sitemap FROM nation")
+def robots_lines(spark, sf):
+    text = F.concat(F.lit("User-agent: *\r\nDisallow: /x\nSITEMAP: https://"), F.lower("n_name"), F.lit("/sitemap.xml \nSitemap:\n"))
+    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("site"), F.explode(robots_sitemaps(text)).alias("sitemap"))
