@@ -1,2 +1,139 @@
-"""To come."""
-QUERIES, SQL = {}, {}
+"""Records: extraction by contracts, typed fields, duplicates, shape checks, embedded JSON."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions import coerce
+from ..plans.contract import Contract, Field, dedupe_by_identity, extract, issues, keep_first, typed
+from ..plans.selectors import Selector, css
+from ..sources.html import with_nodes
+from ._registry import read, registry
+
+QUERIES, SQL, query = registry()
+
+#: Contracts that come with the library.
+NEWS_ARTICLE = Contract("NewsArticle", (
+    Field("headline", (Selector("article h1"), Selector("h1")), "title", required=True),
+    Field("author", (Selector(".author"), Selector("//*[@rel='author']", "xpath")), "author"),
+    Field("date", (Selector("time", "attr", "datetime"), Selector(".date")), "datetime"),
+    Field("body_text", (Selector("article p"), Selector("p")), "text", "body"),
+    Field("related_content", (Selector(".related a"), Selector("nav a")), "text", "related"),
+))
+VIDEO = Contract("Video", tuple(Field(n, (Selector(f".{n}"),), k) for n, k in (("title", "title"), ("channel", "text"), ("duration", "text"), ("views", "integer"), ("description", "text"), ("upload_date", "datetime"))))
+PRODUCT = Contract("Product", tuple(Field(n, (Selector(f".{n}"),), k) for n, k in (("name", "title"), ("price", "price"), ("rating", "rating"), ("reviews_count", "integer"), ("description", "text"), ("availability", "text"))))
+JOB_POSTING = Contract("JobPosting", tuple(Field(n, (Selector(f".{n}"),), k) for n, k in (("title", "title"), ("company", "text"), ("location", "text"), ("salary", "price"), ("posted_date", "datetime"), ("description", "text"))))
+NAV_ITEM = Contract("NavItem", (Field("text", (Selector("a"), Selector("a::text"))), Field("href", (Selector("a", "attr", "href"),), "url")), Selector("nav li"))
+
+
+@query("extract_articles")
+def extract_articles(spark, sf):
+    """One typed record per page, with what could not be coerced and what has the wrong shape."""
+    raw = extract(read(spark, sf, "pages"), NEWS_ARTICLE)
+    return typed(issues(raw, NEWS_ARTICLE), NEWS_ARTICLE)
+
+
+@query("extract_nav_items")
+def extract_nav_items(spark, sf):
+    """A record per list item, exact repeats of a page left out."""
+    return typed(extract(read(spark, sf, "pages"), NAV_ITEM), NAV_ITEM)
+
+
+@query("nav_item_counts", "SELECT page_id, len(list_distinct(regexp_extract_all(html, '<li><a href=\"[^\"]*\"[^>]*>[^<]*</a>')))::BIGINT AS n FROM pages WHERE regexp_matches(html, '<nav')")
+def nav_item_counts(spark, sf):
+    return extract(read(spark, sf, "pages"), NAV_ITEM).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("headings", "SELECT page_id, trim(replace(replace(replace(replace(regexp_extract(html, '<h1[^>]*>([^<]*)', 1), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS heading FROM pages")
+def headings(spark, sf):
+    values = css("h1").values(F.col("nodes"))
+    return with_nodes(read(spark, sf, "pages").select("page_id", "html")).select("page_id", F.try_element_at(values, F.lit(1)).alias("heading"))
+
+
+# Typed fields, on money and quantities written as text.
+
+_PRICES = """p AS (SELECT p_partkey AS id, CASE p_partkey % 6 WHEN 0 THEN 'was 9.99 now $' || p_size || '.50' WHEN 1 THEN p_size || ',25 €' WHEN 2 THEN '1.' || (p_size + 100) || ',75' WHEN 3 THEN '1,' || (p_size + 100) || '.75' WHEN 4 THEN 'Free today' ELSE 'call us' END AS raw, p_size FROM part)"""
+
+
+def priced(spark, sf) -> DataFrame:
+    k, size = F.col("p_partkey"), F.col("p_size").cast("string")
+    more = (F.col("p_size") + 100).cast("string")
+    raw = F.when(k % 6 == 0, F.concat(F.lit("was 9.99 now $"), size, F.lit(".50"))).when(k % 6 == 1, F.concat(size, F.lit(",25 €"))).when(k % 6 == 2, F.concat(F.lit("1."), more, F.lit(",75"))).when(k % 6 == 3, F.concat(F.lit("1,"), more, F.lit(".75"))).when(k % 6 == 4, "Free today").otherwise("call us")
+    return read(spark, sf, "part").select(k.alias("id"), raw.alias("raw"), "p_size")
+
+
+@query("price_coerce", f"WITH {_PRICES} SELECT id, CASE id % 6 WHEN 0 THEN p_size + 0.5 WHEN 1 THEN p_size + 0.25 WHEN 2 THEN 1100 + p_size + 0.75 WHEN 3 THEN 1100 + p_size + 0.75 WHEN 4 THEN 0 END::DOUBLE AS price FROM p")
+def price_coerce(spark, sf):
+    return priced(spark, sf).select("id", coerce.price(F.col("raw")).alias("price"))
+
+
+@query("number_coerce", "SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 1000.0 + p_size WHEN 1 THEN -p_size WHEN 2 THEN p_size + 0.5 END::DOUBLE AS number FROM part")
+def number_coerce(spark, sf):
+    """Groups of three digits are thousands here, unlike in prices; two numbers are none."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    raw = F.when(k % 4 == 0, F.concat(F.lit("about 1,"), F.lpad(size.cast("string"), 3, "0"), F.lit(" items"))).when(k % 4 == 1, F.concat(F.lit("-"), size.cast("string"))).when(k % 4 == 2, F.concat(F.lit("$ "), size.cast("string"), F.lit(".5"))).otherwise("3 of 4")
+    return read(spark, sf, "part").select(k.alias("id"), coerce.number(raw).alias("number"))
+
+
+@query("rating_coerce", """SELECT p_partkey AS id, CASE p_partkey % 4 WHEN 0 THEN 4 WHEN 1 THEN p_size % 5 + 1 WHEN 2 THEN CASE WHEN p_size % 9 <= 5 THEN p_size % 9 + 0.5 - CASE WHEN p_size % 9 = 5 THEN NULL ELSE 0 END END END::DOUBLE AS rating FROM part""")
+def rating_coerce(spark, sf):
+    """A word, stars, or a number; above the scale there is none."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    raw = F.when(k % 4 == 0, "Four out of 5").when(k % 4 == 1, F.repeat(F.lit("★"), (size % 5 + 1).cast("int"))).when(k % 4 == 2, F.concat((size % 9).cast("string"), F.lit(".5 / 5"))).otherwise("unrated")
+    return read(spark, sf, "part").select(k.alias("id"), coerce.rating(raw).alias("rating"))
+
+
+@query("list_coerce", "SELECT n_nationkey AS id, lower(n_name) || '|b|c|d' AS items FROM nation")
+def list_coerce(spark, sf):
+    raw = F.concat(F.lower("n_name"), F.lit(", b ; c and d,"))
+    return read(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.array_join(coerce.items(raw), "|").alias("items"))
+
+
+@query("date_coerce", "SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m-%dT00:00:00+00:00') AS iso FROM orders")
+def date_coerce(spark, sf):
+    """Dates in several spellings to one."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    raw = F.when(k % 4 == 0, F.date_format(d, "yyyy-MM-dd")).when(k % 4 == 1, F.concat(F.lit("Posted "), F.date_format(d, "d MMMM yyyy"))).when(k % 4 == 2, F.concat(F.lit("by Ann · "), F.date_format(d, "MMM d, yyyy"))).otherwise(F.concat(F.lit("Date: "), F.date_format(d, "MM/dd/yyyy")))
+    return read(spark, sf, "orders").select(k.alias("id"), coerce.iso_date(raw).alias("iso"))
+
+
+@query("semantic_issues", f"WITH {_PRICES} SELECT id, CASE WHEN id % 6 IN (4, 5) THEN 'no number' WHEN id % 6 = 0 THEN 'extra text' WHEN id % 6 = 2 THEN 'extra text' END AS issue FROM p WHERE id % 6 NOT IN (2)")
+def semantic_issues(spark, sf):
+    """What is wrong with the shape of raw prices."""
+    return priced(spark, sf).filter("id % 6 <> 2").select("id", coerce.issue("numeric", F.col("raw"), 50).alias("issue"))
+
+
+@query("repaired_records", f"WITH {_PRICES} SELECT id % 6 AS kind, count(*) AS n, count(*) FILTER (id % 6 = 5) AS defaulted FROM p GROUP BY 1")
+def repaired_records(spark, sf):
+    """Values that can't be coerced become the default, and are counted."""
+    done = typed(priced(spark, sf).withColumnRenamed("raw", "price"), Contract("Priced", (Field("price", (), "price", default=-1.0),)))
+    return done.groupBy((F.col("id") % 6).alias("kind")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.array_contains("defaulted", "price")).alias("defaulted"))
+
+
+@query("duplicate_items", "SELECT min(p_partkey) AS id, lower(p_brand) AS brand, p_size FROM part GROUP BY lower(p_brand), p_size")
+def duplicate_items(spark, sf):
+    """The first of equal records."""
+    rows = read(spark, sf, "part").select(F.col("p_partkey").alias("id"), F.lower("p_brand").alias("brand"), "p_size")
+    return keep_first(rows, ["brand", "p_size"], ["id"])
+
+
+@query("duplicate_identities", "SELECT min(c_custkey) AS id FROM customer WHERE c_custkey % 3 > 0 GROUP BY c_mktsegment, c_nationkey UNION ALL SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0")
+def duplicate_identities(spark, sf):
+    """The first record of each name and partner value, in whatever case and spacing; records without both all stay."""
+    k = F.col("c_custkey")
+    name = F.when(k % 2 == 0, F.concat(F.lit("  "), F.lower("c_mktsegment"))).otherwise(F.col("c_mktsegment"))
+    rows = read(spark, sf, "customer").select(k.alias("id"), name.alias("name"), F.when(k % 3 > 0, F.col("c_nationkey").cast("string")).alias("url"))
+    return dedupe_by_identity(rows, PRODUCT, [], ["id"]).select("id")
+
+
+def json_path(payload, path: str):
+    """Text at a dotted path of embedded JSON; null where the path leads nowhere or the JSON is damaged."""
+    return F.try_variant_get(F.try_parse_json(payload), "$." + path, "string")
+
+
+@query("embedded_json", "SELECT n_nationkey AS id, CASE WHEN n_nationkey % 5 <> 0 THEN n_name END AS name FROM nation")
+def embedded_json(spark, sf):
+    k = F.col("n_nationkey")
+    blob = F.when(k % 5 == 0, F.lit('{"@type": "Place", "name": {')).otherwise(F.concat(F.lit('{"@type": "Place", "offer": {"names": ["'), "n_name", F.lit('", "x"]}}')))
+    return read(spark, sf, "nation").select(k.alias("id"), json_path(blob, "offer.names[0]").alias("name"))
