@@ -1,7 +1,7 @@
 """Observation indexes of pages: features and matches, repeated regions, anchors, diffs, windows and cuts.
 
-Of a page's nodes, repeated sibling shapes are one region. Shapes are computed from the node table by joins upward,
-runs by windows within a parent; nothing but the parse is Python.
+Of a page's nodes, repeated sibling shapes are one region. Shapes come with the parse, runs from windows within a
+parent; nothing but the parse is Python.
 """
 
 from __future__ import annotations
@@ -21,10 +21,8 @@ LANDMARKS = ("header", "nav", "main", "aside", "footer", "section", "article", "
 THRESHOLDS = {"skeleton": 0.40, "semantic": 0.50, "identity": 0.40}
 MIN_SKELETON, MIN_OPTIONAL = 8, 3
 IDENTITY_ATTRIBUTES = ("id", "data-testid", "name", "role", "aria-label")
-# Tags without content of their own; tags that every page has; the deepest level that is walked.
-NON_CONTENT = ("script", "style", "link", "meta", "template", "noscript")
+# Tags that every page has.
 FRAME_TAGS = ("html", "head", "body")
-MAX_DEPTH = 12
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -126,19 +124,9 @@ def page_matches(spark, sf):
 # Repeated regions.
 
 
-def with_shapes(nodes: DataFrame, id: str = "page_id", depth: int = MAX_DEPTH) -> DataFrame:
-    """Adds ``shape`` to element nodes: the tag over the shapes of its content children, whatever the texts.
-
-    Levels are joined from the deepest that counts upward, so there are ``depth`` joins for any number of nodes.
-    """
-    own = nodes.filter(~F.col("tag").isin("#text", *NON_CONTENT))
-    level = own.filter(F.col("depth") >= depth).select(id, "pre", "parent", "depth", F.substring(F.sha2("tag", 256), 1, 16).alias("shape"))
-    done = level
-    for d in range(depth - 1, -1, -1):
-        under = level.filter(F.col("depth") == d + 1).groupBy(id, F.col("parent").alias("pre")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pre", "shape"))), lambda x: x["shape"]), "|").alias("under"))
-        level = own.filter(F.col("depth") == d).join(under, [id, "pre"], "left").select(id, "pre", "parent", "depth", F.substring(F.sha2(F.concat_ws("|", "tag", "under"), 256), 1, 16).alias("shape"))
-        done = done.unionByName(level)
-    return own.join(done.select(id, "pre", "shape"), [id, "pre"])
+def with_shapes(nodes: DataFrame) -> DataFrame:
+    """The content elements, which have a shape: the tag over their content children's shapes."""
+    return nodes.filter(F.col("shape").isNotNull())
 
 
 def region_runs(shaped: DataFrame, id: str = "page_id", least: int = 2) -> DataFrame:

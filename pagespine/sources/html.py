@@ -1,12 +1,13 @@
 """Pages as node arrays: one parse per page, everything after it in column expressions.
 
-A node is struct<pre, parent, last, depth, tag, attrs, text>: ``pre`` numbers nodes in document order from 0, ``last``
+A node is struct<pre, parent, last, depth, tag, attrs, text, shape>: ``pre`` numbers nodes in document order from 0, ``last``
 is the number of its last descendant, so a subtree is a range; text nodes have the tag ``#text``. Script and style are
 raw text; void elements have no content; a ``p`` ends at a block element; what remains open ends with its parent.
 """
 
 from __future__ import annotations
 
+import hashlib
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -18,7 +19,9 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 #: An element that ends an open element of the same kind, unless one of the others is open above it.
 SELF_ENDING = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "dt": ("dl",), "dd": ("dl",)}
 
-NODE = "struct<pre: int, parent: int, last: int, depth: int, tag: string, attrs: map<string, string>, text: string>"
+NODE = "struct<pre: int, parent: int, last: int, depth: int, tag: string, attrs: map<string, string>, text: string, shape: string>"
+#: Tags without content of their own.
+NON_CONTENT = ("script", "style", "link", "meta", "template", "noscript")
 
 
 class _Nodes(HTMLParser):
@@ -71,13 +74,24 @@ def parse(html: str | None) -> list[tuple]:
     reader.feed(html or "")
     reader.close()
     reader._close_to(0)
-    return [tuple(r) for r in reader.rows]
+    return [(*r, shape) for r, shape in zip(reader.rows, _shapes(reader.rows))]
+
+
+def _shapes(rows: list[list]) -> list[str | None]:
+    """Of each content element a digest of its tag over its content children's shapes, whatever the texts; bottom up."""
+    out: list[str | None] = [None] * len(rows)
+    under: dict[int, list[str]] = {}
+    for pre, parent, _, _, tag, *_ in reversed(rows):
+        if tag != "#text" and tag not in NON_CONTENT:
+            out[pre] = hashlib.sha256("|".join([tag, *reversed(under.pop(pre, []))]).encode("utf-8", "surrogatepass")).hexdigest()[:16]
+            under.setdefault(parent, []).append(out[pre])
+    return out
 
 
 def with_nodes(pages: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame:
     """Adds the page's nodes; a null or empty page has none."""
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string())
-    names = ("pre", "parent", "last", "depth", "tag", "attrs", "text")
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
+    names = ("pre", "parent", "last", "depth", "tag", "attrs", "text", "shape")
 
     @F.arrow_udf(f"array<{NODE}>")
     def nodes(column: pa.Array) -> pa.Array:
