@@ -126,7 +126,8 @@ class _Codes(dict):
 class Memo:
     """Codes of distinct strings with a run of numbers each, made once per worker and bounded in entries.
 
-    ``make(strings)`` returns one list of numbers per string. ``look_up(strings)`` returns the runs of all
+    ``make(strings)`` returns one list of numbers per string, or the numbers of all strings in one array with arrays of
+    the strings' starts and lengths in it. ``look_up(strings)`` returns the runs of all
     strings end to end and their lengths.
     """
 
@@ -141,14 +142,18 @@ class Memo:
 
     def _add(self, strings):
         runs, known = self.make(strings), len(self.codes) - len(strings)
-        sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+        if isinstance(runs, tuple):
+            flat, starts, sizes = runs
+        else:
+            sizes = np.fromiter(map(len, runs), np.int64, len(runs))
+            starts = np.cumsum(sizes) - sizes
+            flat = np.fromiter(chain.from_iterable(runs), self.dtype, int(sizes.sum()))
         self.starts, self.sizes = _room(self.starts, len(self.codes)), _room(self.sizes, len(self.codes))
         self.sizes[known : len(self.codes)] = sizes
-        self.starts[known : len(self.codes)] = self.used + np.cumsum(sizes) - sizes
-        total = int(sizes.sum())
-        self.flat = _room(self.flat, self.used + total)
-        self.flat[self.used : self.used + total] = np.fromiter(chain.from_iterable(runs), self.dtype, total)
-        self.used += total
+        self.starts[known : len(self.codes)] = self.used + starts
+        self.flat = _room(self.flat, self.used + len(flat))
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.used += len(flat)
 
     def look_up(self, strings: list) -> tuple[np.ndarray, np.ndarray]:
         if len(self.codes) > self.limit:

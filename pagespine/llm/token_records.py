@@ -80,28 +80,39 @@ class WordEncoder:
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.ends = np.zeros(self.size, bool)
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
+        self.tokenizer.model._resize_cache(0)  # the memo knows what comes again; the rest comes once
+        self.point, self.comma = (e.ids[-1] for e in self.tokenizer.encode_batch_fast([".", ","], add_special_tokens=False))
         self.memo = Memo(self._words, np.uint32)
 
     def _words(self, words):
-        """Ids of each word. Words of letters alone, with at most one point or comma behind, go in joined to one text."""
-        stems = [w[:-1] if w[-1:] in (".", ",") else w for w in words]
-        plain = list(dict.fromkeys(s for s in stems if s.isalpha()))
-        known = {s: ids for a in range(0, len(plain), 512) for s, ids in zip(plain[a : a + 512], self._joined(plain[a : a + 512]))}
-        rest = [w for w, s in zip(words, stems) if s not in known]
-        known.update(zip(rest, self._apart(rest)))
-        point, comma = self._apart([".", ","])
-        return [known[w] if w in known else known[s] + (point if w[-1] == "." else comma) for w, s in zip(words, stems)]
-
-    def _apart(self, words):
-        return [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-
-    def _joined(self, words):
-        """The same, in one call, as the last id of each word can be told; apart if the tokenizer splits a word."""
-        ids = self._apart([" ".join(words)])[0]
-        ends = np.flatnonzero(self.ends[ids]) + 1
-        if len(ends) != len(words):
-            return self._apart(words)
-        return [ids[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist())]
+        """Ids of all words end to end, and each word's start and length there.
+
+        Words of letters, with at most one point or comma behind, go in joined to one text; each is one or two pieces,
+        whose last ids can be told.
+        """
+        n_pieces = np.fromiter((1 if w.isalpha() else 2 if w[-1:] in (".", ",") and w[:-1].isalpha() else 0 for w in words), np.int64, len(words))
+        starts, sizes = np.empty((2, len(words)), np.int64)
+        flat, used, apart = [], 0, np.flatnonzero(n_pieces == 0).tolist()
+        plain = np.flatnonzero(n_pieces)
+        for a in range(0, len(plain), 256):
+            at = plain[a : a + 256]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join([words[i] for i in at.tolist()])], add_special_tokens=False)[0].ids, np.uint32)
+            ends, counts = np.flatnonzero(self.ends[ids]) + 1, n_pieces[at]
+            if len(ends) == counts.sum():
+                ends = ends[np.cumsum(counts) - 1]
+                marks = (ids[ends - 1] == self.point) | (ids[ends - 1] == self.comma)
+            if len(ends) != len(at) or (marks != (counts == 2)).any():  # the tokenizer splits a word further
+                apart += at.tolist()
+                continue
+            begins = np.concatenate(([0], ends[:-1]))
+            starts[at], sizes[at] = used + begins, ends - begins
+            flat.append(ids)
+            used += len(ids)
+        for i, e in zip(apart, self.tokenizer.encode_batch_fast([words[i] for i in apart], add_special_tokens=False)):
+            starts[i], sizes[i] = used, len(e.ids)
+            flat.append(np.array(e.ids, np.uint32))
+            used += len(e.ids)
+        return np.concatenate([*flat, np.empty(0, np.uint32)]), starts, sizes
 
     def encode(self, texts: list[str | None], end_id: int) -> list[np.ndarray]:
         out = []
