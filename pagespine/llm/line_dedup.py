@@ -29,6 +29,7 @@ from ._common import materialise, runs_of, table, text_key
 MIN_CHARS = 30
 SLICE_CHARS = 1 << 18
 SEGMENTS = 16
+FILTER_BITS = 1 << 26
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
@@ -85,6 +86,17 @@ def _lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame
     return cut.filter(F.length("line") >= min_chars)
 
 
+def _marked(lines: DataFrame, able: DataFrame) -> DataFrame:
+    """``lines`` whose h may be in ``able``: a filter of one bit a line in words of 64, broadcast.
+
+    It has at most ``FILTER_BITS`` / 64 rows of two integers (tens of MB), whatever the corpus; the fuller it is, the
+    more other lines pass, which the join on h and g drops.
+    """
+    place = f"pmod(h, {FILTER_BITS})"
+    bits = able.selectExpr(f"{place} div 64 AS word", f"shiftleft(1L, int({place} % 64)) AS bit").groupBy("word").agg(F.bit_or("bit").alias("bits"))
+    return lines.withColumn("word", F.expr(f"{place} div 64")).join(F.broadcast(bits), "word").filter(f"getbit(bits, int({place} % 64)) = 1").drop("word", "bits")
+
+
 def _half_keys() -> str:
     """Keys under which a line meets every line one edit away: its first part from the left, or its last part."""
     n, halves = "length(line)", []
@@ -107,16 +119,10 @@ def doomed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_char
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("lines")).filter("lines > 1").select("half")
     able = materialise(halves.join(shared, "half", "left_semi").select("h", "g", "first").distinct(), "able")
 
-    # their texts, from the document of their first occurrence
-    wanted = able.groupBy("first.doc", "first.key").agg(F.collect_list(F.struct("first.no", "h", "g")).alias("wanted")).withColumnRenamed("doc", "__doc").withColumnRenamed("key", "__key")
-    keyed = docs.select(F.col(doc_id).alias("doc"), text_key(text).alias("key"), F.col(text).alias("text"))
-    found = keyed.join(wanted, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key")))
-    texts = materialise(
-        found.select("doc", "key", F.split("text", "\n").alias("all"), F.explode("wanted").alias("w"))
-        .select(F.struct("doc", "key", "w.no").alias("first"), "w.h", "w.g", F.expr("all[w.no]").alias("line"))
-        .dropDuplicates(["h", "g"]),
-        "able-lines",
-    )
+    # their texts: the scan keeps lines whose bit is set, which are few, so that whole texts aren't shuffled
+    own = [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
+    able_lines = _marked(_lines(docs, text, doc_id, min_chars).select("line", *own), able).groupBy("h", "g").agg(F.first("line").alias("line"))
+    texts = materialise(able_lines.join(able, ["h", "g"]).select("first", "h", "g", "line"), "able-lines")
 
     def without_one(batches):
         for batch in batches:
