@@ -1,7 +1,8 @@
 """Line deduplication across documents, exact and within one edit, by a deletion neighbourhood join.
 
-Lines are what lies between line feeds. Those of at least ``min_chars`` characters take part; shorter ones stay as
-they are. Lines one character insertion, deletion or substitution apart share a variant:
+Lines are what lies between line feeds. Those of at least ``min_chars`` characters take part; of shorter ones, those
+of at least ``exact_chars`` characters that have a word go if they repeat an earlier line, and need no variants. Lines
+of ``min_chars`` or more one character insertion, deletion or substitution apart share a variant:
 - substitution: both give the same rest when the character at the same place is deleted: key (rest, place);
 - insertion or deletion: the longer line with one character deleted is the shorter line: key (rest).
 Each line emits all its variants as hashed keys; equal keys are joined by aggregation to the earliest line under the
@@ -10,7 +11,7 @@ verified on the texts. Only lines that can have a partner emit: of two lines one
 own end, so a line whose two half keys no other line has can't have one; and cut into ``SEGMENTS``, they are equal but
 for one segment, so of the rest those lines go whose keys without one segment no other line has.
 
-A line goes if an equal line is earlier, or a line one edit away is earlier; earlier is by (doc_id, text hash, line
+A line goes if an equal line is earlier, or, from ``min_chars`` on, a line one edit away is earlier; earlier is by (doc_id, text hash, line
 number), a null id first, and a line's first occurrence counts. So the earliest stays. Defined results: a null text
 stays null and an empty one empty; if all lines go, the text is empty; repeated rows (equal id and text) are one
 document, and keep and lose the same lines; other columns pass through unchanged.
@@ -24,9 +25,9 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, runs_of, table, text_key
+from ._common import WORD_SPACE, materialise, runs_of, table, text_key
 
-MIN_CHARS = 30
+MIN_CHARS = 30  # for one edit: one character of a short line may be all that tells two lines apart
 SLICE_CHARS = 1 << 18
 SEGMENTS = 16
 FILTER_BITS = 1 << 26
@@ -80,10 +81,13 @@ def segment_keys(line: str) -> set[int]:
     return keys
 
 
-def _lines(docs: DataFrame, text: str, doc_id: str, min_chars: int) -> DataFrame:
-    """Each line that takes part: its document and number, and the line."""
+def _lines(docs: DataFrame, text: str, doc_id: str, min_chars: int, exact_chars: int | None = None) -> DataFrame:
+    """Each line of at least ``min_chars``, or ``exact_chars`` and a word: its document and number, and the line."""
     cut = docs.select(F.col(doc_id).alias("doc"), text_key(text).alias("key"), F.posexplode(F.split(text, "\n")).alias("no", "line"))
-    return cut.filter(F.length("line") >= min_chars)
+    able = F.length("line") >= min_chars
+    if exact_chars is not None and exact_chars < min_chars:
+        able |= (F.length("line") >= exact_chars) & F.col("line").rlike(f"[^{WORD_SPACE}]")
+    return cut.filter(able)
 
 
 def _marked(lines: DataFrame, able: DataFrame) -> DataFrame:
@@ -107,10 +111,11 @@ def _half_keys() -> str:
     return f"array_distinct(array({', '.join(halves)}))"
 
 
-def doomed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS) -> DataFrame:
+def doomed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, exact_chars: int | None = None) -> DataFrame:
     """(doc, key, gone): the numbers of the lines to remove, of each document that has any."""
     spark = docs.sparkSession
-    lines = _lines(docs, text, doc_id, min_chars).select("doc", "key", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), F.expr(_half_keys()).alias("halves"))
+    halves = F.when(F.length("line") >= min_chars, F.expr(_half_keys()))  # a shorter line has none, and so no variants
+    lines = _lines(docs, text, doc_id, min_chars, exact_chars).select("doc", "key", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"), halves.alias("halves"))
     order = F.struct("doc", "key", "no")
     distinct = materialise(lines.groupBy("h", "g").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n"), F.min("halves").alias("halves")), "lines")
 
@@ -164,14 +169,14 @@ def doomed(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_char
     verified = claims.join(a, "h").join(b, "wh").filter("levenshtein(mine, theirs, 1) = 1").select("h").distinct().withColumn("near", F.lit(True))
 
     verdicts = distinct.join(verified, "h", "left").filter("n > 1 OR near").select("h", "g", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    occurrences = _lines(docs, text, doc_id, min_chars).select("doc", "key", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
+    occurrences = _lines(docs, text, doc_id, min_chars, exact_chars).select("doc", "key", "no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g"))
     gone = occurrences.join(verdicts, ["h", "g"]).filter(F.col("near") | (order > F.col("first")))
     return materialise(gone.groupBy("doc", "key").agg(F.collect_set("no").alias("gone")), "doomed-lines")
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, n_lines: str | None = None, n_removed: str | None = None) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min_chars: int = MIN_CHARS, n_lines: str | None = None, n_removed: str | None = None, exact_chars: int | None = None) -> DataFrame:
     """``docs`` with the doomed lines taken out of ``text``; optionally with the counts of lines and removed lines."""
-    gone = doomed(docs, text, doc_id, min_chars).withColumnsRenamed({"doc": "__doc", "key": "__key", "gone": "__gone"})
+    gone = doomed(docs, text, doc_id, min_chars, exact_chars).withColumnsRenamed({"doc": "__doc", "key": "__key", "gone": "__gone"})
     joined = docs.withColumn("__text_key", text_key(text)).join(gone, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
     kept = r"array_join(transform(array_except(sequence(0, size(__lines) - 1), __gone), i -> __lines[i]), '\n')"
     cut = joined.withColumn("__lines", F.split(text, "\n")).withColumn("__kept", F.expr(f"CASE WHEN __gone IS NULL THEN `{text}` ELSE {kept} END"))
@@ -184,5 +189,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", min
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), n_lines="n_lines", n_removed="n_removed")
+    done = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), n_lines="n_lines", n_removed="n_removed", exact_chars=1)
     return done.select("doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("kept_chars"), F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
