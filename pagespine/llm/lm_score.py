@@ -13,7 +13,7 @@ have at most ``max_bytes``; beyond that, the texts' tokens and pairs are joined
 through a shuffle, which gives the same scores but for the filter's false positives.
 
 Tokens are words (runs of characters other than space and U+0009 to U+000D) with A-Z lower-cased, then one end; a pair
-also starts at the text's beginning. Defined results: a null or empty text is the end alone; with no training text all
+also starts at the text's beginning, which counts once for each training text. Defined results: a null or empty text is the end alone; with no training text all
 counts are 0, N is 0 and V is 0; rows with a null id are learned from; repeated rows count each and get equal scores;
 other columns pass through unchanged. Hashes of 64 bits stand for tokens: two of V tokens share one with odds V*V/2**65.
 """
@@ -221,6 +221,18 @@ class Model:
         tokens, pairs = sums.get(False), sums.get(True)
         self.v, self.n = (tokens["n"], tokens["total"]) if tokens else (0, 0)
         self.bytes = 16 * self.v + (pairs["bits"] if pairs else 0)
+        self.texts = self._ends()
+
+    def _ends(self) -> int:
+        """The number of training texts: each has one end, and one start."""
+
+        def ends(batches):
+            for batch in batches:
+                found = [np.frombuffer(c, "<i8")[np.frombuffer(h, "<u8") == END] for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64())], names=["n"])
+
+        mine = self.parts.filter(~F.col("pairs") & (F.col("part") == int(END % np.uint64(self.slices))))
+        return mine.select("hashes", "counts").mapInArrow(ends, "n long").agg(F.sum("n")).first()[0] or 0
 
     def shared(self):
         """The broadcast token counts and filter; only for models of bounded size."""
@@ -254,12 +266,12 @@ def log_probabilities(c: np.ndarray, c_before: np.ndarray, pair: np.ndarray, n:
 _FIELDS = "n_tokens long, n_known long, base_score double, score double"
 
 
-def score(docs: DataFrame, model: Model, text: str = "text", texts: int = 0, max_bytes: int = MAX_BYTES) -> DataFrame:
+def score(docs: DataFrame, model: Model, text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
     """Adds n_tokens, n_known, train_tokens, base_score (tokens alone) and score (the model's) of each text."""
     if model.bytes > max_bytes:
         return score_by_join(docs, model, text)
     shared, n, v = model.shared(), model.n, model.v
-    starts_n = texts
+    starts_n = model.texts
 
     @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ': ') for f in _FIELDS.split(', '))}>")
     def marks(column: pa.Array) -> pa.Array:
@@ -291,7 +303,7 @@ def _with_marks(done: DataFrame, columns: list[str], n: int) -> DataFrame:
     return done.select(*[F.col(f"`{c}`") for c in columns], *made, F.lit(n).cast("long").alias("train_tokens"))
 
 
-def score_by_join(docs: DataFrame, model: Model, text: str = "text", texts: int = 0) -> DataFrame:
+def score_by_join(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The same through shuffles, for models too large to broadcast: each text's distinct tokens and pairs, with how
     often it has them, are joined with the counts and levels by hash, then summed by text."""
     n, v = model.n, model.v
@@ -319,7 +331,7 @@ def score_by_join(docs: DataFrame, model: Model, text: str = "text", texts: int
     rows = rows.join(tokens.withColumnsRenamed({"h": "token", "c": "own"}), "token", "left").join(tokens.withColumnsRenamed({"h": "before", "c": "prior"}), "before", "left").join(pairs.withColumnsRenamed({"h": "pair", "c": "level"}), "pair", "left")
     zero = F.lit(0)
     own, level = F.coalesce("own", zero), F.coalesce("level", zero)
-    prior = F.when(F.col("before") == F.lit(int(START.astype(np.int64))), F.lit(texts)).otherwise(F.coalesce("prior", zero))
+    prior = F.when(F.col("before") == F.lit(int(START.astype(np.int64))), F.lit(model.texts)).otherwise(F.coalesce("prior", zero))
     share: Column = (own + 0.5) / F.lit(n + 0.5 * (v + 1))
     pair: Column = F.when(level > 0, 1.5 * F.pow(F.lit(2.0), level - 1)).otherwise(F.lit(0.0))
     full = F.log10((pair + STRENGTH * share) / (F.greatest(prior.cast("double"), pair) + STRENGTH))
