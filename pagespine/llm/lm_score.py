@@ -9,13 +9,14 @@ are pairs' shares in their first token, interpolated with the token's own smooth
 
 The filter is cut into slices by the pair's hash, each built by one task from its share of the pairs and sized by
 what it has to hold, so no task and not the driver sees all pairs. Filter and token counts are broadcast only if they
-have at most ``max_bytes``; beyond that, the texts' tokens and pairs are joined with the same counts and levels
-through a shuffle, which gives the same scores but for the filter's false positives.
+have at most ``max_bytes``; beyond that, the texts' tokens are joined with the same counts through a shuffle, and their
+distinct pairs are sent to their slice and probed there. Both ways give the same levels, false positives too.
 
 Tokens are words (runs of characters other than space and U+0009 to U+000D) with A-Z lower-cased, then one end; a pair
-also starts at the text's beginning, which counts once for each training text. Defined results: a null or empty text is the end alone; with no training text all
-counts are 0, N is 0 and V is 0; rows with a null id are learned from; repeated rows count each and get equal scores;
-other columns pass through unchanged. Hashes of 64 bits stand for tokens: two of V tokens share one with odds V*V/2**65.
+also starts at the text's beginning, which counts once for each training text. Defined results: a null or empty text
+is the end alone; with no training text all counts are 0, N is 0 and V is 0; rows with a null id are learned from;
+repeated rows count each and get equal scores; other columns pass through unchanged. Hashes of 64 bits stand for
+tokens: two of V tokens share one with odds V*V/2**65.
 """
 
 from __future__ import annotations
@@ -187,13 +188,14 @@ def count(train: DataFrame, text: str = "text", slices: int | None = None) -> Da
         h, c = _combined(np.concatenate(hs), np.concatenate(cs))
         pairs = key[0].as_py()
         levels = levels_of(c)
+        ends = 0 if pairs else int(c[h == END].sum())
         return pa.Table.from_arrays(
-            [pa.array([pairs]), pa.array([key[1].as_py()], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([build_slice(h, c) if pairs else b""], pa.binary()), pa.array([h.tobytes()], pa.binary()), pa.array([levels.tobytes() if pairs else c.astype("<i8").tobytes()], pa.binary())],
-            names=["pairs", "part", "n", "total", "bits", "hashes", "counts"],
+            [pa.array([pairs]), pa.array([key[1].as_py()], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([ends], pa.int64()), pa.array([build_slice(h, c) if pairs else b""], pa.binary()), pa.array([h.tobytes()], pa.binary()), pa.array([levels.tobytes() if pairs else c.astype("<i8").tobytes()], pa.binary())],
+            names=["pairs", "part", "n", "total", "ends", "bits", "hashes", "counts"],
         )
 
     sent = train.select(text).mapInArrow(own, "pairs boolean, part int, hashes binary, counts binary")
-    return sent.groupBy("pairs", "part").applyInArrow(meet, "pairs boolean, part int, n long, total long, bits binary, hashes binary, counts binary")
+    return sent.groupBy("pairs", "part").applyInArrow(meet, "pairs boolean, part int, n long, total long, ends long, bits binary, hashes binary, counts binary")
 
 
 def _bounds(part: np.ndarray):
@@ -217,33 +219,28 @@ class Model:
 
     def __init__(self, parts: DataFrame, slices: int):
         self.parts, self.slices = parts, slices
-        sums = {r["pairs"]: r for r in parts.groupBy("pairs").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum(F.length("bits")).alias("bits")).collect()}
+        sums = {r["pairs"]: r for r in parts.groupBy("pairs").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("ends").alias("ends"), F.sum(F.length("bits")).alias("bits")).collect()}
         tokens, pairs = sums.get(False), sums.get(True)
         self.v, self.n = (tokens["n"], tokens["total"]) if tokens else (0, 0)
         self.bytes = 16 * self.v + (pairs["bits"] if pairs else 0)
-        self.texts = self._ends()
-
-    def _ends(self) -> int:
-        """The number of training texts: each has one end, and one start."""
-
-        def ends(batches):
-            for batch in batches:
-                found = [np.frombuffer(c, "<i8")[np.frombuffer(h, "<u8") == END] for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([*found, np.empty(0, np.int64)]), pa.int64())], names=["n"])
-
-        mine = self.parts.filter(~F.col("pairs") & (F.col("part") == int(END % np.uint64(self.slices))))
-        return mine.select("hashes", "counts").mapInArrow(ends, "n long").agg(F.sum("n")).first()[0] or 0
+        self.texts = tokens["ends"] if tokens else 0  # each has one end, and one start
 
     def shared(self):
         """The broadcast token counts and filter; only for models of bounded size."""
-        tokens = self.parts.filter("NOT pairs").select("hashes", "counts").collect()
-        bits = {r["part"]: r["bits"] for r in self.parts.filter("pairs").select("part", "bits").collect()}
-        h = np.concatenate([np.frombuffer(r["hashes"], "<u8") for r in tokens] or [np.empty(0, np.uint64)])
-        c = np.concatenate([np.frombuffer(r["counts"], "<i8") for r in tokens] or [np.empty(0, np.int64)])
+        def joined(column, kind):
+            return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer() or b"", kind) for x in column)])
+
+        tokens = self.parts.filter("NOT pairs").select("hashes", "counts").toArrow()
+        h, c = joined(tokens.column("hashes"), "<u8"), joined(tokens.column("counts"), "<i8")
+        del tokens
         order = np.argsort(h)
-        slices = [bytes(bits.get(i, bytes(8))) for i in range(self.slices)]
-        whole = np.frombuffer(b"".join(slices), np.uint8)
-        return self.parts.sparkSession.sparkContext.broadcast((h[order], c[order], whole, np.array([len(x) for x in slices])))
+        h, c = h[order], c[order]
+        found = self.parts.filter("pairs").select("part", "bits").toArrow()
+        bits = dict(zip(found.column("part").to_pylist(), found.column("bits")))
+        slices = [np.frombuffer(bits[i].as_buffer() if i in bits else bytes(8), np.uint8) for i in range(self.slices)]
+        whole, sizes = np.concatenate(slices), np.array([len(x) for x in slices])
+        del found, bits, slices
+        return self.parts.sparkSession.sparkContext.broadcast((h, c, whole, sizes))
 
 
 def train(docs: DataFrame, text: str = "text") -> Model:
@@ -305,8 +302,8 @@ def _with_marks(done: DataFrame, columns: list[str], n: int) -> DataFrame:
 
 def score_by_join(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """The same through shuffles, for models too large to broadcast: each text's distinct tokens and pairs, with how
-    often it has them, are joined with the counts and levels by hash, then summed by text."""
-    n, v = model.n, model.v
+    often it has them, are joined with the counts, and with the levels that their slices give, then summed by text."""
+    n, v, slices = model.n, model.v, np.uint64(model.slices)
 
     def explode(batches):
         for batch in batches:
@@ -315,20 +312,29 @@ def score_by_join(docs: DataFrame, model: Model, text: str = "text") -> DataFram
                 tokens, sizes = _worker_words().tokens(rows[a:b])
                 before = Words.before(tokens, sizes)
                 of = pa.array(np.repeat(np.arange(a, b), sizes))
-                yield pa.RecordBatch.from_arrays([keys.take(of), *(pa.array(x.view(np.int64)) for x in (tokens, before, pair_hash(before, tokens)))], names=["key", "token", "before", "pair"])
+                pair = pair_hash(before, tokens)
+                part = pa.array((pair % slices).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([keys.take(of), *(pa.array(x.view(np.int64)) for x in (tokens, before, pair)), part], names=["key", "token", "before", "pair", "part"])
 
     def unpack(batches):
         for batch in batches:
             for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                h = np.frombuffer(h, "<i8")
-                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(np.frombuffer(c, np.uint8 if len(c) == len(h) else "<i8").astype(np.int64))], names=["h", "c"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))], names=["h", "c"])
+
+    def probe(asked, slice_):
+        h = np.concatenate([np.empty(0, np.int64), *(x.to_numpy() for x in asked.column("pair").chunks)])
+        bits = slice_.column("bits")[0].as_py() if slice_.num_rows else bytes(8)
+        levels = Filter(np.frombuffer(bits, np.uint8), np.array([len(bits)])).levels(h.view(np.uint64))
+        some = levels > 0
+        return pa.Table.from_arrays([pa.array(h[some]), pa.array(levels[some].astype(np.int64))], names=["pair", "level"])
 
     key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(3))
     tokens = model.parts.filter("NOT pairs").select("hashes", "counts").mapInArrow(unpack, "h long, c long")
-    pairs = model.parts.filter("pairs").select("hashes", "counts").mapInArrow(unpack, "h long, c long")
-    rows = docs.select(key.alias("key"), text).dropDuplicates(["key"]).mapInArrow(explode, "key long, token long, before long, pair long")
-    rows = rows.groupBy("key", "token", "before", "pair").agg(F.count(F.lit(1)).alias("times"))
-    rows = rows.join(tokens.withColumnsRenamed({"h": "token", "c": "own"}), "token", "left").join(tokens.withColumnsRenamed({"h": "before", "c": "prior"}), "before", "left").join(pairs.withColumnsRenamed({"h": "pair", "c": "level"}), "pair", "left")
+    rows = docs.select(key.alias("key"), text).dropDuplicates(["key"]).mapInArrow(explode, "key long, token long, before long, pair long, part int")
+    rows = materialise(rows.groupBy("key", "token", "before", "pair", "part").agg(F.count(F.lit(1)).alias("times")), "lm-asked")
+    asked = rows.select("part", "pair").distinct().groupBy("part")
+    pairs = asked.cogroup(model.parts.filter("pairs").select("part", "bits").groupBy("part")).applyInArrow(probe, "pair long, level long")
+    rows = rows.join(tokens.withColumnsRenamed({"h": "token", "c": "own"}), "token", "left").join(tokens.withColumnsRenamed({"h": "before", "c": "prior"}), "before", "left").join(pairs, "pair", "left")
     zero = F.lit(0)
     own, level = F.coalesce("own", zero), F.coalesce("level", zero)
     prior = F.when(F.col("before") == F.lit(int(START.astype(np.int64))), F.lit(model.texts)).otherwise(F.coalesce("prior", zero))

@@ -52,3 +52,11 @@ def test_text_start_counts(spark):
     for max_bytes in (lm_score.MAX_BYTES, 0):
         got = {r["doc_id"]: r["score"] for r in lm_score.score(frame, model, max_bytes=max_bytes).collect()}
         assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_large_models_probe_the_same_filter(spark, tiny):
+    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
+    model = lm_score.train(docs.filter("doc_id % 2 = 0"))
+    one = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model).collect()}
+    two = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model, max_bytes=0).collect()}
+    assert two == pytest.approx(one, rel=1e-9)
