@@ -21,9 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share; a local one where that is unset and all
+    tasks run in the driver's own process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.conf.get("spark.master", "").startswith("local") or spark.conf.get("spark.master").startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir is not set: name a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="pagespine-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -52,6 +55,24 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def pass_through(df: DataFrame, *made: str) -> list:
+    """The columns of ``df`` that no column of ``made`` replaces; names are the same whatever their case."""
+    names = {m.lower() for m in made}
+    return [F.col(quoted(c)) for c in df.columns if c.lower() not in names]
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def spare(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores behind as it takes for ``df`` to have no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_key(text: str = "text"):
     """Tells apart rows that share an id; rows with equal id and text are the same document."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())

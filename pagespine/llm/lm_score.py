@@ -2,21 +2,23 @@
 
 Counts of tokens and of token pairs are aggregated over the training texts by 64-bit hash. A count c has the level
 1 + floor(log2 c); the filter holds the pair with each of the numbers 1 to its level. A scorer finds a pair's level by
-asking for 1, 2, ... until the filter says no, and takes 1.5 times 2 to the level less 1 as its count. Probabilities
-are pairs' shares in their first token, interpolated with the token's own smoothed share:
+asking for 1, 2, ... until the filter says no; level 1 counts as 1, and level l as 1.4 times 2 to the l - 1.
+Probabilities are pairs' shares in their first token, interpolated with the token's own smoothed share:
 
     p(w | v) = (count(v w) + STRENGTH * p(w)) / (count(v) + STRENGTH),    p(w) = (c + 0.5) / (N + 0.5 * (V + 1))
 
-The filter is cut into slices by the pair's hash, each built by one task from its share of the pairs and sized by
-what it has to hold, so no task and not the driver sees all pairs. Filter and token counts are broadcast only if they
-have at most ``max_bytes``; beyond that, the texts' tokens are joined with the same counts through a shuffle, and their
-distinct pairs are sent to their slice and probed there. Both ways give the same levels, false positives too.
+The filter grows with the corpus, so it has no bound for a broadcast of the whole. It is cut into slices by the pair's
+hash, as many as the training texts' bytes ask for; each is built by one task and sent to the worker that answers for
+it, with the exact counts of its share of the tokens. Texts are scored in blocks of bounded size: a block sends each
+slice the distinct hashes that it has of it, gets their levels and counts back, and adds up. This is the one way at
+every size; the driver sees totals only.
 
 Tokens are words (runs of characters other than space and U+0009 to U+000D) with A-Z lower-cased, then one end; a pair
 also starts at the text's beginning, which counts once for each training text. Defined results: a null or empty text
 is the end alone; with no training text all counts are 0, N is 0 and V is 0; rows with a null id are learned from;
-repeated rows count each and get equal scores; other columns pass through unchanged. Hashes of 64 bits stand for
-tokens: two of V tokens share one with odds V*V/2**65.
+repeated rows count each and get equal scores; an empty table gives no row. Other columns but the text pass through;
+one with the name of an output is replaced by it. Hashes of 64 bits stand for tokens: two of V tokens share one with
+odds V*V/2**65.
 """
 
 from __future__ import annotations
@@ -24,16 +26,17 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, materialise, runs_of, shuffle_partitions, split_sum, table
+from ._common import Memo, materialise, pass_through, runs_of, shuffle_partitions, spare, split_sum, table
 
-STRENGTH = 4.0
+STRENGTH = 300.0
 PROBES = 7
 BITS_PER_ENTRY = 10  # about PROBES / ln 2, where a filter is half full
-MAX_BYTES = 512 << 20
+PART_BYTES = 12 << 20  # training text for each slice of the filter
 SLICE_CHARS = 2 << 20
+BLOCK_CHARS = 4 << 20
 COUNT_ENTRIES = 3 << 20
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end", 5)), np.uint64(xxhash.xxh64_intdigest(b" start", 5))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -98,7 +101,7 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
 
 
 def _probe(hashes: np.ndarray, level: int, k: int, size: np.ndarray) -> np.ndarray:
-    h = mix(hashes + np.uint64(level) * _A)
+    h = mix(hashes + np.uint64(level * int(_A) & 0xFFFFFFFFFFFFFFFF))
     step = mix(h) | np.uint64(1)
     return (h + np.uint64(k) * step) % size
 
@@ -115,39 +118,27 @@ def build_slice(hashes: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-class Filter:
-    """All slices end to end; asks for many pairs at once."""
-
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray):
-        self.bits, self.start, self.size = bits, (np.cumsum(sizes) - sizes).astype(np.uint64), sizes.astype(np.uint64) * np.uint64(8)
-
-    def levels(self, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(hashes), np.uint8)
-        at, level = np.arange(len(hashes)), 0
-        while len(at):
-            level += 1
-            for k in range(PROBES):
-                h = hashes[at]
-                of = (h % np.uint64(len(self.size))).astype(np.int64)
-                bit = _probe(h, level, k, self.size[of])
-                at = at[(self.bits[self.start[of] + (bit >> np.uint64(3))] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
-            out[at] = level
-            if level == 64:
-                break
-        return out
-
+def levels(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The level that a slice gives each of its hashes; 0 where it has none."""
+    out, at, level = np.zeros(len(hashes), np.uint8), np.arange(len(hashes)), 0
+    size = np.uint64(8 * len(bits))
+    while len(at) and len(bits) and level < 64:
+        level += 1
+        for k in range(PROBES):
+            bit = _probe(hashes[at], level, k, size)
+            at = at[(bits[(bit >> np.uint64(3)).astype(np.int64)] >> (bit & np.uint64(7)).astype(np.uint8)) & 1 == 1]
+        out[at] = level
+    return out
 
-def _typical(levels: np.ndarray) -> np.ndarray:
-    return np.where(levels > 0, 1.5 * np.exp2(levels.astype(np.float64) - 1), 0.0)
 
+def typical(levels: np.ndarray) -> np.ndarray:
+    """The count that a level stands for."""
+    return np.where(levels > 1, 1.4 * np.exp2(levels.astype(np.float64) - 1), np.minimum(levels, 1).astype(np.float64))
 
-def count(train: DataFrame, text: str = "text", slices: int | None = None) -> DataFrame:
-    """pairs (boolean), part, hashes, counts (packed): the token and pair counts, each hash in one part.
 
-    Tasks combine their own counts in blocks of bounded size, then send each part its share, packed.
-    """
-    spark = train.sparkSession
-    n = slices or 4 * shuffle_partitions(spark)
+def count(train: DataFrame, text: str, parts: int) -> DataFrame:
+    """pairs (boolean), part, n, total, ends, data, counts: for tokens the sorted hashes and their counts, for pairs the
+    slice of the filter. Tasks combine their own counts in blocks of bounded size, then send each part its share, packed."""
 
     def own(batches):
         held: dict[bool, list] = {False: [], True: []}
@@ -158,11 +149,9 @@ def count(train: DataFrame, text: str = "text", slices: int | None = None) -> Da
                 return
             h, c = _combined(*(np.concatenate(x) for x in zip(*held[pairs])))
             held[pairs], size[pairs] = [], 0
-            part = (h % np.uint64(n)).astype(np.int64)
-            order = np.argsort(part, kind="stable")
-            h, c, part = h[order], c[order], part[order]
-            for p, a, b in zip(*(x.tolist() for x in _bounds(part))):
-                yield pairs, p, h[a:b].tobytes(), c[a:b].astype("<u4").tobytes() if c[a:b].max() < 1 << 32 else c[a:b].tobytes()
+            for p, a, b, order in dealt(h, parts):
+                mine = c[order[a:b]]
+                yield pairs, p, h[order[a:b]].tobytes(), mine.astype("<u4").tobytes() if mine.max() < 1 << 32 else mine.tobytes()
 
         def rows(found):
             for block in _blocks(found):
@@ -187,20 +176,24 @@ def count(train: DataFrame, text: str = "text", slices: int | None = None) -> Da
             cs.append(np.frombuffer(c, "<u4" if len(c) * 2 == len(h) else "<i8").astype(np.int64))
         h, c = _combined(np.concatenate(hs), np.concatenate(cs))
         pairs = key[0].as_py()
-        levels = levels_of(c)
-        ends = 0 if pairs else int(c[h == END].sum())
+        numbers = (len(h), int(c.sum()), 0 if pairs else int(c[h == END].sum()))
         return pa.Table.from_arrays(
-            [pa.array([pairs]), pa.array([key[1].as_py()], pa.int32()), pa.array([len(h)], pa.int64()), pa.array([int(c.sum())], pa.int64()), pa.array([ends], pa.int64()), pa.array([build_slice(h, c) if pairs else b""], pa.binary()), pa.array([h.tobytes()], pa.binary()), pa.array([levels.tobytes() if pairs else c.astype("<i8").tobytes()], pa.binary())],
-            names=["pairs", "part", "n", "total", "ends", "bits", "hashes", "counts"],
+            [pa.array([pairs]), pa.array([key[1].as_py()], pa.int32()), *(pa.array([x], pa.int64()) for x in numbers), pa.array([build_slice(h, c) if pairs else h.tobytes()], pa.binary()), pa.array([b"" if pairs else c.astype("<i8").tobytes()], pa.binary())],
+            names=["pairs", "part", "n", "total", "ends", "data", "counts"],
         )
 
-    sent = train.select(text).mapInArrow(own, "pairs boolean, part int, hashes binary, counts binary")
-    return sent.groupBy("pairs", "part").applyInArrow(meet, "pairs boolean, part int, n long, total long, ends long, bits binary, hashes binary, counts binary")
+    sent = train.select(F.col(f"`{text}`").alias("text")).mapInArrow(own, "pairs boolean, part int, hashes binary, counts binary")
+    return sent.groupBy("pairs", "part").applyInArrow(meet, "pairs boolean, part int, n long, total long, ends long, data binary, counts binary")
 
 
-def _bounds(part: np.ndarray):
-    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1])))
-    return part[starts], starts, np.append(starts[1:], len(part))
+def dealt(hashes: np.ndarray, parts: int):
+    """(part, from, to, order): the hashes of each part are those at order[from:to]; ``hashes`` keep their order in it."""
+    part = (hashes % np.uint64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    part = part[order]
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
+    for p, a, b in zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]):
+        yield p, a, b, order
 
 
 def _blocks(rows, size: int = 256):
@@ -215,40 +208,22 @@ def _blocks(rows, size: int = 256):
 
 
 class Model:
-    """Token counts (written, one row a part), the filter's slices, and their totals."""
-
-    def __init__(self, parts: DataFrame, slices: int):
-        self.parts, self.slices = parts, slices
-        sums = {r["pairs"]: r for r in parts.groupBy("pairs").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("ends").alias("ends"), F.sum(F.length("bits")).alias("bits")).collect()}
-        tokens, pairs = sums.get(False), sums.get(True)
-        self.v, self.n = (tokens["n"], tokens["total"]) if tokens else (0, 0)
-        self.bytes = 16 * self.v + (pairs["bits"] if pairs else 0)
-        self.texts = tokens["ends"] if tokens else 0  # each has one end, and one start
-
-    def shared(self):
-        """The broadcast token counts and filter; only for models of bounded size."""
-        def joined(column, kind):
-            return np.concatenate([np.empty(0, kind), *(np.frombuffer(x.as_buffer() or b"", kind) for x in column)])
-
-        tokens = self.parts.filter("NOT pairs").select("hashes", "counts").toArrow()
-        h, c = joined(tokens.column("hashes"), "<u8"), joined(tokens.column("counts"), "<i8")
-        del tokens
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        found = self.parts.filter("pairs").select("part", "bits").toArrow()
-        bits = dict(zip(found.column("part").to_pylist(), found.column("bits")))
-        slices = [np.frombuffer(bits[i].as_buffer() if i in bits else bytes(8), np.uint8) for i in range(self.slices)]
-        whole, sizes = np.concatenate(slices), np.array([len(x) for x in slices])
-        del found, bits, slices
-        return self.parts.sparkSession.sparkContext.broadcast((h, c, whole, sizes))
-
-
-def train(docs: DataFrame, text: str = "text") -> Model:
-    slices = 4 * shuffle_partitions(docs.sparkSession)
-    return Model(materialise(count(docs, text, slices), "lm-counts"), slices)
+    """The written parts, one row each, and their totals."""
+
+    def __init__(self, parts: DataFrame, n_parts: int):
+        self.parts, self.n_parts = parts, n_parts
+        sums = parts.filter("NOT pairs").agg(F.sum("n").alias("v"), F.sum("total").alias("n"), F.sum("ends").alias("ends")).first()
+        self.v, self.n, self.texts = sums["v"] or 0, sums["n"] or 0, sums["ends"] or 0  # each text has one end, and one start
+
+
+def train(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> Model:
+    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), -(-size // part_bytes))
+    return Model(materialise(count(docs, text, parts), "lm-counts"), parts)
 
 
 def _counts(h: np.ndarray, c: np.ndarray, tokens: np.ndarray) -> np.ndarray:
+    """The counts of ``tokens`` in the sorted hashes ``h``."""
     if not len(h):
         return np.zeros(len(tokens), np.int64)
     at = np.minimum(np.searchsorted(h, tokens), len(h) - 1)
@@ -260,95 +235,86 @@ def log_probabilities(c: np.ndarray, c_before: np.ndarray, pair: np.ndarray, n:
     return np.log10(own), np.log10((pair + STRENGTH * own) / (np.maximum(c_before, pair) + STRENGTH))
 
 
-_FIELDS = "n_tokens long, n_known long, base_score double, score double"
-
-
-def score(docs: DataFrame, model: Model, text: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
-    """Adds n_tokens, n_known, train_tokens, base_score (tokens alone) and score (the model's) of each text."""
-    if model.bytes > max_bytes:
-        return score_by_join(docs, model, text)
-    shared, n, v = model.shared(), model.n, model.v
-    starts_n = model.texts
-
-    @F.arrow_udf(f"struct<{', '.join(f.replace(' ', ': ') for f in _FIELDS.split(', '))}>")
-    def marks(column: pa.Array) -> pa.Array:
-        h, c, bits, sizes = shared.value
-        pairs = Filter(bits, sizes)
-        found = [[], [], [], []]
-        rows = column.to_pylist()
-        for a, b in runs_of([len(t or "") for t in rows], SLICE_CHARS):
-            tokens, sizes = _worker_words().tokens(rows[a:b])
-            before = Words.before(tokens, sizes)
-            distinct, at = np.unique(tokens, return_inverse=True)
-            own = _counts(h, c, distinct)[at]
-            prior = np.empty_like(own)
-            prior[1:] = own[:-1]
-            prior[np.cumsum(sizes) - sizes] = starts_n
-            base, full = log_probabilities(own, prior, _typical(pairs.levels(pair_hash(before, tokens))), n, v)
-            of = np.repeat(np.arange(b - a), sizes)
-            for out, x in zip(found, (sizes, split_sum((own > 0).astype(np.int64), sizes), np.bincount(of, base, b - a), np.bincount(of, full, b - a))):
-                out.append(x)
-        types = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-        return pa.StructArray.from_arrays([pa.array(np.concatenate(x) if x else [], t) for x, t in zip(found, types)], names=[f.split()[0] for f in _FIELDS.split(", ")])
-
-    done = docs.withColumn("__marks", marks(F.col(text)))
-    return _with_marks(done, docs.columns, n)
-
-
-def _with_marks(done: DataFrame, columns: list[str], n: int) -> DataFrame:
-    made = [F.col("__marks")[f.split()[0]].alias(f.split()[0]) for f in _FIELDS.split(", ")]
-    return done.select(*[F.col(f"`{c}`") for c in columns], *made, F.lit(n).cast("long").alias("train_tokens"))
-
-
-def score_by_join(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """The same through shuffles, for models too large to broadcast: each text's distinct tokens and pairs, with how
-    often it has them, are joined with the counts, and with the levels that their slices give, then summed by text."""
-    n, v, slices = model.n, model.v, np.uint64(model.slices)
-
-    def explode(batches):
-        for batch in batches:
-            keys, rows = batch.column(0), batch.column(1).to_pylist()
-            for a, b in runs_of([len(t or "") for t in rows], SLICE_CHARS // 8):
-                tokens, sizes = _worker_words().tokens(rows[a:b])
-                before = Words.before(tokens, sizes)
-                of = pa.array(np.repeat(np.arange(a, b), sizes))
-                pair = pair_hash(before, tokens)
-                part = pa.array((pair % slices).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([keys.take(of), *(pa.array(x.view(np.int64)) for x in (tokens, before, pair)), part], names=["key", "token", "before", "pair", "part"])
+def _pairs(known: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
+    """Of texts' tokens as places in ``known``: the distinct pairs' hashes, their first and second token's places (of
+    the start: the end of ``known``), and each token's place among the pairs."""
+    n = len(known)
+    before = np.empty(len(tokens), np.int64)
+    before[1:] = tokens[:-1]
+    before[np.cumsum(sizes) - sizes] = n
+    both, at = np.unique(before * (n + 1) + tokens, return_inverse=True)
+    first, second = both // (n + 1), both % (n + 1)
+    return pair_hash(np.append(known, START)[first], known[second]), first, second, at
 
-    def unpack(batches):
+
+def _packed(columns: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, columns.schema) as out:
+        out.write_batch(columns)
+    return sink.getvalue().to_pybytes()
+
+
+_MADE = "n_tokens long, n_known long, base_score double, score double, train_tokens long"
+_NAMES = [f.split()[0] for f in _MADE.split(", ")]
+
+
+def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    """The columns of ``docs`` but the text, with n_tokens, n_known, base_score (tokens alone), score and train_tokens."""
+    n, v, texts_n, parts = model.n, model.v, model.texts, model.n_parts
+    kept = docs.select(*pass_through(docs, *_NAMES, text))
+
+    def ask(batches):
+        """Rows of a block: its own (part -1) with its texts' tokens, and one for each part that it asks."""
+        from pyspark import TaskContext
+
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
-            for h, c in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(h, "<i8")), pa.array(np.frombuffer(c, "<i8"))], names=["h", "c"])
-
-    def probe(asked, slice_):
-        h = np.concatenate([np.empty(0, np.int64), *(x.to_numpy() for x in asked.column("pair").chunks)])
-        bits = slice_.column("bits")[0].as_py() if slice_.num_rows else bytes(8)
-        levels = Filter(np.frombuffer(bits, np.uint8), np.array([len(bits)])).levels(h.view(np.uint64))
-        some = levels > 0
-        return pa.Table.from_arrays([pa.array(h[some]), pa.array(levels[some].astype(np.int64))], names=["pair", "level"])
-
-    key = F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.lit(3))
-    tokens = model.parts.filter("NOT pairs").select("hashes", "counts").mapInArrow(unpack, "h long, c long")
-    rows = docs.select(key.alias("key"), text).dropDuplicates(["key"]).mapInArrow(explode, "key long, token long, before long, pair long, part int")
-    rows = materialise(rows.groupBy("key", "token", "before", "pair", "part").agg(F.count(F.lit(1)).alias("times")), "lm-asked")
-    asked = rows.select("part", "pair").distinct().groupBy("part")
-    pairs = asked.cogroup(model.parts.filter("pairs").select("part", "bits").groupBy("part")).applyInArrow(probe, "pair long, level long")
-    rows = rows.join(tokens.withColumnsRenamed({"h": "token", "c": "own"}), "token", "left").join(tokens.withColumnsRenamed({"h": "before", "c": "prior"}), "before", "left").join(pairs, "pair", "left")
-    zero = F.lit(0)
-    own, level = F.coalesce("own", zero), F.coalesce("level", zero)
-    prior = F.when(F.col("before") == F.lit(int(START.astype(np.int64))), F.lit(model.texts)).otherwise(F.coalesce("prior", zero))
-    share: Column = (own + 0.5) / F.lit(n + 0.5 * (v + 1))
-    pair: Column = F.when(level > 0, 1.5 * F.pow(F.lit(2.0), level - 1)).otherwise(F.lit(0.0))
-    full = F.log10((pair + STRENGTH * share) / (F.greatest(prior.cast("double"), pair) + STRENGTH))
-    sums = rows.groupBy("key").agg(F.struct(F.sum("times").alias("n_tokens"), F.sum(F.when(own > 0, F.col("times")).otherwise(zero)).alias("n_known"), F.sum(F.log10(share) * F.col("times")).alias("base_score"), F.sum(full * F.col("times")).alias("score")).alias("__marks")).withColumnRenamed("key", "__key")
-    return _with_marks(docs.withColumn("__text_key", key).join(sums, F.col("__text_key") == F.col("__key")), docs.columns, n)
+            rows, others = batch.column(0).to_pylist(), batch.select(range(1, batch.num_columns))
+            for a, b in runs_of([len(t or "") for t in rows], BLOCK_CHARS):
+                tokens, sizes = _worker_words().tokens(rows[a:b])
+                known, at = np.unique(tokens, return_inverse=True)
+                pairs = _pairs(known, at, sizes)[0]
+                out = [(number, False, -1, _packed(others.slice(a, b - a)), known.tobytes(), at.astype("<u4").tobytes(), sizes.astype("<u4").tobytes())]
+                for which, hashes in ((False, known), (True, pairs)):
+                    out += [(number, which, p, hashes[order[i:j]].tobytes(), b"", b"", b"") for p, i, j, order in dealt(hashes, parts)]
+                for some in _blocks(out):
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), (pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 4))], names=["block", "pairs", "part", "data", "known", "tokens", "sizes"])
+                number += 1
+
+    def answer(asked, slice_):
+        data = slice_.column("data")[0].as_py() if slice_.num_rows else b""
+        counts = np.frombuffer(slice_.column("counts")[0].as_py() if slice_.num_rows else b"", "<i8")
+        out = []
+        for pairs, h in zip(asked.column("pairs").to_pylist(), asked.column("data")):
+            h = np.frombuffer(h.as_buffer(), "<u8")
+            out.append((levels(np.frombuffer(data, np.uint8), h) if pairs else _counts(np.frombuffer(data, "<u8"), counts, h)).tobytes())
+        return pa.Table.from_arrays([*(asked.column(c) for c in ("block", "pairs", "part")), pa.array(out, pa.binary())], names=["block", "pairs", "part", "found"])
+
+    def finish(own, found):
+        known, tokens, sizes = (np.frombuffer(own.column(c)[0].as_buffer(), k) for c, k in (("known", "<u8"), ("tokens", "<u4"), ("sizes", "<u4")))
+        tokens, sizes = tokens.astype(np.int64), sizes.astype(np.int64)
+        pairs, first, second, at = _pairs(known, tokens, sizes)
+        by = {(w, p): x for w, p, x in zip(found.column("pairs").to_pylist(), found.column("part").to_pylist(), found.column("found").to_pylist())}
+        c, level = np.zeros(len(known), np.int64), np.zeros(len(pairs), np.uint8)
+        for which, hashes, out in ((False, known, c), (True, pairs, level)):
+            for p, i, j, order in dealt(hashes, parts):
+                out[order[i:j]] = np.frombuffer(by[which, p], out.dtype)
+        base, full = log_probabilities(c[second], np.append(c, texts_n)[first], typical(level), n, v)
+        of = np.repeat(np.arange(len(sizes)), sizes)
+        made = (sizes, split_sum((c[tokens] > 0).astype(np.int64), sizes), np.bincount(of, base[at], len(sizes)), np.bincount(of, full[at], len(sizes)), np.full(len(sizes), n))
+        others = pa.ipc.open_stream(own.column("data")[0].as_buffer()).read_all()
+        return pa.Table.from_arrays([*others.columns, *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())))], names=[*others.schema.names, *_NAMES])
+
+    blocks = docs.select(F.col(f"`{text}`").alias(spare(docs, "__text")), *pass_through(docs, *_NAMES, text)).mapInArrow(ask, "block long, pairs boolean, part int, data binary, known binary, tokens binary, sizes binary")
+    blocks = materialise(blocks, "lm-blocks")
+    asked = blocks.filter("part >= 0").select("block", "pairs", "part", "data").groupBy("pairs", "part")
+    answers = asked.cogroup(model.parts.select("pairs", "part", "data", "counts").groupBy("pairs", "part")).applyInArrow(answer, "block long, pairs boolean, part int, found binary")
+    made = kept.withColumns({f.split()[0]: F.lit(None).cast(f.split()[1]) for f in _MADE.split(", ")}).schema
+    return blocks.filter("part = -1").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, made)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
-    learned = docs.filter(~held)
-    model = train(learned)
-    scored = score(docs.withColumn("held_out", held), model)
+    scored = score(docs.withColumn("held_out", held), train(docs.filter(~held)))
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -88,19 +88,20 @@ def one_edit(a, b):
 
 
 def line_dedup(docs, min_chars=30):
-    """{doc_id: (numbers of the removed lines, text)}; ids are distinct."""
+    """{doc_id: (numbers of the removed lines, text)}; ids are distinct. Lines with a word take part, from ``min_chars`` on
+    also with one edit."""
     docs = sorted(docs, key=lambda d: d[0])
     first, by_size = {}, defaultdict(list)
     for i, (_, text) in enumerate(docs):
         for no, line in enumerate((text or "").split("\n")):
-            if len(line) >= min_chars and line not in first:
+            if WORD.search(line) and line not in first:
                 first[line] = (i, no)
                 by_size[len(line)].append(line)
-    near = {x for x in first if any(first[y] < first[x] and one_edit(x, y) for n in (-1, 0, 1) for y in by_size[len(x) + n])}
+    near = {x for x in first if len(x) >= min_chars and any(len(y) >= min_chars and first[y] < first[x] and one_edit(x, y) for n in (-1, 0, 1) for y in by_size[len(x) + n])}
     out = {}
     for i, (doc_id, text) in enumerate(docs):
         lines = (text or "").split("\n")
-        gone = [no for no, x in enumerate(lines) if len(x) >= min_chars and (x in near or first[x] != (i, no))]
+        gone = [no for no, x in enumerate(lines) if WORD.search(x) and (x in near or first[x] != (i, no))]
         out[doc_id] = (gone, text if not gone else "\n".join(x for no, x in enumerate(lines) if no not in gone))
     return out
 
@@ -237,19 +238,17 @@ def unigrams(docs, held):
     return {i: (len(ws), sum(counts[w] > 0 for w in ws), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for i, ws in own.items()}
 
 
-def bigrams(docs, held, strength=4.0):
-    """{doc_id: score} with counts quantised to 1.5 times a power of two."""
-    own = {i: WORD.findall(lower(t)) + [" end"] for i, t in docs}
+def bigrams(docs, held, level, strength):
+    """{doc_id: score} by the formula; ``level(first, second, count)`` gives the level of a pair that was seen count times."""
+    own = {i: [" start", *WORD.findall(lower(t)), " end"] for i, t in docs}
     counts = Counter(w for i, ws in own.items() if not held(i) for w in ws)
-    pairs = Counter(p for i, ws in own.items() if not held(i) for p in zip([" start", *ws], ws))
-    n, v = counts.total(), len(counts)
+    pairs = Counter(p for i, ws in own.items() if not held(i) for p in zip(ws, ws[1:]))
+    n, v = counts.total() - counts[" start"], len(counts) - (" start" in counts)
     out = {}
     for i, ws in own.items():
-        total = 0.0
-        for a, b in zip([" start", *ws], ws):
-            share = (counts[b] + 0.5) / (n + 0.5 * (v + 1))
-            c = pairs[a, b]
-            pair = 1.5 * 2 ** (c.bit_length() - 1) if c else 0.0
-            total += math.log10((pair + strength * share) / (max(counts[a] if a != " start" else 0, pair) + strength))
-        out[i] = total
+        out[i] = 0.0
+        for a, b in zip(ws, ws[1:]):
+            share, at = (counts[b] + 0.5) / (n + 0.5 * (v + 1)), level(a, b, pairs[a, b])
+            pair = at if at < 2 else 1.4 * 2 ** (at - 1)
+            out[i] += math.log10((pair + strength * share) / (max(counts[a], pair) + strength))
     return out

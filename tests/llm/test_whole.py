@@ -1,16 +1,9 @@
 """Cases that earlier versions of the corpus operators left out."""
 
 import hashlib
-import math
-from collections import Counter
 
-import pytest
-
-from pagespine.llm import lm_score
 from pagespine.llm.queries import QUERIES
 
-from . import plain
-
 
 def folder(spark, path, **tables):
     for name, (rows, schema) in tables.items():
@@ -25,38 +18,3 @@ def test_short_lines_repeat(spark, tmp_path):
     done = QUERIES["op3_line_dedup"](spark, folder(spark, tmp_path, documents=(docs, "doc_id long, text string"))).collect()
     assert {r["doc_id"]: r["kept_sha256"] for r in done} == {i: t if t is None else hashlib.sha256(t.encode()).hexdigest() for i, t in want.items()}
     assert {r["doc_id"]: r["n_removed"] for r in done} == {1: 1, 2: 1, 3: 1, 4: 0}
-
-
-def formula(docs, learned, strength=4.0):
-    """{doc_id: score} by the formula in lm_score, with the start counted once for each text learned from."""
-    own = {i: [" start", *plain.WORD.findall(plain.lower(t)), " end"] for i, t in docs}
-    counts = Counter(w for i in learned for w in own[i])
-    pairs = Counter(p for i in learned for p in zip(own[i], own[i][1:]))
-    n, v = counts.total() - counts[" start"], len(counts) - 1
-    out = {}
-    for i, ws in own.items():
-        out[i] = 0.0
-        for a, b in zip(ws, ws[1:]):
-            share, level = (counts[b] + 0.5) / (n + 0.5 * (v + 1)), pairs[a, b].bit_length()
-            pair = 1.5 * 2 ** (level - 1) if level else 0.0
-            out[i] += math.log10((pair + strength * share) / (max(counts[a], pair) + strength))
-    return out
-
-
-def test_text_start_counts(spark):
-    docs = [(i, ("the tide", "the boat", "a tide", "one day", "")[i % 5]) for i in range(60)]
-    frame = spark.createDataFrame(docs, "doc_id long, text string")
-    model = lm_score.train(frame)
-    want = formula(docs, range(60))
-    assert model.texts == 60
-    for max_bytes in (lm_score.MAX_BYTES, 0):
-        got = {r["doc_id"]: r["score"] for r in lm_score.score(frame, model, max_bytes=max_bytes).collect()}
-        assert got == pytest.approx(want, rel=1e-9)
-
-
-def test_large_models_probe_the_same_filter(spark, tiny):
-    docs = spark.read.parquet(f"{tiny}/documents.parquet").select("doc_id", "text")
-    model = lm_score.train(docs.filter("doc_id % 2 = 0"))
-    one = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model).collect()}
-    two = {r["doc_id"]: r["score"] for r in lm_score.score(docs, model, max_bytes=0).collect()}
-    assert two == pytest.approx(one, rel=1e-9)
