@@ -73,6 +73,36 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+FILTER_BITS = 1 << 26
+
+
+def maybe_in(df: DataFrame, key: str, able: DataFrame, able_key: str, out: str) -> DataFrame:
+    """Adds the boolean ``out``: whether the long ``key`` (SQL over ``df``) may be among ``able_key`` of ``able``.
+
+    A filter of one bit a key, in words of 64, is broadcast: at most ``FILTER_BITS`` / 64 rows of two integers (tens of
+    MB), whatever the corpus. The fuller it is, the more other rows pass; what passes is then joined exactly.
+    """
+    place, word, bits = f"pmod({{}}, {FILTER_BITS}L)", spare(df, "__word"), spare(df, "__bits")
+    theirs = able.selectExpr(f"{place.format(able_key)} AS at").selectExpr(f"at div 64 AS `{word}`", "shiftleft(1L, int(at % 64)) AS bit")
+    theirs = theirs.groupBy(word).agg(F.bit_or("bit").alias(bits))
+    joined = df.withColumn(word, F.expr(f"{place.format(key)} div 64")).join(F.broadcast(theirs), word, "left")
+    return joined.withColumn(out, F.expr(f"coalesce(getbit(`{bits}`, int({place.format(key)} % 64)) = 1, false)")).drop(word, bits)
+
+
+def join_counted(many: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+    """Inner join of ``many`` with ``one``, which has a row for each key with ``n``, how many rows of ``many`` have it.
+
+    Keys that hold over a thousandth of the rows (so at most a thousand keys) are broadcast, and their rows stay where
+    they are; the others are joined through a shuffle, in which no key is hot.
+    """
+    total = one.agg(F.sum(n)).first()[0] or 0
+    limit = total // 1000
+    hot = one.filter(F.col(n) > limit)
+    if total < 100_000 or not hot.take(1):
+        return many.join(one, key)
+    return many.join(F.broadcast(hot), key).unionByName(many.join(one.filter(F.col(n) <= limit), key))
+
+
 def text_key(text: str = "text"):
     """Tells apart rows that share an id; rows with equal id and text are the same document."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())

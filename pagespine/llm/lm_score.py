@@ -29,14 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, materialise, pass_through, runs_of, shuffle_partitions, spare, split_sum, table
+from ._common import Memo, materialise, pass_through, quoted, runs_of, shuffle_partitions, spare, split_sum, table
 
 STRENGTH = 300.0
 PROBES = 7
 BITS_PER_ENTRY = 10  # about PROBES / ln 2, where a filter is half full
 PART_BYTES = 12 << 20  # training text for each slice of the filter
 SLICE_CHARS = 2 << 20
-BLOCK_CHARS = 4 << 20
+BLOCK_CHARS = 8 << 20
+HASH_BITS = {False: 64, True: 48}  # of tokens, of pairs
 COUNT_ENTRIES = 3 << 20
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end", 5)), np.uint64(xxhash.xxh64_intdigest(b" start", 5))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -49,7 +50,37 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 def pair_hash(first: np.ndarray, second: np.ndarray) -> np.ndarray:
-    return mix(first * _B + mix(second))
+    """Hashes of 48 bits: one of P pairs is taken for a pair of the training texts with odds P/2**48, beside the filter's own."""
+    return mix(first * _B + mix(second)) >> np.uint64(16)
+
+
+def part_of(hashes: np.ndarray, bits: int, parts: int) -> np.ndarray:
+    """The part of each hash; parts are ranges of hashes, in order."""
+    return ((hashes >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+
+
+def dealt(hashes: np.ndarray, bits: int, parts: int):
+    """(part, from, to) of sorted hashes."""
+    part = part_of(hashes, bits, parts)
+    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
+    yield from zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)])
+
+
+def packed(numbers: np.ndarray) -> bytes:
+    """Unsigned integers, their first bytes first, compressed."""
+    data = np.ascontiguousarray(numbers.view(np.uint8).reshape(len(numbers), numbers.itemsize).T).tobytes()
+    return pa.Codec("zstd", 1).compress(data, asbytes=True) if data else b""
+
+
+def unpacked(data: bytes, kind: str, n: int) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = pa.Codec("zstd").decompress(data, n * size, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
+def steps(hashes: np.ndarray) -> np.ndarray:
+    """Sorted hashes as differences, which ``np.cumsum`` undoes."""
+    return np.diff(hashes, prepend=np.uint64(0))
 
 
 class Words:
@@ -149,13 +180,12 @@ def count(train: DataFrame, text: str, parts: int) -> DataFrame:
                 return
             h, c = _combined(*(np.concatenate(x) for x in zip(*held[pairs])))
             held[pairs], size[pairs] = [], 0
-            for p, a, b, order in dealt(h, parts):
-                mine = c[order[a:b]]
-                yield pairs, p, h[order[a:b]].tobytes(), mine.astype("<u4").tobytes() if mine.max() < 1 << 32 else mine.tobytes()
+            for p, a, b in dealt(h, HASH_BITS[pairs], parts):
+                yield pairs, p, b - a, packed(steps(h[a:b])), packed(c[a:b].astype("<u8"))
 
         def rows(found):
             for block in _blocks(found):
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*block), (pa.bool_(), pa.int32(), pa.binary(), pa.binary()))], names=["pairs", "part", "hashes", "counts"])
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*block), (pa.bool_(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["pairs", "part", "n", "hashes", "counts"])
 
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -171,9 +201,9 @@ def count(train: DataFrame, text: str, parts: int) -> DataFrame:
 
     def meet(key, rows):
         hs, cs = [], []
-        for h, c in zip(rows.column("hashes").to_pylist(), rows.column("counts").to_pylist()):
-            hs.append(np.frombuffer(h, "<u8"))
-            cs.append(np.frombuffer(c, "<u4" if len(c) * 2 == len(h) else "<i8").astype(np.int64))
+        for n, h, c in zip(*(rows.column(x).to_pylist() for x in ("n", "hashes", "counts"))):
+            hs.append(np.cumsum(unpacked(h, "<u8", n)))
+            cs.append(unpacked(c, "<u8", n).astype(np.int64))
         h, c = _combined(np.concatenate(hs), np.concatenate(cs))
         pairs = key[0].as_py()
         numbers = (len(h), int(c.sum()), 0 if pairs else int(c[h == END].sum()))
@@ -182,20 +212,10 @@ def count(train: DataFrame, text: str, parts: int) -> DataFrame:
             names=["pairs", "part", "n", "total", "ends", "data", "counts"],
         )
 
-    sent = train.select(F.col(f"`{text}`").alias("text")).mapInArrow(own, "pairs boolean, part int, hashes binary, counts binary")
+    sent = train.select(F.col(quoted(text)).alias("text")).mapInArrow(own, "pairs boolean, part int, n long, hashes binary, counts binary")
     return sent.groupBy("pairs", "part").applyInArrow(meet, "pairs boolean, part int, n long, total long, ends long, data binary, counts binary")
 
 
-def dealt(hashes: np.ndarray, parts: int):
-    """(part, from, to, order): the hashes of each part are those at order[from:to]; ``hashes`` keep their order in it."""
-    part = (hashes % np.uint64(parts)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    part = part[order]
-    starts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1]))) if len(part) else np.empty(0, np.int64)
-    for p, a, b in zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)]):
-        yield p, a, b, order
-
-
 def _blocks(rows, size: int = 256):
     block = []
     for row in rows:
@@ -217,7 +237,7 @@ class Model:
 
 
 def train(docs: DataFrame, text: str = "text", part_bytes: int = PART_BYTES) -> Model:
-    size = docs.agg(F.sum(F.octet_length(F.col(f"`{text}`")))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(F.col(quoted(text))))).first()[0] or 0
     parts = max(shuffle_partitions(docs.sparkSession), -(-size // part_bytes))
     return Model(materialise(count(docs, text, parts), "lm-counts"), parts)
 
@@ -236,18 +256,17 @@ def log_probabilities(c: np.ndarray, c_before: np.ndarray, pair: np.ndarray, n:
 
 
 def _pairs(known: np.ndarray, tokens: np.ndarray, sizes: np.ndarray):
-    """Of texts' tokens as places in ``known``: the distinct pairs' hashes, their first and second token's places (of
-    the start: the end of ``known``), and each token's place among the pairs."""
+    """Of texts' tokens as places in ``known``: the distinct pairs' sorted hashes, their first and second token's places
+    (of the start: the end of ``known``), and each token's place among the pairs."""
     n = len(known)
     before = np.empty(len(tokens), np.int64)
     before[1:] = tokens[:-1]
     before[np.cumsum(sizes) - sizes] = n
-    both, at = np.unique(before * (n + 1) + tokens, return_inverse=True)
-    first, second = both // (n + 1), both % (n + 1)
-    return pair_hash(np.append(known, START)[first], known[second]), first, second, at
+    hashes, place, at = np.unique(pair_hash(np.append(known, START)[before], known[tokens]), return_index=True, return_inverse=True)
+    return hashes, before[place], tokens[place], at
 
 
-def _packed(columns: pa.RecordBatch) -> bytes:
+def _stream(columns: pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, columns.schema) as out:
         out.write_batch(columns)
@@ -264,7 +283,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     kept = docs.select(*pass_through(docs, *_NAMES, text))
 
     def ask(batches):
-        """Rows of a block: its own (part -1) with its texts' tokens, and one for each part that it asks."""
+        """Rows of a block: its own (part under 0) with its texts' tokens, and one for each part that it asks."""
         from pyspark import TaskContext
 
         number = TaskContext.get().partitionId() << 32
@@ -274,43 +293,50 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 tokens, sizes = _worker_words().tokens(rows[a:b])
                 known, at = np.unique(tokens, return_inverse=True)
                 pairs = _pairs(known, at, sizes)[0]
-                out = [(number, False, -1, _packed(others.slice(a, b - a)), known.tobytes(), at.astype("<u4").tobytes(), sizes.astype("<u4").tobytes())]
+                own = [len(known), len(at), packed(steps(known)), packed(at.astype("<u4")), sizes.astype("<u4").tobytes()]
+                out = [(number, False, -1 - number % 997, *own, _stream(others.slice(a, b - a)))]
                 for which, hashes in ((False, known), (True, pairs)):
-                    out += [(number, which, p, hashes[order[i:j]].tobytes(), b"", b"", b"") for p, i, j, order in dealt(hashes, parts)]
+                    out += [(number, which, p, j - i, 0, packed(steps(hashes[i:j])), b"", b"", b"") for p, i, j in dealt(hashes, HASH_BITS[which], parts)]
                 for some in _blocks(out):
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), (pa.int64(), pa.bool_(), pa.int32(), *[pa.binary()] * 4))], names=["block", "pairs", "part", "data", "known", "tokens", "sizes"])
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*some), (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 4))], names=names)
                 number += 1
 
     def answer(asked, slice_):
-        data = slice_.column("data")[0].as_py() if slice_.num_rows else b""
-        counts = np.frombuffer(slice_.column("counts")[0].as_py() if slice_.num_rows else b"", "<i8")
+        """The asked rows with what the part has, in place of the hashes; blocks' own rows pass."""
+        if not asked.num_rows or asked.column("part")[0].as_py() < 0:
+            return asked
+        data, counts = (slice_.column(c)[0].as_py() if slice_.num_rows else b"" for c in ("data", "counts"))
+        counts = np.frombuffer(counts, "<i8")
         out = []
-        for pairs, h in zip(asked.column("pairs").to_pylist(), asked.column("data")):
-            h = np.frombuffer(h.as_buffer(), "<u8")
-            out.append((levels(np.frombuffer(data, np.uint8), h) if pairs else _counts(np.frombuffer(data, "<u8"), counts, h)).tobytes())
-        return pa.Table.from_arrays([*(asked.column(c) for c in ("block", "pairs", "part")), pa.array(out, pa.binary())], names=["block", "pairs", "part", "found"])
-
-    def finish(own, found):
-        known, tokens, sizes = (np.frombuffer(own.column(c)[0].as_buffer(), k) for c, k in (("known", "<u8"), ("tokens", "<u4"), ("sizes", "<u4")))
-        tokens, sizes = tokens.astype(np.int64), sizes.astype(np.int64)
+        for pairs, size, h in zip(*(asked.column(c).to_pylist() for c in ("pairs", "n", "data"))):
+            h = np.cumsum(unpacked(h, "<u8", size))
+            out.append(packed(levels(np.frombuffer(data, np.uint8), h) if pairs else _counts(np.frombuffer(data, "<u8"), counts, h).astype("<u8")))
+        return asked.set_column(names.index("data"), "data", pa.array(out, pa.binary()))
+
+    def finish(key, rows):
+        which = rows.column("part").to_numpy()
+        own, found = rows.filter(pa.array(which < 0)).to_pylist()[0], rows.filter(pa.array(which >= 0))
+        known, tokens = np.cumsum(unpacked(own["data"], "<u8", own["n"])), unpacked(own["tokens"], "<u4", own["m"]).astype(np.int64)
+        sizes = np.frombuffer(own["sizes"], "<u4").astype(np.int64)
         pairs, first, second, at = _pairs(known, tokens, sizes)
-        by = {(w, p): x for w, p, x in zip(found.column("pairs").to_pylist(), found.column("part").to_pylist(), found.column("found").to_pylist())}
-        c, level = np.zeros(len(known), np.int64), np.zeros(len(pairs), np.uint8)
-        for which, hashes, out in ((False, known, c), (True, pairs, level)):
-            for p, i, j, order in dealt(hashes, parts):
-                out[order[i:j]] = np.frombuffer(by[which, p], out.dtype)
+        by = {(w, p): x for w, p, x in zip(*(found.column(c).to_pylist() for c in ("pairs", "part", "data")))}
+        c, level = np.zeros(len(known), "<u8"), np.zeros(len(pairs), np.uint8)
+        for w, hashes, out in ((False, known, c), (True, pairs, level)):
+            for p, i, j in dealt(hashes, HASH_BITS[w], parts):
+                out[i:j] = unpacked(by[w, p], out.dtype.str, j - i)
+        c = c.astype(np.int64)
         base, full = log_probabilities(c[second], np.append(c, texts_n)[first], typical(level), n, v)
         of = np.repeat(np.arange(len(sizes)), sizes)
         made = (sizes, split_sum((c[tokens] > 0).astype(np.int64), sizes), np.bincount(of, base[at], len(sizes)), np.bincount(of, full[at], len(sizes)), np.full(len(sizes), n))
-        others = pa.ipc.open_stream(own.column("data")[0].as_buffer()).read_all()
+        others = pa.ipc.open_stream(own["others"]).read_all()
         return pa.Table.from_arrays([*others.columns, *(pa.array(x, t) for x, t in zip(made, (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64())))], names=[*others.schema.names, *_NAMES])
 
-    blocks = docs.select(F.col(f"`{text}`").alias(spare(docs, "__text")), *pass_through(docs, *_NAMES, text)).mapInArrow(ask, "block long, pairs boolean, part int, data binary, known binary, tokens binary, sizes binary")
-    blocks = materialise(blocks, "lm-blocks")
-    asked = blocks.filter("part >= 0").select("block", "pairs", "part", "data").groupBy("pairs", "part")
-    answers = asked.cogroup(model.parts.select("pairs", "part", "data", "counts").groupBy("pairs", "part")).applyInArrow(answer, "block long, pairs boolean, part int, found binary")
+    schema = "block long, pairs boolean, part int, n long, m long, data binary, tokens binary, sizes binary, others binary"
+    names = [f.split()[0] for f in schema.split(", ")]
+    asked = docs.select(F.col(quoted(text)).alias(spare(docs, "__text")), *pass_through(docs, *_NAMES, text)).mapInArrow(ask, schema)
+    answers = asked.groupBy("pairs", "part").cogroup(model.parts.select("pairs", "part", "data", "counts").groupBy("pairs", "part")).applyInArrow(answer, schema)
     made = kept.withColumns({f.split()[0]: F.lit(None).cast(f.split()[1]) for f in _MADE.split(", ")}).schema
-    return blocks.filter("part = -1").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, made)
+    return materialise(answers, "lm-answers").groupBy("block").applyInArrow(finish, made)
 
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -209,7 +209,7 @@ def levels_by_model(model):
     def level(a, b, count):
         if (a, b) not in asked:
             h = lm_score.pair_hash(*(np.array([xxhash.xxh64_intdigest(x.encode(), 5)], np.uint64) for x in (a, b)))
-            mine = bits.get(int(h[0] % np.uint64(model.n_parts)), np.empty(0, np.uint8))
+            mine = bits.get(int(lm_score.part_of(h, 48, model.n_parts)[0]), np.empty(0, np.uint8))
             asked[a, b] = int(lm_score.levels(mine, h)[0])
             assert asked[a, b] >= count.bit_length()
             if asked[a, b] > count.bit_length():
