@@ -135,6 +135,30 @@ def groups(marks):
     return {i: (marks[i], find(i)) for i in ids}
 
 
+def similar(docs, shingle=5, percent=80):
+    """Ids of the first document of each group; ids are distinct. Groups connect equal words or similar shingle sets."""
+    docs, post, head, equal = sorted(docs), defaultdict(list), {}, {}
+
+    def find(x):
+        while head[x] != x:
+            x = head[x]
+        return x
+
+    sets = {}
+    for i, t in docs:
+        w, head[i] = WORD.findall(lower(t)), i
+        sets[i] = {tuple(w[k : k + shingle]) for k in range(len(w) - shingle + 1)} or ({tuple(w)} if w else set())
+        common = Counter(m for s in sets[i] for m in post[s])
+        near = [m for m, n in common.items() if 100 * n >= percent * (len(sets[i]) + len(sets[m]) - n)]
+        near.append(equal.setdefault(tuple(w), i))
+        for s in sets[i]:
+            post[s].append(i)
+        for m in near:
+            x, y = sorted((find(i), find(m)))
+            head[y] = x
+    return [i for i, _ in docs if find(i) == i]
+
+
 # decontamination
 
 

@@ -276,11 +276,37 @@ def test_simhash_links_at_random(spark):
     assert {i: of[x] for i, x in marks.items()} == {i: c for i, (_, c) in plain.groups(marks).items()}
 
 
-def test_one_of_each_group(spark, tiny):
+@pytest.mark.parametrize("longest", [256, 2])
+def test_one_of_each_group(spark, tiny, monkeypatch, longest):
+    """Also with the way for long posting lists, which a pair of documents takes here."""
+    monkeypatch.setattr(simhash, "LIST", longest)
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
-    want = {c for _, c in plain.groups({i: plain.fingerprint(t) for i, t in rows_of(spark, tiny)}).values()}
     kept = simhash.keep_one(docs)
-    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(want)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == plain.similar(rows_of(spark, tiny))
+
+
+def test_one_of_a_large_group(spark, monkeypatch):
+    """Near copies of two texts, each within a few words of its text, and texts that share a passage only."""
+    monkeypatch.setattr(simhash, "LIST", 8)
+    dice = random.Random(8)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(5))
+    bases, passage = [[word() for _ in range(n)] for n in (200, 90)], [word() for _ in range(60)]
+    docs = [(0, " ".join(bases[0])), (1, " ".join(bases[1]))]
+    for i in range(2, 120):
+        w = list(bases[i % 2])
+        w[dice.randrange(len(w))] = word()
+        docs.append((i, " ".join(w)))
+    docs += [(i, " ".join([word() for _ in range(60)] + passage)) for i in range(120, 180)]
+    kept = simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in kept.collect()) == plain.similar(docs) == [0, 1, *range(120, 180)]
+
+
+def test_one_of_odd_rows(spark):
+    rows = [(1, "a b", "p", 1), (1, "a b", "q", 2), (None, "A  B", "r", 3), (None, "c", "s", 4), (None, "c", "t", 5), (2, None, "u", 6), (3, " ", "v", 7), (4, "a b c d e f g", "w", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, uid int")
+    kept = [tuple(r) for r in simhash.keep_one(docs).select("doc_id", "text").collect()]
+    assert sorted(kept, key=str) == [(1, "a b"), (2, None), (4, "a b c d e f g"), (None, "c")]
+    assert simhash.keep_one(docs).columns == docs.columns and simhash.keep_one(docs.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("which", ["tiny", "odd_dir"])

@@ -19,8 +19,8 @@ def test_pipeline(spark, small):
     docs = [d for d, (_, keep) in zip(docs, kept) if keep]
     lined = plain.line_dedup(docs)
     docs = [(i, lined[i][1]) for i, _ in docs]
-    group = plain.groups({i: plain.fingerprint(t) for i, t in docs})
-    docs = [(i, t) for i, t in docs if group[i][1] == i]
+    stay = set(plain.similar(docs))
+    docs = [(i, t) for i, t in docs if i in stay]
     found = plain.template_matches(docs, items, **RULES)
     docs = [(i, t) for i, t in docs if not found[i][0]]
     theirs, want = reference_encoding(), {}
