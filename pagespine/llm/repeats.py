@@ -6,17 +6,22 @@ A byte goes if a string of ``LENGTH`` bytes that covers it starts anywhere else,
    the string, and 184 bytes more on the longer side of it. Equal strings have equal cores, so starts whose core
    occurs once are done. Consecutive starts under one core form a piece: the bytes they need. Equal pieces are one
    entry with a count, so copies are compared once.
-2. Pieces are dealt to buckets by their core. A bucket reads its pieces as sequences of symbols of ``SYMBOL`` bytes
+2. A core whose different pieces have over ``CORE_BYTES`` together (a passage that stands in very many texts among other
+   words each time) is split: its strings go under a wider core, by half of what is left of them on their longer side,
+   and so on up to the whole string; equal pieces are made one entry again at each step. So no group grows with the corpus.
+3. Pieces are dealt to buckets by their core, as many buckets as the pieces' bytes ask for. A bucket reads its pieces
+   as sequences of symbols of ``SYMBOL`` bytes
    (one sequence for each phase), cuts them into shards of bounded size, sorts each shard's suffixes and takes its
    Burrows-Wheeler transform. The transforms are merged by interleave refinement: which shard each row of the merged
    order comes from is refined from one leading symbol to ``LENGTH / SYMBOL`` by stably dealing the rows by their
    preceding symbols, with the borders where leading symbols change; suffixes are never sorted across shards. Rows
    between two borders share ``LENGTH`` bytes: a repeated interval.
-3. The starts found are sent back to every text that has the piece; the bytes they cover are cut out.
+4. The starts found are sent back to every text that has the piece; the bytes they cover are cut out. Only texts that
+   may have such starts, or whose pieces are asked for, are shuffled.
 
 Equality of symbols, cores and pieces is that of their 64-bit hashes. Defined results: a null text has no bytes;
 texts shorter than ``LENGTH`` bytes lose nothing; strings are judged on the input; rows equal in id and text repeat
-each other; an empty table gives no row; other columns pass through unchanged.
+each other; an empty table gives no row; other columns pass through, but those with the name of an output are replaced.
 """
 
 from __future__ import annotations
@@ -28,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, runs_of, shuffle_partitions, table, text_key
+from ._common import materialise, maybe_in, pass_through, quoted, runs_of, shuffle_partitions, spare, table, text_key
 
 LENGTH = 400
 GRAM = 32
-SYMBOL = 100
+SYMBOL = 200
 SIDE = (LENGTH - GRAM) // 2
 CORE = SIDE + GRAM
 SLICE_BYTES = 1 << 20
 SHARD_BYTES = 1 << 19
+BUCKET_BYTES = 1 << 22
+CORE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -121,6 +128,41 @@ def pieces(buffer: bytes, ends: np.ndarray):
     return first, size, core.view(np.int64), piece.view(np.int64)
 
 
+def wider(body: bytes, n: int, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(from, to) in a piece of the core of each of its ``n`` starts, after ``level`` widenings.
+
+    Each widening takes half of the string's bytes outside, rounded up, on the side that has more of them.
+    """
+    grams = Hashes(np.frombuffer(body, np.uint8)).all(GRAM)[: LENGTH - GRAM + 1]
+    low = np.uint64((1 << 24) - 1)
+    at = int(((grams & ~low) | np.arange(len(grams), dtype=np.uint64)).argmin())
+    first = at - SIDE if at > SIDE else at
+    a, b = np.full(n, first), np.full(n, first + CORE)
+    start, left = np.arange(n), LENGTH - CORE
+    for _ in range(level):
+        step = -(-left // 2)
+        before = a - start
+        on_left = 2 * before >= left
+        a, b, left = np.where(on_left, a - step, a), np.where(on_left, b, b + step), left - step
+    return a, b
+
+
+#: Widenings after which a core is the whole string.
+LEVELS = (LENGTH - CORE).bit_length()
+
+
+def split(body: bytes, n: int, core: int, level: int):
+    """(first start, starts, core, piece) of what a piece is split to at ``level``."""
+    a, b = wider(body, n, level)
+    cuts = np.flatnonzero(np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
+    sizes = np.diff(np.append(cuts, n))
+    hashes = Hashes(np.frombuffer(body, np.uint8))
+    salt = mix(np.array([core & 0xFFFFFFFFFFFFFFFF], np.uint64) + np.uint64(level))
+    cores = mix(hashes.of(a[cuts], b[cuts] - a[cuts]) ^ salt)
+    pieces_ = mix(hashes.of(cuts, sizes + LENGTH - 1) + sizes.astype(np.uint64))
+    return cuts, sizes, cores.view(np.int64), pieces_.view(np.int64)
+
+
 def _spans(texts: list[bytes]):
     """(which text, offset in it, bytes) in slices of bounded size; a long text comes in parts that overlap by LENGTH - 1."""
     parts = [(i, a) for i, t in enumerate(texts) for a in range(0, max(1, len(t) - LENGTH + 1), SLICE_BYTES)]
@@ -233,10 +275,11 @@ def _bodies(column: pa.Array) -> list[bytes]:
 
 
 def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc, key, found): for each text with repeats its list of (start, mask): string starts from ``start`` on, packed."""
+    """(doc, key, found): for each text with repeats its list of (start, n, mask): of the n string starts from ``start``
+    on, which ones, packed."""
     spark = docs.sparkSession
     kind = docs.schema[doc_id].dataType.simpleString()
-    bodies = docs.select(F.col(doc_id).alias("doc"), text_key(text).alias("key"), F.col(text).cast("binary").alias("body"))
+    bodies = docs.select(F.col(quoted(doc_id)).alias("doc"), text_key(text).alias("key"), F.col(quoted(text)).cast("binary").alias("body"))
 
     def cut(batches):
         for batch in batches:
@@ -251,74 +294,141 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
                 yield pa.RecordBatch.from_arrays([docs_.take(take), keys.take(take), pa.array(first - begin[of] + offset[of], pa.int64()), pa.array(n, pa.int32()), pa.array(core), pa.array(piece)], names=["doc", "key", "start", "n", "core", "piece"])
 
     made = materialise(bodies.filter(F.length("body") >= LENGTH).mapInArrow(cut, f"doc {kind}, key long, start long, n int, core long, piece long"), "pieces")
+    cores = materialise(made.groupBy("core").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("core"), "cores")
+    made = materialise(maybe_in(made, "core", cores, "core", "may").filter("may").drop("may"), "shared-pieces")
     distinct = made.groupBy("core", "piece").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "key", "start", "n")).alias("at"))
-    shared = distinct.groupBy("core").agg(F.sum("times").alias("total")).filter("total > 1").select("core")
-    entries = materialise(distinct.join(shared, "core", "left_semi"), "entries")
-    wanted = entries.groupBy("at.doc", "at.key").agg(F.collect_list(F.struct("at.start", "at.n", "core", "piece", "times")).alias("wanted")).withColumnsRenamed({"doc": "__doc", "key": "__key"})
-    holders = bodies.join(wanted, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("body", "wanted")
-
+    entries = materialise(_shared(distinct, F.col("at.n")), "entries")
     def slices(batches):
         for batch in batches:
             rows = []
             size = 0
             for body, wanted in zip(_bodies(batch.column(0)), batch.column(1).to_pylist()):
                 for w in wanted:
-                    rows.append((w["core"], w["piece"], w["times"], w["n"], body[w["start"] : w["start"] + w["n"] + LENGTH - 1]))
+                    rows.append((0, w["core"], w["piece"], w["times"], w["n"], w["heavy"], body[w["start"] : w["start"] + w["n"] + LENGTH - 1]))
                     size += w["n"] + LENGTH
                     if size > 8 << 20:
-                        yield _entry_batch(rows)
+                        yield _batch(rows, _ENTRY)
                         rows, size = [], 0
             if rows:
-                yield _entry_batch(rows)
-
-    buckets = 4 * shuffle_partitions(spark)
-    cut_out = holders.mapInArrow(slices, "core long, piece long, times long, n int, bytes binary")
-    dealt = cut_out.withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets)))
+                yield _batch(rows, _ENTRY)
+
+    def whole(heavy: bool) -> DataFrame:
+        """The pieces of such cores with their bytes; rows equal in id and text give them each."""
+        own = entries.filter("heavy" if heavy else "NOT heavy").groupBy("at.doc", "at.key").agg(F.collect_list(F.struct("at.start", "at.n", "core", "piece", "times", "heavy")).alias("wanted"))
+        own = materialise(own.withColumnsRenamed({"doc": "__doc", "key": "__key"}), "wanted")
+        holders = maybe_in(bodies, "xxhash64(doc, key)", own, "xxhash64(__doc, __key)", "may").filter("may")
+        holders = holders.join(own, F.col("doc").eqNullSafe(F.col("__doc")) & (F.col("key") == F.col("__key"))).select("body", "wanted")
+        return holders.mapInArrow(slices, _names(_ENTRY))
+
+    maps: list[DataFrame] = []
+    sizes = {r["heavy"]: r["size"] for r in entries.groupBy("heavy").agg(F.sum(F.col("at.n") + LENGTH - 1).alias("size")).collect()}
+    total, at_level = sizes.get(False, 0), None
+    if True in sizes:
+        at_level = materialise(whole(True).dropDuplicates(["core", "piece"]), "piece-bytes")
+    levels = [whole(False)]
+    for level in range(1, LEVELS + 1):
+        heavy = at_level.filter("heavy") if at_level is not None else None
+        if heavy is None or not heavy.take(1):
+            break
+
+        def narrow(batches, level=level):
+            for batch in batches:
+                rows, size = [], 0
+                for _, core, piece, times, n, _, body in zip(*(c.to_pylist() for c in batch.columns)):
+                    for first, k, c, p in zip(*(x.tolist() for x in split(body, n, core, level))):
+                        rows.append((core, piece, first, c, p, times, k, body[first : first + k + LENGTH - 1]))
+                        size += k + LENGTH
+                    if size > 8 << 20:
+                        yield _batch(rows, _SPLIT)
+                        rows, size = [], 0
+                if rows:
+                    yield _batch(rows, _SPLIT)
+
+        parts = materialise(heavy.mapInArrow(narrow, _names(_SPLIT)), "split-pieces")
+        maps.append(parts.select("core", "piece", "first", "to_core", "to_piece"))
+        merged = parts.groupBy(F.col("to_core").alias("core"), F.col("to_piece").alias("piece")).agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+        at_level = materialise(_shared(merged, F.col("n")).select(F.lit(level).alias("level"), "core", "piece", "times", "n", (F.col("heavy") & F.lit(level < LEVELS)).alias("heavy"), "bytes"), "piece-bytes")
+        levels.append(at_level.filter("NOT heavy"))
+        total += levels[-1].agg(F.sum(F.length("bytes"))).first()[0] or 0
+    dealt = levels[0]
+    for more in levels[1:]:
+        dealt = dealt.unionByName(more)
+    buckets = max(shuffle_partitions(spark), -(-total // BUCKET_BYTES))
 
     def meet(key, rows):
-        # rows of one piece come from texts equal in id and text
-        own = {(c, p): (t, n, b) for c, p, t, n, b in zip(*(rows.column(x).to_pylist() for x in ("core", "piece", "times", "n", "bytes")))}
-        masks = repeated([x[2] for x in own.values()], np.array([x[1] for x in own.values()], np.int64), np.array([x[0] for x in own.values()], np.float64))
-        found = [(c, p, np.packbits(m).tobytes()) for (c, p), m in zip(own, masks) if m.any()]
-        return pa.Table.from_arrays([pa.array([x[i] for x in found], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.binary()))], names=["core", "piece", "mask"])
+        first: dict = {}
+        for i, which in enumerate(zip(*(rows.column(c).to_pylist() for c in ("level", "core", "piece")))):
+            first.setdefault(which, i)
+        if len(first) < rows.num_rows:
+            rows = rows.take(pa.array(list(first.values())))
+        own = rows.select(["level", "core", "piece", "n"])
+        masks = repeated(rows.column("bytes").to_pylist(), rows.column("n").to_numpy().astype(np.int64), rows.column("times").to_numpy().astype(np.float64))
+        some = pa.array([bool(m.any()) for m in masks])
+        return own.append_column("mask", pa.array([np.packbits(m).tobytes() for m in masks], pa.binary())).filter(some)
 
-    hits = materialise(dealt.groupBy("bucket").applyInArrow(meet, "core long, piece long, mask binary"), "repeats")
-    back = made.join(hits, ["core", "piece"]).groupBy("doc", "key").agg(F.collect_set(F.struct("start", "n", "mask")).alias("found"))
-    return back
+    bucket = dealt.withColumn("bucket", F.pmod(F.xxhash64("core"), F.lit(buckets))).groupBy("bucket")
+    hits = materialise(bucket.applyInArrow(meet, "level int, core long, piece long, n int, mask binary"), "repeats").withColumn("first", F.lit(0))
+    resolved = None  # hits of each level, as hits of the one before it
+    for level in range(len(maps), -1, -1):
+        own = hits.filter(F.col("level") == level).select("core", "piece", "first", "n", "mask")
+        resolved = own if resolved is None else own.unionByName(resolved)
+        if level:
+            wider_ = maps[level - 1].withColumnRenamed("first", "by")
+            inner = resolved.withColumnsRenamed({"core": "to_core", "piece": "to_piece"})
+            resolved = wider_.join(inner, ["to_core", "to_piece"]).select("core", "piece", (F.col("first") + F.col("by")).alias("first"), "n", "mask")
+    back = made.select("doc", "key", "start", "core", "piece").join(resolved, ["core", "piece"])
+    return back.groupBy("doc", "key").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("start"), "n", "mask")).alias("found"))
 
 
-def _entry_batch(rows):
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())
-    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names=["core", "piece", "times", "n", "bytes"])
+_ENTRY = {"level": pa.int32(), "core": pa.int64(), "piece": pa.int64(), "times": pa.int64(), "n": pa.int32(), "heavy": pa.bool_(), "bytes": pa.binary()}
+_SPLIT = {"core": pa.int64(), "piece": pa.int64(), "first": pa.int32(), "to_core": pa.int64(), "to_piece": pa.int64(), "times": pa.int64(), "n": pa.int32(), "bytes": pa.binary()}
+
+
+def _shared(pieces: DataFrame, n) -> DataFrame:
+    """``pieces`` whose core occurs twice or more, with ``heavy``: whether the core has too many bytes for one group."""
+    size = pieces.groupBy("core").agg(F.sum("times").alias("total"), F.sum(n + LENGTH - 1).alias("size")).filter("total > 1")
+    return pieces.join(size.select("core", (F.col("size") > CORE_BYTES).alias("heavy")), "core")
+
+
+def _names(fields: dict) -> str:
+    kinds = {pa.int32(): "int", pa.int64(): "long", pa.bool_(): "boolean", pa.binary(): "binary"}
+    return ", ".join(f"{k} {kinds[t]}" for k, t in fields.items())
+
+
+def _batch(rows, fields: dict):
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), fields.values())], names=list(fields))
+
+
+def cut_out(body: bytes, found) -> tuple[bytes, list[dict]]:
+    """What stays of a text, and the runs that go."""
+    edge = np.zeros(len(body) + 1, np.int64)
+    for f in found:
+        at = f["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(f["mask"], np.uint8), count=f["n"]))
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + LENGTH, -1)
+    covered = np.cumsum(edge[:-1]) > 0
+    turns = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
+    return np.frombuffer(body, np.uint8)[~covered].tobytes(), [{"start": a, "end": b} for a, b in turns.reshape(-1, 2).tolist()]
 
 
 def remove(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kept: str = "kept", spans: str = "spans") -> DataFrame:
     """``docs`` with ``kept``, the bytes that stay, and ``spans``, the (start, end) of the maximal runs that go."""
-    found = find(docs, text, doc_id).withColumnsRenamed({"doc": "__doc", "key": "__key", "found": "__found"})
-    joined = docs.withColumn("__text_key", text_key(text)).join(found, F.col(doc_id).eqNullSafe(F.col("__doc")) & (F.col("__text_key") == F.col("__key")), "left")
+    at, may, doc, key, found = (spare(docs, f"__{x}") for x in ("at", "may", "doc", "key", "found"))
+    hits = materialise(find(docs, text, doc_id).withColumnsRenamed({"doc": doc, "key": key, "found": found}), "found-starts")
 
-    @F.arrow_udf("struct<kept: binary, spans: array<struct<start: long, end: long>>>")
     def cut(bodies: pa.Array, lists: pa.Array) -> pa.Array:
-        kept, spans = [], []
-        for body, found in zip(_bodies(bodies), lists.to_pylist()):
-            if not found:
-                kept.append(body)
-                spans.append([])
-                continue
-            edge = np.zeros(len(body) + 1, np.int64)
-            for f in found:
-                at = f["start"] + np.flatnonzero(np.unpackbits(np.frombuffer(f["mask"], np.uint8), count=f["n"]))
-                np.add.at(edge, at, 1)
-                np.add.at(edge, at + LENGTH, -1)
-            covered = np.cumsum(edge[:-1]) > 0
-            turns = np.flatnonzero(np.diff(np.concatenate(([False], covered, [False])).astype(np.int8)))
-            kept.append(np.frombuffer(body, np.uint8)[~covered].tobytes())
-            spans.append([{"start": a, "end": b} for a, b in turns.reshape(-1, 2).tolist()])
+        done = [cut_out(body, f) if f else (body, []) for body, f in zip(_bodies(bodies), lists.to_pylist())]
         kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.StructArray.from_arrays([pa.array(kept, pa.binary()), pa.array(spans, kinds)], names=["kept", "spans"])
-
-    done = joined.withColumn("__cut", cut(F.col(text).cast("binary"), F.col("__found")))
-    return done.select(*[F.col(f"`{c}`") for c in docs.columns], F.col("__cut")["kept"].alias(kept), F.col("__cut")["spans"].alias(spans))
+        return pa.StructArray.from_arrays([pa.array([x[0] for x in done], pa.binary()), pa.array([x[1] for x in done], kinds)], names=["kept", "spans"])
+
+    marked = maybe_in(docs.withColumn(at, text_key(text)), f"xxhash64({quoted(doc_id)}, `{at}`)", hits, f"xxhash64(`{doc}`, `{key}`)", may)
+    body = F.coalesce(F.col(quoted(text)).cast("binary"), F.lit(b""))
+    columns = pass_through(docs, kept, spans)
+    some = marked.filter(may).join(hits, F.col(quoted(doc_id)).eqNullSafe(F.col(doc)) & (F.col(at) == F.col(key)), "left")
+    some = some.withColumn(found, F.arrow_udf(cut, "struct<kept: binary, spans: array<struct<start: long, end: long>>>")(F.col(quoted(text)).cast("binary"), F.col(found)))
+    some = some.select(*columns, F.col(found)["kept"].alias(kept), F.col(found)["spans"].alias(spans))
+    none = F.array().cast(some.schema[spans].dataType)
+    return marked.filter(~F.col(may)).select(*columns, body.alias(kept), none.alias(spans)).unionByName(some)
 
 
 def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -363,6 +363,43 @@ def test_repeats_at_random(spark):
     assert got == {i: rest for (i, _), (_, _, rest) in zip(docs, plain.repeats([t for _, t in docs]))}
 
 
+@pytest.mark.parametrize("core_bytes", [1 << 18, 3000])
+def test_planted_passages(spark, monkeypatch, core_bytes):
+    """A passage in very many texts, of 400 bytes or of 399, among other words each time; also where its core is split."""
+    monkeypatch.setattr(repeats, "CORE_BYTES", core_bytes)
+    dice = random.Random(21)
+    word = lambda n: "".join(dice.choice("abcdefghij ") for _ in range(n))
+    passages = {n: word(n) for n in (399, 400, 431, 900)}
+    docs = [(i, word(dice.randint(0, 300)) + "".join(chr(0x4E00 + i) + passages[n] + chr(0x4E00 + i) for n in passages if dice.random() < 0.7) + word(dice.randint(0, 300))) for i in range(60)]
+    docs += [(60, "x" * 399), (60, "x" * 400), (61, "y" * 401)]  # equal ids; a string that starts twice in one text
+    made = repeats.remove(spark.createDataFrame(docs, "doc_id long, text string"))
+    got = sorted((r["doc_id"], bytes(r["kept"])) for r in made.collect())
+    assert got == sorted((i, rest) for (i, _), (_, _, rest) in zip(docs, plain.repeats([t for _, t in docs])))
+    assert not any(passages[n].encode() in rest for _, rest in got for n in (400, 431, 900)) and any(passages[399].encode() in rest for _, rest in got)
+
+
+def test_repeats_of_odd_rows(spark):
+    rows = [(None, PASSAGE, "a", 1), (None, PASSAGE, "b", 2), (1, None, "c", 3), (2, "", "d", 4), (3, "short", "e", 5)]
+    made = repeats.remove(spark.createDataFrame(rows, "doc_id long, text string, kept string, __key int"))
+    assert made.columns == ["doc_id", "text", "__key", "kept", "spans"]
+    assert sorted((r["__key"], bytes(r["kept"])) for r in made.collect()) == [(1, b""), (2, b""), (3, b""), (4, b""), (5, b"short")]
+
+
+def test_widened_cores():
+    """Each widening keeps its core in the string, and the last is the string."""
+    body = "".join(random.Random(3).choice("abcd") for _ in range(900)).encode()
+    import numpy as np
+
+    first, n, _, _ = repeats.pieces(body, np.array([len(body)]))
+    for at, k in zip(first.tolist(), n.tolist()):
+        piece, sizes = body[at : at + k + repeats.LENGTH - 1], []
+        for level in range(repeats.LEVELS + 1):
+            a, b = repeats.wider(piece, k, level)
+            assert (a >= np.arange(k)).all() and (b <= np.arange(k) + repeats.LENGTH).all() and len(set((b - a).tolist())) == 1
+            sizes.append(int(b[0] - a[0]))
+        assert sizes == sorted(set(sizes)) and sizes[0] == repeats.CORE and sizes[-1] == repeats.LENGTH
+
+
 def test_transforms_of_many_shards(monkeypatch):
     import numpy as np
 
