@@ -35,10 +35,10 @@ STRENGTH = 300.0
 PROBES = 7
 BITS_PER_ENTRY = 10  # about PROBES / ln 2, where a filter is half full
 PART_BYTES = 12 << 20  # training text for each slice of the filter
-SLICE_CHARS = 2 << 20
-BLOCK_CHARS = 8 << 20
+SLICE_CHARS = 1 << 20
+BLOCK_CHARS = 3 << 20
 HASH_BITS = {False: 64, True: 48}  # of tokens, of pairs
-COUNT_ENTRIES = 3 << 20
+COUNT_ENTRIES = 1 << 20
 END, START = np.uint64(xxhash.xxh64_intdigest(b" end", 5)), np.uint64(xxhash.xxh64_intdigest(b" start", 5))
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -88,7 +88,7 @@ class Words:
 
     def __init__(self):
         digest = xxhash.xxh64_intdigest
-        self.memo = Memo(lambda words: [(digest(w, 5),) for w in words], np.uint64)
+        self.memo = Memo(lambda words: [(digest(w, 5),) for w in words], np.uint64, limit=200_000)
 
     def tokens(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all tokens with the ends, and the number of each text's tokens."""

@@ -370,7 +370,7 @@ def test_planted_passages(spark, monkeypatch, core_bytes):
     dice = random.Random(21)
     word = lambda n: "".join(dice.choice("abcdefghij ") for _ in range(n))
     passages = {n: word(n) for n in (399, 400, 431, 900)}
-    docs = [(i, word(dice.randint(0, 300)) + "".join(chr(0x4E00 + i) + passages[n] + chr(0x4E00 + i) for n in passages if dice.random() < 0.7) + word(dice.randint(0, 300))) for i in range(60)]
+    docs = [(i, word(dice.randint(0, 300)) + "".join(chr(33 + i) + passages[n] + chr(33 + i) for n in passages if dice.random() < 0.7) + word(dice.randint(0, 300))) for i in range(60)]
     docs += [(60, "x" * 399), (60, "x" * 400), (61, "y" * 401)]  # equal ids; a string that starts twice in one text
     made = repeats.remove(spark.createDataFrame(docs, "doc_id long, text string"))
     got = sorted((r["doc_id"], bytes(r["kept"])) for r in made.collect())
