@@ -2,34 +2,38 @@
 
 Each rule looks at one statistic of the text and votes good (1), bad (-1) or abstains (0). The votes of all
 documents are counted by pattern (at most 3 to the number of rules, whatever the corpus). Expectation-maximisation
-over those counts estimates the share of good documents and, for each rule, how often it votes bad on good and on
-bad documents; the posterior that a document is good follows from its votes. Everything is DataFrame expressions.
+over those counts estimates the share of good documents and, for each rule, how often it votes bad and how often good
+on good and on bad documents; the posterior that a document is good follows from its votes. Everything is DataFrame
+expressions. No rule repeats the base rule's bound on words; the estimates have no bounds but a few pseudo-counts, which
+also keep good and bad from changing sides.
 
 Defined results: a null text has no words; it and an empty text fail the base rule (fewer than 50 words). With an
-empty table the parameters stay at their start. Repeated rows vote each. Other columns pass through unchanged; columns
-made here start with ``q_`` so that they clash with none.
+empty table the parameters stay at their start. Repeated rows vote each, rows with a null id too. Other columns pass
+through unchanged, but one with the name of a column made here (``q_`` and a name) is replaced by it.
 """
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, table
+from ._common import materialise, pass_through, quoted, spare, table
 
-ROUNDS = 15
-START = {"good": 0.85, "bad_if_good": 0.05, "bad_if_bad": 0.5}
-#: Pseudo-counts that hold rare votes near the start, and the bounds that keep a rule from changing sides.
-WEIGHT, BOUNDS = 20.0, {"good": (0.5, 0.98), "bad_if_good": (0.005, 0.2), "bad_if_bad": (0.3, 0.95)}
+ROUNDS = 20
+#: Of good (g) and bad (b) documents: how often a rule votes bad (n) and good (p), before any is counted.
+START = {"good": 0.85, "gn": 0.05, "gp": 0.75, "bn": 0.4, "bp": 0.3}
+#: Pseudo-counts that hold rare votes near the start.
+WEIGHT = 10.0
 MIN_WORDS = 50
 #: name, when it votes bad, when it votes good; both over the statistics. Comparisons are of integers only.
 RULES = (
-    ("length", "n_words < 50", "n_words >= 100"),
-    ("word_size", "word_chars < 2 * n_words OR word_chars > 12 * n_words", "word_chars >= 3 * n_words AND word_chars <= 9 * n_words"),
+    ("word_size", "word_chars < 3 * n_words OR word_chars > 7 * n_words", "word_chars >= 4 * n_words AND word_chars <= 6 * n_words"),
     ("symbols", "10 * n_symbols > n_words", "100 * n_symbols <= n_words"),
     ("line_repeats", "10 * n_dup_lines > 3 * n_lines", "n_lines >= 3 AND n_dup_lines = 0"),
     ("window_repeats", "100 * n_repeat_words > 20 * n_words", "100 * n_repeat_words <= 5 * n_words"),
-    ("sentences", "10 * n_stops < 3 * n_lines", "10 * n_stops >= 8 * n_lines"),
+    ("sentences", "10 * n_stops < 7 * n_lines", "100 * n_stops >= 98 * n_lines"),
 )
 STATS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_stops", "n_repeat_words")
 #: Arrays over which one text's statistics are computed.
@@ -55,10 +59,17 @@ _STATS = {
 
 def with_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``q_`` and the name of each statistic. Words are runs of characters other than space and U+0009 to U+000D."""
+    steps = {name: spare(docs, name) for name in _STEPS}
+
+    def own(sql: str) -> Column:
+        for name, taken in steps.items():
+            sql = re.sub(rf"\b{name}\b", taken, sql)
+        return F.expr(sql.format(text=quoted(text)))
+
     out = docs
     for name, sql in _STEPS.items():
-        out = out.withColumn(name, F.expr(sql.format(text=f"`{text}`")))
-    return out.select(*[f"`{c}`" for c in docs.columns], *[F.expr(sql.format(text=f"`{text}`")).alias(f"q_{name}") for name, sql in _STATS.items()])
+        out = out.withColumn(steps[name], own(sql))
+    return out.select(*pass_through(docs, *[f"q_{name}" for name in _STATS]), *[own(sql).alias(f"q_{name}") for name, sql in _STATS.items()])
 
 
 def vote(rule: tuple[str, str, str]) -> str:
@@ -67,46 +78,35 @@ def vote(rule: tuple[str, str, str]) -> str:
 
 def with_votes(stats: DataFrame) -> DataFrame:
     """Adds ``q_vote_`` and the name of each rule."""
-    bare = {s: f"q_{s}" for s in STATS}
-    out = {}
-    for rule in RULES:
-        sql = vote(rule)
-        for s in sorted(bare, key=len, reverse=True):
-            sql = sql.replace(s, bare[s]) if s != "n_words" else _word(sql, s, bare[s])
-        out[f"q_vote_{rule[0]}"] = F.expr(sql)
-    return stats.withColumns(out)
-
-
-def _word(sql: str, name: str, to: str) -> str:
-    import re
-
-    return re.sub(rf"\b{name}\b", to, sql)
+    names = re.compile(rf"\b({'|'.join(STATS)})\b")
+    return stats.withColumns({f"q_vote_{rule[0]}": F.expr(names.sub(r"q_\1", vote(rule))) for rule in RULES})
 
 
 def posterior_sql(theta: dict, votes: dict[str, str]) -> str:
-    """Probability of a good document, given its votes; abstaining says nothing."""
+    """Probability of a good document, given its votes."""
     odds = [f"ln({theta['good']}) - ln(1 - {theta['good']})"]
     for name, column in votes.items():
-        g, b = theta[f"g_{name}"], theta[f"b_{name}"]
-        odds.append(f"CASE {column} WHEN -1 THEN ln({g}) - ln({b}) WHEN 1 THEN ln(1 - {g}) - ln(1 - {b}) ELSE 0 END")
+        gn, gp, bn, bp = (theta[f"{k}_{name}"] for k in ("gn", "gp", "bn", "bp"))
+        odds.append(f"CASE {column} WHEN -1 THEN ln({gn}) - ln({bn}) WHEN 1 THEN ln({gp}) - ln({bp}) ELSE ln(1 - {gn} - {gp}) - ln(1 - {bn} - {bp}) END")
     return f"1 / (1 + exp(-({' + '.join(odds)})))"
 
 
 def update_sql(votes: dict[str, str], q: str = "q", n: str = "n") -> dict[str, str]:
     """The parameters' next values, as aggregates over patterns of votes, their counts and posteriors."""
 
-    def share(hit: str, of: str, start: float, bounds: tuple[float, float]) -> str:
-        return f"least({bounds[1]}, greatest({bounds[0]}, (coalesce({hit}, 0) + {WEIGHT * start}) / (coalesce({of}, 0) + {WEIGHT})))"
+    def share(hit: str, of: str, start: float) -> str:
+        return f"(coalesce({hit}, 0) + {WEIGHT * start}) / (coalesce({of}, 0) + {WEIGHT})"
 
-    out = {"good": share(f"sum({n} * {q})", f"sum({n})", START["good"], BOUNDS["good"])}
+    out = {"good": share(f"sum({n} * {q})", f"sum({n})", START["good"])}
     for name, column in votes.items():
-        for key, weight, which in (("g", q, "bad_if_good"), ("b", f"(1 - {q})", "bad_if_bad")):
-            out[f"{key}_{name}"] = share(f"sum(CASE WHEN {column} = -1 THEN {n} * {weight} ELSE 0 END)", f"sum(CASE WHEN {column} <> 0 THEN {n} * {weight} ELSE 0 END)", START[which], BOUNDS[which])
+        for key, weight in (("g", q), ("b", f"(1 - {q})")):
+            for way, vote_ in (("n", -1), ("p", 1)):
+                out[f"{key}{way}_{name}"] = share(f"sum(CASE WHEN {column} = {vote_} THEN {n} * {weight} ELSE 0 END)", f"sum({n} * {weight})", START[key + way])
     return out
 
 
 def start() -> dict:
-    return {"good": START["good"]} | {f"{k}_{rule[0]}": START[v] for rule in RULES for k, v in (("g", "bad_if_good"), ("b", "bad_if_bad"))}
+    return {"good": START["good"]} | {f"{k}_{rule[0]}": START[k] for rule in RULES for k in ("gn", "gp", "bn", "bp")}
 
 
 def fit(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
@@ -119,6 +119,9 @@ def fit(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
     return theta
 
 
+MADE = tuple(f"q_{x}" for x in (*STATS, *(f"vote_{rule[0]}" for rule in RULES), "good", "base_failed", "kept"))
+
+
 def base_failed(prefix: str = "q_") -> Column:
     return F.expr(f"{prefix}n_words < {MIN_WORDS} OR 100 * {prefix}n_repeat_words > 50 * {prefix}n_words")
 
@@ -129,7 +132,7 @@ def judge(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
     The statistics are written once to the shared folder, with the text only if ``keep_text``; the patterns are
     counted from there.
     """
-    stats = with_stats(docs, text)
+    stats = with_stats(docs.select(*pass_through(docs, *MADE)), text)
     scored = materialise(with_votes(stats if keep_text else stats.drop(text)), "quality-votes")
     names = [f"q_vote_{rule[0]}" for rule in RULES]
     patterns = materialise(scored.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).coalesce(1), "quality-patterns")

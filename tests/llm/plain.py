@@ -38,37 +38,35 @@ def votes(s):
     def vote(bad, good):
         return -1 if bad else 1 if good else 0
 
+    chars = s["word_chars"]
     return (
-        vote(n < 50, n >= 100),
-        vote(s["word_chars"] < 2 * n or s["word_chars"] > 12 * n, 3 * n <= s["word_chars"] <= 9 * n),
+        vote(chars < 3 * n or chars > 7 * n, 4 * n <= chars <= 6 * n),
         vote(10 * s["n_symbols"] > n, 100 * s["n_symbols"] <= n),
         vote(10 * s["n_dup_lines"] > 3 * lines, lines >= 3 and s["n_dup_lines"] == 0),
         vote(100 * s["n_repeat_words"] > 20 * n, 100 * s["n_repeat_words"] <= 5 * n),
-        vote(10 * s["n_stops"] < 3 * lines, 10 * s["n_stops"] >= 8 * lines),
+        vote(10 * s["n_stops"] < 7 * lines, 100 * s["n_stops"] >= 98 * lines),
     )
 
 
-def quality_kept(texts, rounds, start, weight, bounds):
+def quality_kept(texts, rounds, start, weight):
     """(base_failed, kept) of each text."""
     stats = [statistics(t) for t in texts]
     patterns = Counter(map(votes, stats))
-    names = range(6)
-    good, g, b = start["good"], [start["bad_if_good"]] * 6, [start["bad_if_bad"]] * 6
+    good = start["good"]
+    theta = [{(k, v): start[k + {-1: "n", 1: "p"}[v]] for k in "gb" for v in (-1, 1)} for _ in range(5)]
 
-    def posterior(v):
-        odds = math.log(good) - math.log(1 - good)
-        for i in names:
-            odds += {-1: math.log(g[i]) - math.log(b[i]), 1: math.log(1 - g[i]) - math.log(1 - b[i]), 0: 0}[v[i]]
-        return 1 / (1 + math.exp(-odds))
+    def chance(t, k, v):
+        return t[k, v] if v else 1 - t[k, -1] - t[k, 1]
 
-    def share(hit, of, at, limits):
-        return min(limits[1], max(limits[0], (hit + weight * at) / (of + weight)))
+    def posterior(vs):
+        odds = math.log(good) - math.log(1 - good) + sum(math.log(chance(t, "g", v)) - math.log(chance(t, "b", v)) for t, v in zip(theta, vs))
+        return 1 / (1 + math.exp(-odds))
 
     for _ in range(rounds):
-        q = {v: posterior(v) for v in patterns}
-        good = share(sum(n * q[v] for v, n in patterns.items()), sum(patterns.values()), start["good"], bounds["good"])
-        g = [share(sum(n * q[v] for v, n in patterns.items() if v[i] == -1), sum(n * q[v] for v, n in patterns.items() if v[i]), start["bad_if_good"], bounds["bad_if_good"]) for i in names]
-        b = [share(sum(n * (1 - q[v]) for v, n in patterns.items() if v[i] == -1), sum(n * (1 - q[v]) for v, n in patterns.items() if v[i]), start["bad_if_bad"], bounds["bad_if_bad"]) for i in names]
+        q = {vs: posterior(vs) for vs in patterns}
+        total = {"g": sum(n * q[vs] for vs, n in patterns.items()), "b": sum(n * (1 - q[vs]) for vs, n in patterns.items())}
+        good = (total["g"] + weight * start["good"]) / (sum(patterns.values()) + weight)
+        theta = [{(k, v): (sum(n * (q[vs] if k == "g" else 1 - q[vs]) for vs, n in patterns.items() if vs[i] == v) + weight * start[k + {-1: "n", 1: "p"}[v]]) / (total[k] + weight) for k in "gb" for v in (-1, 1)} for i in range(5)]
     failed = [s["n_words"] < 50 or 100 * s["n_repeat_words"] > 50 * s["n_words"] for s in stats]
     return [(f, not f and posterior(votes(s)) >= 0.5) for f, s in zip(failed, stats)]
 

@@ -85,13 +85,31 @@ def test_quality(spark, which, request, by_sql, same):
     if which != "odd_dir":
         same(made, *by_sql(queries.SQL["op2_quality_rules"], sf))
     own, docs = {r["doc_id"]: r for r in made.collect()}, rows_of(spark, sf)
-    kept = plain.quality_kept([t for _, t in docs], quality_rules.ROUNDS, quality_rules.START, quality_rules.WEIGHT, quality_rules.BOUNDS)
+    kept = plain.quality_kept([t for _, t in docs], quality_rules.ROUNDS, quality_rules.START, quality_rules.WEIGHT)
     for (doc_id, text), (failed, keep) in zip(docs, kept):
         r, s = own[doc_id].asDict(), plain.statistics(text)
         assert {k: r[k] for k in s} == s, doc_id
         assert (r["base_failed"], r["kept"]) == (failed, keep), doc_id
 
 
+def test_quality_against_labels(spark, small):
+    """Of the labelled documents that the base rule lets through, the method finds the bad ones and keeps the good ones."""
+    made = queries.QUERIES["op2_quality_rules"](spark, small).join(spark.read.parquet(f"{small}/labels.parquet"), "doc_id").filter("NOT base_failed")
+    n = {(r["quality"], r["kept"]): r["count"] for r in made.groupBy("quality", "kept").count().collect()}
+    assert n.get((0, False), 0) > 0.9 * (n.get((0, False), 0) + n.get((0, True), 0))
+    assert n[1, True] > 0.97 * (n[1, True] + n.get((1, False), 0))
+
+
+def test_quality_of_odd_rows(spark):
+    """Repeated rows, null ids, and columns with the names of outputs and steps."""
+    rows = [(None, "some words here", "x", 1, 2), (1, None, "y", 1, 2), (1, None, "y", 1, 2), (2, LONG, "z", 1, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, q_words string, q_kept int, q_n_words int")
+    made = quality_rules.judge(docs)
+    got = sorted(((r["doc_id"], r["q_words"], r["q_n_words"], r["q_kept"]) for r in made.collect()), key=str)
+    assert got == [(1, "y", 0, False), (1, "y", 0, False), (2, "z", 100_000, False), (None, "x", 3, False)]
+    assert made.columns.count("q_kept") == made.columns.count("q_n_words") == 1
+
+
 @pytest.mark.parametrize("which", ["tiny", "odd_dir"])
 def test_lines(spark, which, request):
     sf = request.getfixturevalue(which)

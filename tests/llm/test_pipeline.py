@@ -15,7 +15,7 @@ corpus_pipeline = pytest.importorskip("corpus_pipeline")
 def test_pipeline(spark, small):
     docs = [tuple(r) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()]
     items = [tuple(r) for r in spark.read.parquet(f"{small}/benchmark.parquet").select("item_id", "text").collect()]
-    kept = plain.quality_kept([t for _, t in docs], quality_rules.ROUNDS, quality_rules.START, quality_rules.WEIGHT, quality_rules.BOUNDS)
+    kept = plain.quality_kept([t for _, t in docs], quality_rules.ROUNDS, quality_rules.START, quality_rules.WEIGHT)
     docs = [d for d, (_, keep) in zip(docs, kept) if keep]
     lined = plain.line_dedup(docs)
     docs = [(i, lined[i][1]) for i, _ in docs]
