@@ -189,27 +189,41 @@ def template_matches(docs, items, most=10, least=6, **rules):
         if text is not None and text not in own.values():
             own[item_id] = text
     own = {i: tokens(t, **rules) for i, t in own.items()}
-    symbol = lambda t: t if t[1] == "L" else t[1]
-    index = defaultdict(list)
+
+    def template(window):
+        return tuple(t if t[1] == "L" else t[1] for t in window) if len(window) >= least and 2 * sum(k == "L" for _, k in window) >= len(window) else None
+
+    def exact(window):
+        return tuple(v for v, _ in window)
+
+    index = {template: defaultdict(list), exact: defaultdict(list)}
     for i, t in own.items():
         size = min(len(t), most)
-        for a in range(len(t) - size + 1) if size >= least else ():
-            window = t[a : a + size]
-            if 2 * sum(k == "L" for _, k in window) >= size:
-                index[tuple(map(symbol, window))].append((i, a))
-    out = {}
+        for a in range(len(t) - size + 1) if size else ():
+            for way in index:
+                if (key := way(t[a : a + size])) is not None:
+                    index[way][size, key].append((i, a))
+    out, sizes = {}, {min(len(t), most) for t in own.values()} - {0}
     for doc_id, text in docs:
         t, runs = tokens(text, **rules), defaultdict(list)
-        for size in {len(w) for w in index}:
+        for size in sizes:
             for b in range(len(t) - size + 1):
-                for i, a in index.get(tuple(map(symbol, t[b : b + size])), ()):
-                    pairs = [(x, y) for x, y in zip(own[i][a : a + size], t[b : b + size]) if x[1] != "L"]
-                    if one_to_one(pairs):
-                        runs[i, b - a].append((a, size, pairs))
+                window = t[b : b + size]
+                for way in index:
+                    for i, a in index[way].get((size, way(window)), ()):
+                        pairs = [(x, y) for x, y in zip(own[i][a : a + size], window) if x[1] != "L"] if way is template else []
+                        if one_to_one(pairs):
+                            runs[i, size, way, b - a].append((a, pairs))
         best = Counter()
-        for (i, _), found in runs.items():
-            if one_to_one(p for _, _, pairs in found for p in pairs):
-                best[i] = max(best[i], len({x for a, size, _ in found for x in range(a, a + size)}))
+        for (i, size, _, _), found in runs.items():
+            found.sort(key=lambda x: x[0])
+            stretch = [found[0]]
+            for x in [*found[1:], None]:
+                if x is None or x[0] > stretch[-1][0] + 1:
+                    if one_to_one(p for _, pairs in stretch for p in pairs):
+                        best[i] = max(best[i], stretch[-1][0] - stretch[0][0] + size)
+                    stretch = []
+                stretch.append(x)
         out[doc_id] = (sorted(best), max(best.values(), default=0))
     return out
 

@@ -350,17 +350,46 @@ def test_benchmark(spark, which, request):
 
 
 def test_other_parameters_match(spark):
-    items = spark.createDataFrame([(1, "If Anna buys 12 apples for 3 dollars each and then sells 4 of them, how much is left over in total for Anna?"), (2, None), (3, "too short")], "item_id long, text string")
-    docs = spark.createDataFrame(
-        [
-            (1, "Quiz. If Bertha buys 15 apples for 7 euros each and then sells 6 of them, how much is left over in total for Bertha?"),
-            (2, "Quiz. If Bertha buys 15 apples for 7 euros each and then sells 6 of them, how much is left over in total for Carl?"),
-            (3, "If anyone buys apples, nothing is said of what they do with them afterwards, or of any total."),
-        ],
-        "doc_id long, text string",
-    )
-    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.flag(docs, items).collect()}
-    assert got == {1: [1], 2: [], 3: []}
+    """Other names and numbers match if they do so consistently; ten words in a row match whatever stands beside them."""
+    items = [(1, "If Anna buys 12 apples for 3 dollars each and then sells 4 of them, how much is left over in total for Anna?"), (2, None), (3, "too short"), (4, "Before noon Tom walked 5 miles to Dover and by dusk he and Tom were 9 miles from Dover again")]
+    docs = [
+        (1, "Quiz. If Bertha buys 15 apples for 7 euros each and then sells 6 of them, how much is left over in total for Bertha?"),
+        (2, "Quiz. If Bertha buys 15 apples for 7 euros each and then sells 6 of them, how much is left over in total for Carl?"),
+        (3, "If anyone buys apples, nothing is said of what they do with them afterwards, or of any total."),
+        (4, "Before noon Ann walked 6 miles to Leeds and by dusk he and Ann were 8 miles from Leeds again"),
+        (5, "Before noon Ann walked 6 miles to Leeds and by dusk he and Bob were 8 miles from York again"),
+    ]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["item_ids"] for r in decontaminate.flag(frame, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {1: [1], 2: [1], 3: [], 4: [4], 5: []}
+    assert got == {i: found for i, (found, _) in plain.template_matches(docs, items, **RULES).items()}
+
+
+def test_items_word_for_word(spark):
+    """Short items, items of numbers and names, and an item of which only one of two equal values is changed."""
+    items = [(1, "Solve 3 4 5 6 7 8 9 km now please."), (2, "What is entropy?"), (3, "A tank holds 5 barrels of oil and every hour the pump moves some of it over, until 5 barrels have left the yard for good"), (4, "...")]
+    docs = [
+        (1, "Quiz: solve 3 4 5 6 7 8 9 km now please"),
+        (2, "Solve 4 4 5 6 7 8 9 km now please"),
+        (3, "so what is entropy, then"),
+        (4, "What is energy?"),
+        (5, "A tank holds 5 barrels of oil and every hour the pump moves some of it over, until 7 barrels have left the yard for good"),
+        (6, None),
+        (7, "..."),
+    ]
+    want = {1: [1], 2: [], 3: [2], 4: [], 5: [3], 6: [], 7: []}
+    items, docs_ = spark.createDataFrame(items, "item_id long, text string"), spark.createDataFrame(docs, "doc_id long, text string")
+    assert {r["doc_id"]: r["item_ids"] for r in decontaminate.flag(docs_, items).collect()} == want
+    assert {i: found for i, (found, _) in plain.template_matches(docs, [tuple(r) for r in items.collect()], **RULES).items()} == want
+
+
+def test_contamination_of_odd_rows(spark):
+    items = spark.createDataFrame([(1, "one two apples and pears in a basket of wood")], "item_id long, text string")
+    text = "we saw one two apples and pears in a basket of wood"
+    docs = spark.createDataFrame([(None, text, 1, 2), (1, text, 1, 3), (1, text, 1, 4), (2, None, 1, 5)], "doc_id long, text string, item_ids int, __key int")
+    made = decontaminate.flag(docs, items)
+    assert made.columns == ["doc_id", "text", "__key", "item_ids", "matched_tokens"]
+    assert sorted((r["__key"], r["item_ids"], r["matched_tokens"]) for r in made.collect()) == [(2, [1], 10), (3, [1], 10), (4, [1], 10), (5, [], 0)]
 
 
 @pytest.mark.parametrize("which", ["tiny", "odd_dir"])
