@@ -1,14 +1,16 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Training is a Spark aggregation of n-gram counts by language and bucket over labelled rows, at most about
-``max_docs`` of them, chosen by a hash of their id. The log-probability matrix has ``BUCKETS`` rows and a column for each language, at
+``max_docs`` of them, chosen by a hash of their id at a rate of each language's own: rare languages give all their rows,
+and the others as many rows each as the bound allows; priors are the languages' shares of all labelled rows. The log-probability matrix has ``BUCKETS`` rows and a column for each language, at
 most ``MAX_LANGUAGES``, so the broadcast has a fixed bound. Scoring turns a batch of whole texts into sparse
 n-gram counts by numpy and multiplies them with the matrix.
 
 Texts are lower-cased, and every run of characters that aren't letters counts as one blank. Defined results: a text
 that is null, empty or has no letter gets ``und`` and score 0, and so does every text if no labelled row was given;
 ties go to the first language in order. Rows with null language aren't learned from; rows with a null id are neither
-held out nor learned from. Repeated rows get equal results; other columns pass through unchanged.
+held out nor learned from. Repeated rows get equal results; other columns pass through, but those with the name of an
+output are replaced.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import runs_of, table
+from ._common import pass_through, quoted, runs_of, spare, table
 
 BUCKETS = 1 << 15
 ORDERS = 3
@@ -73,20 +75,31 @@ def grams(texts: list[str | None]):
     return buckets, docs, has
 
 
+def most_of_each(sizes: list[int], total: int) -> int:
+    """The most rows of a language, so that all together have about ``total``; at least one."""
+    left, most = total, 0
+    for i, n in enumerate(sorted(sizes)):
+        most = max(1, left // (len(sizes) - i))
+        left -= min(n, most)
+    return most
+
+
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs: int = 40_000, sample_by: str = "doc_id"):
     """Languages, and the matrix of log probabilities with the log priors as its last row.
 
-    ``max_docs`` bounds the expected number of rows learned from; all rows are used where there are fewer.
+    ``max_docs`` bounds the expected number of rows learned from; all rows are used where there are fewer. A language of
+    few rows whose hashes all fall outside its rate can't be, as such a language's rate is 1.
     """
     spark = labelled.sparkSession
     usable = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     sizes = usable.groupBy(lang).count().limit(MAX_LANGUAGES + 1).collect()
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages; the model's size would have no bound")
-    total = sum(r["count"] for r in sizes)
-    langs = sorted(r[lang] for r in sizes)
-    if total > max_docs:
-        usable = usable.filter(F.pmod(F.xxhash64(F.col(sample_by), F.lit(7)), F.lit(1 << 20)) < int(max_docs / total * (1 << 20)))
+    counts_of = {r[lang]: r["count"] for r in sizes}
+    langs, most = sorted(counts_of), most_of_each(list(counts_of.values()), max_docs)
+    rate = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1 << 20, -(-(most << 20) // counts_of[k])))]) if langs else F.create_map()
+    if sum(counts_of.values()) > max_docs:
+        usable = usable.filter(F.pmod(F.xxhash64(F.col(sample_by), F.lit(7)), F.lit(1 << 20)) < rate[F.col(lang)])
     at = {x: i for i, x in enumerate(langs)}
 
     def count(batches):
@@ -107,7 +120,8 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", max_docs:
         counts[found["bucket"], found["k"]] = found["n"]
     grams_of = counts[:BUCKETS].sum(axis=0)
     logs = np.log(counts[:BUCKETS] + SMOOTHING) - np.log(grams_of + SMOOTHING * BUCKETS)
-    priors = np.log(counts[BUCKETS] + 1) - np.log(counts[BUCKETS].sum() + max(1, len(langs)))
+    shares = np.array([counts_of[k] for k in langs], np.float64)
+    priors = np.log(shares + 1) - np.log(shares.sum() + max(1, len(langs)))
     return langs, np.vstack([logs, priors])
 
 
@@ -142,8 +156,9 @@ def predict(docs: DataFrame, langs: list[str], matrix: np.ndarray, text: str = "
         names, scores = score(column.to_pylist(), *shared.value)
         return pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang", "score"])
 
-    made = "__label"
-    return docs.withColumn(made, label(F.col(text))).withColumn(lang_out, F.col(made)["lang"]).withColumn(score_out, F.col(made)["score"]).drop(made)
+    made = spare(docs, "__label")
+    done = docs.withColumn(made, label(F.col(quoted(text))))
+    return done.select(*pass_through(docs, lang_out, score_out), F.col(made)["lang"].alias(lang_out), F.col(made)["score"].alias(score_out))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

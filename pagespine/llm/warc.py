@@ -1,15 +1,16 @@
 """WARC archives of pages, with repeated payloads as revisit records.
 
-Headers (id, URL, digest, size) are grouped by payload digest; of equal payloads the one with the largest page_id is
-the response and the others become revisits that refer to it. Each task writes its rows to an archive of its own, one
+Only headers (id, URL, digest, size) are shuffled by payload digest: of equal payloads the page with the largest page_id
+is the response and the others become revisits that refer to it. The verdicts go back to the pages by page_id, so
+that no payload that many pages share gathers in one task. Each task writes its rows to an archive of its own: a warcinfo record, then one
 gzip member a record, with fresh record ids, dates and digests. Reading goes through all archives, and joins the
 revisits to the responses they refer to.
 
 Payloads are the html in UTF-8; digests are bare upper-case base32 SHA-1, and sizes those of the full payload also for
 revisits. Defined results: a null html is an empty payload, which is a payload like any other; payloads smaller than
 ``min_bytes`` are all responses; a row with a null page_id is always a response, and no response for others; rows with
-equal page_id and payload, if it is the largest id, are responses each; an empty table gives no archive and no row.
-Extra columns are not archived.
+equal page_id and payload, if it is the largest id, are responses each, with record ids of their own, and revisits refer
+to the first; an empty table gives no archive and no row. Extra columns are not archived.
 """
 
 from __future__ import annotations
@@ -20,26 +21,26 @@ import hashlib
 import io
 import uuid
 import zlib
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import make_dirs, materialise, open_read, open_write, scratch_path, table, task_file
+from ._common import join_counted, make_dirs, materialise, open_read, open_write, quoted, scratch_path, shuffle_partitions, table, task_file
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-DATE = "2024-01-01T00:00:00Z"
 
 
 def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record_id(page_id, digest: str) -> str:
-    """The same for each attempt to write a page."""
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+def record_id(page_id, digest: str, number: int = 0) -> str:
+    """The same for each attempt to write a page; ``number`` tells repeated rows apart."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}' + (f':{number}' if number else ''))}>"
 
 
 def record(headers: dict[str, str], block: bytes) -> bytes:
@@ -47,17 +48,25 @@ def record(headers: dict[str, str], block: bytes) -> bytes:
     return b"".join((VERSION, head.encode(), f"Content-Length: {len(block)}\r\n\r\n".encode(), block, b"\r\n\r\n"))
 
 
-def page_record(page_id, url: str | None, payload: bytes, digest: str, winner, date: str = DATE) -> bytes:
+def target(page_id, url: str | None) -> str:
+    return (url or "").replace("\r", "%0D").replace("\n", "%0A") or f"urn:page:{page_id}"
+
+
+def info_record(date: str) -> bytes:
+    fields = b"software: pagespine\r\nformat: WARC File Format 1.1\r\n"
+    return record({"WARC-Type": "warcinfo", "WARC-Record-ID": f"<urn:uuid:{uuid.uuid4()}>", "WARC-Date": date, "Content-Type": "application/warc-fields"}, fields)
+
+
+def page_record(page_id, url: str | None, payload: bytes, digest: str, winner, winner_url: str | None, date: str, number: int = 0) -> bytes:
     """A response record, or a revisit of page ``winner``'s if that is given."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
-    uri = (url or "").replace("\r", "%0D").replace("\n", "%0A") or f"urn:page:{page_id}"
-    headers = {"WARC-Type": "response" if winner is None else "revisit", "WARC-Record-ID": record_id(page_id, digest), "WARC-Date": date, "WARC-Target-URI": uri, "WARC-Payload-Digest": f"sha1:{digest}"}
+    headers = {"WARC-Type": "response" if winner is None else "revisit", "WARC-Record-ID": record_id(page_id, digest, number), "WARC-Date": date, "WARC-Target-URI": target(page_id, url), "WARC-Payload-Digest": f"sha1:{digest}"}
     if page_id is not None:
         headers["WARC-Page-ID"] = str(page_id)
     if winner is None:
         block = http + f"Content-Length: {len(payload)}\r\n\r\n".encode() + payload
     else:
-        headers |= {"WARC-Refers-To": record_id(winner, digest), "WARC-Profile": REVISIT_PROFILE}
+        headers |= {"WARC-Refers-To": record_id(winner, digest), "WARC-Refers-To-Target-URI": target(winner, winner_url), "WARC-Refers-To-Date": date, "WARC-Profile": REVISIT_PROFILE}
         block = http + b"\r\n"
     headers |= {"Content-Type": "application/http; msgtype=response", "WARC-Block-Digest": f"sha1:{base32_sha1(block)}"}
     return record(headers, block)
@@ -83,42 +92,55 @@ def read_archive(f):
 
 
 def resolve(pages: DataFrame, payload: str = "html", page_id: str = "page_id", url: str = "url", min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), digest, winner: the page that this one revisits, or null for a response."""
+    """page_id, url, payload (binary), digest, winner and winner_url: the page that this one revisits, or null for a response."""
 
     @F.arrow_udf("string")
     def digest(column: pa.Array) -> pa.Array:
         return pa.array([base32_sha1(x) for x in column.to_pylist()], pa.string())
 
-    body = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.coalesce(F.col(payload).cast("binary"), F.lit(b"")).alias("payload"))
+    body = pages.select(F.col(quoted(page_id)).alias("page_id"), F.col(quoted(url)).alias("url"), F.coalesce(F.col(quoted(payload)).cast("binary"), F.lit(b"")).alias("payload"))
     body = body.withColumn("digest", digest("payload"))
-    able = body.filter(F.col("page_id").isNotNull() & (F.length("payload") >= min_bytes))
-    heads = able.groupBy("digest").agg(F.max("page_id").alias("largest"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest", "largest")
-    joined = body.join(heads, "digest", "left")
-    revisits = (F.col("page_id") < F.col("largest")) & (F.length("payload") >= min_bytes)
-    return joined.select("page_id", "url", "payload", "digest", F.when(revisits, F.col("largest")).alias("winner"))
+    heads = materialise(body.filter(F.col("page_id").isNotNull() & (F.length("payload") >= min_bytes)).select("page_id", "url", "digest"), "warc-headers")
+    largest = heads.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("w"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    revisits = join_counted(heads.select("page_id", "digest"), largest, "digest", "n").filter("page_id < w.page_id")
+    revisits = revisits.groupBy("page_id", "digest").agg(F.first("w").alias("w"))
+    # the digest is in the join's condition, as rows with one id may have different payloads
+    joined = body.alias("b").join(revisits.alias("r"), (F.col("b.page_id") == F.col("r.page_id")) & (F.col("b.digest") == F.col("r.digest")), "left")
+    return joined.select("b.page_id", "b.url", "b.payload", "b.digest", F.col("r.w.page_id").alias("winner"), F.col("r.w.url").alias("winner_url"))
+
 
+def write_archives(resolved: DataFrame, folder: str, date: str | None = None) -> DataFrame:
+    """Writes one archive a task; returns the manifest (path, n_records) of the attempts that succeeded.
 
-def write_archives(resolved: DataFrame, folder: str, date: str = DATE) -> DataFrame:
-    """Writes one archive a task; returns the manifest (path, n_records) of the attempts that succeeded."""
+    ``date`` is that of all records, by default the time of the call. Rows are dealt and sorted by page_id, so repeated
+    rows come one after the other and are numbered as they come.
+    """
+    spark = resolved.sparkSession
     make_dirs(folder)
+    date = date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
     def write(batches):
-        out = path = None
-        n = 0
+        out = path = last = None
+        n = number = 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, digest, winner, winner_url in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     path = task_file(folder, ".warc.gz")
                     out = open_write(path)
-                page_id, url, payload, digest, winner = row
+                    out.write(gzip.compress(info_record(date)))
+                number = number + 1 if (page_id, digest) == last else 0
+                last = (page_id, digest)
                 packed = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.write(packed.compress(page_record(page_id, url, payload, digest, winner, date)) + packed.flush())
+                whole = page_record(page_id, url, payload, digest, winner, winner_url, date, number if page_id is not None else uuid.uuid4().int)
+                out.write(packed.compress(whole) + packed.flush())
                 n += 1
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([n], pa.int64())})
 
-    return materialise(resolved.select("page_id", "url", "payload", "digest", "winner").mapInArrow(write, "path string, n_records long"), "warc-manifest")
+    # rows without an id are dealt by their digest
+    dealt = resolved.select("page_id", "url", "payload", "digest", "winner", "winner_url").repartition(shuffle_partitions(spark), F.coalesce(F.xxhash64("page_id"), F.xxhash64("digest", "url")))
+    return materialise(dealt.sortWithinPartitions("page_id", "digest").mapInArrow(write, "path string, n_records long"), "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, id_type: str = "long") -> DataFrame:
@@ -134,6 +156,8 @@ def read_archives(manifest: DataFrame, id_type: str = "long") -> DataFrame:
                     rows, size = [], 0
                     for headers, block in read_archive(io.BufferedReader(gzip.GzipFile(fileobj=raw), 1 << 20)):
                         kind = headers["warc-type"]
+                        if kind == "warcinfo":
+                            continue
                         body = block.partition(b"\r\n\r\n")[2] if kind == "response" else None
                         digest = headers["warc-payload-digest"].removeprefix("sha1:")
                         if body is not None and base32_sha1(body) != digest:
@@ -160,8 +184,11 @@ def follow(records: DataFrame) -> DataFrame:
     """Joins each revisit to the response it refers to: page_id, url, payload_bytes, payload_digest, record_type, refers_to."""
     heads = records.select("page_id", "url", "record_type", "record_id", "refers_to_id", "payload_digest", F.length("payload").cast("long").alias("own_bytes"))
     heads = materialise(heads, "warc-heads")
-    responses = heads.filter("record_type = 'response'").groupBy("record_id").agg(F.max("page_id").alias("refers_to"), F.max("own_bytes").alias("full_bytes")).withColumnRenamed("record_id", "refers_to_id")
-    return heads.join(responses, "refers_to_id", "left").select("page_id", "url", F.coalesce("own_bytes", "full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    revisits, none = heads.filter("record_type = 'revisit'"), F.lit(None).cast(heads.schema["page_id"].dataType)
+    counted = revisits.groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("n"))
+    responses = heads.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to_id"), F.col("page_id").alias("refers_to"), F.col("own_bytes").alias("full_bytes")).join(counted, "refers_to_id", "right")
+    followed = join_counted(revisits, responses, "refers_to_id", "n").select("page_id", "url", F.col("full_bytes").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    return heads.filter("record_type = 'response'").select("page_id", "url", F.col("own_bytes").alias("payload_bytes"), "payload_digest", "record_type", none.alias("refers_to")).unionByName(followed)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

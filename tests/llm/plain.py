@@ -15,6 +15,51 @@ def lower(text):
     return re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
 
 
+# languages
+
+
+def buckets(text, n_buckets, orders, mix):
+    """Buckets of the text's character n-grams; runs of other characters than letters are one blank, also at both ends."""
+    chars = []
+    for c in f" {text or ''} ":
+        if c.isalpha():
+            low = c.lower()
+            chars.append(ord(low) if len(low) == 1 else ord(c))
+        elif not chars or chars[-1] != 32:
+            chars.append(32)
+    out = []
+    for k in range(1, orders + 1):
+        for i in range(len(chars) - k + 1):
+            h = k * 0x27D4EB2F & 0xFFFFFFFF
+            for j in range(k):
+                h = (h ^ chars[i + j]) * int(mix[j]) & 0xFFFFFFFF
+                h ^= h >> 15
+            out.append(h % n_buckets)
+    return out
+
+
+def languages(docs, learned, n_buckets, orders, mix, smoothing):
+    """{doc_id: (language, posterior)} of (doc_id, text, lang); ``learned`` tells ids that are learned from."""
+    grams = {i: buckets(t, n_buckets, orders, mix) for i, t, _ in docs}
+    counts, rows = defaultdict(Counter), Counter()
+    for i, t, lang in docs:
+        if lang is not None and t is not None and learned(i):
+            counts[lang].update(grams[i])
+            rows[lang] += 1
+    names, out = sorted(rows), {}
+    for i, t, _ in docs:
+        if not names or not any(c.isalpha() for c in t or ""):
+            out[i] = ("und", 0.0)
+            continue
+        logs = []
+        for k in names:
+            total = counts[k].total() + smoothing * n_buckets
+            logs.append(math.log((rows[k] + 1) / (rows.total() + len(names))) + sum(n * math.log((counts[k][b] + smoothing) / total) for b, n in Counter(grams[i]).items()))
+        best = max(range(len(names)), key=lambda j: (logs[j], -j))
+        out[i] = (names[best], 1 / sum(math.exp(x - logs[best]) for x in logs))
+    return out
+
+
 # quality
 
 

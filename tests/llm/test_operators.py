@@ -58,12 +58,32 @@ def test_empty_table(spark, empty_dir, name):
 @pytest.mark.parametrize("which", ["tiny", "odd_dir"])
 def test_language(spark, which, request):
     sf = request.getfixturevalue(which)
-    own = {r["doc_id"]: r for r in queries.QUERIES["op1_language_id"](spark, sf).collect()}
-    for doc_id, text in rows_of(spark, sf):
-        r = own.pop(doc_id)
-        assert r["held_out"] == (crc(doc_id) % 4 == 2) and 0 <= r["score"] <= 1
-        assert (r["lang_pred"] == "und") == (not any(c.isalpha() for c in text or ""))
-    assert not own
+    docs = rows_of(spark, sf, columns=("doc_id", "text", "lang"))
+    want = plain.languages(docs, lambda i: crc(i) % 4 != 2, language_id.BUCKETS, language_id.ORDERS, language_id._MIX, language_id.SMOOTHING)
+    for r in queries.QUERIES["op1_language_id"](spark, sf).collect():
+        lang, score = want.pop(r["doc_id"])
+        assert (r["held_out"], r["lang_pred"]) == (crc(r["doc_id"]) % 4 == 2, lang)
+        assert r["score"] == pytest.approx(score, rel=1e-6, abs=1e-9)
+    assert not want
+
+
+def test_rare_language_is_learned(spark):
+    """A language of few rows among very many gives all of them, so that it is no column without counts."""
+    rows = [(i, "the quick brown fox walks over there", "en") for i in range(6000)] + [(6000 + i, "příliš žluťoučký kůň úpěl ďábelské ódy", "cs") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    langs, matrix = language_id.train(docs, max_docs=200)
+    asked = spark.createDataFrame([(1, "unseen wordplay of zebras", 0.5), (2, "žluťoučký kůň", 0.5)], "doc_id long, text string, score double")
+    made = language_id.predict(asked, langs, matrix)
+    assert {r["doc_id"]: r["lang_pred"] for r in made.collect()} == {1: "en", 2: "cs"}
+    assert made.columns == ["doc_id", "text", "lang_pred", "score"]
+    assert [language_id.most_of_each(x, 100) for x in ([5, 1000], [10], [1000, 1000, 1000], [])] == [95, 100, 34, 0]
+
+
+def test_language_ties_and_repeats(spark):
+    docs = spark.createDataFrame([(1, "ab", "b"), (2, "ab", "a"), (2, "ab", "a"), (1, "ab", "b"), (None, "ab", None)], "doc_id long, text string, lang string")
+    langs, matrix = language_id.train(docs)
+    got = language_id.predict(docs, langs, matrix).collect()
+    assert len(got) == 5 and {(r["lang_pred"], round(r["score"], 9)) for r in got} == {("a", 0.5)}
 
 
 def test_language_accuracy(spark, small):
@@ -334,6 +354,27 @@ def test_archives(spark, which, request):
     assert sorted(got) == sorted(plain.archive(rows_of(spark, sf, "pages", ("page_id", "html"))))
 
 
+def test_archive_headers(spark):
+    """Repeated rows of a response have record ids of their own; revisits refer by id, URL and date; each archive has a warcinfo."""
+    import gzip
+    import io
+
+    rows = [(1, "u1", "same", 1), (5, "u5", "same", 2), (5, "u5", "same", 3), (None, "n", "same", 4), (None, "n", "same", 5), (5, "u5", "other", 6), (7, None, None, 7), (6, "e", "", 8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest int")
+    manifest = warc.write_archives(warc.resolve(pages), scratch_path(spark, "archives"), "2026-02-03T04:05:06Z")
+    read = warc.read_archives(manifest).collect()
+    assert len(read) == 8 and len({r["record_id"] for r in read}) == 8
+    assert sorted((r["page_id"], r["record_type"]) for r in read if r["page_id"]) == [(1, "revisit"), (5, "response"), (5, "response"), (5, "response"), (6, "revisit"), (7, "response")]
+    found = []
+    for r in manifest.collect():
+        with warc.open_read(r["path"]) as f:
+            found.append(list(warc.read_archive(io.BufferedReader(gzip.GzipFile(fileobj=f)))))
+    assert all([h["warc-type"] for h, _ in x].count("warcinfo") == 1 and x[0][0]["warc-type"] == "warcinfo" for x in found)
+    revisit = next(h for x in found for h, _ in x if h.get("warc-target-uri") == "u1")
+    assert (revisit["warc-refers-to-target-uri"], revisit["warc-refers-to-date"]) == ("u5", "2026-02-03T04:05:06Z")
+    assert revisit["warc-refers-to"] in {r["record_id"] for r in read if r["page_id"] == 5}
+
+
 def test_archives_have_urls(spark, tiny):
     pages = spark.read.parquet(f"{tiny}/pages.parquet")
     read = warc.read_archives(warc.write_archives(warc.resolve(pages), scratch_path(spark, "archives")))
