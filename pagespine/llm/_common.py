@@ -74,6 +74,8 @@ def spare(df: DataFrame, name: str) -> str:
 
 
 FILTER_BITS = 1 << 26
+#: With fewer rows than this no key is worth a broadcast.
+COUNTED_ROWS = 100_000
 
 
 def maybe_in(df: DataFrame, key: str, able: DataFrame, able_key: str, out: str) -> DataFrame:
@@ -89,7 +91,7 @@ def maybe_in(df: DataFrame, key: str, able: DataFrame, able_key: str, out: str)
     return joined.withColumn(out, F.expr(f"coalesce(getbit(`{bits}`, int({place.format(key)} % 64)) = 1, false)")).drop(word, bits)
 
 
-def join_counted(many: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame:
+def join_counted(many: DataFrame, one: DataFrame, key: str | list[str], n: str) -> DataFrame:
     """Inner join of ``many`` with ``one``, which has a row for each key with ``n``, how many rows of ``many`` have it.
 
     Keys that hold over a thousandth of the rows (so at most a thousand keys) are broadcast, and their rows stay where
@@ -98,7 +100,7 @@ def join_counted(many: DataFrame, one: DataFrame, key: str, n: str) -> DataFrame
     total = one.agg(F.sum(n)).first()[0] or 0
     limit = total // 1000
     hot = one.filter(F.col(n) > limit)
-    if total < 100_000 or not hot.take(1):
+    if total < COUNTED_ROWS or not hot.take(1):
         return many.join(one, key)
     return many.join(F.broadcast(hot), key).unionByName(many.join(one.filter(F.col(n) <= limit), key))
 

@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from pagespine.llm import bpe, decontaminate, language_id, line_dedup, lm_score, quality_rules, queries, repeats, simhash, token_records, warc
+from pagespine.llm import _common, bpe, decontaminate, language_id, line_dedup, lm_score, quality_rules, queries, repeats, simhash, token_records, warc
 from pagespine.llm._common import scratch_path
 
 from . import plain
@@ -154,10 +154,28 @@ def test_lines_at_random(spark):
     assert {r["doc_id"]: r["text"] for r in done.collect()} == {i: t for i, (_, t) in plain.line_dedup(docs).items()}
 
 
+def test_lines_of_odd_rows(spark):
+    line = "a line that is long enough to take part in this"
+    rows = [(1, f"{line}\nNo.\n\nNo.", "x", 1), (2, None, "y", 2), (3, "", "z", 3), (4, f"{line}!\nNo.\n", "v", 4), (5, "No?\n \n ", "w", 5)]
+    made = line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string, n_lines string, __key int"), n_lines="n_lines", n_removed="n_removed")
+    assert made.columns == ["doc_id", "text", "__key", "n_lines", "n_removed"]
+    assert sorted(tuple(r) for r in made.collect()) == [(1, f"{line}\nNo.\n", 1, 4, 1), (2, None, 2, 0, 0), (3, "", 3, 1, 0), (4, "", 4, 3, 2), (5, "No?\n \n ", 5, 3, 0)]
+
+
+def test_very_common_lines(spark, monkeypatch):
+    """Keys that are broadcast beside those that are joined give the same lines."""
+    rows = [(i, f"a footer that every page in the archive carries\nunique line number {i} of this archive here") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {i: t for i, (_, t) in plain.line_dedup(rows).items()}
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == want
+    monkeypatch.setattr(_common, "COUNTED_ROWS", 0)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs).collect()} == want
+
+
 def test_lines_of_repeated_rows(spark):
     row = (1, "one line that is long enough to take part\nshort\none line that is long enough to take part")
     got = line_dedup.dedup_lines(spark.createDataFrame([row, row, (None, row[1])], "doc_id long, text string")).collect()
-    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, row[1].rsplit("\n", 1)[0]), (1, "short"), (1, "short")]
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in got) == [(0, row[1].rsplit("\n", 1)[0]), (1, ""), (1, "")]
 
 
 @pytest.mark.parametrize("which", ["tiny", "odd_dir"])
