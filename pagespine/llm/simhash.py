@@ -1,8 +1,9 @@
 """SimHash near-duplicates through an inverted index over byte positions with count filtering.
 
-A fingerprint has 8 bytes. Two that differ in at most 2 bits share at least 6 positional bytes, so they meet under
-at least one combination of 6 positions and their bytes: the index has one posting list for each such combination,
-and whoever meets there has reached the guaranteed count of 6. Within a list only the 2 other bytes differ, so it
+A fingerprint has 8 bytes. Two that differ in at most 2 bits share at least 6 positional bytes: the guaranteed count.
+A tally over lists of single bytes would emit all pairs of a list, each of which holds 1/256 of all fingerprints, so
+the index has one posting list for each combination of 6 positions and their bytes: whoever meets there has reached
+the count of 6 without being tallied in any other list. Within a list only the 2 other bytes differ, so it
 holds at most 65,536 distinct fingerprints, whatever the corpus. A list is verified by looking up, for each member,
 the 136 values at 1 or 2 bits from its own in a table of those 16 bits, and yields a spanning forest of its links,
 at most one per member, rather than all pairs. Copies with equal fingerprints are one entry.
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import join_counted, materialise, maybe_in, quoted, runs_of, spare, table, text_key
+from ._common import join_counted, materialise, maybe_in, quoted, runs_of, shuffle_partitions, spare, table, text_key
 from ._components import components
 
 BYTES, MAX_BITS = 8, 2
@@ -117,7 +118,9 @@ def links(marks: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
         mask = sum(0xFF << 8 * i for i in kept)
         mask -= (mask >> 63) << 64
         postings.append(F.struct(F.lit(number).cast("byte").alias("positions"), value.bitwiseAND(F.lit(mask)).alias("shared")))
-    index = marks.select(F.col(fingerprint).alias("f")).distinct().select("f", F.explode(F.array(*postings)).alias("key"))
+    # few bytes make many postings, so they are dealt to all tasks whatever their size
+    distinct = marks.select(F.col(fingerprint).alias("f")).repartition(shuffle_partitions(marks.sparkSession), "f").distinct()
+    index = distinct.select("f", F.explode(F.array(*postings)).alias("key"))
     lists = index.groupBy("key.positions", "key.shared").agg(F.collect_list("f").alias("members")).filter("size(members) > 1")
 
     masks = list(combinations(range(BYTES), SHARED))
@@ -138,18 +141,19 @@ def links(marks: DataFrame, fingerprint: str = "fingerprint") -> DataFrame:
 
 
 def groups(marks: DataFrame, doc_id: str = "doc_id", fingerprint: str = "fingerprint") -> DataFrame:
-    """One row for each distinct fingerprint: fingerprint, root (its component's smallest one), component_id."""
-    own = marks.groupBy(fingerprint).agg(F.min(doc_id).alias("least_id"))
+    """One row for each distinct fingerprint: fingerprint, root (its component's smallest one), component_id, rows."""
+    own = materialise(marks.groupBy(fingerprint).agg(F.min(doc_id).alias("least_id"), F.count(F.lit(1)).alias("rows")), "distinct-fingerprints")
     roots = components(links(own, fingerprint))
     rooted = own.join(roots.withColumnRenamed("node", fingerprint), fingerprint, "left").withColumn("root", F.coalesce("root", fingerprint))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return rooted.select(fingerprint, "root").join(ids, "root").select(fingerprint, "root", "component_id")
+    return rooted.select(fingerprint, "root", "rows").join(ids, "root").select(fingerprint, "root", "component_id", "rows")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = 3) -> DataFrame:
     """``docs`` without the text: ``doc_id``, fingerprint (long), and component_id of every row."""
     marks = materialise(with_fingerprint(docs.select(doc_id, text), text, shingle=shingle).drop(text), "fingerprints")
-    return marks.join(groups(marks, doc_id), "fingerprint").select(doc_id, "fingerprint", "component_id")
+    found = materialise(groups(marks, doc_id), "fingerprint-groups")
+    return join_counted(marks, found, "fingerprint", "rows").select(doc_id, "fingerprint", "component_id")
 
 
 # Documents whose shingles are similar: the same index over byte positions, with signatures that follow the similarity.
