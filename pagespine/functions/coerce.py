@@ -14,6 +14,7 @@ NUMBER_TOKEN = r"((?<![\w.])[+-]?(?:[$€£¥]\s*)?(?:\d{1,3}(?:,\d{3})+|\d+)(?:
 LIST_DELIMITER = r"\s*[,;]\s*|\s+and\s+"
 MAX_CHARS = {"price": 50, "rating": 50, "number": 50, "datetime": 80, "author": 120, "title": 500, "url": 500}
 DATE_PREFIXES = ("posted", "published", "updated", "on")
+DATE_WORDS = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec|mon|tue|wed|thu|fri|sat|sun"
 DATE_FORMATS = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd", "d MMMM yyyy", "d MMM yyyy", "MMMM d, yyyy", "MMM d, yyyy", "MM/dd/yyyy")
 
 
@@ -77,11 +78,19 @@ def related(entries: Column) -> Column:
 
 
 def iso_date(text: Column) -> Column:
-    """An ISO time in UTC of dates in the supported formats, after labels and what stands before a middle dot."""
+    """An ISO time in UTC of dates in the supported formats, after labels and what stands before a middle dot.
+
+    A date without an offset is taken as UTC, whatever the session's zone. A label that is itself (part of) a date stays.
+    """
     tail = F.element_at(F.split(F.trim(text), "·"), -1)
-    bare = F.trim(F.regexp_replace(F.trim(tail), rf"(?i)^[A-Za-z ]+:\s*|^({'|'.join(DATE_PREFIXES)})\s+", ""))
-    read = F.coalesce(*[F.try_to_timestamp(bare, F.lit(f)) for f in DATE_FORMATS])
-    return F.date_format(read, "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
+    bare = F.trim(F.regexp_replace(F.trim(tail), rf"(?i)^(?!({DATE_WORDS})[a-z]*\s*:)[A-Za-z ]+:\s*|^({'|'.join(DATE_PREFIXES)})\s+", ""))
+    out = "yyyy-MM-dd'T'HH:mm:ss'+00:00'"
+
+    def read(f):
+        time = F.try_to_timestamp(bare, F.lit(f))
+        return F.date_format(F.to_utc_timestamp(time, F.current_timezone()) if "X" in f else time, out)
+
+    return F.coalesce(*[read(f) for f in DATE_FORMATS])
 
 
 def issue(kind: str, value: Column, max_chars: int | None = None, others: tuple[Column, ...] = ()) -> Column:

@@ -95,9 +95,11 @@ def canonical(url: Column) -> Column:
     return F.when(scheme.isin("http", "https") & (host != ""), F.concat(scheme, F.lit("://"), where, tidy, tail))
 
 
-def clean(url: Column, require_https: bool = True, strip_tracking: bool = True) -> Column:
-    """A field's URL: https, without tracking parameters; null for a ``javascript:`` link."""
+def clean(url: Column, require_https: bool = True, strip_tracking: bool = True, page: Column | None = None) -> Column:
+    """A field's URL: https, without tracking parameters, a path joined to its page's site; null for a ``javascript:`` link."""
     raw = F.trim(url)
+    if page is not None:
+        raw = F.when(raw.startswith("/") & ~raw.startswith("//"), F.concat(F.regexp_extract(page, r"^(https?://[^/?#]+)", 1), raw)).otherwise(raw)
     if require_https:
         raw = F.when(raw.startswith("//"), F.concat(F.lit("https:"), raw)).when(raw.startswith("http://"), F.concat(F.lit("https://"), F.substring(raw, 8, 1 << 20))).otherwise(raw)
     if strip_tracking:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..plans.contract import keep_first
+from ..scratch import written
 from ._registry import read, registry
 from .pages import _PARTS
 
@@ -42,13 +43,13 @@ def pop_order() -> Column:
     return F.struct((-F.col("batch")).alias("b"), (-F.col("score")).alias("s"), F.col("ord").alias("o"))
 
 
-@query("frontier_order", """WITH c AS (SELECT 'u' || (event_id % 500) AS url, user_id % 10 AS batch, event_id AS ord, value AS score, CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 AS depth FROM events),
-f AS (SELECT * FROM c WHERE depth <= 3 AND url NOT IN (SELECT 'u' || o_orderkey FROM orders WHERE o_orderkey < 100) QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch, ord) = 1)
+@query("frontier_order", """WITH c AS (SELECT 'u' || user_id || '/' || CAST(json_extract_string(props, '$.k') AS BIGINT) AS url, user_id % 10 AS batch, event_id AS ord, value AS score, CAST(json_extract_string(props, '$.k') AS BIGINT) % 6 AS depth FROM events),
+f AS (SELECT * FROM c WHERE depth <= 3 AND url NOT IN (SELECT 'u' || o_custkey || '/' || (o_orderkey % 100) FROM orders) QUALIFY row_number() OVER (PARTITION BY url ORDER BY batch, ord) = 1)
 SELECT url, batch, score, row_number() OVER (PARTITION BY batch ORDER BY score DESC, ord) AS place FROM f""")
 def frontier_order(spark, sf):
     """Places within each batch; batches themselves follow each other from last to first."""
-    c = read(spark, sf, "events").select(F.concat(F.lit("u"), (F.col("event_id") % 500).cast("string")).alias("url"), (F.col("user_id") % 10).alias("batch"), F.col("event_id").alias("ord"), F.col("value").alias("score"), (F.get_json_object("props", "$.k").cast("long") % 6).alias("depth"))
-    seen = read(spark, sf, "orders").filter("o_orderkey < 100").select(F.concat(F.lit("u"), F.col("o_orderkey").cast("string")).alias("url"))
+    c = read(spark, sf, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string"), F.lit("/"), F.get_json_object("props", "$.k")).alias("url"), (F.col("user_id") % 10).alias("batch"), F.col("event_id").alias("ord"), F.col("value").alias("score"), (F.get_json_object("props", "$.k").cast("long") % 6).alias("depth"))
+    seen = read(spark, sf, "orders").select(F.concat(F.lit("u"), F.col("o_custkey").cast("string"), F.lit("/"), (F.col("o_orderkey") % 100).cast("string")).alias("url"))
     w = Window.partitionBy("batch").orderBy(F.desc("score"), "ord")
     return frontier(c, seen, 3).select("url", "batch", "score", F.row_number().over(w).cast("long").alias("place"))
 
@@ -76,13 +77,15 @@ def evidence(text_chars: Column, links: Column) -> Column:
     return F.when(text_chars == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), text_chars / 1500) - F.least(F.lit(0.8), links / 50)))
 
 
-@query("scrape_targets", f"""WITH {_PARTS}, e AS (SELECT page_id, length(html) AS chars, len(regexp_extract_all(html, '<a[ >]')) AS links, len(list_intersect(list_transform(string_split(path, '/'), lambda x: lower(x)), {list(ARTIFACT_SEGMENTS)})) > 0 AS artifact FROM parts)
-SELECT page_id, artifact, round(CASE WHEN chars = 0 THEN 0 ELSE greatest(0, least(1, chars / 1500) - least(0.8, links / 50)) END, 9) AS evidence, links FROM e""")
+@query("scrape_targets", f"""WITH {_PARTS}, e AS (SELECT page_id, length(trim(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', '', 'g'), '<[^>]*>', '', 'g'))) AS chars, len(regexp_extract_all(html, '<a[ >]')) AS links, len(list_intersect(list_transform(string_split(path, '/'), lambda x: lower(x)), {list(ARTIFACT_SEGMENTS)})) > 0 AS artifact FROM parts)
+SELECT page_id, artifact, round(CASE WHEN chars = 0 THEN 0 ELSE greatest(0, least(1, chars / 1500) - least(0.8, links / 50)) END, 9) AS evidence, links, row_number() OVER (ORDER BY artifact, evidence DESC, links, page_id) AS place FROM e""")
 def scrape_targets(spark, sf):
-    """What targets are ordered by: list pages last, then more evidence, then fewer links."""
+    """Targets in order: list pages last, then more evidence, then fewer links; with what they are ordered by."""
+    text = F.trim(F.regexp_replace(F.regexp_replace("html", "<(script|style)[^>]*>[^<]*</(script|style)>", ""), "<[^>]*>", ""))
     links = F.regexp_count("html", F.lit("<a[ >]"))
     parts = F.transform(F.split(U.part(F.col("url"), "path"), "/"), lambda x: F.lower(x))
-    return read(spark, sf, "pages").select("page_id", F.arrays_overlap(parts, F.array(*map(F.lit, ARTIFACT_SEGMENTS))).alias("artifact"), F.round(evidence(F.length("html"), links), 9).alias("evidence"), links.cast("long").alias("links"))
+    found = read(spark, sf, "pages").select("page_id", F.arrays_overlap(parts, F.array(*map(F.lit, ARTIFACT_SEGMENTS))).alias("artifact"), F.round(evidence(F.length(text), links), 9).alias("evidence"), links.cast("long").alias("links"))
+    return numbered(found, [F.col("artifact"), F.desc("evidence"), F.col("links"), F.col("page_id")], "place")
 
 
 @query("crawl_gate", f"""WITH {_PARTS}, h AS (SELECT page_id, unnest(regexp_extract_all(html, '<a href="(/[^"?#]*)', 1)) AS path FROM pages), s AS (SELECT page_id, {_SHAPE} AS shape FROM h)
@@ -95,11 +98,13 @@ def crawl_gate(spark, sf, least_links: int = 3, least_shapes: int = 2):
 
 
 def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int) -> DataFrame:
-    """node, depth: the fewest steps from a seed, breadth first; each round joins the last round's nodes only."""
-    found = frontier_ = seeds.select("node").distinct().withColumn("depth", F.lit(0))
+    """node, depth: the fewest steps from a seed, breadth first; each round joins the last round's nodes only, and is written."""
+    found = frontier_ = written(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "reached")
     for depth in range(1, max_depth + 1):
         following = frontier_.join(edges, F.col("node") == F.col("source")).select(F.col("target").alias("node")).distinct()
-        frontier_ = following.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
+        frontier_ = written(following.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "reached")
+        if not frontier_.take(1):
+            break
         found = found.unionByName(frontier_)
     return found
 
@@ -112,6 +117,19 @@ def reachability(spark, sf):
     return reachable(edges, n.filter("source = 0").select(F.col("source").alias("node")), 4)
 
 
+def numbered(rows: DataFrame, order: list, out: str) -> DataFrame:
+    """Adds the place of each row in ``order``, from 1, without gathering the rows: they are dealt by ranges, sorted and
+    written, and a part's places begin behind those of the parts before it."""
+    spark = rows.sparkSession
+    parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
+    placed = written(parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)), "numbered")
+    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a part
+    starts = F.broadcast(sizes.select("__part", before.alias("__start")))
+    return placed.join(starts, "__part").select(*rows.columns, (F.col("__start") + F.col("__at") + 1).alias(out))
+
+
 def sitemap_entries(xml: Column) -> Column:
     """struct<is_index, urls>: the locations of a sitemap, or the sitemaps of an index."""
     return F.struct(xml.rlike("<sitemapindex[ >]").alias("is_index"), F.transform(F.regexp_extract_all(xml, F.lit(r"<(?:loc|link)>\s*([^<]*?)\s*</(?:loc|link)>"), 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))).alias("urls"))

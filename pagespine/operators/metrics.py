@@ -248,8 +248,8 @@ def cached_fields(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
-@query("snapshot_fields", "SELECT c_custkey AS snapshot, n_name AS field_name, c_mktsegment AS status FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND n_nationkey % 4 <> 3")
+@query("snapshot_fields", "SELECT c_custkey AS snapshot, n_name AS field_name, c_mktsegment AS status FROM customer LEFT JOIN nation ON c_nationkey * 2 = n_nationkey")
 def snapshot_fields(spark, sf):
     """Snapshots with the field they belong to, if it is known."""
-    fields = read(spark, sf, "nation").filter("n_nationkey % 4 <> 3")
-    return read(spark, sf, "customer").join(fields, F.col("c_nationkey") == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("snapshot"), F.col("n_name").alias("field_name"), F.col("c_mktsegment").alias("status"))
+    fields = read(spark, sf, "nation")
+    return read(spark, sf, "customer").join(fields, F.col("c_nationkey") * 2 == F.col("n_nationkey"), "left").select(F.col("c_custkey").alias("snapshot"), F.col("n_name").alias("field_name"), F.col("c_mktsegment").alias("status"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import values as V
+from ..scratch import written
 from ._registry import read, registry
 
 QUERIES, SQL, query = registry()
@@ -79,12 +80,20 @@ def modal_defaults(spark, sf):
 
 
 def rarity(found: DataFrame, group: tuple[str, ...] = ("origin", "method", "template")) -> DataFrame:
-    """Adds a boolean for each reason of RARITY; deviations are from the mode of the request's own group."""
-    m = modes(found, ["shape", "mime", "items"], group)
-    usual = m.groupBy(*group).agg(*[F.max(F.when(F.col("name") == n, F.col("value"))).alias(f"usual_{n}") for n in ("shape", "mime", "items")])
-    sizes = found.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size"))
-    once = found.groupBy("template").agg(F.count(F.lit(1)).alias("template_size"))
-    joined = found.join(usual.join(sizes, list(group)), list(group)).join(once, "template")
+    """Adds a boolean for each reason of RARITY; deviations are from the mode of the request's own group.
+
+    Requests are counted once by group and the values that can deviate; modes and sizes come from those few rows.
+    """
+    names = ("shape", "mime", "items")
+    counted = written(found.groupBy(*group, *names).agg(F.count(F.lit(1)).alias("n")), "request-counts")
+    votes = counted.select(*group, "n", F.explode(F.array(*[F.struct(F.lit(x).alias("name"), F.col(x).cast("string").alias("value")) for x in names])).alias("x"))
+    votes = votes.filter("x.value IS NOT NULL").groupBy(*group, "x.name", "x.value").agg(F.sum("n").alias("n"))
+    best = lambda x: F.min(F.when(F.col("name") == x, F.struct((-F.col("n")).alias("n"), "value")))["value"].alias(f"usual_{x}")
+    usual = votes.groupBy(*group).agg(*map(best, names))
+    sizes = counted.groupBy(*group).agg(F.sum("n").alias("group_size"))
+    once = counted.groupBy("template").agg(F.sum("n").alias("template_size"))
+    facts = sizes.join(usual, list(group), "left").join(once, "template")
+    joined = found.join(facts, list(group))
     differs = lambda n: F.coalesce((F.col("group_size") > 1) & (F.col(n).cast("string") != F.col(f"usual_{n}")), F.lit(False))
     reasons = [F.coalesce(~(F.col("status").between(200, 399)), F.lit(True)), differs("shape"), F.coalesce(F.col("mime") == "application/problem+json", F.lit(False)), differs("mime"), differs("items"), F.col("template_size") == 1]
     return joined.withColumns(dict(zip(RARITY, reasons)))

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import class_tokens
+from ..scratch import written
 from ..sources.html import node_table, with_nodes
 from ._registry import read, registry
 from .pages import _TAGS, shapes
@@ -116,7 +117,8 @@ def match(joined: DataFrame) -> DataFrame:
 def page_matches(spark, sf):
     """Each page against the first page of its shape bucket: links grow with the pages, not with their pairs."""
     pages = read(spark, sf, "pages")
-    own = shapes(pages).select("page_id", "shape").join(features(pages), "page_id").select("page_id", "shape", F.struct("skeleton", "semantic", "identity").alias("own"))
+    # both parse; their results are written once, and exemplars are taken from them
+    own = written(shapes(pages).select("page_id", "shape").join(features(pages), "page_id").select("page_id", "shape", F.struct("skeleton", "semantic", "identity").alias("own")), "page-features")
     first = own.groupBy("shape").agg(F.min_by(F.struct(F.col("page_id").alias("exemplar"), F.col("own").alias("their")), "page_id").alias("e")).select("shape", "e.*")
     return match(own.join(first, "shape")).select("page_id", "exemplar", "score", "containment_score", "same_shape")
 
@@ -141,20 +143,22 @@ def region_runs(shaped: DataFrame, id: str = "page_id", least: int = 2) -> DataF
 @query("region_index")
 def region_index(spark, sf):
     """Regions of each page with the label of an exemplar and the number of members."""
-    nodes = node_table(read(spark, sf, "pages").select("page_id", "html"))
+    nodes = written(node_table(read(spark, sf, "pages").select("page_id", "html")).select("page_id", "pre", "parent", "tag", "attrs", "shape"), "nodes")
     body = with_shapes(nodes)
     label = F.concat(F.col("tag"), F.when(F.coalesce(F.col("attrs")["id"], F.lit("")) != "", F.concat(F.lit("#"), F.col("attrs")["id"])).otherwise(""), F.when(F.coalesce(F.col("attrs")["class"], F.lit("")) != "", F.concat(F.lit("."), F.substring_index(F.trim(F.col("attrs")["class"]), " ", 1))).otherwise(""))
     exemplars = nodes.select("page_id", F.col("pre").alias("first"), label.alias("exemplar"))
     return region_runs(body).join(exemplars, ["page_id", "first"]).select("page_id", "parent", "first", "shape", "exemplar", F.col("n").alias("members"))
 
 
-@query("adjacent_runs", """WITH e AS (SELECT user_id, event_type, event_id, CASE WHEN lag(event_type) OVER w = event_type THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
-r AS (SELECT user_id, event_type, event_id, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM e), g AS (SELECT user_id, event_type, run, min(event_id) AS first, count(*) AS n FROM r GROUP BY 1, 2, 3)
-SELECT user_id, event_type, min(first) AS first, max(n) AS n FROM g GROUP BY 1, 2 HAVING count(*) = 1 AND max(n) >= 2""")
+@query("adjacent_runs", """WITH i AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pre FROM lineitem),
+e AS (SELECT *, CASE WHEN lag(l_returnflag) OVER w = l_returnflag THEN 0 ELSE 1 END AS new FROM i WINDOW w AS (PARTITION BY l_orderkey ORDER BY pre)),
+r AS (SELECT *, sum(new) OVER (PARTITION BY l_orderkey ORDER BY pre) AS run FROM e), g AS (SELECT l_orderkey, l_returnflag, run, min(pre) AS first, count(*) AS n FROM r GROUP BY 1, 2, 3)
+SELECT l_orderkey, l_returnflag, min(first)::INTEGER AS first, max(n) AS n FROM g GROUP BY 1, 2 HAVING count(*) = 1 AND max(n) >= 2""")
 def adjacent_runs(spark, sf):
-    """The run rule on a log: a user's events as siblings, their types as shapes."""
-    e = read(spark, sf, "events").select("user_id", F.lit(0).alias("parent"), F.col("event_type").alias("shape"), F.col("event_id").alias("pre"))
-    return region_runs(e, "user_id").select("user_id", F.col("shape").alias("event_type"), "first", "n")
+    """The run rule on a table: an order's lines as siblings, their return flags as shapes."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey"))
+    e = read(spark, sf, "lineitem").select("l_orderkey", F.lit(0).alias("parent"), F.col("l_returnflag").alias("shape"), place.alias("pre"))
+    return region_runs(e, "l_orderkey").select("l_orderkey", F.col("shape").alias("l_returnflag"), "first", "n")
 
 
 def anchors(nodes: DataFrame, id: str = "page_id") -> DataFrame:
@@ -186,7 +190,7 @@ def nearest_anchors(nodes: DataFrame, found: DataFrame, id: str = "page_id") ->
 @query("anchor_counts")
 def anchor_counts(spark, sf):
     """How many elements of each page have something durable above them."""
-    nodes = node_table(read(spark, sf, "pages").select("page_id", "html"))
+    nodes = written(node_table(read(spark, sf, "pages").select("page_id", "html")).select("page_id", "pre", "last", "depth", "tag", "attrs"), "nodes")
     return nearest_anchors(nodes, anchors(nodes)).groupBy("page_id").agg(F.count(F.lit(1)).alias("anchored"), F.countDistinct("anchor").alias("anchors"))
 
 
@@ -227,12 +231,12 @@ def depth_cuts(spark, sf):
     return depth_cut(d.filter("depth IS NOT NULL"), ["source"], "depth", 40)
 
 
-@query("page_windows", "SELECT conv_id, turn, turn // 3 + 1 AS page FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord FROM conversations) WHERE ord // 3 = turn // 3")
+@query("page_windows", "SELECT conv_id, turn, ord // 3 + 1 AS page FROM (SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS ord FROM conversations)")
 def page_windows(spark, sf, size: int = 3):
     """Entries of an index in windows of ``size``."""
     ord_ = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")) - 1
     c = read(spark, sf, "conversations").select("conv_id", "turn", ord_.alias("ord"))
-    return c.filter(F.floor(F.col("ord") / size) == F.floor(F.col("turn") / size)).select("conv_id", "turn", (F.floor(F.col("ord") / size) + 1).cast("long").alias("page"))
+    return c.select("conv_id", "turn", (F.floor(F.col("ord") / size) + 1).cast("long").alias("page"))
 
 
 def overview(entries: DataFrame, scope: str, budget: int, footer: int = 48) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import coerce, urls
@@ -94,9 +94,8 @@ def extract(pages: DataFrame, contract: Contract, id: str = "page_id", html: str
 
 
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """The first row of each key."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return rows.withColumn("__n", F.row_number().over(w)).filter("__n = 1").drop("__n")
+    """The first row of each key, by an aggregate, so that a key of very many rows is one row from each task."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(*order)).alias("__row")).select("__row.*")
 
 
 def typed(raw: DataFrame, contract: Contract) -> DataFrame:

@@ -1,7 +1,8 @@
 """Pages as node arrays: one parse per page, everything after it in column expressions.
 
-A node is struct<pre, parent, last, depth, tag, attrs, text, shape>: ``pre`` numbers nodes in document order from 0, ``last``
-is the number of its last descendant, so a subtree is a range; text nodes have the tag ``#text``. Script and style are
+A node is struct<pre, parent, last, depth, tag, attrs, text, shape, nth, same, after>: ``pre`` numbers nodes in document order
+from 0, ``last`` is the number of its last descendant, so a subtree is a range; text nodes have the tag ``#text``. ``nth`` is an
+element's place among its element siblings, ``same`` among those of its tag, both from 1; ``after`` is the number of siblings after it. Script and style are
 raw text; void elements have no content; a ``p`` ends at a block element; what remains open ends with its parent.
 """
 
@@ -19,7 +20,7 @@ ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form
 #: An element that ends an open element of the same kind, unless one of the others is open above it.
 SELF_ENDING = {"li": ("ul", "ol"), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "dt": ("dl",), "dd": ("dl",)}
 
-NODE = "struct<pre: int, parent: int, last: int, depth: int, tag: string, attrs: map<string, string>, text: string, shape: string>"
+NODE = "struct<pre: int, parent: int, last: int, depth: int, tag: string, attrs: map<string, string>, text: string, shape: string, nth: int, same: int, after: int>"
 #: Tags without content of their own.
 NON_CONTENT = ("script", "style", "link", "meta", "template", "noscript")
 
@@ -74,7 +75,22 @@ def parse(html: str | None) -> list[tuple]:
     reader.feed(html or "")
     reader.close()
     reader._close_to(0)
-    return [(*r, shape) for r, shape in zip(reader.rows, _shapes(reader.rows))]
+    return [(*r, shape, *place) for r, shape, place in zip(reader.rows, _shapes(reader.rows), _places(reader.rows))]
+
+
+def _places(rows: list[list]) -> list[tuple[int, int, int]]:
+    """Of each element its place among its siblings, among those of its tag, and how many siblings follow; 0 for texts."""
+    children: dict[int, int] = {}
+    of_tag: dict[tuple[int, str], int] = {}
+    out = []
+    for _, parent, _, _, tag, *_ in rows:
+        if tag == "#text":
+            out.append((0, 0, parent))
+            continue
+        children[parent] = children.get(parent, 0) + 1
+        of_tag[parent, tag] = of_tag.get((parent, tag), 0) + 1
+        out.append((children[parent], of_tag[parent, tag], parent))
+    return [(nth, same, children[parent] - nth if nth else 0) for nth, same, parent in out]
 
 
 def _shapes(rows: list[list]) -> list[str | None]:
@@ -90,8 +106,8 @@ def _shapes(rows: list[list]) -> list[str | None]:
 
 def with_nodes(pages: DataFrame, html: str = "html", out: str = "nodes") -> DataFrame:
     """Adds the page's nodes; a null or empty page has none."""
-    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string())
-    names = ("pre", "parent", "last", "depth", "tag", "attrs", "text", "shape")
+    types = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.map_(pa.string(), pa.string()), pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32())
+    names = ("pre", "parent", "last", "depth", "tag", "attrs", "text", "shape", "nth", "same", "after")
 
     @F.arrow_udf(f"array<{NODE}>")
     def nodes(column: pa.Array) -> pa.Array:
@@ -169,8 +185,7 @@ def cleaned(nodes: Column) -> Column:
         return let(F.coalesce(first("main"), first("body")), lambda root: F.when(root.isNull(), kept).otherwise(F.filter(kept, lambda n: (n["pre"] >= root["pre"]) & (n["pre"] <= root["last"]))))
 
     def shortened(own):
-        rank = lambda n, tag: F.size(F.filter(own, lambda o: (o["tag"] == tag) & (o["parent"] == n["parent"]) & (o["pre"] < n["pre"])))
-        return without(own, lambda n: ((n["tag"] == "li") & (rank(n, "li") >= KEPT_LIST_ITEMS)) | ((n["tag"] == "tr") & (rank(n, "tr") >= KEPT_TABLE_ROWS)))
+        return without(own, lambda n: ((n["tag"] == "li") & (n["same"] > KEPT_LIST_ITEMS)) | ((n["tag"] == "tr") & (n["same"] > KEPT_TABLE_ROWS)))
 
     return let(without(nodes, lambda n: n["tag"].isin(*NOISE_TAGS, *FRAME_TAGS) | side(n)), lambda kept: let(scoped(kept), shortened))
 

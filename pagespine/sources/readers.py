@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import json
 import re
 
 import pyarrow as pa
@@ -24,6 +25,23 @@ def urls_in_markdown(text: Column) -> Column:
     return F.array_distinct(F.concat(F.regexp_extract_all(text, F.lit(link), 1), urls_in_text(F.regexp_replace(text, link, " "))))
 
 
+def urls_in_json(text: str) -> list[str]:
+    """URLs of a list of strings or of objects with ``url``, or of an object whose values are such; each once."""
+    out: dict[str, None] = {}
+
+    def add(value):
+        if isinstance(value, str) and re.fullmatch(URL, value):
+            out[value] = None
+        elif isinstance(value, list):
+            for x in value:
+                add(x)
+        elif isinstance(value, dict):
+            add(value["url"]) if "url" in value else [add(x) for x in value.values() if isinstance(x, (list, dict))]
+
+    add(json.loads(text))
+    return list(out)
+
+
 def url_list(spark: SparkSession, path: str) -> DataFrame:
     """url, ord of a list in JSON, CSV, Parquet, Markdown or plain text, by the file's extension."""
     kind = path.rsplit(".", 1)[-1].lower()
@@ -34,9 +52,7 @@ def url_list(spark: SparkSession, path: str) -> DataFrame:
         return table.select(F.explode(cells).alias("url")).filter("url IS NOT NULL").withColumn("ord", F.monotonically_increasing_id())
     whole = spark.read.text(path, wholetext=True)
     if kind == "json":
-        # a list of strings or objects with "url", or an object of such: strings that are URLs, or values of "url"
-        found = F.regexp_extract_all("value", F.lit(r'"(https?://[^"]+)"'), 1)
-        return whole.select(F.posexplode(found).alias("ord", "url")).select("url", F.col("ord").cast("long").alias("ord"))
+        return whole.select(F.posexplode(F.udf(urls_in_json, "array<string>", useArrow=False)("value")).alias("ord", "url")).select("url", F.col("ord").cast("long").alias("ord"))
     found = urls_in_markdown(F.col("value")) if kind in ("md", "markdown") else urls_in_text(F.col("value"))
     return whole.select(F.posexplode(found).alias("ord", "url")).select("url", F.col("ord").cast("long").alias("ord"))
 
