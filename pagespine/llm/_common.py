@@ -75,7 +75,7 @@ def spare(df: DataFrame, name: str) -> str:
 
 FILTER_BITS = 1 << 26
 #: With fewer rows than this no key is worth a broadcast.
-COUNTED_ROWS = 100_000
+COUNTED_ROWS = 5_000
 
 
 def maybe_in(df: DataFrame, key: str, able: DataFrame, able_key: str, out: str) -> DataFrame:
