@@ -1,8 +1,10 @@
 """Selectors as column expressions over a page's nodes.
 
-CSS: steps of tag, ``.class``, ``#id``, ``[attr]``, ``[attr=value]`` joined by blanks or ``>``, then ``::text`` or
-``::attr(name)``. XPath: ``//tag``, ``/tag``, ``[@attr]``, ``[@attr='value']``, then ``/text()`` or ``/@name``. Other
-kinds of selector find nothing.
+CSS: lists of selectors with commas; steps of tag, ``.class``, ``#id``, ``[attr]``, ``[attr=value]`` and with ``^=``, ``$=``,
+``*=`` or ``~=``, ``:first-child``, ``:last-child``, ``:nth-child(n)`` (also ``odd``, ``even``, ``an+b``), ``:not(simple)``,
+joined by blanks, ``>``, ``+`` or ``~``; then ``::text`` or ``::attr(name)``. XPath: ``//tag``, ``/tag``, ``[@attr]``,
+``[@attr='value']``, ``[contains(@attr, 'x')]``, ``[contains(text(), 'x')]`` or of ``.``, ``[n]``, ``[last()]``, then ``/text()``
+or ``/@name``. Other kinds of selector find nothing; what can't be read raises.
 """
 
 from __future__ import annotations
@@ -15,10 +17,16 @@ from pyspark.sql import functions as F
 
 from ..sources.html import below, has_class, let, node_text, subtree
 
-_STEP = re.compile(r"(?P<tag>[A-Za-z][\w-]*|\*)?(?P<rest>(?:\.[\w-]+|#[\w-]+|\[[^\]]+\])*)")
-_PART = re.compile(r"\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[@?(?P<attr>[\w:-]+)(?:\s*=\s*['\"]?(?P<value>[^'\"\]]*)['\"]?)?\]")
-# Tags that have a role without saying so.
-ROLE_TAGS = {"button": ("button",), "link": ("a",), "heading": ("h1", "h2", "h3", "h4", "h5", "h6"), "textbox": ("input", "textarea"), "checkbox": ("input",), "list": ("ul", "ol"), "listitem": ("li",), "table": ("table",), "row": ("tr",), "cell": ("td",), "img": ("img",), "navigation": ("nav",), "main": ("main",), "article": ("article",)}
+_STEP = re.compile(r"(?P<tag>[A-Za-z][\w-]*|\*)?(?P<rest>(?:\.[\w-]+|#[\w-]+|\[[^\]]+\]|:[\w-]+(?:\([^()]*\))?)*)")
+_PART = re.compile(r"\.(?P<cls>[\w-]+)|#(?P<id>[\w-]+)|\[\s*@?(?P<attr>[\w:-]+)\s*(?:(?P<op>[\^$*~]?=)\s*['\"]?(?P<value>[^'\"\]]*)['\"]?\s*)?\]|:(?P<pseudo>[\w-]+)(?:\((?P<of>[^()]*)\))?")
+_TOKEN = re.compile(r"(?:\[[^\]]*\]|\([^()]*\)|[^\s>+~\[(])+|[>+~]")
+_HOW = {">": "child", "+": "next", "~": "later"}
+# What has a role without saying so.
+ROLE_SELECTORS = {
+    "button": ("button", 'input[type="button"]', 'input[type="submit"]'), "link": ("a[href]",), "textbox": ("input:not([type])", 'input[type="text"]', "textarea"),
+    "searchbox": ('input[type="search"]',), "heading": ("h1", "h2", "h3", "h4", "h5", "h6"), "article": ("article",), "main": ("main",), "navigation": ("nav",),
+    "list": ("ul", "ol"), "listitem": ("li",), "table": ("table",), "row": ("tr",), "cell": ("td", "th"), "img": ("img",),
+}
 LEVELS = {"css": 1, "xpath": 2, "regex": 3, "jsonld": 4, "attr": 5, "global_id": 6, "role": 7, "visual": 8}
 
 
@@ -32,22 +40,35 @@ class Selector:
 
 @dataclass(frozen=True)
 class Compiled:
-    """Steps of (child only, predicate) and what to take: the node's text, own texts, or an attribute."""
+    """Alternatives of steps of (how, predicate) and what to take: the node's text, own texts, or an attribute."""
 
-    steps: tuple
+    alternatives: tuple
     take: str
     attribute: str | None = None
 
     def nodes(self, nodes: Column, within: Column | None = None) -> Column:
         scope = nodes if within is None else F.slice(subtree(nodes, within), F.lit(2), F.greatest(within["last"] - within["pre"], F.lit(0)))
-        return let(scope, lambda own: self._steps(own, F.filter(own, self.steps[0][1]), 1))
 
-    def _steps(self, scope: Column, found: Column, i: int) -> Column:
-        if i == len(self.steps):
+        def any_of(own):
+            found = [self._steps(own, F.filter(own, steps[0][1]), steps, 1) for steps in self.alternatives]
+            if len(found) == 1:
+                return found[0]
+            places = F.flatten(F.array(*[F.transform(f, lambda n: n["pre"]) for f in found]))
+            return let(places, lambda p: F.filter(own, lambda n: F.array_contains(p, n["pre"])))
+
+        return let(scope, any_of)
+
+    def _steps(self, scope: Column, found: Column, steps: tuple, i: int) -> Column:
+        if i == len(steps):
             return found
-        child, test = self.steps[i]
-        under = lambda n, b: F.exists(b, lambda a: n["parent"] == a["pre"] if child else below(n, a))
-        return let(found, lambda b: self._steps(scope, F.filter(scope, lambda n: test(n) & under(n, b)), i + 1))
+        how, test = steps[i]
+        related = {
+            "child": lambda n, a: n["parent"] == a["pre"],
+            "below": lambda n, a: below(n, a),
+            "next": lambda n, a: (n["parent"] == a["parent"]) & (n["nth"] == a["nth"] + 1),
+            "later": lambda n, a: (n["parent"] == a["parent"]) & (n["nth"] > a["nth"]),
+        }[how]
+        return let(found, lambda b: self._steps(scope, F.filter(scope, lambda n: test(n) & F.exists(b, lambda a: related(n, a))), steps, i + 1))
 
     def values(self, nodes: Column, within: Column | None = None) -> Column:
         """What the selector yields, in document order."""
@@ -60,8 +81,42 @@ class Compiled:
         return F.transform(found, lambda n: node_text(nodes, n))
 
 
-def _test(tag: str | None, parts: str):
+def _nth(place: Column, text: str) -> Column:
+    text = {"odd": "2n+1", "even": "2n"}.get(text.strip(), text.replace(" ", ""))
+    m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", text)
+    if not m or not text:
+        raise ValueError(f"unsupported place: {text!r}")
+    step = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
+    first = int(m[2] or 0)
+    if step == 0:
+        return place == first
+    return ((place - first) % step == 0) & (((place - first) / step) >= 0)
+
+
+def _pseudo(name: str, of: str | None):
+    if name == "first-child":
+        return lambda n: n["nth"] == 1
+    if name == "last-child":
+        return lambda n: (n["nth"] > 0) & (n["after"] == 0)
+    if name == "nth-child" and of:
+        return lambda n: (n["nth"] > 0) & _nth(n["nth"], of)
+    if name == "not" and of and (m := _STEP.fullmatch(of.strip())):
+        inner = _test(m["tag"], m["rest"])
+        return lambda n: ~F.coalesce(inner(n), F.lit(False))
+    raise ValueError(f"unsupported pseudo-class: {name!r}")
+
+
+def _test(tag: str | None, parts: str, more=()):
     wanted = [m.groupdict() for m in _PART.finditer(parts)]
+    pseudo = [_pseudo(w["pseudo"], w["of"]) for w in wanted if w["pseudo"]]
+
+    def attribute(n: Column, w: dict) -> Column:
+        value = n["attrs"][w["attr"]]
+        if w["value"] is None:
+            return value.isNotNull()
+        own = w["value"].strip()
+        hit = {"=": value == own, "^=": value.startswith(own), "$=": value.endswith(own), "*=": value.contains(own), "~=": F.array_contains(F.split(value, r"\s+"), own)}[w["op"]]
+        return F.coalesce(hit, F.lit(False)) & F.lit(bool(own) or w["op"] == "=")
 
     def test(n: Column) -> Column:
         out = n["tag"] == tag.lower() if tag and tag != "*" else n["tag"] != "#text"
@@ -70,31 +125,41 @@ def _test(tag: str | None, parts: str):
                 out = out & has_class(n, w["cls"])
             elif w["id"]:
                 out = out & F.coalesce(n["attrs"]["id"] == w["id"], F.lit(False))
-            elif w["value"] is None:
-                out = out & n["attrs"][w["attr"]].isNotNull()
-            else:
-                out = out & F.coalesce(n["attrs"][w["attr"]] == w["value"], F.lit(False))
+            elif w["attr"]:
+                out = out & attribute(n, w)
+        for p in (*pseudo, *more):
+            out = out & p(n)
         return out
 
     return test
 
 
 def css(text: str) -> Compiled:
-    body, _, pseudo = text.strip().partition("::")
-    take, attribute = ("own", None) if pseudo == "text" else ("attr", pseudo[5:-1]) if pseudo.startswith("attr(") else ("text", None)
-    steps, child = [], False
-    for token in re.findall(r"(?:\[[^\]]*\]|[^\s>\[])+|>", body):
-        if token == ">":
-            child = True
-            continue
-        m = _STEP.fullmatch(token)
-        if not m:
+    alternatives, take, attribute = [], "text", None
+    for one in re.split(r",(?![^\[(]*[\])])", text):
+        body, _, pseudo = one.strip().partition("::")
+        if pseudo:
+            take, attribute = ("own", None) if pseudo == "text" else ("attr", pseudo[5:-1])
+            if pseudo != "text" and not re.fullmatch(r"attr\([\w:-]+\)", pseudo):
+                raise ValueError(f"unsupported selector: {text!r}")
+        steps, how = [], "below"
+        for token in _TOKEN.findall(body):
+            if token in _HOW:
+                how = _HOW[token]
+                continue
+            m = _STEP.fullmatch(token)
+            if not m:
+                raise ValueError(f"unsupported selector: {text!r}")
+            steps.append((how, _test(m["tag"], m["rest"])))
+            how = "below"
+        if not steps or how != "below" or "".join(_TOKEN.findall(body)) != re.sub(r"\s+(?![^\[(]*[\])])", "", body):
             raise ValueError(f"unsupported selector: {text!r}")
-        steps.append((child, _test(m["tag"], m["rest"])))
-        child = False
-    if not steps:
-        raise ValueError(f"empty selector: {text!r}")
-    return Compiled(tuple(steps), take, attribute)
+        alternatives.append(tuple(steps))
+    return Compiled(tuple(alternatives), take, attribute)
+
+
+_X_STEP = re.compile(r"(//?)([\w*-]+)((?:\[[^\]]*\])*)")
+_X_CONTAINS = re.compile(r"contains\(\s*(@[\w:-]+|text\(\)|\.)\s*,\s*(?:'([^']*)'|\"([^\"]*)\")\s*\)")
 
 
 def xpath(text: str) -> Compiled:
@@ -104,11 +169,40 @@ def xpath(text: str) -> Compiled:
     elif m := re.search(r"/@([\w:-]+)$", body):
         take, attribute, body = "attr", m[1], body[: m.start()]
     steps = []
-    for slash, tag, parts in re.findall(r"(//?)([\w*-]+)((?:\[[^\]]*\])*)", body):
-        steps.append((slash == "/", _test(tag, parts)))
-    if not steps or "".join(f"{a}{b}{c}" for a, b, c in re.findall(r"(//?)([\w*-]+)((?:\[[^\]]*\])*)", body)) != body:
+    for slash, tag, parts in _X_STEP.findall(body):
+        plain, more = "", []
+        for p in re.findall(r"\[([^\]]*)\]", parts):
+            p, place = p.strip(), "nth" if tag == "*" else "same"
+            if p.isdigit():
+                more.append(lambda n, k=int(p), c=place: n[c] == k)
+            elif p == "last()" and tag == "*":
+                more.append(lambda n: (n["nth"] > 0) & (n["after"] == 0))
+            elif m := _X_CONTAINS.fullmatch(p):
+                more.append(_holds(m[1], m[2] if m[2] is not None else m[3]))
+            elif p.startswith("@"):
+                plain += f"[{p}]"
+            else:
+                raise ValueError(f"unsupported selector: {text!r}")
+        steps.append(("child" if slash == "/" else "below", _test(tag, plain, more)))
+    if not steps or "".join("".join(x) for x in _X_STEP.findall(body)) != body:
         raise ValueError(f"unsupported selector: {text!r}")
-    return Compiled(tuple(steps), take, attribute)
+    return Compiled((tuple(steps),), take, attribute)
+
+
+#: The whole page's nodes, by the name that ``with_nodes`` gives them, for tests that look at a node's texts.
+PAGE_NODES = "nodes"
+
+
+def _holds(what: str, part: str):
+    def test(n: Column) -> Column:
+        if what.startswith("@"):
+            return F.coalesce(n["attrs"][what[1:]].contains(part), F.lit(False))
+        inside = subtree(F.col(PAGE_NODES), n)
+        own = F.filter(inside, lambda t: (t["tag"] == "#text") & ((t["parent"] == n["pre"]) if what == "text()" else F.lit(True)))
+        texts = F.transform(own, lambda t: t["text"])
+        return F.exists(texts, lambda t: t.contains(part)) if what == "text()" else F.array_join(texts, "").contains(part)
+
+    return test
 
 
 def values(selector: Selector, nodes: Column, within: Column | None = None, max_level: int = 8) -> Column:
@@ -127,12 +221,17 @@ def values(selector: Selector, nodes: Column, within: Column | None = None, max_
     return none
 
 
+def _followed_by(found: Column, more: Column) -> Column:
+    return let(found, lambda f: F.concat(f, F.filter(more, lambda n: ~F.exists(f, lambda a: a["pre"] == n["pre"]))))
+
+
 def _by_role(selector: Selector, nodes: Column, within: Column | None) -> Column:
-    tags = ROLE_TAGS.get(selector.value, ())
-    scope = lambda n: below(n, within) if within is not None else F.lit(True)
-    explicit = F.filter(nodes, lambda n: F.coalesce(n["attrs"]["role"] == selector.value, F.lit(False)) & scope(n))
-    implied = F.filter(nodes, lambda n: n["tag"].isin(*tags) & scope(n)) if tags else F.filter(nodes, lambda n: F.lit(False))
-    found = F.concat(explicit, implied)
+    role = selector.value.strip().lower()
+    tests = [f'[role="{role}"]', *ROLE_SELECTORS.get(role, ())]
+    # each alternative's matches follow those of the alternatives before it; a node counts once
+    found = css(tests[0]).nodes(nodes, within)
+    for t in tests[1:]:
+        found = _followed_by(found, css(t).nodes(nodes, within))
     if selector.name:
         label = lambda n: F.coalesce(*[F.when(n["attrs"][a] != "", n["attrs"][a]) for a in ("aria-label", "alt", "title", "value")], node_text(nodes, n))
         found = F.filter(found, lambda n: F.lower(label(n)).contains(selector.name.lower()))
