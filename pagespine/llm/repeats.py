@@ -42,7 +42,7 @@ SIDE = (LENGTH - GRAM) // 2
 CORE = SIDE + GRAM
 SLICE_BYTES = 1 << 20
 SHARD_BYTES = 1 << 19
-BUCKET_BYTES = 1 << 22
+BUCKET_BYTES = 1 << 20
 CORE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
