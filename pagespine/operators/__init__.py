@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("pages", "records", "network", "metrics", "crawl", "observe", "tables", "verify")
+AREAS = ("pages", "records", "network", "metrics", "crawl", "observe", "tables", "verify", "compiled")
 
 
 def collect() -> tuple[dict, dict]:
