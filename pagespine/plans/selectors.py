@@ -81,7 +81,8 @@ class Compiled:
         return F.transform(found, lambda n: node_text(nodes, n))
 
 
-def _nth(place: Column, text: str) -> Column:
+def _nth(text: str):
+    """Whether an element has one of the places that ``text`` gives."""
     text = {"odd": "2n+1", "even": "2n"}.get(text.strip(), text.replace(" ", ""))
     m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", text)
     if not m or not text:
@@ -89,8 +90,8 @@ def _nth(place: Column, text: str) -> Column:
     step = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
     first = int(m[2] or 0)
     if step == 0:
-        return place == first
-    return ((place - first) % step == 0) & (((place - first) / step) >= 0)
+        return lambda n: n["nth"] == first
+    return lambda n: (n["nth"] > 0) & ((n["nth"] - first) % step == 0) & (((n["nth"] - first) / step) >= 0)
 
 
 def _pseudo(name: str, of: str | None):
@@ -99,7 +100,7 @@ def _pseudo(name: str, of: str | None):
     if name == "last-child":
         return lambda n: (n["nth"] > 0) & (n["after"] == 0)
     if name == "nth-child" and of:
-        return lambda n: (n["nth"] > 0) & _nth(n["nth"], of)
+        return _nth(of)
     if name == "not" and of and (m := _STEP.fullmatch(of.strip())):
         inner = _test(m["tag"], m["rest"])
         return lambda n: ~F.coalesce(inner(n), F.lit(False))

@@ -14,7 +14,8 @@ def test_same_as_sql(spark, tiny, by_sql, same, name):
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_runs(spark, tiny, name):
-    assert QUERIES[name](spark, tiny).count() >= 0
+    """Values are in test_plain and test_pages."""
+    assert QUERIES[name](spark, tiny).count() > 0
 
 
 def test_every_sql_has_a_query():
