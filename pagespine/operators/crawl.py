@@ -144,6 +144,67 @@ def sitemap_urls(spark, sf):
     return s.select("page_id", F.explode("s.urls").alias("loc"), F.col("s.is_index").alias("is_index"))
 
 
+def expanded_sitemaps(roots: DataFrame, nested: DataFrame, max_depth: int = 10) -> DataFrame:
+    """sitemap, path: every sitemap that the roots (sitemap, ord) lead to, each once, where it first stands; nested ones
+    (sitemap, child, ord) follow their parent at once, in their own order. ``path`` sorts them so."""
+    level = written(roots.groupBy("sitemap").agg(F.min(F.array("ord")).alias("path")), "sitemaps")
+    found = level
+    for _ in range(max_depth):
+        below = level.join(nested, "sitemap").select(F.col("child").alias("sitemap"), F.concat("path", F.array("ord")).alias("path"))
+        level = written(below.groupBy("sitemap").agg(F.min("path").alias("path")).join(found.select("sitemap"), "sitemap", "left_anti"), "sitemaps")
+        if not level.take(1):
+            break
+        found = found.unionByName(level)
+    return found
+
+
+def sitemap_locations(sitemaps: DataFrame, locations: DataFrame, max_sitemaps: int, max_urls: int) -> DataFrame:
+    """url, sitemap, place: locations (sitemap, url, ord) of the first ``max_sitemaps`` in order, each where it first
+    stands, up to ``max_urls`` (the feature's own limits)."""
+    first = numbered(sitemaps, [F.col("path"), F.col("sitemap")], "nth").filter(F.col("nth") <= max_sitemaps)
+    once = locations.join(first, "sitemap").groupBy("url").agg(F.min(F.struct("nth", "ord", "sitemap")).alias("x"))
+    placed = numbered(once.select("url", "x.*"), [F.col("nth"), F.col("ord"), F.col("url")], "place")
+    return placed.filter(F.col("place") <= max_urls).select("url", "sitemap", "place")
+
+
+@query("sitemap_queue", """WITH maps AS (SELECT 'r' || r_regionkey AS sitemap, [r_regionkey] AS path FROM region UNION ALL SELECT 'n' || n_nationkey, [n_regionkey, n_nationkey] FROM nation), f AS (SELECT *, row_number() OVER (ORDER BY path, sitemap) AS nth FROM maps),
+l AS (SELECT 'n' || s_nationkey AS sitemap, 'u' || (s_suppkey % 60) AS url, s_suppkey AS ord FROM supplier UNION ALL SELECT 'r' || (s_suppkey % 5), 'u' || (s_suppkey % 70), s_suppkey FROM supplier),
+o AS (SELECT url, sitemap, nth, ord FROM l JOIN f USING (sitemap) WHERE nth <= 20 QUALIFY row_number() OVER (PARTITION BY url ORDER BY nth, ord) = 1)
+SELECT url, sitemap, place FROM (SELECT url, sitemap, row_number() OVER (ORDER BY nth, ord, url) AS place FROM o) WHERE place <= 50""")
+def sitemap_queue(spark, sf):
+    name = lambda mark, c: F.concat(F.lit(mark), F.col(c).cast("string"))
+    long = lambda c: F.col(c).cast("long")
+    roots = read(spark, sf, "region").select(name("r", "r_regionkey").alias("sitemap"), long("r_regionkey").alias("ord"))
+    nested = read(spark, sf, "nation").select(name("r", "n_regionkey").alias("sitemap"), name("n", "n_nationkey").alias("child"), long("n_nationkey").alias("ord"))
+    s = read(spark, sf, "supplier")
+    of = lambda sitemap, n: s.select(sitemap.alias("sitemap"), F.concat(F.lit("u"), (F.col("s_suppkey") % n).cast("string")).alias("url"), long("s_suppkey").alias("ord"))
+    locations = of(name("n", "s_nationkey"), 60).unionByName(of(F.concat(F.lit("r"), (F.col("s_suppkey") % 5).cast("string")), 70))
+    return sitemap_locations(expanded_sitemaps(roots, nested), locations, 20, 50)
+
+
+# Functions that navigate, and calls of them.
+NAVIGATION = r"function\s+(\w+)\s*\(([^)]*)\)\s*\{[^}]*?location(?:\.href)?\s*=\s*['\"]([^'\"]*[/=])['\"]\s*\+\s*(\w+)"
+CALL = r"(\w+)\(\s*['\"]([^'\"]+)['\"]"
+
+
+def onclick_links(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
+    """id, link: addresses that scripts of the page build from the first argument of an ``onclick`` call."""
+    groups = lambda i: F.regexp_extract_all(html, F.lit(NAVIGATION), i)
+    plain = F.filter(F.arrays_zip(groups(1).alias("name"), groups(2).alias("params"), groups(3).alias("prefix"), groups(4).alias("added")), lambda f: F.trim(F.substring_index(f["params"], ",", 1)) == f["added"])
+    templates = F.map_from_entries(F.transform(plain, lambda f: F.struct(f["name"], f["prefix"])))
+    calls = F.regexp_extract_all(html, F.lit(r"(?i)onclick=\"([^\"]*)\""), 1)
+    made = F.transform(calls, lambda c: F.concat(F.try_element_at(F.col("__t"), F.regexp_extract(c, CALL, 1)), F.regexp_extract(c, CALL, 2)))
+    return pages.withColumn("__t", templates).select(id, F.explode(F.array_compact(made)).alias("link"))
+
+
+@query("onclick_links", "SELECT page_id, '/item/' || page_id AS link FROM pages WHERE page_id % 2 = 0")
+def script_links(spark, sf):
+    k = F.col("page_id")
+    script = "<script>function go(id, x) { track(x); window.location.href = '/item/' + id; } function no(a) { alert(a); }</script>"
+    call = F.when(k % 2 == 0, F.concat(F.lit("<a onclick=\"go('"), k.cast("string"), F.lit("', 1)\">x</a>"))).otherwise("<a onclick=\"no('y')\">x</a>")
+    return onclick_links(read(spark, sf, "pages").select(k, F.concat("html", F.lit(script), call).alias("html")))
+
+
 def robots_sitemaps(text: Column) -> Column:
     lines = F.transform(F.split(text, r"\r?\n"), lambda x: F.trim(x))
     return F.transform(F.filter(lines, lambda x: x.rlike(r"(?i)^sitemap:\s*\S")), lambda x: F.trim(F.regexp_replace(x, r"(?i)^sitemap:", "")))

@@ -43,6 +43,7 @@ class Field:
     root: Selector | None = None
     required: bool = False
     default: object = None
+    compute: object = None  # a function of the page's nodes and the row's node that gives a column, in place of the cascade
 
 
 @dataclass(frozen=True)
@@ -59,6 +60,8 @@ def _compiled(s: Selector):
 
 def raw_value(f: Field, nodes: Column, within: Column | None = None, max_level: int = 8) -> Column:
     """The first selector of the cascade that yields something, as text; the field's own root, if it has one, must match."""
+    if f.compute is not None:
+        return f.compute(nodes, within)
     if f.root is not None and f.root.kind in ("css", "xpath"):
         within = F.try_element_at(_compiled(f.root).nodes(nodes, within), F.lit(1))
     tries = []
@@ -99,14 +102,48 @@ def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def typed(raw: DataFrame, contract: Contract) -> DataFrame:
-    """The fields coerced; what can't be becomes the default, and is named in ``defaulted``."""
-    out, failed = {}, []
+    """The fields coerced; what can't be becomes the default, and is named in ``defaulted``; required fields that are then
+    null are named in ``missing``."""
+    out, failed, missing = {}, [], []
     for f in contract.fields:
         value = COERCERS[f.kind](F.col(f.name))
         failed.append(F.when(F.col(f.name).isNotNull() & value.isNull(), F.lit(f.name)))
+        has_default = f.default is not None
+        if f.required:
+            missing.append(F.when(value.isNull() & F.lit(not has_default), F.lit(f.name)))
         out[f.name] = F.coalesce(value, F.lit(f.default).cast(raw.select(value.alias("v")).schema["v"].dataType)) if f.default is not None else value
     rest = [c for c in raw.columns if c not in out]
-    return raw.select(*rest, *[v.alias(k) for k, v in out.items()], F.array_compact(F.array(*failed)).alias("defaulted"))
+    return raw.select(*rest, *[v.alias(k) for k, v in out.items()], F.array_compact(F.array(*failed)).alias("defaulted"), F.array_compact(F.array(*missing)).cast("array<string>").alias("missing"))
+
+
+def complete(rows: DataFrame) -> DataFrame:
+    """The typed rows that lack no required field."""
+    return rows.filter(F.size("missing") == 0)
+
+
+def nested(pages: DataFrame, parent: Contract, children: dict[str, Contract], id: str = "page_id", html: str = "html", max_level: int = 8) -> DataFrame:
+    """id, ord, the parent's raw fields, and for each child contract an array of structs of its fields, from its containers
+    within the parent's; a child without a container gives one struct."""
+    parsed, nodes = with_nodes(pages.select(id, html), html), F.col("nodes")
+
+    def fields(c: Contract, within):
+        return [raw_value(f, nodes, within, max_level).alias(f.name) for f in c.fields]
+
+    def record(within):
+        inner = []
+        for name, c in children.items():
+            if c.container is None:
+                inner.append(F.array(F.struct(*fields(c, within))).alias(name))
+            else:
+                inner.append(each(c, within).alias(name))
+        return F.struct(*fields(parent, within), *inner)
+
+    def each(c: Contract, within):
+        return F.transform(_compiled(c.container).nodes(nodes, within), lambda w: F.struct(*fields(c, w)))
+
+    if parent.container is None:
+        return parsed.select(id, F.lit(0).alias("ord"), record(None).alias("r")).select(id, "ord", "r.*")
+    return parsed.select(id, F.posexplode(F.transform(_compiled(parent.container).nodes(nodes), record)).alias("ord", "r")).select(id, "ord", "r.*")
 
 
 def issues(raw: DataFrame, contract: Contract) -> DataFrame:

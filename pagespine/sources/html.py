@@ -190,6 +190,35 @@ def cleaned(nodes: Column) -> Column:
     return let(without(nodes, lambda n: n["tag"].isin(*NOISE_TAGS, *FRAME_TAGS) | side(n)), lambda kept: let(scoped(kept), shortened))
 
 
+# What pruning drops; how deep an anonymous empty box may lie; how much text keeps what is hidden.
+NON_SEMANTIC = ("svg", "canvas")
+DEEPEST_EMPTY, HIDDEN_TEXT = 8, 80
+DATA_URI = "[data-uri-removed]"
+
+
+def hidden(n: Column) -> Column:
+    """Whether an element says that it isn't shown."""
+    return (n["tag"] != "#text") & (n["attrs"]["hidden"].isNotNull() | F.coalesce(n["attrs"]["aria-hidden"] == "true", F.lit(False)))
+
+
+def pruned(nodes: Column) -> Column:
+    """The nodes without drawings, hidden parts that hold little, and deep empty boxes without a name; inline image data
+    is replaced by a mark."""
+
+    def payload(own):
+        records = F.exists(own, lambda n: n["tag"].isin("article", "tr", "li") | n["attrs"]["data-sku"].isNotNull() | n["attrs"]["data-component"].isNotNull())
+        return records | (F.length(F.trim(F.array_join(F.filter(texts(own), lambda t: F.trim(t) != ""), " "))) >= HIDDEN_TEXT)
+
+    def empty_box(n):
+        named = n["attrs"]["class"].isNotNull() | n["attrs"]["id"].isNotNull() | F.exists(F.map_keys(n["attrs"]), lambda k: k.startswith("data-"))
+        return n["tag"].isin("div", "span") & ~named & (n["depth"] > DEEPEST_EMPTY) & (F.trim(F.array_join(texts(subtree(nodes, n)), "")) == "")
+
+    inside = lambda n: F.slice(nodes, n["pre"] + 2, n["last"] - n["pre"])
+    kept = without(nodes, lambda n: n["tag"].isin(*NON_SEMANTIC) | (hidden(n) & ~payload(inside(n))) | empty_box(n))
+    marked = lambda n: F.transform_values(n["attrs"], lambda k, v: F.when((k == "src") & v.startswith("data:"), DATA_URI).otherwise(v))
+    return F.transform(kept, lambda n: n.withField("attrs", marked(n)))
+
+
 def node_table(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
     """One row per node: the id and the node's fields."""
     return with_nodes(pages.select(id, html), html).select(id, F.explode("nodes").alias("n")).select(id, "n.*")

@@ -244,3 +244,41 @@ def test_gate_of_contracts(spark):
     c = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (3, "a"), (3, "b"), (4, "a")], "page int, contract string")
     got = {r["page"]: (r["contracts"], r["empty"], r["overlapping"], r["accepted"]) for r in verify.discriminated(f, c, "page", "contract", "element").collect()}
     assert got == {1: (2, 0, 0, True), 2: (2, 0, 1, False), 3: (2, 1, 0, False), 4: (1, 1, 0, False)}
+
+
+def test_plans(spark):
+    from pagespine.plans.extraction import computed, evidence, rows, take
+
+    pages = spark.createDataFrame([(1, HTML)], "page_id int, html string")
+    made = rows(pages, "li", {"text": take("b"), "key": take("li").attribute("data-k"), "whole": lambda nodes, within: html.node_text(nodes, within), "mark": evidence})
+    got = made.orderBy("ord").collect()
+    assert [(r["text"], r["key"], r["whole"]) for r in got] == [(None, None, "1"), (None, None, "2"), ("in", None, "3 in")] and len({r["mark"] for r in got}) == 3
+    page = rows(pages, None, {"hrefs": take("a").attribute("href").all(), "sizes": take("li").all().map(F.length).map(lambda n: F.when(n > 1, n)).compact(), "first": take("//p", "xpath").map(F.upper)})
+    assert tuple(page.select("hrefs", "sizes", "first").first()) == (["/q"], [4], "ONE  L")
+    more = computed(page, lambda df: F.struct(F.size("hrefs").alias("n"), F.col("first").alias("again")), ["n", "again"])
+    assert tuple(more.select("n", "again").first()) == (1, "ONE  L")
+
+
+def test_required_and_nested_fields(spark):
+    from pagespine.plans.contract import complete, extract, nested, typed
+
+    body = '<div class="shop"><h2>S1</h2><p class="i"><b>x</b><i>3</i></p><p class="i"><b>y</b></p></div><div class="shop"><h2>S2</h2></div>'
+    pages = spark.createDataFrame([(1, body)], "page_id int, html string")
+    item = Contract("Item", (Field("name", (Selector("b"),)), Field("price", (Selector("i"),), "number", required=True)), container=Selector("p.i"))
+    shop = Contract("Shop", (Field("title", (Selector("h2"),)), Field("loud", (), compute=lambda nodes, within: F.upper(F.try_element_at(css("h2").values(nodes, within), F.lit(1))))), container=Selector("div.shop"))
+    got = nested(pages, shop, {"items": item}).orderBy("ord").collect()
+    assert [(r["title"], r["loud"], [(i["name"], i["price"]) for i in r["items"]]) for r in got] == [("S1", "S1", [("x", "3"), ("y", None)]), ("S2", "S2", [])]
+    rows = typed(extract(pages, item), item)
+    assert sorted((r["name"], r["missing"]) for r in rows.collect()) == [("x", []), ("y", ["price"])] and complete(rows).count() == 1
+
+
+def test_pruned(spark):
+    deep = "<div>" * 10 + "<div><div></div></div><div class='k'></div><div>text</div>" + "</div>" * 10
+    page = f"<body><svg><path></path></svg><img src='data:image/png;base64,xx'><img src='/a.png'><div hidden>little</div><div hidden><ul><li>kept</li></ul></div><div aria-hidden='true'>{'long ' * 20}</div>{deep}</body>"
+    nodes = html.with_nodes(spark.createDataFrame([(1, page)], "id int, html string")).select(html.pruned(F.col("nodes")).alias("n")).first()["n"]
+    tags = Counter(n["tag"] for n in nodes)
+    assert tags["svg"] == tags["path"] == tags["canvas"] == 0 and tags["li"] == 1
+    assert [n["attrs"]["src"] for n in nodes if n["tag"] == "img"] == [html.DATA_URI, "/a.png"]
+    shown = [n["text"].strip() for n in nodes if n["tag"] == "#text"]
+    assert "little" not in shown and "kept" in shown and "text" in shown and any(t.startswith("long") for t in shown)
+    assert sum(n["tag"] == "div" and n["depth"] > 8 for n in nodes) == 4
