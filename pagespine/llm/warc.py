@@ -1,8 +1,8 @@
 """WARC archives of pages, with repeated payloads as revisit records.
 
 Only headers (id, URL, digest, size) are shuffled by payload digest: of equal payloads the page with the largest page_id
-is the response and the others become revisits that refer to it. The verdicts go back to the pages by page_id, so
-that no payload that many pages share gathers in one task. Each task writes its rows to an archive of its own: a warcinfo record, then one
+is the response and the others become revisits that refer to it. The verdicts go back to the pages by page_id, to
+those pages only that may have one, so no payload that many pages share gathers in one task. Each task writes its rows to an archive of its own: a warcinfo record, then one
 gzip member a record, with fresh record ids, dates and digests. Reading goes through all archives, and joins the
 revisits to the responses they refer to.
 
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import join_counted, make_dirs, materialise, open_read, open_write, quoted, scratch_path, shuffle_partitions, table, task_file
+from ._common import join_counted, make_dirs, materialise, maybe_in, open_read, open_write, quoted, scratch_path, shuffle_partitions, table, task_file
 
 #: Fixed values of the format.
 VERSION = b"WARC/1.1\r\n"
@@ -92,28 +92,31 @@ def read_archive(f):
 
 
 def resolve(pages: DataFrame, payload: str = "html", page_id: str = "page_id", url: str = "url", min_bytes: int = 0) -> DataFrame:
-    """page_id, url, payload (binary), digest, winner and winner_url: the page that this one revisits, or null for a response."""
-
-    @F.arrow_udf("string")
-    def digest(column: pa.Array) -> pa.Array:
-        return pa.array([base32_sha1(x) for x in column.to_pylist()], pa.string())
+    """page_id, url, payload (binary), sha1 (hex), winner and winner_url (the page that this one revisits, null for a
+    response), twin (whether another row has this page_id and payload).
 
+    Only rows that may be revisits or twins are joined with their verdicts; the others stay where they are.
+    """
     body = pages.select(F.col(quoted(page_id)).alias("page_id"), F.col(quoted(url)).alias("url"), F.coalesce(F.col(quoted(payload)).cast("binary"), F.lit(b"")).alias("payload"))
-    body = body.withColumn("digest", digest("payload"))
-    heads = materialise(body.filter(F.col("page_id").isNotNull() & (F.length("payload") >= min_bytes)).select("page_id", "url", "digest"), "warc-headers")
-    largest = heads.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("w"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    revisits = join_counted(heads.select("page_id", "digest"), largest, "digest", "n").filter("page_id < w.page_id")
-    revisits = revisits.groupBy("page_id", "digest").agg(F.first("w").alias("w"))
-    # the digest is in the join's condition, as rows with one id may have different payloads
-    joined = body.alias("b").join(revisits.alias("r"), (F.col("b.page_id") == F.col("r.page_id")) & (F.col("b.digest") == F.col("r.digest")), "left")
-    return joined.select("b.page_id", "b.url", "b.payload", "b.digest", F.col("r.w.page_id").alias("winner"), F.col("r.w.url").alias("winner_url"))
+    body = body.withColumn("sha1", F.sha1("payload"))
+    able = body.filter(F.col("page_id").isNotNull() & (F.length("payload") >= min_bytes))
+    heads = materialise(able.groupBy("page_id", "sha1").agg(F.max("url").alias("url"), F.count(F.lit(1)).alias("times")), "warc-headers")
+    largest = heads.groupBy("sha1").agg(F.max(F.struct("page_id", "url")).alias("w"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    revisits = join_counted(heads.select("page_id", "sha1"), largest, "sha1", "n").filter("page_id < w.page_id").select("page_id", "sha1", F.col("w.page_id").alias("winner"), F.col("w.url").alias("winner_url"))
+    twins = heads.filter("times > 1").select("page_id", "sha1", F.lit(True).alias("twin"))
+    verdicts = materialise(revisits.join(twins, ["page_id", "sha1"], "full_outer").withColumnsRenamed({"page_id": "__id", "sha1": "__sha1"}), "warc-verdicts")
+    marked = maybe_in(body, "xxhash64(page_id, sha1)", verdicts, "xxhash64(__id, __sha1)", "may")
+    held = marked.filter("may").join(verdicts, (F.col("page_id") == F.col("__id")) & (F.col("sha1") == F.col("__sha1")), "left")
+    columns = ["page_id", "url", "payload", "sha1"]
+    none = [F.lit(None).cast(verdicts.schema[c].dataType).alias(c) for c in ("winner", "winner_url", "twin")]
+    return marked.filter("NOT may").select(*columns, *none).unionByName(held.select(*columns, "winner", "winner_url", "twin"))
 
 
 def write_archives(resolved: DataFrame, folder: str, date: str | None = None) -> DataFrame:
     """Writes one archive a task; returns the manifest (path, n_records) of the attempts that succeeded.
 
-    ``date`` is that of all records, by default the time of the call. Rows are dealt and sorted by page_id, so repeated
-    rows come one after the other and are numbered as they come.
+    ``date`` is that of all records, by default the time of the call. Repeated rows are dealt and sorted by page_id, so
+    that they come one after the other and are numbered as they come; the others are written where they are.
     """
     spark = resolved.sparkSession
     make_dirs(folder)
@@ -123,14 +126,15 @@ def write_archives(resolved: DataFrame, folder: str, date: str | None = None) ->
         out = path = last = None
         n = number = 0
         for batch in batches:
-            for page_id, url, payload, digest, winner, winner_url in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, payload, sha1, winner, winner_url, twin in zip(*(c.to_pylist() for c in batch.columns)):
                 if out is None:
                     path = task_file(folder, ".warc.gz")
                     out = open_write(path)
                     out.write(gzip.compress(info_record(date)))
-                number = number + 1 if (page_id, digest) == last else 0
-                last = (page_id, digest)
+                number = number + 1 if twin and (page_id, sha1) == last else 0
+                last = (page_id, sha1)
                 packed = zlib.compressobj(6, zlib.DEFLATED, 31)
+                digest = base64.b32encode(bytes.fromhex(sha1)).decode()
                 whole = page_record(page_id, url, payload, digest, winner, winner_url, date, number if page_id is not None else uuid.uuid4().int)
                 out.write(packed.compress(whole) + packed.flush())
                 n += 1
@@ -138,9 +142,10 @@ def write_archives(resolved: DataFrame, folder: str, date: str | None = None) ->
             out.close()
             yield pa.RecordBatch.from_pydict({"path": [path], "n_records": pa.array([n], pa.int64())})
 
-    # rows without an id are dealt by their digest
-    dealt = resolved.select("page_id", "url", "payload", "digest", "winner", "winner_url").repartition(shuffle_partitions(spark), F.coalesce(F.xxhash64("page_id"), F.xxhash64("digest", "url")))
-    return materialise(dealt.sortWithinPartitions("page_id", "digest").mapInArrow(write, "path string, n_records long"), "warc-manifest")
+    rows = resolved.select("page_id", "url", "payload", "sha1", "winner", "winner_url", "twin")
+    dealt = rows.filter("twin").repartition(shuffle_partitions(spark), "page_id").sortWithinPartitions("page_id", "sha1")
+    made = rows.filter("twin IS NULL").unionByName(dealt).mapInArrow(write, "path string, n_records long")
+    return materialise(made, "warc-manifest")
 
 
 def read_archives(manifest: DataFrame, id_type: str = "long") -> DataFrame:
