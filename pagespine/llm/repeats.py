@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise, maybe_in, pass_through, quoted, runs_of, shuffle_partitions, spare, table, text_key
+from ._common import join_counted, materialise, maybe_in, pass_through, quoted, runs_of, shuffle_partitions, spare, table, text_key
 
 LENGTH = 400
 GRAM = 32
@@ -296,7 +296,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
     made = materialise(bodies.filter(F.length("body") >= LENGTH).mapInArrow(cut, f"doc {kind}, key long, start long, n int, core long, piece long"), "pieces")
     cores = materialise(made.groupBy("core").agg(F.count(F.lit(1)).alias("times")).filter("times > 1").select("core"), "cores")
     made = materialise(maybe_in(made, "core", cores, "core", "may").filter("may").drop("may"), "shared-pieces")
-    distinct = made.groupBy("core", "piece").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "key", "start", "n")).alias("at"))
+    distinct = materialise(made.groupBy("core", "piece").agg(F.count(F.lit(1)).alias("times"), F.min(F.struct("doc", "key", "start", "n")).alias("at")), "distinct-pieces")
     entries = materialise(_shared(distinct, F.col("at.n")), "entries")
     def slices(batches):
         for batch in batches:
@@ -346,7 +346,7 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
 
         parts = materialise(heavy.mapInArrow(narrow, _names(_SPLIT)), "split-pieces")
         maps.append(parts.select("core", "piece", "first", "to_core", "to_piece"))
-        merged = parts.groupBy(F.col("to_core").alias("core"), F.col("to_piece").alias("piece")).agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+        merged = materialise(parts.groupBy(F.col("to_core").alias("core"), F.col("to_piece").alias("piece")).agg(F.sum("times").alias("times"), F.first("n").alias("n"), F.first("bytes").alias("bytes")), "split-distinct")
         at_level = materialise(_shared(merged, F.col("n")).select(F.lit(level).alias("level"), "core", "piece", "times", "n", (F.col("heavy") & F.lit(level < LEVELS)).alias("heavy"), "bytes"), "piece-bytes")
         levels.append(at_level.filter("NOT heavy"))
         total += levels[-1].agg(F.sum(F.length("bytes"))).first()[0] or 0
@@ -386,8 +386,8 @@ _SPLIT = {"core": pa.int64(), "piece": pa.int64(), "first": pa.int32(), "to_core
 
 def _shared(pieces: DataFrame, n) -> DataFrame:
     """``pieces`` whose core occurs twice or more, with ``heavy``: whether the core has too many bytes for one group."""
-    size = pieces.groupBy("core").agg(F.sum("times").alias("total"), F.sum(n + LENGTH - 1).alias("size")).filter("total > 1")
-    return pieces.join(size.select("core", (F.col("size") > CORE_BYTES).alias("heavy")), "core")
+    size = pieces.groupBy("core").agg(F.sum("times").alias("total"), F.sum(n + LENGTH - 1).alias("size"), F.count(F.lit(1)).alias("pieces")).filter("total > 1")
+    return join_counted(pieces, size.select("core", "pieces", (F.col("size") > CORE_BYTES).alias("heavy")), "core", "pieces").drop("pieces")
 
 
 def _names(fields: dict) -> str:
