@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..scratch import numbered
 from ..sources.html import NON_CONTENT, let, subtree, with_nodes
 from ._registry import read, registry
-from .crawl import numbered
 from .network import _REQ, endpoint_groups, requests, templated
 from .observe import MIN_SKELETON, features
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..plans.contract import keep_first
-from ..scratch import written
+from ..scratch import numbered, written
 from ._registry import read, registry
 from .pages import _PARTS
 
@@ -117,19 +117,6 @@ def reachability(spark, sf):
     return reachable(edges, n.filter("source = 0").select(F.col("source").alias("node")), 4)
 
 
-def numbered(rows: DataFrame, order: list, out: str) -> DataFrame:
-    """Adds the place of each row in ``order``, from 1, without gathering the rows: they are dealt by ranges, sorted and
-    written, and a part's places begin behind those of the parts before it."""
-    spark = rows.sparkSession
-    parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order)
-    placed = written(parts.withColumn("__part", F.spark_partition_id()).withColumn("__at", F.monotonically_increasing_id() - F.shiftleft(F.col("__part").cast("long"), 33)), "numbered")
-    sizes = placed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # one row a part
-    starts = F.broadcast(sizes.select("__part", before.alias("__start")))
-    return placed.join(starts, "__part").select(*rows.columns, (F.col("__start") + F.col("__at") + 1).alias(out))
-
-
 def sitemap_entries(xml: Column) -> Column:
     """struct<is_index, urls>: the locations of a sitemap, or the sitemaps of an index."""
     return F.struct(xml.rlike("<sitemapindex[ >]").alias("is_index"), F.transform(F.regexp_extract_all(xml, F.lit(r"<(?:loc|link)>\s*([^<]*?)\s*</(?:loc|link)>"), 1), lambda u: F.replace(u, F.lit("&amp;"), F.lit("&"))).alias("urls"))

@@ -36,16 +36,62 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("__last")).select(*keys, "__last.*")
 
 
-def keep_newest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str]) -> StreamingQuery:
-    """A table of the newest row of each key, as versions ``path/v=N`` by batch; the largest version is the table.
+BUCKETS = 64
 
-    Each batch is merged with the version before its own, so running it again gives the same version.
+
+def keep_newest(stream: DataFrame, path: str, checkpoint: str, keys: list[str], order: list[str], buckets: int = BUCKETS) -> StreamingQuery:
+    """A table of the newest row of each key, in ``buckets`` by a hash of the key; ``read_newest`` reads it.
+
+    A batch rewrites only the buckets of its keys, as ``path/v=N/bucket=B`` with N the batch's number: it merges each with
+    the largest version before its own, so running it again gives the same version. Of versions before that, its buckets
+    are removed.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = batch
-        if batch_id:
-            rows = batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={batch_id - 1}").unionByName(batch)
-        newest(rows, keys, order).select(*batch.columns).write.mode("overwrite").parquet(f"{path}/v={batch_id}")
+        spark = batch.sparkSession
+        own = batch.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        try:
+            touched = {r["bucket"] for r in own.select("bucket").distinct().collect()}  # at most ``buckets``
+            before = {b: [v for v in found if v < batch_id] for b, found in _versions(spark, path).items() if b in touched}
+            rows = own
+            for b, found in before.items():
+                if found:
+                    rows = rows.unionByName(spark.read.schema(batch.schema).parquet(f"{path}/v={max(found)}/bucket={b}").withColumn("bucket", F.lit(b)))
+            newest(rows, ["bucket", *keys], order).select(*own.columns).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/v={batch_id}")
+            for b, found in before.items():
+                for v in sorted(found)[:-1]:
+                    _folder(spark, f"{path}/v={v}/bucket={b}").delete()
+        finally:
+            own.unpersist()
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+class _folder:
+    """A folder in whatever store Spark reads."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self.store = self.path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def names(self) -> list[str]:
+        return [s.getPath().getName() for s in self.store.listStatus(self.path)] if self.store.exists(self.path) else []
+
+    def delete(self) -> None:
+        self.store.delete(self.path, True)
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, list[int]]:
+    """Of each bucket its versions, of those that were written to the end."""
+    out: dict[int, list[int]] = {}
+    for name in _folder(spark, path).names():
+        inside = _folder(spark, f"{path}/{name}").names() if name.startswith("v=") else []
+        for b in inside if "_SUCCESS" in inside else ():
+            if b.startswith("bucket="):
+                out.setdefault(int(b[7:]), []).append(int(name[2:]))
+    return out
+
+
+def read_newest(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``keep_newest`` keeps: of each bucket its largest version."""
+    return spark.read.parquet(*[f"{path}/v={max(found)}/bucket={b}" for b, found in sorted(_versions(spark, path).items())])

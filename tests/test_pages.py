@@ -152,7 +152,7 @@ def test_streams(spark, tmp_path):
     streaming.write_records(streaming.pages(spark, str(source), 1), NEWS_ARTICLE, f"{tmp_path}/out", f"{tmp_path}/c1").awaitTermination()
     assert sorted(r["page_id"] for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 1, 11, 12]
     streaming.keep_newest(streaming.pages(spark, str(source), 1), f"{tmp_path}/table", f"{tmp_path}/c2", ["page_id"], ["url"]).awaitTermination()
-    newest = spark.read.parquet(f"{tmp_path}/table/v=1")
+    newest = streaming.read_newest(spark, f"{tmp_path}/table")
     assert {r["page_id"]: r["url"] for r in newest.collect()} == {1: "https://x.test/2", 11: "https://x.test/n", 12: "https://x.test/n"}
 
 
