@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, lm_score, quality_rules, repeats, simhash, token_records, warc
+from . import bpe, decontaminate, language_id, line_dedup, lm_score, quality_rules, repeats, resample, simhash, token_records, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_warc": warc.op8_warc,
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_repeats": repeats.op10_repeats,
+    "op11_resample": resample.op11_resample,
 }
 
-SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op11_resample": resample.SQL}
