@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, language_id, line_dedup, lm_score, quality_rules, repeats, resample, simhash, token_records, warc
+from . import bpe, decontaminate, divergence, language_id, line_dedup, lm_score, quality_rules, repeats, resample, simhash, token_records, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_decontaminate": decontaminate.op9_decontaminate,
     "op10_repeats": repeats.op10_repeats,
     "op11_resample": resample.op11_resample,
+    "op12_divergence": divergence.op12_divergence,
 }
 
-SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op11_resample": resample.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op11_resample": resample.SQL, "op12_divergence": divergence.SQL}
