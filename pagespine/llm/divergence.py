@@ -91,7 +91,7 @@ def with_groups(rows: DataFrame, groups: DataFrame, on: list[str], small: bool)
     return rows.join(F.broadcast(groups) if small else groups, on)
 
 
-def tile_sums(batch: pa.Table) -> pa.Table:
+def tile_sums(batch: pa.Table, width: int) -> pa.Table:
     """One part of one tile pair of one language: (lang, i, j, value) for its pairs of groups i < j.
 
     Rows by kind: 0 the groups of a tile (ids, their denominators, and how many light terms there are), 1 a heavy term's
@@ -138,7 +138,7 @@ def tile_sums(batch: pa.Table) -> pa.Table:
         who, n = np.array([lists[r] for r in chosen], np.int64), np.array([x[r] for r in chosen], np.int64)
         for u in range(size):
             for v in range(size):
-                take = (who[:, u] < who[:, v]) & (who[:, u] // TILE == a) & (who[:, v] // TILE == b)
+                take = (who[:, u] < who[:, v]) & (who[:, u] // width == a) & (who[:, v] // width == b)
                 if take.any():
                     i, j = np.searchsorted(ids[a], who[take, u]), np.searchsorted(ids[b], who[take, v])
                     p, q, bp, bq = share(n[take, u] + 2, below[a][i]), share(n[take, v] + 2, below[b][j]), base[a][i], base[b][j]
@@ -183,7 +183,8 @@ def pair_sums(postings: DataFrame, groups: DataFrame, small: bool, heavy_quarter
     rows = two.select(*columns)
     for more in (base, dense, one):
         rows = rows.unionByName(both(more).select(*columns))
-    made = rows.groupBy("lang", "a", "b", "part").applyInArrow(tile_sums, "lang string, i long, j long, value long")
+    width = TILE
+    made = rows.groupBy("lang", "a", "b", "part").applyInArrow(lambda batch: tile_sums(batch, width), "lang string, i long, j long, value long")
     return made.groupBy("lang", "i", "j").agg(F.sum("value").alias("value"))
 
 

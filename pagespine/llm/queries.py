@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, divergence, language_id, line_dedup, lm_score, quality_rules, repeats, resample, simhash, token_records, warc
+from . import bpe, decontaminate, divergence, language_id, line_dedup, lm_score, quality_rules, repeats, resample, secret_scan, simhash, token_records, warc
 
 QUERIES = {
     "op1_language_id": language_id.op1_language_id,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_repeats": repeats.op10_repeats,
     "op11_resample": resample.op11_resample,
     "op12_divergence": divergence.op12_divergence,
+    "op13_secret_scan": secret_scan.op13_secret_scan,
 }
 
-SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op11_resample": resample.SQL, "op12_divergence": divergence.SQL}
+SQL: dict[str, str] = {"op2_quality_rules": quality_rules.SQL, "op11_resample": resample.SQL, "op12_divergence": divergence.SQL, "op13_secret_scan": secret_scan.SQL}
