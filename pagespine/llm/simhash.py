@@ -31,8 +31,9 @@ from ._components import components
 BYTES, MAX_BITS = 8, 2
 SHARED = BYTES - MAX_BITS
 SLICE_CHARS = 1 << 20
-#: For similar shingles: bytes of a signature, positions of a posting list's key, the least tally, the longest list paired off.
-POSITIONS, RUN, MIN_SHARED, LIST = 64, 4, 38, 256
+#: For similar shingles: bytes of a signature, positions of a posting list's key, the least tally, the longest list paired
+#: off at once, and the pairs of one text that are verified together.
+POSITIONS, RUN, MIN_SHARED, LIST, STAR = 64, 4, 38, 256, 2048
 
 
 def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
@@ -179,16 +180,18 @@ def _orders() -> tuple[np.ndarray, np.ndarray]:
     return x[:, 0].copy(), x[:, 1] | np.uint32(1)
 
 
-def signatures(texts: list[str | None], shingle: int) -> tuple[list[bytes], list[bytes]]:
-    """A key of each text's word sequence, and its signature of ``POSITIONS`` bytes: at each position the byte of the
-    shingle that comes first in the position's own order. Two texts share a position's byte about as often as a
-    shingle of either is one of both."""
-    keys, marks = [], []
+def signatures(texts: list[str | None], shingle: int) -> tuple[list[bytes], list[bytes], list[int]]:
+    """A key of each text's word sequence, its signature of ``POSITIONS`` bytes, and its number of distinct shingles.
+
+    At each position stands the byte of the shingle that comes first in the position's own order. Two texts share a
+    position's byte about as often as a shingle of either is one of both."""
+    keys, marks, distinct = [], [], []
     salts, factors = _orders()
     for a, b in runs_of([len(t or "") for t in texts], SLICE_CHARS):
         found = [shingle_hashes(t, shingle) for t in texts[a:b]]
         keys += [xxhash.xxh3_128_digest(x) for x, _ in found]
-        h = [x if len(x) else np.zeros(1, np.uint64) for _, x in found]
+        h = [np.unique(x) if len(x) else np.zeros(1, np.uint64) for _, x in found]
+        distinct += map(len, h)
         starts = np.cumsum([0, *map(len, h)])[:-1]
         low = (np.concatenate(h) >> np.uint64(32)).astype(np.uint32)
         out = np.empty((len(h), POSITIONS), np.uint8)
@@ -197,16 +200,21 @@ def signatures(texts: list[str | None], shingle: int) -> tuple[list[bytes], list
             first = (first ^ (first >> np.uint32(15))) * np.uint32(0x85EBCA6B)
             out[:, i] = (first * np.uint32(0x9E3779B1)) >> np.uint32(24)
         marks += [x.tobytes() for x in out]
-    return keys, marks
+    return keys, marks, distinct
+
 
+def _pairs(signs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, percent: int, rest: bool) -> list[tuple[int, int]]:
+    """Candidates of a list: pairs that share ``MIN_SHARED`` bytes or more and whose sizes allow the similarity.
 
-def _similar_forest(signs: np.ndarray) -> list[tuple[int, int]]:
-    """A spanning forest of the pairs that share ``MIN_SHARED`` bytes or more, those that share most first."""
+    First a spanning forest of them, those that share most first; then (``rest``) all others of different groups.
+    """
     i, j = np.triu_indices(len(signs), 1)
-    shared = np.concatenate([(signs[i[x : x + 4096]] == signs[j[x : x + 4096]]).sum(axis=1) for x in range(0, len(i), 4096)])
+    able = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
+    i, j = i[able], j[able]
+    shared = np.concatenate([np.empty(0, np.int64), *((signs[i[x : x + 4096]] == signs[j[x : x + 4096]]).sum(axis=1) for x in range(0, len(i), 4096))])
     good = np.flatnonzero(shared >= MIN_SHARED)
     good = good[np.argsort(-shared[good], kind="stable")]
-    head, out = list(range(len(signs))), []
+    head, tried = list(range(len(signs))), []
 
     def find(x):
         while head[x] != x:
@@ -218,22 +226,48 @@ def _similar_forest(signs: np.ndarray) -> list[tuple[int, int]]:
         a, b = find(x), find(y)
         if a != b:
             head[b] = a
-            out.append((x, y))
-    return out
+            tried.append((x, y))
+    if not rest:
+        return tried
+    done = set(tried)
+    return [p for p in zip(i[good].tolist(), j[good].tolist()) if roots[p[0]] != roots[p[1]] and p not in done]
 
 
-def _forests(batches):
-    for batch in batches:
-        a, b = [], []
-        for members in batch.column(0):
-            uid, sign = members.values.field("uid"), members.values.field("sign")
-            order = np.argsort(np.array(sign.to_pylist(), "S%d" % POSITIONS), kind="stable")
-            signs = np.frombuffer(b"".join(sign.to_pylist()), np.uint8).reshape(len(sign), POSITIONS)[order]
-            ids = uid.take(pa.array(order)).to_pylist()
-            for x, y in _similar_forest(signs):
-                a.append(ids[x])
-                b.append(ids[y])
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+def _list_pairs(percent: int, rest: bool):
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for members in batch.column(0):
+                uid, sign, size, root = (members.values.field(k) for k in ("uid", "sign", "size", "root"))
+                order = np.lexsort((np.array(uid.to_pylist(), "S16"), np.array(sign.to_pylist(), "S%d" % POSITIONS)))
+                signs = np.frombuffer(b"".join(sign.to_pylist()), np.uint8).reshape(len(sign), POSITIONS)[order]
+                ids, roots = uid.take(pa.array(order)).to_pylist(), np.array(root.to_pylist(), object)[order]
+                for x, y in _pairs(signs, size.to_numpy()[order], roots, percent, rest):
+                    a.append(ids[x])
+                    b.append(ids[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def _block_pairs(percent: int):
+    """Of two blocks of one list, or one block with itself, all candidates of different groups."""
+
+    def run(batches):
+        for batch in batches:
+            a, b = [], []
+            for one, two in zip(batch.column(0), batch.column(1)):
+                (ids, signs, sizes, roots), (ids2, signs2, sizes2, roots2) = ([[m[k] for m in x.as_py()] for k in ("uid", "sign", "size", "root")] for x in (one, two))
+                theirs, n = np.frombuffer(b"".join(signs2), np.uint8).reshape(-1, POSITIONS), np.array(sizes2)
+                for uid, sign, size, root in zip(ids, signs, sizes, roots):
+                    able = 100 * np.minimum(n, size) >= percent * np.maximum(n, size)
+                    near = np.flatnonzero(able & ((theirs == np.frombuffer(sign, np.uint8)).sum(axis=1) >= MIN_SHARED))
+                    found = [k for k in near.tolist() if roots2[k] != root and ids2[k] > uid]
+                    a += [uid] * len(found)
+                    b += [ids2[k] for k in found]
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+
+    return run
 
 
 def _shared_bytes(x: pa.Array, y: pa.Array) -> pa.Array:
@@ -241,46 +275,99 @@ def _shared_bytes(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array((a == b).sum(axis=1, dtype=np.int32), pa.int32())
 
 
-def candidates(signs: DataFrame) -> DataFrame:
-    """(a, b): of all (uid, sign), a spanning forest of each posting list's pairs with ``MIN_SHARED`` equal bytes.
+def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) -> DataFrame:
+    """(node, root) of all groups of (uid, sign, size), by candidates that ``verify`` lets pass; ``links`` are sure already.
 
-    A list holds the signatures with equal bytes at ``RUN`` positions. Lists of more than ``LIST`` members are
-    cut without pairing them off: each member is compared with the list's first one; who shares too few bytes with
-    that goes to lists of that key and one more run of positions, until they are short.
+    A list holds the signatures with equal bytes at ``RUN`` positions. Candidates are verified before they decide
+    anything: a list of up to ``LIST`` members offers a spanning forest of its candidates, and, when the verified ones have
+    been contracted, all other candidates of different groups. In a longer one each member is offered with the first one,
+    then with the first one outside that one's group. A list whose members are all of one group has nothing left to find; the members
+    of a longer list of several go to lists of that key and one more run of positions, until those are short, and those
+    without a further run are compared block by block. So every pair that meets in a list and shares ``MIN_SHARED``
+    bytes is verified, or is of one group already.
     """
     runs = POSITIONS // RUN
+    edges, roots = materialise(links, "similar-links"), None
+    if edges.take(1):
+        roots = components(edges)
+
+    def labelled(df: DataFrame) -> DataFrame:
+        if roots is None:
+            return df.withColumn("root", F.col("uid"))
+        return df.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+
+    def add(pairs: DataFrame) -> None:
+        nonlocal edges, roots
+        good = materialise(verify(materialise(pairs.distinct(), "similar-candidates")), "similar-links")
+        if good.take(1):
+            edges = edges.unionByName(good)
+            roots = components(edges)
 
     def posted(df: DataFrame) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(i).alias("run"), F.xxhash64("key", F.lit(i), F.substring("sign", i * RUN + 1, RUN)).alias("key")) for i in range(runs)])
-        return df.select("uid", "sign", F.explode(F.filter(keys, lambda k: k["run"] > F.col("run"))).alias("k")).select("uid", "sign", "k.*")
+        return df.select("uid", "sign", "size", F.explode(F.filter(keys, lambda k: k["run"] > F.col("run"))).alias("k")).select("uid", "sign", "size", "k.*")
 
-    posts, links, depth = posted(signs.withColumns({"key": F.lit(0).cast("long"), "run": F.lit(-1)})), None, 0
+    def several(df: DataFrame) -> DataFrame:
+        """(key, n) of the lists whose members are of more than one group."""
+        return materialise(df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n"), "list-sizes")
+
+    def members(df: DataFrame) -> DataFrame:
+        return df.groupBy("key").agg(F.collect_list(F.struct("uid", "sign", "size", "root")).alias("members"))
+
+    def star(df: DataFrame) -> DataFrame:
+        """Each member with the first one; of each list all rows are of groups other than the first one's or the first one."""
+        heads = df.groupBy("key").agg(F.min(F.struct("sign", "uid", "size")).alias("head"), F.count(F.lit(1)).alias("n"))
+        met = join_counted(df.drop("n"), heads, "key", "n").filter("uid <> head.uid").filter(f"100 * least(size, head.size) >= {percent} * greatest(size, head.size)")
+        return met.filter(F.arrow_udf(_shared_bytes, "int")("sign", "head.sign") >= MIN_SHARED).select(F.col("head.uid").alias("a"), F.col("uid").alias("b"))
+
+    posts = posted(signs.withColumns({"key": F.lit(0).cast("long"), "run": F.lit(-1)}))
     while True:
-        sizes = materialise(posts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "list-sizes")
+        posts = labelled(posts)
+        sizes = several(posts)
+        if not sizes.take(1):
+            break
         shared = maybe_in(posts, "key", sizes, "key", "__may").filter("__may").drop("__may")
         listed = materialise(join_counted(shared, sizes, "key", "n"), "lists")
-        short = listed.filter(F.col("n") <= LIST).groupBy("key").agg(F.collect_list(F.struct("uid", "sign")).alias("members"))
-        found = short.select("members").mapInArrow(_forests, "a binary, b binary")
-        long = listed.filter(F.col("n") > LIST)
-        if not long.take(1):
-            links = found if links is None else links.unionByName(found)
-            return links.distinct()
-        heads = long.groupBy("key").agg(F.min(F.struct("sign", "uid")).alias("head"), F.count(F.lit(1)).alias("n"))
-        met = join_counted(long.drop("n"), heads, "key", "n").withColumn("bytes", F.arrow_udf(_shared_bytes, "int")("sign", "head.sign"))
-        met = materialise(met, "long-lists")
-        found = found.unionByName(met.filter((F.col("bytes") >= MIN_SHARED) & (F.col("uid") != F.col("head.uid"))).select(F.col("head.uid").alias("a"), F.col("uid").alias("b")))
-        links = found if links is None else links.unionByName(found)
-        posts = posted(met.filter(F.col("bytes") < MIN_SHARED).select("uid", "sign", "key", "run"))
-        depth += 1
-        if depth == runs:
-            return links.distinct()
+        short, long = listed.filter(F.col("n") <= LIST), listed.filter(F.col("n") > LIST)
+        lasting = bool(long.take(1))
+        found = members(short).select("members").mapInArrow(_list_pairs(percent, False), "a binary, b binary")
+        add(found.unionByName(star(long)) if lasting else found)
+        again = members(labelled(short.drop("root"))).filter("size(array_distinct(members.root)) > 1")
+        found = again.select("members").mapInArrow(_list_pairs(percent, True), "a binary, b binary")
+        if lasting:
+            own = labelled(long.drop("root"))
+            firsts = own.groupBy("key").agg(F.min(F.struct("sign", "uid", "root")).alias("first"), F.count(F.lit(1)).alias("n"))
+            others = join_counted(own.drop("n"), firsts.withColumn("taken", F.col("first.root")).drop("first"), "key", "n").filter("root <> taken").drop("taken", "n")
+            found = found.unionByName(star(others))
+        add(found)
+        if not lasting:
+            break
+        own = labelled(long.drop("root"))
+        left = several(own)
+        own = materialise(join_counted(own.drop("n"), left, "key", "n"), "long-lists")
+        ended = own.filter(F.col("run") == runs - 1)
+        if ended.take(1):
+            add(_blocks(ended, percent))
+        posts = posted(own.filter(F.col("run") < runs - 1))
+    return roots if roots is not None else signs.limit(0).select(F.col("uid").alias("node"), F.col("uid").alias("root"))
+
+
+def _blocks(ended: DataFrame, percent: int) -> DataFrame:
+    """Candidates of lists that have no further run: cut into blocks of about ``LIST`` members, each two of which are compared."""
+    cut = ended.withColumn("blocks", F.expr(f"CAST(n div {LIST} + 1 AS INT)")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
+    each = materialise(cut.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("uid", "sign", "size", "root")).alias("members")), "list-blocks")
+    spread = each.select("key", "block", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    two = spread.join(each.select("key", F.col("block").alias("other"), F.col("members").alias("theirs")), ["key", "other"])
+    return two.select("members", "theirs").mapInArrow(_block_pairs(percent), "a binary, b binary")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets (uid, shingles) have a Jaccard similarity of ``percent`` hundredths or more."""
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
-    mine = degree.join(sets.withColumnRenamed("uid", "a"), "a").withColumnRenamed("shingles", "mine")
-    both = join_counted(pairs, mine, "a", "n").join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("theirs")), "b")
+    # a text of very many pairs is repeated once for each STAR of them, and its pairs are dealt over the repeats
+    dealt = pairs.join(degree.filter(F.col("n") > STAR), "a", "left").withColumn("part", F.pmod(F.xxhash64("b"), F.coalesce(F.expr(f"n div {STAR} + 1"), F.lit(1))))
+    mine = degree.join(sets, degree["a"] == sets["uid"]).select("a", F.col("shingles").alias("mine"), F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"n div {STAR}"))).alias("part"))
+    both = dealt.drop("n").join(mine, ["a", "part"]).join(sets.select(F.col("uid").alias("b"), F.col("shingles").alias("theirs")), "b")
     both = both.withColumn("common", F.size(F.array_intersect("mine", "theirs")))
     return both.filter(F.expr(f"100 * common >= {percent} * (size(mine) + size(theirs) - common)")).select("a", "b")
 
@@ -300,37 +387,46 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
     """
     names = {x: spare(docs, f"__{x}") for x in ("doc", "key", "verdict", "may", "at")}
 
-    @F.arrow_udf("struct<uid: binary, sign: binary>")
+    @F.arrow_udf("struct<uid: binary, sign: binary, size: int>")
     def mark(column: pa.Array) -> pa.Array:
-        keys, marks = signatures(column.to_pylist(), shingle)
-        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(marks, pa.binary())], names=["uid", "sign"])
+        keys, marks, sizes = signatures(column.to_pylist(), shingle)
+        return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32())], names=["uid", "sign", "size"])
 
-    rows = docs.select(F.col(quoted(doc_id)).alias("doc"), text_key(text).alias("key"), mark(F.col(quoted(text))).alias("m")).select("doc", "key", "m.*")
-    classes = materialise(rows, "signatures").groupBy("uid", "doc", "key").agg(F.first("sign").alias("sign"), F.count(F.lit(1)).alias("times"))
+    rows = docs.select(F.col(quoted(doc_id)).alias("doc"), text_key(quoted(text)).alias("key"), mark(F.col(quoted(text))).alias("m")).select("doc", "key", "m.*")
+    classes = materialise(rows, "signatures").groupBy("uid", "doc", "key").agg(F.first("sign").alias("sign"), F.first("size").alias("size"), F.count(F.lit(1)).alias("times"))
     classes = materialise(classes, "document-classes")
     own = F.struct(F.col("doc").isNull().alias("last"), "doc", "key")
-    heads = materialise(classes.groupBy("uid").agg(F.min(own).alias("head"), F.first("sign").alias("sign")), "texts")
-    first = heads.groupBy("sign").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("n"))
-    pairs = candidates(first.select("uid", "sign"))
-    equal = first.filter("n > 1").withColumnRenamed("uid", "a")
-    equal = join_counted(heads.select("sign", F.col("uid").alias("b")), equal, "sign", "n").filter("a <> b").select("a", "b")
-    pairs = materialise(pairs.unionByName(equal), "similar-candidates")
-
-    # the shingles of texts in a pair, from one document each
-    wanted = pairs.selectExpr("a AS uid").union(pairs.select("b")).distinct().join(heads.select("uid", "head"), "uid").select("uid", "head.doc", "head.key")
-    wanted = materialise(wanted, "wanted-texts")
-    keyed = docs.select(F.col(quoted(doc_id)).alias("doc_"), text_key(text).alias("key_"), F.col(quoted(text)).alias("text"))
-    some = maybe_in(keyed, "xxhash64(doc_, key_)", wanted, "xxhash64(doc, key)", "may").filter("may")
-    some = some.join(wanted, some["doc_"].eqNullSafe(wanted["doc"]) & (some["key_"] == wanted["key"])).select("uid", "text")
+    heads = materialise(classes.groupBy("uid").agg(F.min(own).alias("head"), F.first("sign").alias("sign"), F.first("size").alias("size")), "texts")
+    first = materialise(heads.groupBy("sign").agg(F.min(F.struct("uid", "size")).alias("one"), F.count(F.lit(1)).alias("n")).select("sign", "one.*", "n"), "distinct-signatures")
+    # texts of one signature: each with the first of them, where that holds; the others stand for themselves below
+    equal = first.filter("n > 1").select("sign", F.col("uid").alias("a"), "n")
+    equal = materialise(join_counted(heads.select("sign", F.col("uid").alias("b"), "size"), equal, "sign", "n").filter("a <> b"), "equal-signatures")
+    keyed = docs.select(F.col(quoted(doc_id)).alias("doc_"), text_key(quoted(text)).alias("key_"), F.col(quoted(text)).alias("text"))
+    sets = None
 
     def cut(batches):
         for batch in batches:
-            sets = [np.unique(shingle_hashes(t, shingle)[1]).view(np.int64) for t in batch.column(1).to_pylist()]
-            ends = np.cumsum([0, *map(len, sets)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else [], pa.int64()))], names=["uid", "shingles"])
-
-    sets = materialise(some.dropDuplicates(["uid"]).mapInArrow(cut, "uid binary, shingles array<long>"), "shingle-sets")
-    roots = components(verified(pairs, sets, percent))
+            made = [np.unique(shingle_hashes(t, shingle)[1]).view(np.int64) for t in batch.column(1).to_pylist()]
+            ends = np.cumsum([0, *map(len, made)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made) if made else [], pa.int64()))], names=["uid", "shingles"])
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """By the shingles of the texts in a pair, taken from one document each when first asked for."""
+        nonlocal sets
+        wanted = pairs.selectExpr("a AS uid").union(pairs.select("b")).distinct()
+        if sets is not None:
+            wanted = wanted.join(sets.select("uid"), "uid", "left_anti")
+        wanted = materialise(wanted.join(heads.select("uid", "head"), "uid").select("uid", "head.doc", "head.key"), "wanted-texts")
+        if wanted.take(1):
+            some = maybe_in(keyed, "xxhash64(doc_, key_)", wanted, "xxhash64(doc, key)", "may").filter("may")
+            some = some.join(wanted, some["doc_"].eqNullSafe(wanted["doc"]) & (some["key_"] == wanted["key"])).select("uid", "text")
+            more = materialise(some.dropDuplicates(["uid"]).mapInArrow(cut, "uid binary, shingles array<long>"), "shingle-sets")
+            sets = more if sets is None else sets.unionByName(more)
+        return verified(pairs, sets, percent) if sets is not None else pairs
+
+    links = materialise(verify(equal.select("a", "b")), "equal-links") if equal.take(1) else equal.select("a", "b")
+    odd_ones = equal.join(links.select("b"), "b", "left_anti").select(F.col("b").alias("uid"), "sign", "size")
+    roots = similar_groups(first.select("uid", "sign", "size").unionByName(odd_ones), links, verify, percent)
 
     # verdicts: of each group the first class stays, once
     rooted = classes.select("uid", "doc", "key", "times").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))

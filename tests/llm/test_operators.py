@@ -357,6 +357,31 @@ def test_one_of_a_large_group(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in kept.collect()) == plain.similar(docs) == [0, 1, *range(120, 180)]
 
 
+def borderline(seed, groups, words=300):
+    """Groups of 16 to 20 texts, each of its group's text with 3 or 4 words changed: near the bound, on both sides."""
+    dice = random.Random(seed)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(5))
+    docs = []
+    for _ in range(groups):
+        base = [word() for _ in range(words)]
+        for _ in range(dice.randint(16, 20)):
+            w = list(base)
+            for at in dice.sample(range(words), dice.randint(3, 4)):
+                w[at] = word()
+            docs.append((len(docs), " ".join(w)))
+    return docs
+
+
+@pytest.mark.parametrize("longest", [256, 6])
+def test_near_the_bound(spark, monkeypatch, longest):
+    """All documents that brute force removes go, and no others: also by lists that are too long to be paired off."""
+    monkeypatch.setattr(simhash, "LIST", longest)
+    docs = borderline(21, 40 if longest > 6 else 12)
+    stay, go = set(plain.similar(docs)), len(docs)
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert stay <= kept and len(kept - stay) <= 0.01 * (go - len(stay)), (len(docs), len(stay), len(kept))
+
+
 def test_one_of_odd_rows(spark):
     rows = [(1, "a b", "p", 1), (1, "a b", "q", 2), (None, "A  B", "r", 3), (None, "c", "s", 4), (None, "c", "t", 5), (2, None, "u", 6), (3, " ", "v", 7), (4, "a b c d e f g", "w", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, uid int")
