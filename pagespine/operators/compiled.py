@@ -5,8 +5,6 @@ The queries read ``pages``, and take ``events``, ``conversations`` and ``documen
 
 from __future__ import annotations
 
-import hashlib
-import json
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -14,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
+from ..functions.structured import shape_signature
 from ..scratch import numbered
 from ..sources.html import NON_CONTENT, let, subtree, with_nodes
 from ._registry import read, registry
@@ -22,10 +21,9 @@ from .observe import MIN_SKELETON, features
 
 QUERIES, SQL, query = registry()
 
-# The order of modalities in an index; tags that declare something about the page; keys shown of a shape.
+# The order of modalities in an index; tags that declare something about the page.
 MODALITIES = ("html", "dom", "ax", "network")
 DECLARATIONS = ("title", "meta", "link", "base", "html")
-MAX_SHAPE_KEYS = 64
 
 
 def compiled(entries: DataFrame) -> DataFrame:
@@ -89,41 +87,6 @@ def page_declarations(spark, sf):
     return made.filter("kind IN ('html', 'meta')")
 
 
-def json_keys(payload: object) -> list[str]:
-    """Sorted dotted paths of a decoded payload; a list is ``[]`` over all its members."""
-    keys: set[str] = set()
-    todo = [("", payload)]
-    while todo:
-        at, value = todo.pop()
-        if isinstance(value, dict):
-            for k, v in value.items():
-                path = f"{at}.{k}" if at else str(k)
-                keys.add(path)
-                todo.append((path, v))
-        elif isinstance(value, list):
-            keys.add(f"{at}[]")
-            todo += [(f"{at}[]", v) for v in value]
-    return sorted(keys)
-
-
-def shape_signature(payload: Column) -> Column:
-    """struct<digest, keys, truncated> of JSON: the digest is over all keys, of which the first ``MAX_SHAPE_KEYS`` are shown; null if damaged."""
-
-    @F.pandas_udf("struct<digest: string, keys: array<string>, truncated: boolean>")
-    def sign(texts: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t in texts:
-            try:
-                keys = json_keys(json.loads(t))
-            except (TypeError, ValueError):
-                rows.append((None, None, None))
-                continue
-            rows.append((hashlib.sha256("\n".join(keys).encode()).hexdigest()[:16], keys[:MAX_SHAPE_KEYS], len(keys) > MAX_SHAPE_KEYS))
-        return pd.DataFrame(rows, columns=["digest", "keys", "truncated"])
-
-    return sign(payload)
-
-
 @query("payload_shapes", """SELECT CASE event_id % 3 WHEN 0 THEN substr(sha256('k'), 1, 16) WHEN 1 THEN substr(sha256(concat_ws(chr(10), '[]', '[].a', '[].a.b', '[].c')), 1, 16) END AS digest, count(*) AS n FROM events GROUP BY 1""")
 def payload_shapes(spark, sf):
     """Payloads by the shape of their JSON, whatever the number of list members and the values."""

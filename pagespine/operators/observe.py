@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.structured import ld_types
 from ..functions.text import class_tokens
 from ..scratch import written
 from ..sources.html import node_table, with_nodes
@@ -17,13 +18,24 @@ from .pages import _TAGS, shapes
 
 QUERIES, SQL, query = registry()
 
-# Landmarks; thresholds of a match; the fewest features that count; attributes that give identity.
+# Landmarks; thresholds of a match by layer; the fewest features that count; attributes that give identity.
 LANDMARKS = ("header", "nav", "main", "aside", "footer", "section", "article", "form")
-THRESHOLDS = {"skeleton": 0.40, "semantic": 0.50, "identity": 0.40}
+THRESHOLDS = {"skeleton": 0.40, "semantic": 0.50, "identity": 0.40, "ax": 0.50, "network": 0.50, "endpoint": 0.50}
 MIN_SKELETON, MIN_OPTIONAL = 8, 3
 IDENTITY_ATTRIBUTES = ("id", "data-testid", "name", "role", "aria-label")
 # Tags that every page has.
 FRAME_TAGS = ("html", "head", "body")
+# How much a feature counts, by layer: (pattern of the whole feature in lower case, weight), the first that fits; else the last.
+WEIGHTS = {
+    "semantic": (("schema:.*", 3.0), ("role:.*", 2.0), ("h[^:]*:.*", 1.25), ("lm:(nav|footer|header)", 0.35), ("lm:(main|article|form)", 1.5), (".*", 1.0)),
+    "identity": ((".*(testid|test-id|qa|cy|component).*", 2.0), ("data:(data-mw|data-reactroot)", 0.5), (".*", 1.0)),
+    "ax": (("ax:(link|text|generic)", 0.5), ("ax:(main|article|form|search|button|table)", 1.5), (".*", 1.0)),
+    "network": (("cookie:.*", 1.5), ("hdr:(date|content-length|cache-control|etag|last-modified)", 0.25), ("hdr:(server|x-powered-by|cf-.*)", 1.0), (".*", 0.75)),
+    "endpoint": (("ep:(.*[^/])?", 3.0), (".*", 1.0)),
+}
+# Of a skeleton's paths, tags that say little with their weight, what names and blocks add, the blocks, the most.
+PLAIN_TAGS, PLAIN_WEIGHT, CLASS_ADDS, NAME_ADDS, BLOCK_ADDS, MOST = ("html", "body", "div", "span", "ul", "li", "a"), 0.35, 0.75, 1.0, 0.5, 3.0
+BLOCK_TAGS = ("main", "article", "section", "form", "table")
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -40,16 +52,18 @@ def containment(a: Column, b: Column) -> Column:
 
 def weight(layer: str, x: Column) -> Column:
     """How much one feature counts: common frames little, what tells pages apart more."""
-    if layer == "semantic":
-        return F.when(x.startswith("schema:"), 3.0).when(x.startswith("role:"), 2.0).when(x.rlike("^h.*:"), 1.25).when(x.isin("lm:nav", "lm:footer", "lm:header"), 0.35).when(x.isin("lm:main", "lm:article", "lm:form"), 1.5).otherwise(1.0)
-    if layer == "identity":
-        return F.when(F.lower(x).rlike("testid|test-id|qa|cy|component"), 2.0).when(F.lower(x).isin("data:data-mw", "data:data-reactroot"), 0.5).otherwise(1.0)
+    if layer != "skeleton":
+        out = None
+        for pattern, w in WEIGHTS[layer]:
+            hit = F.lower(x).rlike(f"(?s)^({pattern})$")
+            out = F.when(hit, w) if out is None else out.when(hit, w)
+        return out
     parts = F.array_remove(F.split(x, r"[/#.]+"), "")
-    plain = F.array(*map(F.lit, ("html", "body", "div", "span", "ul", "li", "a")))
-    base = F.when((F.size(parts) > 0) & (F.size(F.array_except(parts, plain)) == 0), 0.35).otherwise(1.0)
-    more = F.when(x.contains("."), 0.75).otherwise(0.0) + F.when(x.contains("#"), 1.0).otherwise(0.0)
-    block = F.when(F.arrays_overlap(parts, F.array(*map(F.lit, ("main", "article", "section", "form", "table")))), 0.5).otherwise(0.0)
-    return F.least(F.lit(3.0), base + more + block)
+    plain = F.array(*map(F.lit, PLAIN_TAGS))
+    base = F.when((F.size(parts) > 0) & (F.size(F.array_except(parts, plain)) == 0), PLAIN_WEIGHT).otherwise(1.0)
+    more = F.when(x.contains("."), CLASS_ADDS).otherwise(0.0) + F.when(x.contains("#"), NAME_ADDS).otherwise(0.0)
+    block = F.when(F.arrays_overlap(parts, F.array(*map(F.lit, BLOCK_TAGS))), BLOCK_ADDS).otherwise(0.0)
+    return F.least(F.lit(MOST), base + more + block)
 
 
 def weighted_jaccard(layer: str, a: Column, b: Column) -> Column:
@@ -83,6 +97,7 @@ def features(pages: DataFrame) -> DataFrame:
         semantic.append(F.when(n > 0, F.array(F.concat(F.lit(f"h{level}:"), F.when(n <= 2, "lo").when(n <= 6, "mid").otherwise("hi")))).otherwise(F.array().cast("array<string>")))
     kinds = F.filter(F.transform(elements, lambda n: F.regexp_extract(n["attrs"]["itemtype"], "([^/]+)/*$", 1)), lambda t: F.coalesce(t, F.lit("")) != "")
     semantic.append(F.transform(kinds, lambda t: F.concat(F.lit("schema:"), F.trim(t))))
+    semantic.append(F.transform(ld_types(nodes), lambda t: F.concat(F.lit("schema:"), t)))
     identity = F.transform(F.filter(F.flatten(F.transform(elements, lambda n: F.map_keys(n["attrs"]))), lambda k: k.startswith("data-")), lambda k: F.concat(F.lit("data:"), k))
     tidy = lambda a: F.array_sort(F.array_distinct(a))
     return marked.select("page_id", tidy(paths).alias("skeleton"), tidy(F.concat(*semantic)).alias("semantic"), tidy(identity).alias("identity"))
@@ -97,13 +112,14 @@ def semantic_features(spark, sf):
 def match(joined: DataFrame) -> DataFrame:
     """Adds score, containment_score and same_shape for rows with a struct of features on either side (own, their).
 
-    All layers that both sides carry have to reach their thresholds; thin pages match nothing.
+    Layers that the structs lack don't take part. All that both sides carry (skeleton and semantic always, the others with
+    ``MIN_OPTIONAL`` features or more) have to reach their thresholds; thin pages match nothing.
     """
     own, their = F.col("own"), F.col("their")
-    layers = {}
-    for layer in THRESHOLDS:
+    layers, known = {}, joined.schema["own"].dataType.names
+    for layer in (x for x in THRESHOLDS if x in known):
         a, b = own[layer], their[layer]
-        carried = F.lit(True) if layer != "identity" else (F.size(a) >= MIN_OPTIONAL) & (F.size(b) >= MIN_OPTIONAL)
+        carried = F.lit(True) if layer in ("skeleton", "semantic") else (F.size(a) >= MIN_OPTIONAL) & (F.size(b) >= MIN_OPTIONAL)
         layers[layer] = (F.when(carried, weighted_jaccard(layer, a, b)), F.when(carried, containment(a, b)))
     thick = (F.size(own["skeleton"]) >= MIN_SKELETON) & (F.size(their["skeleton"]) >= MIN_SKELETON)
     same = thick
@@ -161,17 +177,31 @@ def adjacent_runs(spark, sf):
     return region_runs(e, "l_orderkey").select("l_orderkey", F.col("shape").alias("l_returnflag"), "first", "n")
 
 
+# What a tag's or attribute's name is like that a key may have; what no key may hold.
+SAFE_NAME, RESERVED = r"^[A-Za-z][A-Za-z0-9_-]*$", '["#|]'
+
+
+def anchor_keys(tag: Column, attrs: Column) -> Column:
+    """array<string>: what may tell an element from all others, the most durable first: id, data attributes by name, class,
+    the attribute written first, the first two together, and the tag."""
+    pair = lambda name, value: F.concat(name, F.lit("="), value)
+    names = F.map_keys(attrs)
+    data = F.transform(F.array_sort(F.filter(names, lambda k: k.startswith("data-") & k.rlike(SAFE_NAME))), lambda k: pair(k, attrs[k]))
+    classes = F.array_join(F.array_remove(F.split(F.coalesce(attrs["class"], F.lit("")), r"\s+"), ""), " ")
+    first = F.get(names, F.lit(0))
+    told = F.slice(F.filter(names, lambda k: attrs[k] != ""), 1, 2)
+    both = F.when((F.size(told) == 2) & F.forall(told, lambda k: k.rlike(SAFE_NAME) & ~attrs[k].contains(";")), F.concat(F.lit("both("), F.array_join(F.transform(told, lambda k: pair(k, attrs[k])), ";"), F.lit(")")))
+    one = lambda hit, key: F.array(F.when(hit, key))
+    keys = F.concat(one(F.coalesce(attrs["id"], F.lit("")) != "", pair(F.lit("id"), attrs["id"])), data, one(classes != "", pair(F.lit("class"), classes)), one(first.rlike(SAFE_NAME), pair(first, attrs[first])), F.array(both), one(~tag.isin(*FRAME_TAGS) & tag.rlike(SAFE_NAME), F.concat(F.lit("tag:"), tag)))
+    return F.array_distinct(F.filter(keys, lambda k: k.isNotNull()))
+
+
 def anchors(nodes: DataFrame, id: str = "page_id") -> DataFrame:
-    """id, pre, key: the most durable key that no other element of the page has: id, data attributes, class, then tag."""
+    """id, pre, key: the most durable key that no other element of the page has."""
     own = nodes.filter(F.col("tag") != "#text")
-    a = F.col("attrs")
-    pair = lambda name, value: F.concat(name, F.lit("="), value)
-    data = F.transform(F.array_sort(F.filter(F.map_keys(a), lambda k: k.startswith("data-"))), lambda k: pair(k, a[k]))
-    classes = F.array_join(F.array_remove(F.split(F.coalesce(a["class"], F.lit("")), r"\s+"), ""), " ")
-    keys = F.concat(F.array(F.when(F.coalesce(a["id"], F.lit("")) != "", pair(F.lit("id"), a["id"]))), data, F.array(F.when(classes != "", pair(F.lit("class"), classes)), F.when(~F.col("tag").isin(*FRAME_TAGS), F.concat(F.lit("tag:"), "tag"))))
-    long = own.select(id, "pre", F.posexplode(F.filter(keys, lambda k: k.isNotNull() & ~k.rlike('["#|]'))).alias("tier", "key"))
+    long = own.select(id, "pre", F.posexplode(anchor_keys(F.col("tag"), F.col("attrs"))).alias("tier", "key"))
     census = long.groupBy(id, "key").agg(F.count(F.lit(1)).alias("times"), F.min("pre").alias("pre"), F.min("tier").alias("tier")).filter("times = 1")
-    return census.groupBy(id, "pre").agg(F.min_by("key", "tier").alias("key"))
+    return census.filter(~F.col("key").rlike(RESERVED)).groupBy(id, "pre").agg(F.min_by("key", "tier").alias("key"))
 
 
 @query("page_anchors")

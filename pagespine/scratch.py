@@ -39,3 +39,17 @@ def numbered(rows: DataFrame, order: list, out: str) -> DataFrame:
     # one row a part
     starts = F.broadcast(sizes.select("__part", before.alias("__start")))
     return placed.join(starts, "__part").select(*rows.columns, (F.col("__start") + F.col("__at") + 1).alias(out))
+
+
+def running(rows: DataFrame, order: list, value: str, out: str) -> DataFrame:
+    """Adds the sum of ``value`` over all rows up to each in ``order``, without one window over them: ranges are summed apart and
+    begin with what the ranges before them hold."""
+    spark = rows.sparkSession
+    parts = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order)
+    placed = written(parts.withColumn("__part", F.spark_partition_id()), "ranges")
+    sums = placed.groupBy("__part").agg(F.sum(value).alias("__sum"))
+    before = F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a part
+    starts = F.broadcast(sums.select("__part", before.alias("__start")))
+    own = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("__own", own).join(starts, "__part").select(*rows.columns, (F.col("__start") + F.col("__own")).alias(out))

@@ -53,7 +53,10 @@ class _Nodes(HTMLParser):
             self._close("p", ("table", "td"))
         if tag in SELF_ENDING:
             self._close(tag, SELF_ENDING[tag])
-        self._add(tag, [(k, v or "") for k, v in dict(reversed(attrs)).items()], None)
+        own: dict[str, str] = {}
+        for k, v in attrs:  # the first of a name counts
+            own.setdefault(k, v or "")
+        self._add(tag, list(own.items()), None)
         if tag not in VOID:
             self.open.append(len(self.rows) - 1)
 

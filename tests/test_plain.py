@@ -147,7 +147,7 @@ def test_page_matches(spark, tiny, parsed):
     assert {r["page_id"] for r in got} == set(own)
     for r in got:
         a, b = own[r["page_id"]], own[r["exemplar"]]
-        carried = [k for k in observe.THRESHOLDS if k != "identity" or min(len(a[k]), len(b[k])) >= observe.MIN_OPTIONAL]
+        carried = [k for k in ("skeleton", "semantic", "identity") if k != "identity" or min(len(a[k]), len(b[k])) >= observe.MIN_OPTIONAL]
         cover = lambda x, y: 1.0 if not x and not y else len(set(x) & set(y)) / min(len(x), len(y)) if x and y else 0.0
         thick = min(len(a["skeleton"]), len(b["skeleton"])) >= observe.MIN_SKELETON
         mean = sum(cover(a[k], b[k]) for k in carried) / len(carried) if thick else 0.0
@@ -215,11 +215,6 @@ def test_address_joined_to_its_page(spark):
     assert [r[0] for r in df.select(urls.clean(F.col("u"), page=F.col("p"))).collect()] == ["https://s.test/a?b=1", "https://c.test/d", None]
 
 
-def test_json_keys():
-    assert compiled.json_keys({"a": [{"b": 1}, {"c": [2]}], "d": None}) == ["a", "a[]", "a[].b", "a[].c", "a[].c[]", "d"]
-    assert compiled.json_keys([1, 2]) == ["[]"] and compiled.json_keys(3) == []
-
-
 def test_numbered_over_parts(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"), F.lit("y").alias("y"))
     got = crawl.numbered(df, [F.desc("x")], "place").collect()
