@@ -22,7 +22,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._common import join_counted, materialise, maybe_in, quoted, runs_of, shuffle_partitions, spare, table, text_key
@@ -31,9 +31,10 @@ from ._components import components
 BYTES, MAX_BITS = 8, 2
 SHARED = BYTES - MAX_BITS
 SLICE_CHARS = 1 << 20
-#: For similar shingles: bytes of a signature, positions of a posting list's key, the least tally, the longest list paired
-#: off at once, and the pairs of one text that are verified together.
-POSITIONS, RUN, MIN_SHARED, LIST, STAR = 64, 4, 38, 256, 2048
+#: For similar shingles: bytes of a signature, positions of a posting list's key, the least tally; the longest list that one task
+#: compares, the longest that is compared in blocks, and a block's size; what a text is offered at once; the pairs of one text that
+#: are verified together.
+POSITIONS, RUN, MIN_SHARED, LIST, WIDE, BLOCK, OFFERS, STAR = 64, 4, 38, 256, 4096, 1024, 4, 2048
 
 
 def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
@@ -203,69 +204,61 @@ def signatures(texts: list[str | None], shingle: int) -> tuple[list[bytes], list
     return keys, marks, distinct
 
 
-def _pairs(signs: np.ndarray, sizes: np.ndarray, roots: np.ndarray, percent: int, rest: bool) -> list[tuple[int, int]]:
-    """Candidates of a list: pairs that share ``MIN_SHARED`` bytes or more and whose sizes allow the similarity.
+def _offers(one: dict, two: dict, percent: int) -> tuple[list, list, list]:
+    """For each member of ``one`` the best ``OFFERS`` candidates in ``two`` of other groups that it wasn't tried with: who shares
+    ``MIN_SHARED`` bytes or more and has a size that allows the similarity, those that share most first."""
+    a, b, n = [], [], []
+    signs, sizes, ids, roots = two["signs"], two["sizes"], two["ids"], two["roots"]
+    for uid, sign, size, root, tried in zip(one["ids"], one["signs"], one["sizes"], one["roots"], one["tried"]):
+        shared = (signs == sign).sum(axis=1)
+        near = np.flatnonzero((shared >= MIN_SHARED) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (roots != root))
+        taken = 0
+        for k in near[np.argsort(-shared[near], kind="stable")].tolist():
+            if ids[k] not in tried:
+                a.append(uid)
+                b.append(ids[k])
+                n.append(int(shared[k]))
+                taken += 1
+                if taken == OFFERS:
+                    break
+    return a, b, n
 
-    First a spanning forest of them, those that share most first; then (``rest``) all others of different groups.
-    """
-    i, j = np.triu_indices(len(signs), 1)
-    able = 100 * np.minimum(sizes[i], sizes[j]) >= percent * np.maximum(sizes[i], sizes[j])
-    i, j = i[able], j[able]
-    shared = np.concatenate([np.empty(0, np.int64), *((signs[i[x : x + 4096]] == signs[j[x : x + 4096]]).sum(axis=1) for x in range(0, len(i), 4096))])
-    good = np.flatnonzero(shared >= MIN_SHARED)
-    good = good[np.argsort(-shared[good], kind="stable")]
-    head, tried = list(range(len(signs))), []
 
-    def find(x):
-        while head[x] != x:
-            head[x] = head[head[x]]
-            x = head[x]
-        return x
+def _members(rows: list[dict]) -> dict:
+    rows = sorted(rows, key=lambda m: (m["sign"], m["uid"]))
+    return {
+        "ids": [m["uid"] for m in rows], "signs": np.frombuffer(b"".join(m["sign"] for m in rows), np.uint8).reshape(-1, POSITIONS), "sizes": np.array([m["size"] for m in rows], np.int64),
+        "roots": np.array([m["root"] for m in rows], object), "tried": [frozenset(m["tried"] or ()) for m in rows],
+    }
+
 
-    for x, y in zip(i[good].tolist(), j[good].tolist()):
-        a, b = find(x), find(y)
-        if a != b:
-            head[b] = a
-            tried.append((x, y))
-    if not rest:
-        return tried
-    done = set(tried)
-    return [p for p in zip(i[good].tolist(), j[good].tolist()) if roots[p[0]] != roots[p[1]] and p not in done]
+def _offered(found: tuple[list, list, list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary()), pa.array(found[2], pa.int32())], names=["a", "b", "shared"])
 
 
-def _list_pairs(percent: int, rest: bool):
+def _list_offers(percent: int):
     def run(batches):
         for batch in batches:
-            a, b = [], []
-            for members in batch.column(0):
-                uid, sign, size, root = (members.values.field(k) for k in ("uid", "sign", "size", "root"))
-                order = np.lexsort((np.array(uid.to_pylist(), "S16"), np.array(sign.to_pylist(), "S%d" % POSITIONS)))
-                signs = np.frombuffer(b"".join(sign.to_pylist()), np.uint8).reshape(len(sign), POSITIONS)[order]
-                ids, roots = uid.take(pa.array(order)).to_pylist(), np.array(root.to_pylist(), object)[order]
-                for x, y in _pairs(signs, size.to_numpy()[order], roots, percent, rest):
-                    a.append(ids[x])
-                    b.append(ids[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+            found: tuple[list, list, list] = ([], [], [])
+            for row in batch.column(0):
+                own = _members(row.as_py())
+                for all_, more in zip(found, _offers(own, own, percent)):
+                    all_ += more
+                if len(found[0]) > 20_000:
+                    yield _offered(found)
+                    found = ([], [], [])
+            yield _offered(found)
 
     return run
 
 
-def _block_pairs(percent: int):
-    """Of two blocks of one list, or one block with itself, all candidates of different groups."""
+def _block_offers(percent: int):
+    """Of two blocks of one list, in ``side`` 0 and 1, what the first one's members are offered of the second one's."""
 
-    def run(batches):
-        for batch in batches:
-            a, b = [], []
-            for one, two in zip(batch.column(0), batch.column(1)):
-                (ids, signs, sizes, roots), (ids2, signs2, sizes2, roots2) = ([[m[k] for m in x.as_py()] for k in ("uid", "sign", "size", "root")] for x in (one, two))
-                theirs, n = np.frombuffer(b"".join(signs2), np.uint8).reshape(-1, POSITIONS), np.array(sizes2)
-                for uid, sign, size, root in zip(ids, signs, sizes, roots):
-                    able = 100 * np.minimum(n, size) >= percent * np.maximum(n, size)
-                    near = np.flatnonzero(able & ((theirs == np.frombuffer(sign, np.uint8)).sum(axis=1) >= MIN_SHARED))
-                    found = [k for k in near.tolist() if roots2[k] != root and ids2[k] > uid]
-                    a += [uid] * len(found)
-                    b += [ids2[k] for k in found]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.select(["side", "uid", "sign", "size", "root", "tried"]).to_pylist()
+        one, two = ([m for m in rows if m["side"] == k] for k in (0, 1))
+        return pa.Table.from_batches([_offered(_offers(_members(one), _members(two), percent) if one and two else ([], [], []))])
 
     return run
 
@@ -278,16 +271,15 @@ def _shared_bytes(x: pa.Array, y: pa.Array) -> pa.Array:
 def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) -> DataFrame:
     """(node, root) of all groups of (uid, sign, size), by candidates that ``verify`` lets pass; ``links`` are sure already.
 
-    A list holds the signatures with equal bytes at ``RUN`` positions. Candidates are verified before they decide
-    anything: a list of up to ``LIST`` members offers a spanning forest of its candidates, and, when the verified ones have
-    been contracted, all other candidates of different groups. In a longer one each member is offered with the first one,
-    then with the first one outside that one's group. A list whose members are all of one group has nothing left to find; the members
-    of a longer list of several go to lists of that key and one more run of positions, until those are short, and those
-    without a further run are compared block by block. So every pair that meets in a list and shares ``MIN_SHARED``
-    bytes is verified, or is of one group already.
+    A list holds the signatures with equal bytes at ``RUN`` positions. In rounds, each member is offered its best candidates of other
+    groups that it wasn't tried with: by comparing all of a list of up to ``LIST`` members, and those of up to ``WIDE`` in
+    blocks. Offers are verified before they decide anything; good ones join groups, the others aren't offered again; a list whose
+    members are all of one group is done. Rounds end when one joins nothing. Of lists longer than ``WIDE`` each member is offered the
+    first one; those that then hold several groups are split by one more run of positions, until they are short or have no further run and
+    are compared in blocks whatever their length.
     """
     runs = POSITIONS // RUN
-    edges, roots = materialise(links, "similar-links"), None
+    edges, roots, failed = materialise(links, "similar-links"), None, None
     if edges.take(1):
         roots = components(edges)
 
@@ -296,71 +288,75 @@ def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) ->
             return df.withColumn("root", F.col("uid"))
         return df.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
-    def add(pairs: DataFrame) -> None:
-        nonlocal edges, roots
-        good = materialise(verify(materialise(pairs.distinct(), "similar-candidates")), "similar-links")
-        if good.take(1):
-            edges = edges.unionByName(good)
-            roots = components(edges)
+    def with_tried(df: DataFrame) -> DataFrame:
+        if failed is None:
+            return df.withColumn("tried", F.lit(None).cast("array<binary>"))
+        both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        return df.join(both.groupBy(F.col("a").alias("uid")).agg(F.collect_set("b").alias("tried")), "uid", "left")
+
+    def add(offers: DataFrame) -> bool:
+        """Verify the best offers of each member over all its lists; whether any is good."""
+        nonlocal edges, roots, failed
+        best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+        once = offers.groupBy("a", "b").agg(F.max("shared").alias("shared")).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= OFFERS)
+        pairs = materialise(once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-candidates")
+        if not pairs.take(1):
+            return False
+        good = materialise(verify(pairs), "similar-links")
+        bad = pairs.join(good, ["a", "b"], "left_anti")
+        failed = materialise(bad if failed is None else failed.unionByName(bad), "similar-tried")
+        if not good.take(1):
+            return False
+        edges = edges.unionByName(good)
+        roots = components(edges)
+        return True
 
     def posted(df: DataFrame) -> DataFrame:
         keys = F.array(*[F.struct(F.lit(i).alias("run"), F.xxhash64("key", F.lit(i), F.substring("sign", i * RUN + 1, RUN)).alias("key")) for i in range(runs)])
         return df.select("uid", "sign", "size", F.explode(F.filter(keys, lambda k: k["run"] > F.col("run"))).alias("k")).select("uid", "sign", "size", "k.*")
 
     def several(df: DataFrame) -> DataFrame:
-        """(key, n) of the lists whose members are of more than one group."""
-        return materialise(df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n"), "list-sizes")
-
-    def members(df: DataFrame) -> DataFrame:
-        return df.groupBy("key").agg(F.collect_list(F.struct("uid", "sign", "size", "root")).alias("members"))
+        """``df`` (with ``root``) without the lists whose members are all of one group, and with ``n``, how many a list has."""
+        sizes = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n")
+        sizes = materialise(sizes, "list-sizes")
+        return join_counted(maybe_in(df, "key", sizes, "key", "__may").filter("__may").drop("__may"), sizes, "key", "n")
 
     def star(df: DataFrame) -> DataFrame:
-        """Each member with the first one; of each list all rows are of groups other than the first one's or the first one."""
         heads = df.groupBy("key").agg(F.min(F.struct("sign", "uid", "size")).alias("head"), F.count(F.lit(1)).alias("n"))
         met = join_counted(df.drop("n"), heads, "key", "n").filter("uid <> head.uid").filter(f"100 * least(size, head.size) >= {percent} * greatest(size, head.size)")
-        return met.filter(F.arrow_udf(_shared_bytes, "int")("sign", "head.sign") >= MIN_SHARED).select(F.col("head.uid").alias("a"), F.col("uid").alias("b"))
+        met = met.withColumn("shared", F.arrow_udf(_shared_bytes, "int")("sign", "head.sign")).filter(F.col("shared") >= MIN_SHARED)
+        return met.select(F.col("uid").alias("a"), F.col("head.uid").alias("b"), "shared")
+
+    def blocks(df: DataFrame) -> DataFrame:
+        cut = df.withColumn("last", F.expr(f"CAST((n - 1) div {BLOCK} AS INT)")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("last") + 1).cast("int"))
+        spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
+        columns = ["key", "one", "two", "side", "uid", "sign", "size", "root", "tried"]
+        sides = [spread.withColumns({"one": F.col("block"), "two": F.col("other"), "side": F.lit(0)}), spread.withColumns({"one": F.col("other"), "two": F.col("block"), "side": F.lit(1)})]
+        return sides[0].select(*columns).unionByName(sides[1].select(*columns)).groupBy("key", "one", "two").applyInArrow(_block_offers(percent), "a binary, b binary, shared int")
+
+    def offered(df: DataFrame) -> DataFrame:
+        told = with_tried(df)
+        lists = told.filter(F.col("n") <= LIST).groupBy("key").agg(F.collect_list(F.struct("uid", "sign", "size", "root", "tried")).alias("members"))
+        return lists.select("members").mapInArrow(_list_offers(percent), "a binary, b binary, shared int").unionByName(blocks(told.filter(F.col("n") > LIST)))
 
     posts = posted(signs.withColumns({"key": F.lit(0).cast("long"), "run": F.lit(-1)}))
     while True:
-        posts = labelled(posts)
-        sizes = several(posts)
-        if not sizes.take(1):
+        listed = materialise(several(labelled(posts)), "lists")
+        if not listed.take(1):
             break
-        shared = maybe_in(posts, "key", sizes, "key", "__may").filter("__may").drop("__may")
-        listed = materialise(join_counted(shared, sizes, "key", "n"), "lists")
-        short, long = listed.filter(F.col("n") <= LIST), listed.filter(F.col("n") > LIST)
-        lasting = bool(long.take(1))
-        found = members(short).select("members").mapInArrow(_list_pairs(percent, False), "a binary, b binary")
-        add(found.unionByName(star(long)) if lasting else found)
-        again = members(labelled(short.drop("root"))).filter("size(array_distinct(members.root)) > 1")
-        found = again.select("members").mapInArrow(_list_pairs(percent, True), "a binary, b binary")
-        if lasting:
-            own = labelled(long.drop("root"))
-            firsts = own.groupBy("key").agg(F.min(F.struct("sign", "uid", "root")).alias("first"), F.count(F.lit(1)).alias("n"))
-            others = join_counted(own.drop("n"), firsts.withColumn("taken", F.col("first.root")).drop("first"), "key", "n").filter("root <> taken").drop("taken", "n")
-            found = found.unionByName(star(others))
-        add(found)
+        wide = listed.filter((F.col("n") > WIDE) & (F.col("run") < runs - 1))
+        rest = listed.filter((F.col("n") <= WIDE) | (F.col("run") == runs - 1))
+        lasting = bool(wide.take(1))
+        joined = add(offered(rest).unionByName(star(wide)) if lasting else offered(rest))
+        while joined:
+            rest = materialise(several(labelled(rest.drop("root", "n"))), "lists")
+            joined = bool(rest.take(1)) and add(offered(rest))
         if not lasting:
             break
-        own = labelled(long.drop("root"))
-        left = several(own)
-        own = materialise(join_counted(own.drop("n"), left, "key", "n"), "long-lists")
-        ended = own.filter(F.col("run") == runs - 1)
-        if ended.take(1):
-            add(_blocks(ended, percent))
-        posts = posted(own.filter(F.col("run") < runs - 1))
+        posts = posted(several(labelled(wide.drop("root", "n"))))
     return roots if roots is not None else signs.limit(0).select(F.col("uid").alias("node"), F.col("uid").alias("root"))
 
 
-def _blocks(ended: DataFrame, percent: int) -> DataFrame:
-    """Candidates of lists that have no further run: cut into blocks of about ``LIST`` members, each two of which are compared."""
-    cut = ended.withColumn("blocks", F.expr(f"CAST(n div {LIST} + 1 AS INT)")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
-    each = materialise(cut.groupBy("key", "block", "blocks").agg(F.collect_list(F.struct("uid", "sign", "size", "root")).alias("members")), "list-blocks")
-    spread = each.select("key", "block", "members", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    two = spread.join(each.select("key", F.col("block").alias("other"), F.col("members").alias("theirs")), ["key", "other"])
-    return two.select("members", "theirs").mapInArrow(_block_pairs(percent), "a binary, b binary")
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets (uid, shingles) have a Jaccard similarity of ``percent`` hundredths or more."""
     degree = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))

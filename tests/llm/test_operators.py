@@ -332,9 +332,9 @@ def test_simhash_links_at_random(spark):
     assert {i: of[x] for i, x in marks.items()} == {i: c for i, (_, c) in plain.groups(marks).items()}
 
 
-@pytest.mark.parametrize("longest", [256, 2])
+@pytest.mark.parametrize("longest", [256, 1])
 def test_one_of_each_group(spark, tiny, monkeypatch, longest):
-    """Also with the way for long posting lists, which a pair of documents takes here."""
+    """Also with blocks, which a pair of documents takes here."""
     monkeypatch.setattr(simhash, "LIST", longest)
     docs = spark.read.parquet(f"{tiny}/documents.parquet")
     kept = simhash.keep_one(docs)
@@ -372,11 +372,12 @@ def borderline(seed, groups, words=300):
     return docs
 
 
-@pytest.mark.parametrize("longest", [256, 6])
-def test_near_the_bound(spark, monkeypatch, longest):
-    """All documents that brute force removes go, and no others: also by lists that are too long to be paired off."""
-    monkeypatch.setattr(simhash, "LIST", longest)
-    docs = borderline(21, 40 if longest > 6 else 12)
+@pytest.mark.parametrize("longest, wide", [(256, 4096), (4, 4096), (4, 8)])
+def test_near_the_bound(spark, monkeypatch, longest, wide):
+    """All documents that brute force removes go, and no others: also by blocks of longer lists, and by lists that are split."""
+    for name, value in (("LIST", longest), ("WIDE", wide), ("BLOCK", 4 if longest == 4 else 1024)):
+        monkeypatch.setattr(simhash, name, value)
+    docs = borderline(21, 40 if longest > 4 else 8)
     stay, go = set(plain.similar(docs)), len(docs)
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert stay <= kept and len(kept - stay) <= 0.01 * (go - len(stay)), (len(docs), len(stay), len(kept))
