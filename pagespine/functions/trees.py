@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import re
 from html import escape
+from urllib.parse import urljoin
 from xml.sax.saxutils import quoteattr
 
 import numpy as np
@@ -76,6 +78,39 @@ def markup(nodes: Column, most_bytes: int) -> Column:
     return write(F.transform(nodes, lambda n: F.struct(n["pre"].alias("pre"), n["last"].alias("last"), n["tag"].alias("tag"), n["attrs"].alias("attrs"), n["text"].alias("text"))))
 
 
+def _tidy(parts: list[str]) -> str:
+    """Collapsed, without blanks before punctuation."""
+    return re.sub(r"\s+([,.;:!?])", r"\1", re.sub(r"\s+", " ", "".join(parts)).strip())
+
+
+def _inline(nodes: list[dict], base: str) -> list[tuple[str | None, str | None]]:
+    """Bottom up: each element's text with the links in it as Markdown, and without."""
+    linked: dict[int, list[str]] = {}
+    plain: dict[int, list[str]] = {}
+    out: list[tuple[str | None, str | None]] = [(None, None)] * len(nodes)
+    for n in reversed(nodes):
+        own = [n["text"]], [n["text"]]
+        if n["tag"] != "#text":
+            raw = list(reversed(plain.pop(n["pre"], [])))
+            text = _tidy(list(reversed(linked.pop(n["pre"], []))))
+            out[n["pre"]] = (text, _tidy(raw))
+            own = [f"[{text}]({urljoin(base, n['href'])})" if n["tag"] == "a" and n["href"] and text else text], list(reversed(raw))
+        linked.setdefault(n["parent"], []).extend(own[0])
+        plain.setdefault(n["parent"], []).extend(own[1])
+    return out
+
+
+def inline_texts(nodes: Column, url: Column) -> Column:
+    """array<struct<linked, plain>>: of each element of a page its text with links as Markdown, and its text; null for texts."""
+
+    @F.arrow_udf("array<struct<linked: string, plain: string>>")
+    def write(column: pa.Array, urls: pa.Array) -> pa.Array:
+        made = [None if n is None else [{"linked": a, "plain": b} for a, b in _inline(n, u or "")] for n, u in zip(column.to_pylist(), urls.to_pylist())]
+        return pa.array(made, pa.list_(pa.struct([("linked", pa.string()), ("plain", pa.string())])))
+
+    return write(F.transform(nodes, lambda n: F.struct(n["pre"].alias("pre"), n["parent"].alias("parent"), n["tag"].alias("tag"), n["attrs"]["href"].alias("href"), n["text"].alias("text"))), url)
+
+
 def _enclosing(pre: np.ndarray, last: np.ndarray, marked: np.ndarray, itself: bool) -> list[int | None]:
     out: list[int | None] = []
     open_: list[tuple[int, int]] = []

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-AREAS = ("pages", "records", "network", "metrics", "crawl", "observe", "tables", "verify", "compiled", "similar", "structured", "reducers", "addresses", "sequences", "references")
+AREAS = ("pages", "records", "network", "metrics", "crawl", "observe", "tables", "verify", "compiled", "similar", "structured", "reducers", "addresses", "sequences", "references", "views")
 
 
 def collect() -> tuple[dict, dict]:

@@ -8,13 +8,14 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import urls as U
 from ..functions.structured import shape_signature
 from ..scratch import numbered
-from ..sources.html import NON_CONTENT, let, subtree, with_nodes
+from ..sources.html import let, subtree, with_nodes
 from ._registry import read, registry
 from .network import _REQ, endpoint_groups, requests, templated
 from .observe import MIN_SKELETON, features
@@ -277,32 +278,6 @@ def replay_conditions(spark, sf):
     return parsed.select("page_id", condition("url", "page=2", nodes, url).alias("at_page_2"), condition("selector", "article > h1", nodes, url).alias("has_article"), condition("count", "p", nodes, url, 9).alias("nine_paragraphs"), condition("absent", "form", nodes, url).alias("no_form"))
 
 
-# Pages as blocks of Markdown.
-
-# What a block of each tag begins with; how many blocks back an equal block is dropped.
-BLOCKS = {"h1": "## ", "h2": "## ", "h3": "### ", "h4": "#### ", "h5": "##### ", "h6": "###### ", "li": "- ", "blockquote": "> ", "p": "", "pre": "", "td": "", "th": ""}
-LOOK_BACK, LEAST_SHARE = 3, 0.6
-
-
-def markdown(nodes: Column) -> Column:
-    """The page's blocks as Markdown; the texts alone where the blocks hold less than 60 % of them. A block that equals
-    one of the last three is dropped."""
-    content = F.filter(nodes, lambda n: n["tag"].isin(*BLOCKS))
-    inside = lambda n: F.exists(content, lambda a: (a["pre"] < n["pre"]) & (n["pre"] <= a["last"]))
-    text = lambda n: F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(subtree(nodes, n), lambda t: t["tag"] == "#text"), lambda t: t["text"]), " "), r"(?U)\s+", " "))
-    mark = lambda n: F.create_map(*[F.lit(x) for pair in BLOCKS.items() for x in pair])[n["tag"]]
-    blocks = F.filter(F.transform(F.filter(content, lambda n: ~inside(n)), lambda n: F.struct(mark(n).alias("mark"), text(n).alias("text"))), lambda b: b["text"] != "")
-    start = F.array().cast("array<string>")
-    kept = F.aggregate(F.transform(blocks, lambda b: F.concat(b["mark"], b["text"])), start, lambda s, b: F.when(F.array_contains(F.slice(F.reverse(s), 1, LOOK_BACK), b), s).otherwise(F.concat(s, F.array(b))))
-    raw = F.trim(F.regexp_replace(F.array_join(F.transform(F.filter(nodes, lambda t: (t["tag"] == "#text") & ~F.exists(nodes, lambda a: a["tag"].isin(*NON_CONTENT) & (t["parent"] == a["pre"]))), lambda t: t["text"]), " "), r"(?U)\s+", " "))
-    return let(F.array_join(kept, "\n\n"), lambda m: let(raw, lambda r: F.when(F.length(m) < LEAST_SHARE * F.length(r), r).otherwise(m)))
-
-
-@query("page_markdown")
-def page_markdown(spark, sf):
-    return with_nodes(read(spark, sf, "pages").select("page_id", "html")).select("page_id", markdown(F.col("nodes")).alias("markdown"))
-
-
 # Stored bytes, told by their digest.
 
 
@@ -310,6 +285,11 @@ def put_artifacts(rows: DataFrame, content: str, path: str) -> DataFrame:
     """Writes each distinct content once, partitioned by the digest's first digits; returns digest and size of every row."""
     keyed = rows.withColumn("digest", F.sha2(F.col(content).cast("binary"), 256))
     stored = keyed.groupBy("digest").agg(F.first(F.col(content).cast("binary")).alias("content")).withColumn("shelf", F.substring("digest", 1, 2))
+    try:
+        stored = stored.join(rows.sparkSession.read.parquet(path).select("digest"), "digest", "left_anti")
+    except AnalysisException as e:  # nothing is stored yet
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
     stored.write.mode("append").partitionBy("shelf").parquet(path)
     return keyed.select(*[c for c in rows.columns if c != content], "digest", F.octet_length(F.col(content).cast("binary")).alias("size"))
 

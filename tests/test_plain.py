@@ -123,23 +123,6 @@ def test_path_similarities(spark, tiny, parsed):
     assert got == {i: pytest.approx(ratio(path, first[host]), abs=1e-9) for i, (host, path) in rows.items()}
 
 
-def test_page_markdown(spark, tiny, parsed):
-    want = {}
-    for page, (_, nodes) in parsed.items():
-        blocks, tidy = [], lambda parts: re.sub(r"\s+", " ", " ".join(parts)).strip()
-        content = [n for n in nodes if n["tag"] in compiled.BLOCKS]
-        for n in content:
-            if not any(a["pre"] < n["pre"] <= a["last"] for a in content) and (t := tidy(texts(nodes, n))):
-                block = compiled.BLOCKS[n["tag"]] + t
-                if block not in blocks[-compiled.LOOK_BACK :]:
-                    blocks.append(block)
-        raw = tidy([n["text"] for n in nodes if n["tag"] == "#text" and (n["parent"] < 0 or nodes[n["parent"]]["tag"] not in html.NON_CONTENT)])
-        made = "\n\n".join(blocks)
-        want[page] = raw if len(made) < compiled.LEAST_SHARE * len(raw) else made
-    got = {r["page_id"]: r["markdown"] for r in QUERIES["page_markdown"](spark, tiny).collect()}
-    assert got == want and any("\n\n" in m for m in got.values())
-
-
 def test_page_matches(spark, tiny, parsed):
     """Each page against the first of its bucket: the scores of the weighted sets, by a plain loop."""
     own = {r["page_id"]: r for r in observe.features(spark.read.parquet(f"{tiny}/pages.parquet")).collect()}
