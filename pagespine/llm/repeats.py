@@ -40,9 +40,9 @@ GRAM = 32
 SYMBOL = 200
 SIDE = (LENGTH - GRAM) // 2
 CORE = SIDE + GRAM
-SLICE_BYTES = 1 << 20
-SHARD_BYTES = 1 << 19
-BUCKET_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
+SHARD_BYTES = 1 << 18
+BUCKET_BYTES = 1 << 19
 CORE_BYTES = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _A, _B = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -69,7 +69,7 @@ class Hashes:
     """Hashes of any substrings of a buffer, from prefix sums of scrambled bytes times powers of an odd number."""
 
     def __init__(self, data: np.ndarray):
-        room = 1 << max(21, len(data).bit_length())
+        room = 1 << max(20, len(data).bit_length())
         self.inverse = _powers(room, True)
         self.sums = np.concatenate(([np.uint64(0)], np.cumsum(_bytes_table()[data] * _powers(room, False)[: len(data)])))
 
@@ -376,7 +376,10 @@ def find(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFra
             wider_ = maps[level - 1].withColumnRenamed("first", "by")
             inner = resolved.withColumnsRenamed({"core": "to_core", "piece": "to_piece"})
             resolved = wider_.join(inner, ["to_core", "to_piece"]).select("core", "piece", (F.col("first") + F.col("by")).alias("first"), "n", "mask")
-    back = made.select("doc", "key", "start", "core", "piece").join(resolved, ["core", "piece"])
+    # a piece that very many texts have goes to them where they are
+    told = resolved.groupBy("core", "piece").agg(F.collect_list(F.struct("first", "n", "mask")).alias("hits")).join(distinct.select("core", "piece", "times"), ["core", "piece"])
+    told = materialise(told, "resolved-repeats")
+    back = join_counted(made.select("doc", "key", "start", "core", "piece"), told, ["core", "piece"], "times").select("doc", "key", "start", F.inline("hits"))
     return back.groupBy("doc", "key").agg(F.collect_set(F.struct((F.col("start") + F.col("first")).alias("start"), "n", "mask")).alias("found"))
 
 
