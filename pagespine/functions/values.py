@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import ordered_case
+from .text import let, ordered_case
 from .urls import query_pairs, segments
 
 # The classes in the order they are tried, with their patterns.
@@ -34,12 +34,17 @@ def _any(conditions) -> Column:
 
 def segment_template(segment: Column) -> Column:
     """A placeholder for a segment that is a timestamp, id or token, with its extension; else the segment."""
-    decoded = F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)
-    extension = F.regexp_extract(decoded, r"\.([A-Za-z0-9]{1,8})$", 1)
-    stem = F.when(extension == "", decoded).otherwise(F.substring(decoded, F.lit(1), F.length(decoded) - F.length(extension) - 1))
-    kind = value_class(stem)
-    made = F.concat(F.lit("{"), kind, F.lit("}"), F.when(extension == "", F.lit("")).otherwise(F.concat(F.lit("."), extension)))
-    return F.when(kind.isin("timestamp", "id", "token"), made).otherwise(segment)
+
+    def made(decoded, extension, kind):
+        told = F.concat(F.lit("{"), kind, F.lit("}"), F.when(extension == "", F.lit("")).otherwise(F.concat(F.lit("."), extension)))
+        return F.when(kind.isin("timestamp", "id", "token"), told).otherwise(segment)
+
+    def stem(decoded, extension):
+        return F.when(extension == "", decoded).otherwise(F.substring(decoded, F.lit(1), F.length(decoded) - F.length(extension) - 1))
+
+    # each part is computed once: decoded where something is to be decoded, then the extension, then the class
+    decoded = F.when(segment.contains("%"), F.coalesce(F.try_url_decode(F.replace(segment, F.lit("+"), F.lit("%2B"))), segment)).otherwise(segment)
+    return let(decoded, lambda d: let(F.regexp_extract(d, r"\.([A-Za-z0-9]{1,8})$", 1), lambda e: let(value_class(stem(d, e)), lambda k: made(d, e, k))))
 
 
 def path_template(path: Column) -> Column:

@@ -15,12 +15,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.trees import descents, enclosing, markup
+from ..functions.trees import descents, markup
 from ..scratch import written
 from ..sources.html import let, node_table, node_text, subtree, with_nodes
 from ._registry import read, registry
 from .compiled import bounded_prefix
-from .observe import SAFE_NAME, anchor_keys, anchors, region_runs
+from .observe import SAFE_NAME, anchor_keys, anchors, nearest_anchors, region_runs
 
 QUERIES, SQL, query = registry()
 
@@ -61,21 +61,10 @@ def addresses(elements: DataFrame, id: str = "page_id") -> DataFrame:
     rows = rows.withColumn("place", F.map_from_arrays("own.pre", F.transform("own", lambda n, i: i)))
     rows = rows.withColumn("parents", F.transform("own", lambda n: F.coalesce(F.try_element_at(F.col("place"), n["parent"]), F.lit(-1))))
     rows = rows.withColumn("paths", descents(F.col("parents"), F.col("own.step"), F.transform("own", lambda n: n["key"].isNotNull())))
-    long = rows.select(id, F.posexplode("own").alias("i", "n"), "paths").select(id, "n.*", F.get("paths", F.col("i")).alias("path"))
-    holders = found.join(elements.select(id, "pre", "last"), [id, "pre"])
-    near = above(long, holders, id)
+    long = rows.select(id, F.explode(F.arrays_zip(F.col("own.pre").alias("pre"), F.col("paths").alias("path"))).alias("x")).select(id, "x.*")
+    near = long.join(nearest_anchors(elements, found, id), [id, "pre"], "left")
     below = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat(F.lit("|."), "path"))
-    return near.select(id, "pre", F.when(F.col("anchor").isNull(), F.col("path")).otherwise(F.concat(anchored(F.col("anchor")), below)).alias("address"))
-
-
-def above(elements: DataFrame, holders: DataFrame, id: str = "page_id") -> DataFrame:
-    """``elements`` with ``anchor``, the key of the nearest of ``holders`` (id, pre, last, key) at or above each, by one walk a page."""
-    all_ = elements.join(holders.select(id, "pre", "last", F.col("key").alias("held")), [id, "pre"], "left")
-    page = all_.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("pre", F.coalesce("last", F.col("pre")).alias("last"), "held", *[c for c in elements.columns if c not in (id, "pre")]))).alias("all"))
-    page = page.withColumn("near", enclosing(F.col("all"), lambda n: n["held"].isNotNull(), itself=True))
-    page = page.withColumn("keys", F.map_from_entries(F.transform(F.filter("all", lambda n: n["held"].isNotNull()), lambda n: F.struct(n["pre"], n["held"]))))
-    long = page.select(id, F.posexplode("all").alias("i", "n"), "near", "keys")
-    return long.select(id, *[F.col(f"n.{c}").alias(c) for c in elements.columns if c != id], F.try_element_at("keys", F.get("near", F.col("i"))).alias("anchor"))
+    return near.select(id, "pre", F.when(F.col("key").isNull(), F.col("path")).otherwise(F.concat(anchored(F.col("key")), below)).alias("address"))
 
 
 def parsed(address: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.structured import ld_types
 from ..functions.text import class_tokens
+from ..functions.trees import enclosing
 from ..scratch import written
 from ..sources.html import node_table, with_nodes
 from ._registry import read, registry
@@ -210,11 +211,14 @@ def page_anchors(spark, sf):
 
 
 def nearest_anchors(nodes: DataFrame, found: DataFrame, id: str = "page_id") -> DataFrame:
-    """id, pre, anchor, key: of each element the nearest element at or above it that has a key, by ranges within a page."""
-    holders = found.join(nodes.select(id, "pre", "last", "depth"), [id, "pre"]).select(F.col(id).alias("__id"), F.col("pre").alias("a_pre"), F.col("last").alias("a_last"), "depth", "key")
-    own = nodes.filter(F.col("tag") != "#text").select(id, "pre")
-    joined = own.join(holders, (F.col(id) == F.col("__id")) & F.col("pre").between(F.col("a_pre"), F.col("a_last")))
-    return joined.groupBy(id, "pre").agg(F.max_by(F.struct("a_pre", "key"), "depth").alias("x")).select(id, "pre", F.col("x.a_pre").alias("anchor"), F.col("x.key").alias("key"))
+    """id, pre, anchor, key: of each element the nearest element at or above it that has a key (``found``), by one walk over a page's
+    elements in order."""
+    own = nodes.filter(F.col("tag") != "#text").select(id, "pre", "last").join(found.select(id, "pre", "key"), [id, "pre"], "left")
+    page = own.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("pre", "last", "key"))).alias("own"))
+    page = page.withColumn("near", enclosing(F.col("own"), lambda n: n["key"].isNotNull(), itself=True))
+    page = page.withColumn("keys", F.map_from_entries(F.transform(F.filter("own", lambda n: n["key"].isNotNull()), lambda n: F.struct(n["pre"], n["key"]))))
+    each = page.select(id, "keys", F.explode(F.arrays_zip(F.col("own.pre").alias("pre"), F.col("near").alias("anchor"))).alias("x"))
+    return each.filter("x.anchor IS NOT NULL").select(id, "x.pre", "x.anchor", F.try_element_at("keys", F.col("x.anchor")).alias("key"))
 
 
 @query("anchor_counts")

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.contract import Contract, Field
-from ..plans.selectors import LEVELS, Selector, css, values, xpath
+from ..plans.selectors import Unsupported, LEVELS, Selector, css, values, xpath
 from ..sources.html import with_nodes
 from ._registry import read, registry
 
@@ -38,6 +38,8 @@ def tested(s: Selector, nodes: Column, within: Column | None = None) -> tuple[Co
         return F.lit(False), F.lit(REASONS["na"])
     try:
         return _elements(s, nodes, within) > 0, F.lit(REASONS["none"])
+    except Unsupported:
+        return F.lit(False), F.lit(REASONS["unsupported"])
     except ValueError:
         return F.lit(False), F.lit(REASONS["syntax"])
 

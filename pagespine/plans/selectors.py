@@ -1,16 +1,19 @@
 """Selectors as column expressions over a page's nodes.
 
 CSS: lists of selectors with commas; steps of tag, ``.class``, ``#id``, ``[attr]``, ``[attr=value]`` and with ``^=``, ``$=``,
-``*=`` or ``~=``, ``:first-child``, ``:last-child``, ``:nth-child(n)`` (also ``odd``, ``even``, ``an+b``), ``:not(simple)``,
-joined by blanks, ``>``, ``+`` or ``~``; then ``::text`` or ``::attr(name)``. XPath: ``//tag``, ``/tag``, ``[@attr]``,
+``*=`` or ``~=``; ``:first-child``, ``:last-child``, ``:only-child``, ``:first-of-type``, ``:nth-child(n)``, ``:nth-last-child(n)`` and
+``:nth-of-type(n)`` (also ``odd``, ``even``, ``an+b``), ``:empty``, ``:root``, ``:link``, ``:checked``, ``:disabled``, ``:enabled``, ``:not(...)`` and
+``:is(...)`` of simple ones; joined by blanks, ``>``, ``+`` or ``~``; then ``::text`` or ``::attr(name)``. XPath: ``//tag``, ``/tag``, ``[@attr]``,
 ``[@attr='value']``, ``[contains(@attr, 'x')]``, ``[contains(text(), 'x')]`` or of ``.``, ``[n]``, ``[last()]``, then ``/text()``
-or ``/@name``. Other kinds of selector find nothing; what can't be read raises.
+or ``/@name``. Other kinds of selector find nothing; a valid selector
+that isn't compiled here raises ``Unsupported``, what can't be read another ``ValueError``.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -81,30 +84,51 @@ class Compiled:
         return F.transform(found, lambda n: node_text(nodes, n))
 
 
-def _nth(text: str):
-    """Whether an element has one of the places that ``text`` gives."""
+class Unsupported(ValueError):
+    """A selector that is valid, but outside what is compiled here."""
+
+
+def _nth(text: str, place=lambda n: n["nth"]):
+    """Whether an element has one of the places that ``text`` gives; ``place`` counts from 1."""
     text = {"odd": "2n+1", "even": "2n"}.get(text.strip(), text.replace(" ", ""))
     m = re.fullmatch(r"(?:([+-]?\d*)n)?([+-]?\d+)?", text)
     if not m or not text:
-        raise ValueError(f"unsupported place: {text!r}")
+        raise ValueError(f"no place: {text!r}")
     step = 0 if m[1] is None else int(m[1] + "1" if m[1] in ("", "+", "-") else m[1])
     first = int(m[2] or 0)
     if step == 0:
-        return lambda n: n["nth"] == first
-    return lambda n: (n["nth"] > 0) & ((n["nth"] - first) % step == 0) & (((n["nth"] - first) / step) >= 0)
+        return lambda n: (n["nth"] > 0) & (place(n) == first)
+    return lambda n: (n["nth"] > 0) & ((place(n) - first) % step == 0) & (((place(n) - first) / step) >= 0)
+
+
+# Pseudo-classes by what they say of an element alone; those that take places, with what is counted; those that are valid, but
+# say something of other elements, or of what a visitor does.
+_ALONE = {
+    "first-child": lambda n: n["nth"] == 1, "last-child": lambda n: (n["nth"] > 0) & (n["after"] == 0), "only-child": lambda n: (n["nth"] == 1) & (n["after"] == 0), "first-of-type": lambda n: n["same"] == 1,
+    "empty": lambda n: n["last"] == n["pre"], "root": lambda n: (n["parent"] < 0) & (n["tag"] != "#text"), "link": lambda n: (n["tag"] == "a") & n["attrs"]["href"].isNotNull(),
+    "checked": lambda n: ((n["tag"] == "input") & n["attrs"]["checked"].isNotNull()) | ((n["tag"] == "option") & n["attrs"]["selected"].isNotNull()),
+    "disabled": lambda n: n["tag"].isin("button", "input", "select", "textarea", "option", "optgroup", "fieldset") & n["attrs"]["disabled"].isNotNull(),
+    "enabled": lambda n: n["tag"].isin("button", "input", "select", "textarea", "option", "optgroup", "fieldset") & n["attrs"]["disabled"].isNull(),
+}
+_PLACED = {"nth-child": lambda n: n["nth"], "nth-last-child": lambda n: n["after"] + 1, "nth-of-type": lambda n: n["same"]}
+_VALID = ("last-of-type", "only-of-type", "nth-last-of-type", "has", "lang", "hover", "active", "focus", "visited", "target", "contains", "scope", "indeterminate", "required", "optional", "any-link", "read-only", "read-write", "focus-within", "focus-visible", "placeholder-shown", "default", "valid", "invalid", "in-range", "out-of-range", "dir")
 
 
 def _pseudo(name: str, of: str | None):
-    if name == "first-child":
-        return lambda n: n["nth"] == 1
-    if name == "last-child":
-        return lambda n: (n["nth"] > 0) & (n["after"] == 0)
-    if name == "nth-child" and of:
-        return _nth(of)
-    if name == "not" and of and (m := _STEP.fullmatch(of.strip())):
-        inner = _test(m["tag"], m["rest"])
-        return lambda n: ~F.coalesce(inner(n), F.lit(False))
-    raise ValueError(f"unsupported pseudo-class: {name!r}")
+    if name in _ALONE and of is None:
+        return lambda n: F.coalesce(_ALONE[name](n), F.lit(False))
+    if name in _PLACED and of:
+        return _nth(of, _PLACED[name])
+    if name in ("not", "is", "where", "matches") and of:
+        found = [m if (m := _STEP.fullmatch(x.strip())) and x.strip() else None for x in of.split(",")]
+        if None in found:
+            raise Unsupported(f"no simple selectors: {of!r}")
+        inner = [_test(m["tag"], m["rest"]) for m in found]
+        any_ = lambda n: reduce(lambda a, b: a | b, [F.coalesce(t(n), F.lit(False)) for t in inner])
+        return (lambda n: ~any_(n) & (n["tag"] != "#text")) if name == "not" else any_
+    if name in _VALID:
+        raise Unsupported(f"pseudo-class: {name!r}")
+    raise ValueError(f"no pseudo-class: {name!r}")
 
 
 def _test(tag: str | None, parts: str, more=()):
@@ -135,9 +159,22 @@ def _test(tag: str | None, parts: str, more=()):
     return test
 
 
+def _alternatives(text: str) -> list[str]:
+    """The parts between commas that stand in no brackets."""
+    parts, depth = [""], 0
+    for c in text:
+        depth += (c in "([") - (c in ")]")
+        if c == "," and depth == 0:
+            parts.append("")
+        else:
+            parts[-1] += c
+    return parts
+
+
 def css(text: str) -> Compiled:
     alternatives, take, attribute = [], "text", None
-    for one in re.split(r",(?![^\[(]*[\])])", text):
+    tidy = re.sub(r"\(([^()]*)\)", lambda m: "(" + re.sub(r"\s*,\s*", ",", m[1].strip()) + ")", text)
+    for one in _alternatives(tidy):
         body, _, pseudo = one.strip().partition("::")
         if pseudo:
             take, attribute = ("own", None) if pseudo == "text" else ("attr", pseudo[5:-1])

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import let, readable
+
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 ENDS_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 #: An element that ends an open element of the same kind, unless one of the others is open above it.
@@ -129,11 +131,6 @@ def below(n: Column, a: Column) -> Column:
     return (n["pre"] > a["pre"]) & (n["pre"] <= a["last"])
 
 
-def let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once, also where lambdas use it for each element."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def subtree(nodes: Column, of: Column) -> Column:
     """A node and all within it, of a whole page's nodes."""
     return F.slice(nodes, of["pre"] + 1, of["last"] - of["pre"] + 1)
@@ -151,8 +148,6 @@ def node_text(nodes: Column, of: Column) -> Column:
 
 def visible_text(nodes: Column) -> Column:
     """All texts of the page, collapsed, without blanks before punctuation."""
-    from ..functions.text import readable
-
     parts = F.filter(F.transform(texts(nodes), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != "")
     return readable(F.array_join(parts, " "))
 

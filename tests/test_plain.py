@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pagespine.functions import coerce, urls
 from pagespine.operators import collect, compiled, crawl, observe, verify
 from pagespine.plans.contract import Contract, Field, keep_first
-from pagespine.plans.selectors import Selector, css, values, xpath
+from pagespine.plans.selectors import Selector, Unsupported, css, values, xpath
 from pagespine.sources import html, readers
 
 QUERIES, SQL = collect()
@@ -64,11 +64,16 @@ def plain_anchors(nodes):
         a = n["attrs"]
         tiers = [f"id={a['id']}" if a.get("id") else None, *[f"{k}={a[k]}" for k in sorted(a) if k.startswith("data-")]]
         classes = " ".join(a.get("class", "").split())
-        tiers += [f"class={classes}" if classes else None, f"tag:{n['tag']}" if n["tag"] not in observe.FRAME_TAGS else None]
-        for k in [t for t in tiers if t and not re.search('["#|]', t)]:
+        told = [(k, v) for k, v in a.items() if v][:2]
+        safe = lambda k: re.fullmatch(observe.SAFE_NAME, k)
+        tiers += [f"class={classes}" if classes else None, f"{list(a)[0]}={list(a.values())[0]}" if a and safe(list(a)[0]) else None]
+        tiers += [f"both({told[0][0]}={told[0][1]};{told[1][0]}={told[1][1]})" if len(told) == 2 and all(safe(k) and ";" not in v for k, v in told) else None]
+        tiers += [f"tag:{n['tag']}" if n["tag"] not in observe.FRAME_TAGS and safe(n["tag"]) else None]
+        for k in dict.fromkeys(t for t in tiers if t):
             keys[k].append(n["pre"])
             where.setdefault(n["pre"], []).append(k)
-    return {pre: next(k for k in own if len(keys[k]) == 1) for pre, own in where.items() if any(len(keys[k]) == 1 for k in own)}
+    good = lambda k: len(keys[k]) == 1 and not re.search(observe.RESERVED, k)
+    return {pre: next(k for k in own if good(k)) for pre, own in where.items() if any(map(good, own))}
 
 
 def test_page_anchors(spark, tiny, parsed):
@@ -148,13 +153,18 @@ def test_selectors(spark):
         ("css", "li:nth-child(2)"): ["2"], ("css", "li:first-child, p.z"): ["1", "two"], ("css", "ul + p"): ["one  l"], ("css", "ul ~ p"): ["one  l", "two"], ("css", "li:not(.a)"): ["2", "3 in"],
         ("css", "li[data-k^=foo]"): ["2"], ("css", 'li[data-k$="bar"]'): ["2"], ("css", "li[data-k*=o-b]"): ["2"], ("css", "li[class~=x]"): ["1"], ("css", "li[data-k^='']"): [], ("css", "li:last-child"): ["3 in"],
         ("css", "li:nth-child(odd)"): ["1", "3 in"], ("css", "div > p, ul > li:nth-child(n+2)"): ["2", "3 in", "three"], ("css", "a[href]::attr(href)"): ["/q"],
+        ("css", "li:nth-of-type(3)"): ["3 in"], ("css", "p:first-of-type"): ["one  l", "three"], ("css", "ul:only-child"): [], ("css", "div p:only-child"): ["three"], ("css", "li:is(.a, [data-k])"): ["1", "2"], ("css", "li:not(.a, [data-k])"): ["3 in"],
+        ("css", "li:nth-last-child(1)"): ["3 in"], ("css", "input:empty"): ["", ""], ("css", "a:link"): ["l"], ("css", "button:enabled"): ["B"], ("css", "html:root > body > ul > li.x"): ["1"],
         ("xpath", "//li[2]"): ["2"], ("xpath", "//p[contains(text(), 'thr')]"): ["three"], ("xpath", "//li[contains(., 'in')]"): ["3 in"], ("xpath", '//a[contains(@href,"q")]/@href'): ["/q"],
         ("role", "button"): ["B", ""], ("role", "link"): ["l"], ("role", "textbox"): [""],
     }
     df = html.with_nodes(spark.createDataFrame([(1, HTML)], "id int, html string"))
     row = df.select(*[values(Selector(v, k), F.col("nodes")).alias(str(i)) for i, (k, v) in enumerate(tests)]).first()
     assert dict(zip(tests, row)) == tests
-    for bad in ("li:hover", "a >", "li[", "p!x", "li:nth-child(x)"):
+    for valid in ("li:hover", "p:has(a)", "li:last-of-type"):
+        with pytest.raises(Unsupported):
+            css(valid)
+    for bad in ("li:hoover", "a >", "li[", "p!x", "li:nth-child(x)"):
         with pytest.raises(ValueError):
             css(bad)
     with pytest.raises(ValueError):
