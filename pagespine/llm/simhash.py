@@ -32,9 +32,9 @@ BYTES, MAX_BITS = 8, 2
 SHARED = BYTES - MAX_BITS
 SLICE_CHARS = 1 << 20
 #: For similar shingles: bytes of a signature, positions of a posting list's key, the least tally; the longest list that one task
-#: compares, the longest that is compared in blocks, and a block's size; what a text is offered at once; the pairs of one text that
-#: are verified together.
-POSITIONS, RUN, MIN_SHARED, LIST, WIDE, BLOCK, OFFERS, STAR = 64, 4, 38, 256, 4096, 1024, 4, 2048
+#: compares, the longest that is compared in blocks, and a block's size; how many candidates a text is offered, round by round; the pairs of
+#: one text that are verified together.
+POSITIONS, RUN, MIN_SHARED, LIST, WIDE, BLOCK, OFFERS, STAR = 64, 4, 38, 256, 4096, 1024, (4, 16, 64), 2048
 
 
 def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
@@ -204,23 +204,18 @@ def signatures(texts: list[str | None], shingle: int) -> tuple[list[bytes], list
     return keys, marks, distinct
 
 
-def _offers(one: dict, two: dict, percent: int) -> tuple[list, list, list]:
-    """For each member of ``one`` the best ``OFFERS`` candidates in ``two`` of other groups that it wasn't tried with: who shares
-    ``MIN_SHARED`` bytes or more and has a size that allows the similarity, those that share most first."""
+def _offers(one: dict, two: dict, percent: int, most: int) -> tuple[list, list, list]:
+    """For each member of ``one`` the best ``most`` candidates in ``two`` of other groups: who shares ``MIN_SHARED`` bytes or more
+    and has a size that allows the similarity, those that share most first."""
     a, b, n = [], [], []
     signs, sizes, ids, roots = two["signs"], two["sizes"], two["ids"], two["roots"]
-    for uid, sign, size, root, tried in zip(one["ids"], one["signs"], one["sizes"], one["roots"], one["tried"]):
+    for uid, sign, size, root in zip(one["ids"], one["signs"], one["sizes"], one["roots"]):
         shared = (signs == sign).sum(axis=1)
         near = np.flatnonzero((shared >= MIN_SHARED) & (100 * np.minimum(sizes, size) >= percent * np.maximum(sizes, size)) & (roots != root))
-        taken = 0
-        for k in near[np.argsort(-shared[near], kind="stable")].tolist():
-            if ids[k] not in tried:
-                a.append(uid)
-                b.append(ids[k])
-                n.append(int(shared[k]))
-                taken += 1
-                if taken == OFFERS:
-                    break
+        best = near[np.argsort(-shared[near], kind="stable")[:most]]
+        a += [uid] * len(best)
+        b += [ids[k] for k in best.tolist()]
+        n += shared[best].tolist()
     return a, b, n
 
 
@@ -228,7 +223,7 @@ def _members(rows: list[dict]) -> dict:
     rows = sorted(rows, key=lambda m: (m["sign"], m["uid"]))
     return {
         "ids": [m["uid"] for m in rows], "signs": np.frombuffer(b"".join(m["sign"] for m in rows), np.uint8).reshape(-1, POSITIONS), "sizes": np.array([m["size"] for m in rows], np.int64),
-        "roots": np.array([m["root"] for m in rows], object), "tried": [frozenset(m["tried"] or ()) for m in rows],
+        "roots": np.array([m["root"] for m in rows], object),
     }
 
 
@@ -236,13 +231,13 @@ def _offered(found: tuple[list, list, list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(found[0], pa.binary()), pa.array(found[1], pa.binary()), pa.array(found[2], pa.int32())], names=["a", "b", "shared"])
 
 
-def _list_offers(percent: int):
+def _list_offers(percent: int, most: int):
     def run(batches):
         for batch in batches:
             found: tuple[list, list, list] = ([], [], [])
             for row in batch.column(0):
                 own = _members(row.as_py())
-                for all_, more in zip(found, _offers(own, own, percent)):
+                for all_, more in zip(found, _offers(own, own, percent, most)):
                     all_ += more
                 if len(found[0]) > 20_000:
                     yield _offered(found)
@@ -252,13 +247,13 @@ def _list_offers(percent: int):
     return run
 
 
-def _block_offers(percent: int):
+def _block_offers(percent: int, most: int):
     """Of two blocks of one list, in ``side`` 0 and 1, what the first one's members are offered of the second one's."""
 
     def run(table: pa.Table) -> pa.Table:
-        rows = table.select(["side", "uid", "sign", "size", "root", "tried"]).to_pylist()
+        rows = table.select(["side", "uid", "sign", "size", "root"]).to_pylist()
         one, two = ([m for m in rows if m["side"] == k] for k in (0, 1))
-        return pa.Table.from_batches([_offered(_offers(_members(one), _members(two), percent) if one and two else ([], [], []))])
+        return pa.Table.from_batches([_offered(_offers(_members(one), _members(two), percent, most) if one and two else ([], [], []))])
 
     return run
 
@@ -272,14 +267,14 @@ def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) ->
     """(node, root) of all groups of (uid, sign, size), by candidates that ``verify`` lets pass; ``links`` are sure already.
 
     A list holds the signatures with equal bytes at ``RUN`` positions. In rounds, each member is offered its best candidates of other
-    groups that it wasn't tried with: by comparing all of a list of up to ``LIST`` members, and those of up to ``WIDE`` in
-    blocks. Offers are verified before they decide anything; good ones join groups, the others aren't offered again; a list whose
-    members are all of one group is done. Rounds end when one joins nothing. Of lists longer than ``WIDE`` each member is offered the
-    first one; those that then hold several groups are split by one more run of positions, until they are short or have no further run and
-    are compared in blocks whatever their length.
+    groups, more in each round (``OFFERS``): by comparing all of a list of up to ``LIST`` members, and those of up to ``WIDE`` in
+    blocks. Offers are verified before they decide anything; the good ones join groups; a list whose members are all of one group
+    is done. When a round joins nothing, the candidates left share less than all that failed, and rounds end. Of lists longer than
+    ``WIDE`` each member is offered the first one; those that then hold several groups are split by one more run of positions, until
+    they are short or have no further run and are compared in blocks whatever their length.
     """
     runs = POSITIONS // RUN
-    edges, roots, failed = materialise(links, "similar-links"), None, None
+    edges, roots = materialise(links, "similar-links"), None
     if edges.take(1):
         roots = components(edges)
 
@@ -288,23 +283,15 @@ def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) ->
             return df.withColumn("root", F.col("uid"))
         return df.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
-    def with_tried(df: DataFrame) -> DataFrame:
-        if failed is None:
-            return df.withColumn("tried", F.lit(None).cast("array<binary>"))
-        both = failed.unionByName(failed.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        return df.join(both.groupBy(F.col("a").alias("uid")).agg(F.collect_set("b").alias("tried")), "uid", "left")
-
-    def add(offers: DataFrame) -> bool:
+    def add(offers: DataFrame, most: int) -> bool:
         """Verify the best offers of each member over all its lists; whether any is good."""
-        nonlocal edges, roots, failed
+        nonlocal edges, roots
         best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-        once = offers.groupBy("a", "b").agg(F.max("shared").alias("shared")).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= OFFERS)
+        once = offers.groupBy("a", "b").agg(F.max("shared").alias("shared")).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= most)
         pairs = materialise(once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-candidates")
         if not pairs.take(1):
             return False
         good = materialise(verify(pairs), "similar-links")
-        bad = pairs.join(good, ["a", "b"], "left_anti")
-        failed = materialise(bad if failed is None else failed.unionByName(bad), "similar-tried")
         if not good.take(1):
             return False
         edges = edges.unionByName(good)
@@ -327,17 +314,18 @@ def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) ->
         met = met.withColumn("shared", F.arrow_udf(_shared_bytes, "int")("sign", "head.sign")).filter(F.col("shared") >= MIN_SHARED)
         return met.select(F.col("uid").alias("a"), F.col("head.uid").alias("b"), "shared")
 
-    def blocks(df: DataFrame) -> DataFrame:
+    def blocks(df: DataFrame, most: int) -> DataFrame:
         cut = df.withColumn("last", F.expr(f"CAST((n - 1) div {BLOCK} AS INT)")).withColumn("block", F.pmod(F.xxhash64("uid"), F.col("last") + 1).cast("int"))
         spread = cut.withColumn("other", F.explode(F.sequence(F.lit(0), "last")))
-        columns = ["key", "one", "two", "side", "uid", "sign", "size", "root", "tried"]
+        columns = ["key", "one", "two", "side", "uid", "sign", "size", "root"]
         sides = [spread.withColumns({"one": F.col("block"), "two": F.col("other"), "side": F.lit(0)}), spread.withColumns({"one": F.col("other"), "two": F.col("block"), "side": F.lit(1)})]
-        return sides[0].select(*columns).unionByName(sides[1].select(*columns)).groupBy("key", "one", "two").applyInArrow(_block_offers(percent), "a binary, b binary, shared int")
+        return sides[0].select(*columns).unionByName(sides[1].select(*columns)).groupBy("key", "one", "two").applyInArrow(_block_offers(percent, most), "a binary, b binary, shared int")
 
-    def offered(df: DataFrame) -> DataFrame:
-        told = with_tried(df)
-        lists = told.filter(F.col("n") <= LIST).groupBy("key").agg(F.collect_list(F.struct("uid", "sign", "size", "root", "tried")).alias("members"))
-        return lists.select("members").mapInArrow(_list_offers(percent), "a binary, b binary, shared int").unionByName(blocks(told.filter(F.col("n") > LIST)))
+    def offered(df: DataFrame, most: int) -> DataFrame:
+        lists = df.filter(F.col("n") <= LIST).groupBy("key").agg(F.collect_list(F.struct("uid", "sign", "size", "root")).alias("members"))
+        found = lists.select("members").mapInArrow(_list_offers(percent, most), "a binary, b binary, shared int")
+        long = df.filter(F.col("n") > LIST)
+        return found.unionByName(blocks(long, most)) if long.take(1) else found
 
     posts = posted(signs.withColumns({"key": F.lit(0).cast("long"), "run": F.lit(-1)}))
     while True:
@@ -347,10 +335,13 @@ def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) ->
         wide = listed.filter((F.col("n") > WIDE) & (F.col("run") < runs - 1))
         rest = listed.filter((F.col("n") <= WIDE) | (F.col("run") == runs - 1))
         lasting = bool(wide.take(1))
-        joined = add(offered(rest).unionByName(star(wide)) if lasting else offered(rest))
-        while joined:
+        for i, most in enumerate(OFFERS):
+            found = offered(rest, most)
+            if not add(found.unionByName(star(wide)) if lasting and i == 0 else found, most) or i + 1 == len(OFFERS):
+                break
             rest = materialise(several(labelled(rest.drop("root", "n"))), "lists")
-            joined = bool(rest.take(1)) and add(offered(rest))
+            if not rest.take(1):
+                break
         if not lasting:
             break
         posts = posted(several(labelled(wide.drop("root", "n"))))
