@@ -201,3 +201,84 @@ def robots_sitemaps(text: Column) -> Column:
 def robots_lines(spark, sf):
     text = F.concat(F.lit("User-agent: *\r\nDisallow: /x\nSITEMAP: https://"), F.lower("n_name"), F.lit("/sitemap.xml \nSitemap:\n"))
     return read(spark, sf, "nation").select(F.col("n_nationkey").alias("site"), F.explode(robots_sitemaps(text)).alias("sitemap"))
+
+
+# Rules of robots files.
+
+
+def robots_rules(text: Column) -> Column:
+    """array<struct<agents, rules: array<struct<allow, path>>>>: the groups of a robots file in order, by one fold over its lines.
+
+    Agents that follow each other share the rules after them; a blank line ends a group.
+    """
+    lines = F.split(F.coalesce(text, F.lit("")), r"\r\n|\r|\n")
+    bare = lambda x: F.regexp_replace(x, "#.*$", "")
+    part = lambda x: F.struct(F.lower(F.trim(F.substring_index(bare(x), ":", 1))).alias("name"), F.trim(F.regexp_replace(bare(x), "^[^:]*:", "")).alias("value"), (x == "").alias("blank"), bare(x).contains(":").alias("told"))
+    rule = "struct<allow:boolean,path:string>"
+    empty = F.struct(F.array().cast("array<string>").alias("agents"), F.array().cast(f"array<{rule}>").alias("rules"))
+    start = F.struct(F.lit(0).alias("state"), empty.alias("now"), F.array().cast(f"array<struct<agents:array<string>,rules:array<{rule}>>>").alias("done"))
+    state = lambda n, now, done: F.struct(F.lit(n).alias("state"), now.alias("now"), done.alias("done"))
+    ended = lambda s: F.when(s["state"] == 2, F.concat(s["done"], F.array(s["now"]))).otherwise(s["done"])
+
+    def step(s, x):
+        agent = F.struct(F.concat(F.when(s["state"] == 2, F.array().cast("array<string>")).otherwise(s["now"]["agents"]), F.array(F.lower(x["value"]))).alias("agents"), F.when(s["state"] == 2, F.array().cast(f"array<{rule}>")).otherwise(s["now"]["rules"]).alias("rules"))
+        # an empty path to disallow allows all
+        own = F.struct(((x["name"] == "allow") | (x["value"] == "")).alias("allow"), F.coalesce(F.try_url_decode(F.replace(x["value"], F.lit("+"), F.lit("%2B"))), x["value"]).alias("path"))
+        more = F.struct(s["now"]["agents"].alias("agents"), F.concat(s["now"]["rules"], F.array(own)).alias("rules"))
+        out = F.when(x["blank"], state(0, empty, ended(s)))
+        out = out.when(x["told"] & (x["name"] == "user-agent"), state(1, agent, ended(s)))
+        out = out.when(x["told"] & x["name"].isin("allow", "disallow") & (s["state"] != 0), state(2, more, s["done"]))
+        return out.when(x["told"] & x["name"].isin("crawl-delay", "request-rate") & (s["state"] != 0), state(2, s["now"], s["done"])).otherwise(s)
+
+    return F.aggregate(F.transform(lines, part), start, step, ended)
+
+
+def robots_allowed(asked: DataFrame, robots: DataFrame, agent: str = "*") -> DataFrame:
+    """``asked`` (url, host) with ``allowed`` by the robots files (host, text) of their hosts; a host without one allows all.
+
+    The first group that names the agent counts, or else the first for all; in it the first rule whose path the URL's begins with.
+    """
+    name = agent.split("/")[0].lower()
+    groups = robots_rules(F.col("text"))
+    named = F.filter(groups, lambda g: F.exists(g["agents"], lambda a: (a != "*") & (a != "") & F.lit(name).contains(a))) if name != "*" else F.filter(groups, lambda g: F.lit(False))
+    for_all = F.filter(groups, lambda g: F.array_contains(g["agents"], "*"))
+    own = robots.select("host", F.coalesce(F.try_element_at(named, F.lit(1)), F.try_element_at(for_all, F.lit(1)))["rules"].alias("__rules"))
+    path, query = U.part(F.col("url"), "path"), U.part(F.col("url"), "query")
+    whole = F.concat(F.when(path == "", F.lit("/")).otherwise(F.coalesce(F.try_url_decode(F.replace(path, F.lit("+"), F.lit("%2B"))), path)), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    hit = F.try_element_at(F.filter(F.col("__rules"), lambda r: F.startswith(F.col("__path"), r["path"])), F.lit(1))
+    return asked.withColumn("__path", whole).join(own, "host", "left").withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).drop("__path", "__rules")
+
+
+@query("robots_verdicts", r"""WITH p AS (SELECT page_id, regexp_extract(url, '^https?://([^/?#]*)', 1) AS host, regexp_extract(url, '^https?://[^/?#]*([^?#]*)', 1) AS path FROM pages), f AS (SELECT host, min(regexp_extract(path, '^(/[^/]*)', 1)) AS first FROM p GROUP BY 1)
+SELECT page_id, path = '' OR starts_with(path, first || '/1') OR NOT starts_with(path, first) AS allowed FROM p JOIN f USING (host)""")
+def robots_verdicts(spark, sf):
+    """Pages under a robots file of each host that closes its first folder but for what begins with 1."""
+    pages = read(spark, sf, "pages").select("page_id", "url", U.part(F.col("url"), "host").alias("host"))
+    folders = pages.groupBy("host").agg(F.min(F.regexp_extract(U.part(F.col("url"), "path"), "^(/[^/]*)", 1)).alias("first"))
+    robots = folders.select("host", F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: a\nUser-agent: *\n# note\nAllow: "), "first", F.lit("/1\nDisallow: "), "first", F.lit("\n")).alias("text"))
+    return robots_allowed(pages, robots).select("page_id", "allowed")
+
+
+def contract_targets(results: DataFrame, contracts: DataFrame, limit: int) -> DataFrame:
+    """contract, url, place: what of a crawl to scrape for each contract (name, limit): pages that came through, in order of ``place_key`` (see
+    ``scrape_targets``), one of each cluster first, up to the contract's limit, or ``limit``.
+
+    ``results``: url, ord, status, content_type, artifact, evidence, links, depth, cluster.
+    """
+    kind = F.lower(F.trim(F.substring_index(F.coalesce("content_type", F.lit("")), ";", 1)))
+    able = results.filter((F.col("status") == "succeeded") & kind.isin("", "text/html", "application/xhtml+xml"))
+    placed = numbered(able, [F.col("artifact"), F.desc("evidence"), F.col("links"), F.desc("depth"), F.col("ord")], "__nth")
+    first = placed.groupBy("cluster").agg(F.min("__nth").alias("__first"))
+    spread = placed.join(first, "cluster").withColumn("again", F.col("__nth") != F.col("__first"))
+    order = numbered(spread.select("url", "again", "__nth"), [F.col("again"), F.col("__nth")], "place")
+    # contracts are what users wrote: few
+    return order.crossJoin(F.broadcast(contracts.select(F.col("name").alias("contract"), F.coalesce("limit", F.lit(limit)).alias("__limit")))).filter(F.col("place") <= F.col("__limit")).select("contract", "url", "place")
+
+
+@query("contract_targets", f"""WITH {_PARTS}, e AS (SELECT page_id, url, {_SHAPE} AS shape, length(html) % 7 AS links, page_id % 3 AS depth FROM parts WHERE page_id % 4 <> 3), o AS (SELECT *, row_number() OVER (ORDER BY links, depth DESC, page_id) AS nth FROM e),
+f AS (SELECT *, row_number() OVER (PARTITION BY shape ORDER BY nth) > 1 AS again FROM o), p AS (SELECT url, row_number() OVER (ORDER BY again, nth) AS place FROM f)
+SELECT contract, url, place FROM p, (SELECT 'News' AS contract, 10 AS most UNION ALL SELECT 'Product', 25) WHERE place <= most""")
+def page_targets(spark, sf):
+    p = read(spark, sf, "pages")
+    results = p.select("url", F.col("page_id").alias("ord"), F.when(F.col("page_id") % 4 == 3, "failed").otherwise("succeeded").alias("status"), F.lit("Text/HTML; charset=utf-8").alias("content_type"), F.lit(0).alias("artifact"), F.lit(0.5).alias("evidence"), (F.length("html") % 7).alias("links"), (F.col("page_id") % 3).alias("depth"), U.path_shape(F.col("url")).alias("cluster"))
+    return contract_targets(results, spark.createDataFrame([("News", 10), ("Product", None)], "name string, limit int"), 25)
