@@ -3,10 +3,12 @@
 Every vocabulary entry becomes a piece spelled with one printable character per byte, scored by its negative
 rank, under identity normalisation; the model's best-score-first merging is then the merging by lowest rank.
 Texts are split into pre-tokens, each pre-token is spelled in the same alphabet and encoded alone, and decoding
-maps the pieces' characters back to bytes.
+maps the pieces' characters back to bytes. A pre-token that is a whole entry of the vocabulary is looked up, which gives
+the id that the model gives it.
 
 Defined results: a null text is encoded as an empty one (no ids, empty bytes, also for an empty table); repeated
-rows give repeated results; other columns, whatever their names, pass through unchanged.
+rows give repeated results; other columns pass through unchanged, but one with the name of the output (``ids``, ``decoded``)
+is replaced by it.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Bytes of text that are handled at once in a task.
 SLICE_BYTES = 1 << 20
+#: Chunks of text that a worker remembers.
+MEMO_ENTRIES = 250_000
 
 
 @lru_cache(1)
@@ -82,7 +86,7 @@ class Codec:
         self.pieces = [self.model.id_to_piece(i) for i in range(size)]
         self.whole = {p: i for i, p in enumerate(self.pieces)}
         self.bytes_of = [bytes(map(back.__getitem__, p)) for p in self.pieces]
-        self.memo = Memo(self._encode_chunks, np.uint32)
+        self.memo = Memo(self._encode_chunks, np.uint32, MEMO_ENTRIES)
 
     def _encode_chunks(self, chunks):
         tokens, counts = [], []

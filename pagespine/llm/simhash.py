@@ -12,7 +12,8 @@ Fingerprints take shingles of ``shingle`` words, after lower-casing A-Z; words a
 space and U+0009 to U+000D; a bit is set if it is set in over half of the shingles' XXH64 (seed 42). Defined
 results: a text that is null or has no word gets fingerprint zero and is linked like any other; fewer words than a
 shingle has are one shingle; repeated shingles count as often as they occur. A component's id is its smallest
-doc_id; null ids are ignored unless all are null, which gives null. Other columns pass through unchanged.
+doc_id; null ids are ignored unless all are null, which gives null. ``near_duplicates`` returns ids, fingerprints and components only;
+``with_fingerprint`` keeps other columns but one with its output's name; ``keep_one`` returns the columns that it gets.
 """
 
 from __future__ import annotations
@@ -34,7 +35,7 @@ SLICE_CHARS = 1 << 20
 #: For similar shingles: bytes of a signature, positions of a posting list's key, the least tally; the longest list that one task
 #: compares, the longest that is compared in blocks, and a block's size; how many candidates a text is offered, round by round; the pairs of
 #: one text that are verified together.
-POSITIONS, RUN, MIN_SHARED, LIST, WIDE, BLOCK, OFFERS, STAR = 64, 4, 38, 256, 4096, 1024, (4, 16, 64), 2048
+POSITIONS, RUN, MIN_SHARED, LIST, WIDE, BLOCK, OFFERS, STAR = 64, 4, 38, 256, 4096, 1024, (8, 64), 2048
 
 
 def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:

@@ -221,3 +221,32 @@ def test_ownership_verdicts(spark):
     got = {r["doc_id"]: (len(r["secrets"]), r["n_live"], r["n_copied"]) for r in made.collect()}
     assert {got[i] for i in range(3)} == {(1, 1, 0)} and {got[i] for i in got if i >= 10} == {(0, 0, 1)}
     assert {len(r["secrets"]) for r in secret_scan.scan(docs, max_owners=2, max_repositories=20).collect()} == {1}
+
+
+# what earlier operators promise
+
+
+def test_bpe_without_the_shortcut():
+    """Every id from the model's own merging, in random and real words, is that of the library."""
+    tiktoken, tokenizers = pytest.importorskip("tiktoken"), pytest.importorskip("public_tokenizers")
+    from pagespine.llm import bpe
+
+    entries = bpe.read_ranks(tokenizers.path("byte_bpe_50k.tiktoken"))
+    codec = bpe.Codec(bpe.model_bytes(entries), tokenizers.PATTERN)
+    codec.whole = {}
+    whole = tiktoken.Encoding("own", pat_str=tokenizers.PATTERN, mergeable_ranks={e: i for i, e in enumerate(entries)}, special_tokens={})
+    rng, words = random.Random(12), ["the", " of", "naïve", "  ", "\n\n", "don't", "2024", "é", "😀", "x" * 30, "Straße", ".", ",", "#$%", "\t"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randrange(40))) for _ in range(200)] + [None, ""]
+    for text, ids in zip(texts, codec.encode(texts)):
+        own = [int.from_bytes(ids[k : k + 4], "little") for k in range(0, len(ids), 4)]
+        assert own == whole.encode_ordinary(text or ""), text
+
+
+def test_names_of_outputs(spark):
+    from pagespine.llm import simhash
+
+    docs = spark.createDataFrame([(1, "a b c d", "kept", 5)], "doc_id long, text string, other string, fingerprint int")
+    made = simhash.with_fingerprint(docs)
+    assert sorted(made.columns) == sorted(docs.columns) and made.first()["other"] == "kept" and made.first()["fingerprint"] != 5
+    assert simhash.near_duplicates(docs).columns == ["doc_id", "fingerprint", "component_id"]
+    assert simhash.keep_one(docs).columns == docs.columns
