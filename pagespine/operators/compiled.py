@@ -158,15 +158,19 @@ def list_item_structures(spark, sf):
     return made.groupBy("page_id", "structure").agg(F.count(F.lit(1)).alias("n"))
 
 
-def path_similarity(a: Column, b: Column) -> Column:
-    """1 for URLs of one path template, else how much of the joined templates matches in order; 0 for a URL without a path."""
+def template_ratio(a: Column, b: Column) -> Column:
+    """How much of two path templates matches in order: 1 for equal ones, 0 if one is empty."""
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([0.0 if not p or not q else 1.0 if p == q else SequenceMatcher(a=p, b=q, autojunk=False).ratio() for p, q in zip(x, y)], dtype="float64")
 
-    tidy = lambda u: F.array_join(F.filter(F.split(U.link_signature(u), "/"), lambda s: s != ""), "/")
-    return ratio(F.coalesce(tidy(a), F.lit("")), F.coalesce(tidy(b), F.lit("")))
+    return ratio(a, b)
+
+
+def path_similarity(a: Column, b: Column) -> Column:
+    """1 for URLs of one path template, else how much of the joined templates matches in order; 0 for a URL without a path."""
+    return template_ratio(path_signature(a), path_signature(b))
 
 
 @query("path_similarities")
@@ -177,6 +181,34 @@ def path_similarities(spark, sf):
     return p.join(first, "host").select("page_id", F.round(path_similarity(F.col("url"), F.col("first")), 9).alias("similarity"))
 
 
+def path_signature(url: Column) -> Column:
+    return F.coalesce(F.array_join(F.filter(F.split(U.link_signature(url), "/"), lambda s: s != ""), "/"), F.lit(""))
+
+
+def best_similarities(found: DataFrame, references: DataFrame, scope: str, url: str = "url") -> DataFrame:
+    """``found`` with ``similarity``: how like a URL's path is to that of the reference of its scope that is most like it; null without one.
+
+    Paths are compared by template, so each two distinct templates of a scope are compared once, however many URLs have them; equal
+    ones aren't compared at all.
+    """
+    told = found.withColumn("__own", path_signature(F.col(url)))
+    known = references.select(F.col(scope).alias("__scope"), path_signature(F.col(url)).alias("__their")).distinct()
+    asked = told.select(F.col(scope).alias("__scope"), "__own").distinct()
+    pairs = asked.join(known, "__scope")
+    equal = pairs.filter("__own = __their AND __own <> ''").select("__scope", "__own", F.lit(1.0).alias("similarity"))
+    rest = pairs.join(equal.select("__scope", "__own"), ["__scope", "__own"], "left_anti").select("__scope", "__own", template_ratio(F.col("__own"), F.col("__their")).alias("similarity"))
+    best = equal.unionByName(rest).groupBy("__scope", "__own").agg(F.max("similarity").alias("similarity"))
+    return told.join(best, (F.col(scope) == F.col("__scope")) & (told["__own"] == best["__own"]), "left").select(*found.columns, "similarity")
+
+
+@query("best_path_similarities")
+def best_path_similarities(spark, sf):
+    """Each page's URL against those of every tenth page of its host."""
+    p = read(spark, sf, "pages").select("page_id", "url", U.part(F.col("url"), "host").alias("host"))
+    refs = p.filter("page_id % 10 = 0")
+    return best_similarities(p, refs, "host").select("page_id", F.round("similarity", 9).alias("similarity"))
+
+
 # Censuses of roles, and how members of a region differ.
 
 

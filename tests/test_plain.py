@@ -128,6 +128,17 @@ def test_path_similarities(spark, tiny, parsed):
     assert got == {i: pytest.approx(ratio(path, first[host]), abs=1e-9) for i, (host, path) in rows.items()}
 
 
+def test_best_path_similarities(spark, tiny):
+    p = spark.read.parquet(f"{tiny}/pages.parquet").select("page_id", urls.part(F.col("url"), "host").alias("h"), compiled.path_signature(F.col("url")).alias("s")).collect()
+    refs = defaultdict(set)
+    for r in p:
+        if r["page_id"] % 10 == 0:
+            refs[r["h"]].add(r["s"])
+    ratio = lambda a, b: 0.0 if not a or not b else difflib.SequenceMatcher(a=a, b=b, autojunk=False).ratio()
+    got = {r["page_id"]: r["similarity"] for r in QUERIES["best_path_similarities"](spark, tiny).collect()}
+    assert got == {r["page_id"]: pytest.approx(max(ratio(r["s"], x) for x in refs[r["h"]]), abs=1e-9) if refs[r["h"]] else None for r in p}
+
+
 def test_page_matches(spark, tiny, parsed):
     """Each page against the first of its bucket: the scores of the weighted sets, by a plain loop."""
     own = {r["page_id"]: r for r in observe.features(spark.read.parquet(f"{tiny}/pages.parquet")).collect()}
