@@ -59,7 +59,8 @@ def _met(bound: float):
     def run(batches):
         for batch in batches:
             a, b = [], []
-            for low, high, members in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for low, high, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                members = listed.as_py()
                 one, two = [m for m in members if m["block"] == low], [m for m in members if m["block"] == high]
                 totals, rests = (np.array([m[k] for m in two]) for k in ("total", "rest"))
                 seen = [frozenset(m["before"]) for m in two]
