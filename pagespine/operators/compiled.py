@@ -17,7 +17,7 @@ from ..functions.structured import shape_signature
 from ..scratch import numbered
 from ..sources.html import let, subtree, with_nodes
 from ._registry import read, registry
-from .network import _REQ, endpoint_groups, requests, templated
+from .network import _RARE, _REQ, endpoint_groups, rank_key, rarity, requests, templated
 from .observe import MIN_SKELETON, features
 
 QUERIES, SQL, query = registry()
@@ -250,6 +250,45 @@ def member_variants(spark, sf):
     return variants(e, "region", "member", "tokens")
 
 
+def state_tallies(members: DataFrame, region: str, member: str, states: str) -> DataFrame:
+    """region, state, value, n, members: in how many of a region's members a state (a map of names to values) has each value."""
+    sizes = members.groupBy(region).agg(F.countDistinct(member).alias("members"))
+    found = members.select(region, member, F.explode(states).alias("state", "value")).groupBy(region, "state", "value").agg(F.countDistinct(member).alias("n"))
+    return found.join(sizes, region)
+
+
+@query("state_tallies", "WITH t AS (SELECT user_id AS region, event_id AS member, unnest(['checked', 'kind']) AS state, unnest([CAST(event_id % 2 = 0 AS VARCHAR), event_type]) AS value FROM events), s AS (SELECT region, count(DISTINCT member) AS members FROM t GROUP BY 1) SELECT region, state, value, count(DISTINCT member) AS n, members FROM t JOIN s USING (region) GROUP BY region, state, value, members")
+def tallied_states(spark, sf):
+    states = F.create_map(F.lit("checked"), (F.col("event_id") % 2 == 0).cast("string"), F.lit("kind"), F.col("event_type"))
+    return state_tallies(read(spark, sf, "events").select(F.col("user_id").alias("region"), F.col("event_id").alias("member"), states.alias("states")), "region", "member", "states")
+
+
+def endpoint_lines(found: DataFrame, deviants: int = 3) -> DataFrame:
+    """origin, method, template, line, deviants: one line for each endpoint, with how many distinct parameter signatures and shapes its calls
+    have and how many deviate, and the first so many of those that do, the rarest first.
+
+    ``found``: requests with template, signature and the reasons of ``network.rarity``.
+    """
+    group = ["origin", "method", "template"]
+    ranked = found.withColumn("__rank", rank_key()).withColumn("__odd", (F.col("group_size") > 1) & F.col("__rank").contains("0"))
+    facts = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.array_sort(F.collect_set("status")).alias("statuses"), F.countDistinct("signature").alias("signatures"), F.countDistinct("shape").alias("shapes"), F.count_if("__odd").alias("odd"))
+    first = F.row_number().over(Window.partitionBy(*group).orderBy("__rank", "request_id"))
+    odd = ranked.filter("__odd").withColumn("__nth", first).filter(F.col("__nth") <= deviants).groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__nth", "request_id"))).alias("odd_ones"))
+    many = lambda n, word: F.concat(F.col(n).cast("string"), F.lit(f" {word}"), F.when(F.col(n) == 1, "").otherwise("s"))
+    line = F.concat("method", F.lit(" "), "template", F.lit(" x"), F.col("n").cast("string"), F.lit(" "), F.array_join("statuses", "/"), F.lit(", "), many("signatures", "signature"), F.lit(", "), many("shapes", "shape"), F.when(F.col("odd") > 0, F.concat(F.lit(", "), many("odd", "deviant"))).otherwise(""))
+    return facts.join(odd, group, "left").select(*group, line.alias("line"), F.coalesce(F.array_join(F.transform("odd_ones", lambda x: x["request_id"].cast("string")), ","), F.lit("")).alias("deviants"))
+
+
+@query("endpoint_deviants", f"""WITH {_RARE}, g AS (SELECT *, request_id % 2 AS signature, group_size > 1 AND contains(rank, '0') AS odd FROM rare), d AS (SELECT *, row_number() OVER (PARTITION BY origin, method, template ORDER BY rank, request_id) AS nth FROM g WHERE odd),
+o AS (SELECT origin, method, template, string_agg(CAST(request_id AS VARCHAR), ',' ORDER BY nth) AS deviants FROM d WHERE nth <= 3 GROUP BY 1, 2, 3),
+f AS (SELECT origin, method, template, count(*) AS n, array_to_string(list_sort(list(DISTINCT status)), '/') AS st, count(DISTINCT signature) AS sg, count(DISTINCT shape) AS sh, count(*) FILTER (odd) AS od FROM g GROUP BY 1, 2, 3)
+SELECT origin, method, template, method || ' ' || template || ' x' || n || ' ' || st || ', ' || sg || ' signature' || CASE WHEN sg = 1 THEN '' ELSE 's' END || ', ' || sh || ' shape' || CASE WHEN sh = 1 THEN '' ELSE 's' END || CASE WHEN od > 0 THEN ', ' || od || ' deviant' || CASE WHEN od = 1 THEN '' ELSE 's' END ELSE '' END AS line, coalesce(deviants, '') AS deviants FROM f LEFT JOIN o USING (origin, method, template)""")
+def endpoint_deviants(spark, sf):
+    """Endpoints of the trace with their rarest calls; a call's signature is made from its number."""
+    found = rarity(templated(requests(spark, sf)).withColumn("signature", F.col("request_id") % 2))
+    return endpoint_lines(found)
+
+
 @query("group_coverage", f"WITH {_REQ} SELECT origin, method, template, count(*) AS observed, CASE WHEN origin IN ('https://api0.test', 'https://api3.test') THEN count(*) END AS declared FROM req GROUP BY 1, 2, 3")
 def group_coverage(spark, sf):
     """How many calls of an endpoint a trace holds; that these are all is said only of a trace known to be complete."""
