@@ -340,3 +340,48 @@ def field_signatures(spark, sf):
     """Names, descriptions and types that differ only in case and blanks have one signature."""
     p = read(spark, sf, "part")
     return p.select(F.col("p_partkey").alias("id"), signature(F.concat(F.lit("  "), F.upper("p_name")), F.col("p_type"), F.col("p_brand"), names=("name", "desc", "type")).alias("signature"))
+
+
+# How well pages fit contracts.
+
+
+def probes(pages: DataFrame, contracts: list[Contract], id: str = "page_id") -> DataFrame:
+    """id, contract, required, verified, fit_score, fit of each page for each contract: which of its fields' selectors find something, and the
+    share of the required fields that are so or are computed by row.
+
+    ``candidate``: all that is required is computed; ``uncached``: no field has selectors; else ``strong``, ``partial`` or ``stale`` by the share.
+    Contracts are what users wrote, so each adds a branch to the plan.
+    """
+    out = None
+    for c in contracts:
+        told = {f.name: f for f in c.fields}
+        required = sorted(n for n, f in told.items() if f.required)
+        computed = sorted(n for n in required if told[n].compute is not None)
+        cached = [f for f in c.fields if f.compute is None and f.cascade]
+        names = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+        if cached:
+            found = verdicts(pages, Contract(c.name, tuple(cached), c.container), id)
+            each = found.groupBy(id).agg(F.array_sort(F.collect_set(F.when(F.col("status") == "verified", F.col("field")))).alias("verified"))
+        else:
+            each = pages.select(id, names([]).alias("verified"))
+        resolved = F.size(F.array_intersect(names(required), F.array_union("verified", names(computed))))
+        score = F.round(resolved / len(required), 6) if required else F.lit(0.0)
+        fit = F.when(F.lit(bool(required) and required == computed), "candidate").when(F.lit(not cached), "uncached").when(F.col("fit_score") >= 1, "strong").when(F.col("fit_score") > 0, "partial").otherwise("stale")
+        own = each.withColumn("fit_score", score).select(id, F.lit(c.name).alias("contract"), names(required).alias("required"), "verified", "fit_score", fit.alias("fit"))
+        out = own if out is None else out.unionByName(own)
+    if out is None:
+        raise ValueError("no contracts")
+    return out
+
+
+_PROBED = [
+    Contract("Page", (Field("headline", (Selector("article > h1"),), required=True), Field("english", (Selector('html[lang="en"]'),), required=True), Field("links", (Selector("//nav//a/@href", "xpath"),)))),
+    Contract("Gone", (Field("aside_note", (Selector("aside p"),), required=True),)), Contract("Empty", (Field("x", (), required=True),)), Contract("Made", (Field("n", (), required=True, compute=lambda nodes, within: F.size(nodes)),)),
+]
+
+
+@query("contract_probes", r"""WITH p AS (SELECT page_id, contains(html, '<html lang="en"') AS e, contains(html, '<article><h1>') AS h, regexp_matches(regexp_extract(html, '<nav>(.*)</nav>', 1), '<a href=') AS l FROM pages)
+SELECT page_id, 'Page' AS contract, array_to_string(list_filter([CASE WHEN e THEN 'english' END, CASE WHEN h THEN 'headline' END, CASE WHEN l THEN 'links' END], lambda x: x IS NOT NULL), ',') AS verified, (e::INT + h::INT) / 2.0 AS fit_score, CASE WHEN e AND h THEN 'strong' WHEN e OR h THEN 'partial' ELSE 'stale' END AS fit FROM p
+UNION ALL SELECT page_id, 'Gone', '', 0, 'stale' FROM p UNION ALL SELECT page_id, 'Empty', '', 0, 'uncached' FROM p UNION ALL SELECT page_id, 'Made', '', 1, 'candidate' FROM p""")
+def contract_probes(spark, sf):
+    return probes(read(spark, sf, "pages"), _PROBED).select("page_id", "contract", F.array_join("verified", ",").alias("verified"), "fit_score", "fit")
