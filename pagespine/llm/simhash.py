@@ -22,6 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -33,9 +34,9 @@ BYTES, MAX_BITS = 8, 2
 SHARED = BYTES - MAX_BITS
 SLICE_CHARS = 1 << 20
 #: For similar shingles: bytes of a signature, positions of a posting list's key, the least tally; the longest list that one task
-#: compares, the longest that is compared in blocks, and a block's size; how many candidates a text is offered, round by round; the pairs of
-#: one text that are verified together.
-POSITIONS, RUN, MIN_SHARED, LIST, WIDE, BLOCK, OFFERS, STAR = 64, 4, 38, 256, 4096, 1024, (8, 64), 2048
+#: compares, the longest whose members are offered each other at first, and a block's texts and shingles; how many candidates a text is
+#: offered at first; the pairs of one text that are verified together.
+POSITIONS, RUN, MIN_SHARED, LIST, WIDE, BLOCK, BLOCK_SHINGLES, OFFERS, STAR = 64, 4, 38, 256, 4096, 1024, 1 << 19, 8, 2048
 
 
 def fingerprints(texts: list[str | None], shingle: int = 3) -> np.ndarray:
@@ -264,15 +265,56 @@ def _shared_bytes(x: pa.Array, y: pa.Array) -> pa.Array:
     return pa.array((a == b).sum(axis=1, dtype=np.int32), pa.int32())
 
 
-def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) -> DataFrame:
-    """(node, root) of all groups of (uid, sign, size), by candidates that ``verify`` lets pass; ``links`` are sure already.
+def _cell_links(percent: int):
+    """The links between members of ``side`` 0 and 1 (2: both) of one list, by all candidates that are of different groups
+    and not linked here already; each pair where its first equal run is the list's. Two members that are ``other`` meet from either side."""
+
+    def run(table: pa.Table) -> pa.Table:
+        side, own, size, other = (table[c].to_numpy() for c in ("side", "run", "size", "other"))
+        ids, size = table["uid"].to_pylist(), size.astype(np.int64)
+        rank = np.unique(np.array(ids, object), return_inverse=True)[1]
+        group = np.unique(np.array(table["root"].to_pylist(), object), return_inverse=True)[1]
+        sign = np.frombuffer(b"".join(table["sign"].to_pylist()), np.uint8).reshape(-1, POSITIONS)
+        pieces = sign.reshape(-1, POSITIONS // RUN, RUN)
+        lists = table["shingles"].combine_chunks()
+        codes = np.unique(pc.list_flatten(lists).to_numpy(), return_inverse=True)[1]
+        counts = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        ends, mark, two = np.cumsum(counts), np.zeros(len(codes) + 1, bool), np.flatnonzero(side >= 1)
+        a, b = [], []
+        for x in np.flatnonzero(side != 1).tolist():
+            at = two[(group[two] != group[x]) & ~(other[two] & (rank[two] < rank[x])) & (100 * np.minimum(size[two], size[x]) >= percent * np.maximum(size[two], size[x]))]
+            at = at[(sign[at] == sign[x]).sum(axis=1) >= MIN_SHARED]
+            at = at[((pieces[at] == pieces[x]).all(axis=2).argmax(axis=1) == own[x]) & (counts[at] > 0)]
+            if not len(at):
+                continue
+            mine = codes[ends[x] - counts[x] : ends[x]]
+            mark[mine] = True
+            n = counts[at]
+            starts = np.cumsum(n) - n
+            place = np.repeat(ends[at] - n - starts, n) + np.arange(int(n.sum()))
+            common = np.add.reduceat(mark[codes[place]], starts, dtype=np.int64)
+            mark[mine] = False
+            for y in at[100 * common >= percent * (counts[x] + n - common)].tolist():
+                if group[x] != group[y]:
+                    a.append(ids[x])
+                    b.append(ids[y])
+                    group[group == group[y]] = group[x]
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
 
-    A list holds the signatures with equal bytes at ``RUN`` positions. In rounds, each member is offered its best candidates of other
-    groups, more in each round (``OFFERS``): by comparing all of a list of up to ``LIST`` members, and those of up to ``WIDE`` in
-    blocks. Offers are verified before they decide anything; the good ones join groups; a list whose members are all of one group
-    is done. When a round joins nothing, the candidates left share less than all that failed, and rounds end. Of lists longer than
-    ``WIDE`` each member is offered the first one; those that then hold several groups are split by one more run of positions, until
-    they are short or have no further run and are compared in blocks whatever their length.
+    return run
+
+
+def similar_groups(signs: DataFrame, links: DataFrame, verify, shingles, percent: int) -> DataFrame:
+    """(node, root) of all groups of (uid, sign, size), by candidates that ``verify`` lets pass; ``links`` are sure already.
+    ``shingles`` returns (uid, shingles) of the uids that it is given, and maybe more.
+
+    A list holds the signatures with equal bytes at ``RUN`` positions; members that share ``MIN_SHARED`` bytes and have sizes that
+    allow the similarity are candidates. First each member is offered its ``OFFERS`` best candidates of other groups (of lists
+    longer than ``WIDE`` the list's first member only); offers are verified, the good ones join groups. That tests every candidate
+    of a member that has no more of them. The members that do have more, and those of longer lists, are then compared with one
+    another in every list that still holds several of the groups, whatever its length: all candidates of different groups are
+    verified where they meet, in blocks of bounded size, so no candidate of two groups is left untested. Of a long list those
+    outside its most common group are compared with all, so blocks go with their number times the list's length.
     """
     runs = POSITIONS // RUN
     edges, roots = materialise(links, "similar-links"), None
@@ -284,30 +326,19 @@ def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) ->
             return df.withColumn("root", F.col("uid"))
         return df.join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))
 
-    def add(offers: DataFrame, most: int) -> bool:
-        """Verify the best offers of each member over all its lists; whether any is good."""
+    def join_groups(good: DataFrame) -> None:
         nonlocal edges, roots
-        best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-        once = offers.groupBy("a", "b").agg(F.max("shared").alias("shared")).withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= most)
-        pairs = materialise(once.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-candidates")
-        if not pairs.take(1):
-            return False
-        good = materialise(verify(pairs), "similar-links")
-        if not good.take(1):
-            return False
-        edges = edges.unionByName(good)
-        roots = components(edges)
-        return True
-
-    def posted(df: DataFrame) -> DataFrame:
-        keys = F.array(*[F.struct(F.lit(i).alias("run"), F.xxhash64("key", F.lit(i), F.substring("sign", i * RUN + 1, RUN)).alias("key")) for i in range(runs)])
-        return df.select("uid", "sign", "size", F.explode(F.filter(keys, lambda k: k["run"] > F.col("run"))).alias("k")).select("uid", "sign", "size", "k.*")
-
-    def several(df: DataFrame) -> DataFrame:
-        """``df`` (with ``root``) without the lists whose members are all of one group, and with ``n``, how many a list has."""
-        sizes = df.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n")
+        if good.take(1):
+            edges = edges.unionByName(good)
+            roots = components(edges)
+
+    def listed(df: DataFrame) -> DataFrame:
+        """Members of all lists that hold several groups, with the list's ``n`` members and ``weight`` of shingles."""
+        keys = F.array(*[F.struct(F.lit(i).alias("run"), F.xxhash64(F.lit(i), F.substring("sign", i * RUN + 1, RUN)).alias("key")) for i in range(runs)])
+        posts = df.select("uid", "sign", "size", "root", F.explode(keys).alias("k")).select("uid", "sign", "size", "root", "k.*")
+        sizes = posts.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("weight"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key", "n", "weight")
         sizes = materialise(sizes, "list-sizes")
-        return join_counted(maybe_in(df, "key", sizes, "key", "__may").filter("__may").drop("__may"), sizes, "key", "n")
+        return materialise(join_counted(maybe_in(posts, "key", sizes, "key", "__may").filter("__may").drop("__may"), sizes, "key", "n"), "lists")
 
     def star(df: DataFrame) -> DataFrame:
         heads = df.groupBy("key").agg(F.min(F.struct("sign", "uid", "size")).alias("head"), F.count(F.lit(1)).alias("n"))
@@ -325,27 +356,43 @@ def similar_groups(signs: DataFrame, links: DataFrame, verify, percent: int) ->
     def offered(df: DataFrame, most: int) -> DataFrame:
         lists = df.filter(F.col("n") <= LIST).groupBy("key").agg(F.collect_list(F.struct("uid", "sign", "size", "root")).alias("members"))
         found = lists.select("members").mapInArrow(_list_offers(percent, most), "a binary, b binary, shared int")
-        long = df.filter(F.col("n") > LIST)
-        return found.unionByName(blocks(long, most)) if long.take(1) else found
-
-    posts = posted(signs.withColumns({"key": F.lit(0).cast("long"), "run": F.lit(-1)}))
-    while True:
-        listed = materialise(several(labelled(posts)), "lists")
-        if not listed.take(1):
-            break
-        wide = listed.filter((F.col("n") > WIDE) & (F.col("run") < runs - 1))
-        rest = listed.filter((F.col("n") <= WIDE) | (F.col("run") == runs - 1))
-        lasting = bool(wide.take(1))
-        for i, most in enumerate(OFFERS):
-            found = offered(rest, most)
-            if not add(found.unionByName(star(wide)) if lasting and i == 0 else found, most) or i + 1 == len(OFFERS):
-                break
-            rest = materialise(several(labelled(rest.drop("root", "n"))), "lists")
-            if not rest.take(1):
-                break
-        if not lasting:
-            break
-        posts = posted(several(labelled(wide.drop("root", "n"))))
+        long = df.filter((F.col("n") > LIST) & (F.col("n") <= WIDE))
+        found = found.unionByName(blocks(long, most)) if long.take(1) else found
+        wide = df.filter(F.col("n") > WIDE)
+        return found.unionByName(star(wide)) if wide.take(1) else found
+
+    def cells(df: DataFrame) -> DataFrame:
+        """Each member of a list in the cells (one, two) of blocks in which it is compared."""
+        columns = ["key", "run", "one", "two", "side", "other", "uid", "sign", "size", "root"]
+        last = lambda n, weight: F.expr(f"CAST(greatest(({n} - 1) div {BLOCK}, {weight} div {BLOCK_SHINGLES}) AS INT)")
+        cut = df.withColumn("last", last("n", "weight"))
+        short = cut.filter("last = 0").withColumns({"one": F.lit(0), "two": F.lit(0), "side": F.lit(2), "other": F.lit(True)}).select(*columns)
+        long = cut.filter("last > 0")
+        if not long.take(1):
+            return short
+        by_root = long.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("size").alias("w"))
+        mains = by_root.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("n"), F.sum("w").alias("weight"), F.max_by("w", F.struct("c", "root")).alias("w"))
+        mains = materialise(mains.select("key", "n", F.col("main.root").alias("main"), last("(n - main.c)", "(weight - w)").alias("others")), "list-mains")
+        long = join_counted(long.drop("n"), mains, "key", "n").withColumn("other", F.col("root") != F.col("main"))
+        place = lambda seed, count: F.pmod(F.xxhash64("uid", F.lit(seed)), F.col(count) + 1).cast("int")
+        one = long.filter("other").withColumns({"side": F.lit(0), "one": place(1, "others"), "two": F.explode(F.sequence(F.lit(0), "last"))})
+        two = long.withColumns({"side": F.lit(1), "two": place(2, "last"), "one": F.explode(F.sequence(F.lit(0), "others"))})
+        return short.unionByName(one.select(*columns)).unionByName(two.select(*columns))
+
+    first = listed(labelled(signs))
+    if first.take(1):
+        best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+        once = offered(first, OFFERS + 1).groupBy("a", "b").agg(F.max("shared").alias("shared")).withColumn("nth", F.row_number().over(best))
+        once = materialise(once.filter(F.col("nth") <= OFFERS + 1), "similar-candidates")
+        pairs = once.filter(F.col("nth") <= OFFERS).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if once.take(1):
+            join_groups(materialise(verify(materialise(pairs, "similar-pairs")), "similar-links"))
+        more = once.filter(F.col("nth") > OFFERS).select(F.col("a").alias("uid")).union(first.filter(F.col("n") > WIDE).select("uid")).distinct()
+        more = materialise(signs.join(more, "uid", "left_semi"), "more-candidates")
+        rest = listed(labelled(more)) if more.take(1) else more
+        if rest.take(1):
+            held = cells(rest).join(shingles(more.select("uid")), "uid")
+            join_groups(materialise(held.groupBy("key", "one", "two").applyInArrow(_cell_links(percent), "a binary, b binary"), "similar-links"))
     return roots if roots is not None else signs.limit(0).select(F.col("uid").alias("node"), F.col("uid").alias("root"))
 
 
@@ -398,10 +445,9 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
             ends = np.cumsum([0, *map(len, made)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(made) if made else [], pa.int64()))], names=["uid", "shingles"])
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        """By the shingles of the texts in a pair, taken from one document each when first asked for."""
+    def shingles(wanted: DataFrame) -> DataFrame:
+        """(uid, shingles) of these texts and those asked for before, taken from one document each when first asked for."""
         nonlocal sets
-        wanted = pairs.selectExpr("a AS uid").union(pairs.select("b")).distinct()
         if sets is not None:
             wanted = wanted.join(sets.select("uid"), "uid", "left_anti")
         wanted = materialise(wanted.join(heads.select("uid", "head"), "uid").select("uid", "head.doc", "head.key"), "wanted-texts")
@@ -410,11 +456,14 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
             some = some.join(wanted, some["doc_"].eqNullSafe(wanted["doc"]) & (some["key_"] == wanted["key"])).select("uid", "text")
             more = materialise(some.dropDuplicates(["uid"]).mapInArrow(cut, "uid binary, shingles array<long>"), "shingle-sets")
             sets = more if sets is None else sets.unionByName(more)
-        return verified(pairs, sets, percent) if sets is not None else pairs
+        return sets if sets is not None else wanted.selectExpr("uid", "CAST(NULL AS ARRAY<BIGINT>) AS shingles")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return verified(pairs, shingles(pairs.selectExpr("a AS uid").union(pairs.select("b")).distinct()), percent)
 
     links = materialise(verify(equal.select("a", "b")), "equal-links") if equal.take(1) else equal.select("a", "b")
     odd_ones = equal.join(links.select("b"), "b", "left_anti").select(F.col("b").alias("uid"), "sign", "size")
-    roots = similar_groups(first.select("uid", "sign", "size").unionByName(odd_ones), links, verify, percent)
+    roots = similar_groups(first.select("uid", "sign", "size").unionByName(odd_ones), links, verify, shingles, percent)
 
     # verdicts: of each group the first class stays, once
     rooted = classes.select("uid", "doc", "key", "times").join(roots.withColumnRenamed("node", "uid"), "uid", "left").withColumn("root", F.coalesce("root", "uid"))

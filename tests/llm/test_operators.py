@@ -383,6 +383,40 @@ def test_near_the_bound(spark, monkeypatch, longest, wide):
     assert stay <= kept and len(kept - stay) <= 0.01 * (go - len(stay)), (len(docs), len(stay), len(kept))
 
 
+def crowded(seed, systems, decoys, words=300):
+    """Systems of two texts of Jaccard similarity 0.816, each amid ``decoys`` that have 0.788 with it and less with all others:
+    to either text, many of its decoys look as similar as the other one does."""
+    dice = random.Random(seed)
+    word = lambda: "".join(dice.choice("abcdefgh") for _ in range(6))
+    changed = lambda base, n: [word() if i in at else w for at in [{*dice.sample(range(5, words - 5, 5), n)}] for i, w in enumerate(base)]
+    docs, twins = [], []
+    for _ in range(systems):
+        one = [word() for _ in range(words)]
+        two = changed(one, 6)
+        twins.append(len(docs) + 1)
+        docs += [one, two, *(changed(base, 7) for base in (one, two) for _ in range(decoys))]
+    return [(i, " ".join(w)) for i, w in enumerate(docs)], twins
+
+
+@pytest.mark.parametrize("longest, wide, block, systems, decoys", [(256, 4096, 1024, 3, 250), (4, 8, 4, 2, 40)])
+def test_one_of_a_crowd(spark, monkeypatch, longest, wide, block, systems, decoys):
+    """A text's one partner is found behind any number of candidates that fail; also in lists that are long."""
+    for name, value in (("LIST", longest), ("WIDE", wide), ("BLOCK", block)):
+        monkeypatch.setattr(simhash, name, value)
+    docs, twins = crowded(5, systems, decoys)
+    stay = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).select("doc_id").collect()}
+    assert sorted({i for i, _ in docs} - stay) == twins
+
+
+def test_long_lists_lose_none(spark, monkeypatch):
+    """What is left near the bound equals brute force exactly where all lists are longer than first offers go."""
+    for name, value in (("LIST", 2), ("WIDE", 4), ("BLOCK", 4)):
+        monkeypatch.setattr(simhash, name, value)
+    docs = borderline(33, 6)
+    stay = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert stay == set(plain.similar(docs))
+
+
 def test_one_of_odd_rows(spark):
     rows = [(1, "a b", "p", 1), (1, "a b", "q", 2), (None, "A  B", "r", 3), (None, "c", "s", 4), (None, "c", "t", 5), (2, None, "u", 6), (3, " ", "v", 7), (4, "a b c d e f g", "w", 8)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, __key string, uid int")
