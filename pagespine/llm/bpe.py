@@ -30,6 +30,8 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Bytes of text that are handled at once in a task.
 SLICE_BYTES = 1 << 20
+#: Rows of a batch that are Python objects at once.
+SLICE_ROWS = 512
 #: Chunks of text that a worker remembers.
 MEMO_ENTRIES = 250_000
 
@@ -90,26 +92,40 @@ class Codec:
 
     def _encode_chunks(self, chunks):
         tokens, counts = [], []
+        spell, space = self.spell, self.spell[0x20]
         for chunk in chunks:
-            word = chunk[1:] if chunk[0] == " " else chunk
+            begun = chunk[0] == " "
+            word = chunk[1:] if begun else chunk
             if word.isalpha():
+                if word.isascii():  # visible ASCII is spelled as it is
+                    tokens.append(space + word if begun else word)
+                    counts.append(1)
+                    continue
                 found = [chunk]
             elif word[-1:] in (".", ",") and word[:-1].isalpha():
+                if word.isascii():
+                    tokens += (space + word[:-1] if begun else word[:-1], word[-1])
+                    counts.append(2)
+                    continue
                 found = [chunk[:-1], word[-1]]
             else:
                 found = self.pre_tokens.findall(chunk)
             counts.append(len(found))
-            tokens += [t.encode("utf-8", "replace").decode("latin-1").translate(self.spell) for t in found]
-        runs = []
-        whole = self.whole
-        rest = [t for t in tokens if t not in whole]
+            tokens += [t.encode("utf-8", "replace").decode("latin-1").translate(spell) for t in found]
+        whole = list(map(self.whole.get, tokens))
+        rest = [t for t, i in zip(tokens, whole) if i is None]
         encoded = iter(self.model.encode(rest, out_type=int, num_threads=1)) if rest else iter(())
-        ids = [[whole[t]] if t in whole else next(encoded) for t in tokens]
-        at = 0
-        for n in counts:
-            runs.append([i for run in ids[at : at + n] for i in run])
-            at += n
-        return runs
+        flat, runs = [], []
+        for i in whole:
+            if i is None:
+                run = next(encoded)
+                flat += run
+                runs.append(len(run))
+            else:
+                flat.append(i)
+                runs.append(1)
+        sizes = split_sum(np.array(runs, np.int64), np.array(counts, np.int64))
+        return np.array(flat, np.uint32), np.cumsum(sizes) - sizes, sizes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids as little-endian unsigned 32-bit integers, for each text."""
@@ -130,6 +146,12 @@ class Codec:
         return [b"".join(map(at, np.frombuffer(x or b"", "<u4").tolist())) for x in ids]
 
 
+def _by_slices(work, column: pa.Array) -> pa.Array:
+    """What ``work`` makes of the values, some at a time, so that a batch isn't held as Python objects as a whole."""
+    parts = [pa.array(work(column.slice(i, SLICE_ROWS).to_pylist()), pa.binary()) for i in range(0, len(column), SLICE_ROWS)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 _codecs: dict = {}
 
 
@@ -153,7 +175,7 @@ def encode(docs: DataFrame, shared, text: str = "text", out: str = "ids") -> Dat
 
     @F.arrow_udf("binary")
     def ids(column: pa.Array) -> pa.Array:
-        return pa.array(_codec(shared).encode(column.to_pylist()), pa.binary())
+        return _by_slices(_codec(shared).encode, column)
 
     return docs.withColumn(out, ids(F.col(text)))
 
@@ -163,7 +185,7 @@ def decode(docs: DataFrame, shared, ids: str = "ids", out: str = "decoded") -> D
 
     @F.arrow_udf("binary")
     def data(column: pa.Array) -> pa.Array:
-        return pa.array(_codec(shared).decode(column.to_pylist()), pa.binary())
+        return _by_slices(_codec(shared).decode, column)
 
     return docs.withColumn(out, data(F.col(ids)))
 

@@ -18,7 +18,7 @@ doc_id; null ids are ignored unless all are null, which gives null. ``near_dupli
 
 from __future__ import annotations
 
-from itertools import combinations
+from itertools import chain, combinations
 
 import numpy as np
 import pyarrow as pa
@@ -424,7 +424,8 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
 
     @F.arrow_udf("struct<uid: binary, sign: binary, size: int>")
     def mark(column: pa.Array) -> pa.Array:
-        keys, marks, sizes = signatures(column.to_pylist(), shingle)
+        parts = [signatures([], shingle)] + [signatures(column.slice(i, 512).to_pylist(), shingle) for i in range(0, len(column), 512)]
+        keys, marks, sizes = (list(chain.from_iterable(p)) for p in zip(*parts))
         return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32())], names=["uid", "sign", "size"])
 
     rows = docs.select(F.col(quoted(doc_id)).alias("doc"), text_key(quoted(text)).alias("key"), mark(F.col(quoted(text))).alias("m")).select("doc", "key", "m.*")
