@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -578,3 +579,29 @@ def test_transforms_of_many_shards(monkeypatch):
     for shard_bytes in (1, 2000, 1 << 20):
         masks = repeats.repeated(strings, starts, np.ones(len(strings)), shard_bytes)
         assert [m.tolist() for m in masks] == want
+
+
+def test_batches_of_repeats(spark, tiny, monkeypatch):
+    """No function over Arrow in the search for repeats gets more than BATCH_ROWS rows of whole texts at a time."""
+
+    def rows(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    made = _common.materialise(spark.range(0, 100, 1, 1).mapInArrow(rows, "n long"), "batches", 7)
+    assert max(r["n"] for r in made.collect()) <= 7
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == limit
+    held = {}
+
+    def noted(df, label, batch_rows=None):
+        if "InArrow" in df._jdf.queryExecution().logical().toString():
+            held[label] = batch_rows
+        return _common.materialise(df, label, batch_rows)
+
+    monkeypatch.setattr(repeats, "materialise", noted)
+    monkeypatch.setattr(repeats, "CORE_BYTES", 1 << 10)  # so that cores are split
+    docs = [(i, PASSAGE + f"tail {i} " * 9) for i in range(20)]
+    repeats.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert set(held) >= {"pieces", "piece-bytes", "split-pieces", "repeats"}
+    assert all(n and n <= repeats.BATCH_ROWS for n in held.values()), held
