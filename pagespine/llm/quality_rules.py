@@ -91,17 +91,17 @@ def posterior_sql(theta: dict, votes: dict[str, str]) -> str:
     return f"1 / (1 + exp(-({' + '.join(odds)})))"
 
 
-def update_sql(votes: dict[str, str], q: str = "q", n: str = "n") -> dict[str, str]:
-    """The parameters' next values, as aggregates over patterns of votes, their counts and posteriors."""
+def update_sql(votes: dict[str, str], q: str = "q", n: str = "n", total: str = "sum({})") -> dict[str, str]:
+    """The parameters' next values, by ``total`` over patterns of votes, their counts and posteriors."""
 
     def share(hit: str, of: str, start: float) -> str:
-        return f"(coalesce({hit}, 0) + {WEIGHT * start}) / (coalesce({of}, 0) + {WEIGHT})"
+        return f"(coalesce({total.format(hit)}, 0) + {WEIGHT * start}) / (coalesce({total.format(of)}, 0) + {WEIGHT})"
 
-    out = {"good": share(f"sum({n} * {q})", f"sum({n})", START["good"])}
+    out = {"good": share(f"{n} * {q}", n, START["good"])}
     for name, column in votes.items():
         for key, weight in (("g", q), ("b", f"(1 - {q})")):
             for way, vote_ in (("n", -1), ("p", 1)):
-                out[f"{key}{way}_{name}"] = share(f"sum(CASE WHEN {column} = {vote_} THEN {n} * {weight} ELSE 0 END)", f"sum({n} * {weight})", START[key + way])
+                out[f"{key}{way}_{name}"] = share(f"CASE WHEN {column} = {vote_} THEN {n} * {weight} ELSE 0 END", f"{n} * {weight}", START[key + way])
     return out
 
 
@@ -110,13 +110,24 @@ def start() -> dict:
 
 
 def fit(patterns: DataFrame, rounds: int = ROUNDS) -> dict:
-    """EM over the counted patterns; the driver sees only the parameters, one row a round."""
-    votes = {rule[0]: f"q_vote_{rule[0]}" for rule in RULES}
-    theta = start()
-    for _ in range(rounds):
-        weighed = patterns.withColumn("q", F.expr(posterior_sql({k: f"{v!r}D" for k, v in theta.items()}, votes)))
-        theta = weighed.agg(*[F.expr(sql).alias(k) for k, sql in update_sql(votes).items()]).first().asDict()
-    return theta
+    """EM over the counted patterns; the driver sees only the parameters, one row.
+
+    All rounds are one expression over the array of patterns: a query a round, each with other numbers in its code, would
+    be compiled a round, and the driver would hold what it compiled.
+    """
+    columns = {rule[0]: f"q_vote_{rule[0]}" for rule in RULES}
+    names = list(start())
+    theta = ", ".join(f"'{k}', CAST({v!r} AS DOUBLE)" for k, v in start().items())
+    votes = ", ".join(f"'{c}', p.{c}" for c in columns.values())
+    good = posterior_sql({k: f"t.{k}" for k in names}, {k: f"p.{c}" for k, c in columns.items()})
+    total = "aggregate(w, CAST(0 AS DOUBLE), (s, p) -> s + {})"
+    after = update_sql({k: f"p.{c}" for k, c in columns.items()}, "p.q", "p.n", total)
+    after = ", ".join(f"'{k}', CAST({after[k]} AS DOUBLE)" for k in names)
+    # the array of one array is there to name the patterns with their posteriors
+    weighed = f"array(transform(patterns, p -> named_struct({votes}, 'n', CAST(p.n AS DOUBLE), 'q', {good})))"
+    rounds_ = f"aggregate(array_repeat(0, {rounds}), named_struct({theta}), (t, i) -> transform({weighed}, w -> named_struct({after}))[0])"
+    listed = patterns.agg(F.array_sort(F.collect_list(F.struct(*columns.values(), "n"))).alias("patterns"))
+    return listed.select(F.expr(rounds_).alias("theta")).select("theta.*").first().asDict()
 
 
 MADE = tuple(f"q_{x}" for x in (*STATS, *(f"vote_{rule[0]}" for rule in RULES), "good", "base_failed", "kept"))

@@ -1,6 +1,7 @@
 """The corpus queries on the small tables and odd rows, against plain versions, libraries, and SQL."""
 
 import hashlib
+import math
 import random
 import zlib
 
@@ -605,3 +606,38 @@ def test_batches_of_repeats(spark, tiny, monkeypatch):
     repeats.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()
     assert set(held) >= {"pieces", "piece-bytes", "split-pieces", "repeats"}
     assert all(n and n <= repeats.BATCH_ROWS for n in held.values()), held
+
+
+def test_rules_are_fitted_at_once(spark):
+    """The rounds of expectation-maximisation are one query, whatever their number, with the same parameters."""
+    columns = [f"q_vote_{rule[0]}" for rule in quality_rules.RULES]
+    votes = [tuple(random.Random(i).choices((-1, 0, 1), (1, 2, 5), k=len(columns))) + (1 + i % 7,) for i in range(60)]
+    patterns = spark.createDataFrame(votes, ", ".join(f"{c} int" for c in columns) + ", n long")
+    spark.sparkContext.setJobGroup("fit", "fit")
+    try:
+        got = quality_rules.fit(patterns, 12)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("fit"))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs <= 3
+    theta, weight = quality_rules.start(), quality_rules.WEIGHT
+    for _ in range(12):
+        held = []
+        for *vote, n in votes:
+            odds = math.log(theta["good"]) - math.log(1 - theta["good"])
+            for rule, v in zip(quality_rules.RULES, vote):
+                gn, gp, bn, bp = (theta[f"{k}_{rule[0]}"] for k in ("gn", "gp", "bn", "bp"))
+                odds += math.log({-1: gn, 1: gp, 0: 1 - gn - gp}[v]) - math.log({-1: bn, 1: bp, 0: 1 - bn - bp}[v])
+            held.append((vote, n, 1 / (1 + math.exp(-odds))))
+        share = lambda hit, of, first: (hit + weight * first) / (of + weight)
+        after = {"good": share(sum(n * q for _, n, q in held), sum(n for _, n, _ in held), quality_rules.START["good"])}
+        for i, rule in enumerate(quality_rules.RULES):
+            for key, side in (("g", lambda q: q), ("b", lambda q: 1 - q)):
+                for way, v in (("n", -1), ("p", 1)):
+                    hit, of = sum(n * side(q) for vote, n, q in held if vote[i] == v), sum(n * side(q) for _, n, q in held)
+                    after[f"{key}{way}_{rule[0]}"] = share(hit, of, quality_rules.START[key + way])
+        theta = after
+    assert list(got) == list(quality_rules.start())
+    assert all(math.isclose(got[k], theta[k], rel_tol=1e-9) for k in theta)
+    assert quality_rules.fit(patterns.limit(0)) == pytest.approx(quality_rules.start())
+    assert quality_rules.fit(patterns, 0) == quality_rules.start()
