@@ -15,6 +15,8 @@ Other columns are not read.
 from __future__ import annotations
 
 import io
+import json
+import re
 import struct
 import zlib
 
@@ -29,6 +31,14 @@ from ._common import Memo, make_dirs, materialise, open_read, open_write, runs_o
 HEAD = struct.Struct("<QI")
 TAIL = struct.Struct("<I")
 SLICE_CHARS = 4 << 20
+#: A word of Latin letters, with ASCII marks behind it or not: its normal form is itself in lower case, and letters and
+#: marks are one piece each. Apostrophes are left out, as they begin pieces of their own.
+PLAIN = re.compile(r"([A-Za-zªµºÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+#: The normalizer and the splitting of which that holds.
+PLAIN_FORMS = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+)
 
 
 def masked(data: bytes) -> int:
@@ -68,13 +78,16 @@ def read_at(path: str, offsets) -> list[bytes]:
 
 
 class WordEncoder:
-    """Encodes texts word by word with a memo; the tokenizer drops white space, so words are independent."""
+    """Encodes texts word by word with a memo; the tokenizer drops white space, so words are independent.
+
+    Plain words are made of pieces that have a memo too: spellings that differ in case or in marks behind them are one.
+    """
 
     def __init__(self, path: str):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
@@ -82,10 +95,52 @@ class WordEncoder:
         self.ends[[i for token, i in self.tokenizer.get_vocab().items() if token.endswith("</w>")]] = True
         self.tokenizer.model._resize_cache(0)  # the memo knows what comes again; the rest comes once
         self.point, self.comma = (e.ids[-1] for e in self.tokenizer.encode_batch_fast([".", ","], add_special_tokens=False))
-        self.memo = Memo(self._words, np.uint32)
+        self.memo, self.parts = Memo(self._words, np.uint32), Memo(self._parts, np.uint32)
+        forms = tuple(json.loads(x.__getstate__()) if x else None for x in (self.tokenizer.normalizer, self.tokenizer.pre_tokenizer))
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.has_plain = forms == PLAIN_FORMS and not any(PLAIN.fullmatch(t) or not PLAIN.sub("", t) for t in added)
+        self.pieces = Tokenizer(self.tokenizer.model)
+        self.pieces.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _parts(self, parts):
+        """Ids of pieces in lower case, as ``_words`` gives them."""
+        flat, sizes = [], []
+        for a in range(0, len(parts), 256):
+            some = parts[a : a + 256]
+            ids = np.array(self.pieces.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            if len(ends) != len(some):  # the vocabulary lacks the end of a piece
+                each = [e.ids for e in self.pieces.encode_batch_fast(some, add_special_tokens=False)]
+                ids, ends = np.array(sum(each, []), np.uint32), np.cumsum([len(x) for x in each])
+            flat.append(ids)
+            sizes.append(np.diff(ends, prepend=0))
+        sizes = np.concatenate([*sizes, np.empty(0, np.int64)])
+        return np.concatenate([*flat, np.empty(0, np.uint32)]), np.cumsum(sizes) - sizes, sizes
 
     def _words(self, words):
-        """Ids of all words end to end, and each word's start and length there.
+        """Ids of all words end to end, and each word's start and length there."""
+        parts, n_parts, rest = [], [], []
+        for w in words:
+            m = PLAIN.fullmatch(w) if self.has_plain else None
+            if m is None:
+                rest.append(w)
+                n_parts.append(0)
+                continue
+            letters, marks = m.groups()
+            parts.append(letters)
+            if marks:
+                parts.append(marks)
+            n_parts.append(2 if marks else 1)
+        counts = np.array(n_parts, np.int64)
+        flat, made = self.parts.look_up("\n".join(parts).lower().split("\n") if parts else [])
+        more, begins, lengths = self._others(rest)
+        sizes = split_sum(made, counts)
+        starts = np.cumsum(sizes) - sizes
+        starts[counts == 0], sizes[counts == 0] = len(flat) + begins, lengths
+        return np.concatenate([flat, more]), starts, sizes
+
+    def _others(self, words):
+        """The same for words that need not be plain.
 
         Words of letters, with at most one point or comma behind, go in joined to one text; each is one or two pieces,
         whose last ids can be told.

@@ -207,6 +207,64 @@ def test_records_by_offset(spark, tiny):
             assert len(data) == 2 * r["n_ids"] and len(token_records.frame(data)) == r["length"]
 
 
+def test_spellings_of_a_word_are_encoded_once(monkeypatch):
+    import tokenizers
+
+    class Counting:
+        def __init__(self, own):
+            self.own = tokenizer(own)
+
+        @classmethod
+        def from_file(cls, path):
+            made = cls.__new__(cls)
+            made.own = tokenizer.from_file(path)
+            return made
+
+        def __getattr__(self, name):
+            return getattr(self.own, name)
+
+        def __setattr__(self, name, value):
+            object.__setattr__(self, name, value) if name == "own" else setattr(self.own, name, value)
+
+        def encode_batch_fast(self, texts, **how):
+            words.extend(w for t in texts for w in t.split())
+            return self.own.encode_batch_fast(texts, **how)
+
+    tokenizer, words = tokenizers.Tokenizer, []
+    monkeypatch.setattr(tokenizers, "Tokenizer", Counting)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, texts = token_records.WordEncoder(path), ["Élanwhed élanwhed, ÉLANWHED", "élanwhed*** Élanwhed.\nélanWhed,"]
+    words.clear()
+    got = [ids.tolist() for ids in encoder.encode(texts, 2)]
+    assert got == [[*tokenizer.from_file(path).encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert sum(w.lower().startswith("élanwhed") for w in words) == 1, words
+
+
+def test_words_at_random():
+    from tokenizers import Tokenizer
+
+    path, dice = public_tokenizers.path("word_bpe_49k.json"), random.Random(3)
+    t, encoder = Tokenizer.from_file(path), token_records.WordEncoder(path)
+    pieces = ["a", "B", "the", "É", "ß", "µ", "ª", "²", "½", "7", "\u0301", "é", "İ", "Σ", "ΑΣ", "ж", "中", "ﬁ", ".", ",", "'", "'s", "'T", "´", "—", "\"", "###", "</w>", "<|endoftext|>", "<|", "|>", "_", "\t", "\r", "\x85", "\xa0", "\u2028", "\x00", "\ud7ff", "😀"]
+    texts = ["".join(dice.choice([*pieces, " ", " ", "\n"]) for _ in range(dice.randrange(60))) for _ in range(3000)]
+    assert encoder.has_plain
+    for _ in range(2):  # with an empty memo, then with a full one
+        assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_other_tokenizers_have_no_plain_words(tmp_path):
+    from tokenizers import AddedToken, Tokenizer, normalizers
+
+    texts = ["Under under, UNDER*** the end", "Été été."]
+    for i, change in enumerate((lambda t: setattr(t, "normalizer", normalizers.NFC()), lambda t: t.add_tokens([AddedToken("under", normalized=False)]))):
+        t = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+        change(t)
+        t.save(path := str(tmp_path / f"{i}.json"))
+        encoder = token_records.WordEncoder(path)
+        assert not encoder.has_plain
+        assert [ids.tolist() for ids in encoder.encode(texts, 2)] == [[*e.ids, 2] for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_damaged_record(tmp_path):
     import io
 
