@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagespine.llm import bpe, decontaminate, line_dedup, quality_rules, simhash
-from pagespine.llm._common import materialise, table
+from pagespine.llm._common import BATCH_ROWS, materialise, table
 
 ORACLE_SQL = None
 
@@ -46,8 +46,9 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     shared = bpe.tokenizer(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    done = bpe.decode(bpe.encode(docs.select("doc_id", "lang", "source", "text"), shared), shared)
-    return done.select("doc_id", "lang", "source", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    done = bpe.encode_decode(docs.select("doc_id", "lang", "source", "text"), shared)
+    done = done.select("doc_id", "lang", "source", F.expr("length(ids) div 4").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "ids")
+    return materialise(done, "stage-byte_level_bpe", BATCH_ROWS)
 
 
 STAGES = [

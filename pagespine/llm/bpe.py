@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import Memo, runs_of, split_sum, table
+from ._common import BATCH_ROWS, Memo, kept, runs_of, spare, split_sum, table
 
 #: White space as the pre-token pattern understands it.
 _SPACE = "\t-\r \x85\xa0  -     　"
@@ -30,8 +30,6 @@ _SPACE = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
 #: Bytes of text that are handled at once in a task.
 SLICE_BYTES = 1 << 20
-#: Rows of a batch that are Python objects at once.
-SLICE_ROWS = 512
 #: Chunks of text that a worker remembers.
 MEMO_ENTRIES = 250_000
 
@@ -148,21 +146,14 @@ class Codec:
 
 def _by_slices(work, column: pa.Array) -> pa.Array:
     """What ``work`` makes of the values, some at a time, so that a batch isn't held as Python objects as a whole."""
-    parts = [pa.array(work(column.slice(i, SLICE_ROWS).to_pylist()), pa.binary()) for i in range(0, len(column), SLICE_ROWS)]
+    parts = [pa.array(work(column.slice(i, BATCH_ROWS).to_pylist()), pa.binary()) for i in range(0, len(column), BATCH_ROWS)]
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
-_codecs: dict = {}
-
-
 def _codec(shared) -> Codec:
     """The worker's own codec for a broadcast (model, pattern)."""
     model, pattern = shared.value
-    key = (hash(model), pattern)
-    if key not in _codecs:
-        _codecs.clear()
-        _codecs[key] = Codec(model, pattern)
-    return _codecs[key]
+    return kept((hash(model), pattern), lambda: Codec(model, pattern))
 
 
 def tokenizer(spark: SparkSession, ranks_path: str, pattern: str):
@@ -190,6 +181,19 @@ def decode(docs: DataFrame, shared, ids: str = "ids", out: str = "decoded") -> D
     return docs.withColumn(out, data(F.col(ids)))
 
 
+def encode_decode(docs: DataFrame, shared, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its ids, in one function: chained apart, Spark asks for the ids once for each."""
+
+    @F.arrow_udf("struct<ids: binary, decoded: binary>")
+    def both(column: pa.Array) -> pa.Array:
+        codec = _codec(shared)
+        made = _by_slices(codec.encode, column)
+        return pa.StructArray.from_arrays([made, _by_slices(codec.decode, made)], names=["ids", "decoded"])
+
+    made = spare(docs, "__made")
+    return docs.withColumn(made, both(F.col(text))).withColumns({ids: F.col(f"{made}.ids"), out: F.col(f"{made}.decoded")}).drop(made)
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 

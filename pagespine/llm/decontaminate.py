@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import materialise, maybe_in, pass_through, quoted, runs_of, spare, table, text_key
+from ._common import BATCH_ROWS, kept, materialise, maybe_in, pass_through, quoted, runs_of, spare, table, text_key
 
 WINDOW, SHORTEST = 10, 6
 FILTER_BITS = 1 << 26
@@ -77,6 +77,7 @@ class Tokens:
         if not core:
             return "", NOTHING, 0, 0, int(raw[-1:] in ".!?:;") if raw else 0
         low = core.lower()
+        low = raw if low == raw else low  # one string for both
         kind = NUMBER if _NUMBER.fullmatch(core) or low in NUMBER_WORDS else UNIT if low in UNITS else LITERAL
         return low, kind, xxhash.xxh64_intdigest(low.encode("utf-8", "replace"), 3) - (1 << 63), int(core[0].isupper()), int(raw[-1] in ".!?:;")
 
@@ -127,13 +128,8 @@ def windows(doc: np.ndarray, kind: np.ndarray, symbol: np.ndarray, word: np.ndar
     return np.concatenate((template, exact)), np.repeat([False, True], (len(template), len(exact))), hashes.view(np.int64)
 
 
-_tokens: list[Tokens] = []
-
-
 def _worker_tokens() -> Tokens:
-    if not _tokens:
-        _tokens.append(Tokens())
-    return _tokens[0]
+    return kept("decontaminate", Tokens)
 
 
 _ROW = "at int, size int, exact boolean, window long, slots array<string>"
@@ -219,7 +215,7 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", doc_id: str =
     theirs = document_windows(docs, own.select("window").distinct(), sizes, text, doc_id)
     own = own.select("item_id", F.col("at").alias("item_at"), "size", "exact", "window", F.col("slots").alias("item_slots"))
     met = theirs.join(own, ["window", "size", "exact"]).withColumn("pairs", F.expr("zip_with(item_slots, slots, (a, b) -> named_struct('a', a, 'b', b))"))
-    met = materialise(met.filter("size(item_slots) = size(slots)").filter(F.expr(one_to_one("pairs"))).select("doc", "key", "item_id", "size", "exact", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), "pairs"), "met-windows")
+    met = materialise(met.filter("size(item_slots) = size(slots)").filter(F.expr(one_to_one("pairs"))).select("doc", "key", "item_id", "size", "exact", "item_at", (F.col("at") - F.col("item_at")).alias("offset"), "pairs"), "met-windows", BATCH_ROWS)
     # a stretch: adjacent windows of one item at one alignment; a document's windows of an item are at most the item's own for each alignment
     placed = Window.partitionBy("doc", "key", "item_id", "size", "exact", "offset").orderBy("item_at")
     stretches = met.withColumn("stretch", F.sum((F.coalesce(F.col("item_at") - F.lag("item_at").over(placed), F.lit(2)) > 1).cast("int")).over(placed))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import join_counted, materialise, maybe_in, quoted, runs_of, shuffle_partitions, spare, table, text_key
+from ._common import BATCH_ROWS, join_counted, materialise, maybe_in, quoted, runs_of, shuffle_partitions, spare, table, text_key
 from ._components import components
 
 BYTES, MAX_BITS = 8, 2
@@ -429,7 +429,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
         return pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(marks, pa.binary()), pa.array(sizes, pa.int32())], names=["uid", "sign", "size"])
 
     rows = docs.select(F.col(quoted(doc_id)).alias("doc"), text_key(quoted(text)).alias("key"), mark(F.col(quoted(text))).alias("m")).select("doc", "key", "m.*")
-    classes = materialise(rows, "signatures").groupBy("uid", "doc", "key").agg(F.first("sign").alias("sign"), F.first("size").alias("size"), F.count(F.lit(1)).alias("times"))
+    classes = materialise(rows, "signatures", BATCH_ROWS).groupBy("uid", "doc", "key").agg(F.first("sign").alias("sign"), F.first("size").alias("size"), F.count(F.lit(1)).alias("times"))
     classes = materialise(classes, "document-classes")
     own = F.struct(F.col("doc").isNull().alias("last"), "doc", "key")
     heads = materialise(classes.groupBy("uid").agg(F.min(own).alias("head"), F.first("sign").alias("sign"), F.first("size").alias("size")), "texts")
@@ -455,7 +455,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingl
         if wanted.take(1):
             some = maybe_in(keyed, "xxhash64(doc_, key_)", wanted, "xxhash64(doc, key)", "may").filter("may")
             some = some.join(wanted, some["doc_"].eqNullSafe(wanted["doc"]) & (some["key_"] == wanted["key"])).select("uid", "text")
-            more = materialise(some.dropDuplicates(["uid"]).mapInArrow(cut, "uid binary, shingles array<long>"), "shingle-sets")
+            more = materialise(some.dropDuplicates(["uid"]).mapInArrow(cut, "uid binary, shingles array<long>"), "shingle-sets", BATCH_ROWS)
             sets = more if sets is None else sets.unionByName(more)
         return sets if sets is not None else wanted.selectExpr("uid", "CAST(NULL AS ARRAY<BIGINT>) AS shingles")
 
