@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import numbered, running, written
+from ..scratch import large, numbered, running, written
 from ..sources.html import node_table
 from ._registry import read, registry
 
@@ -123,7 +123,7 @@ def tree_faults(nodes: DataFrame, id: str = "page_id") -> DataFrame:
     order = Window.partitionBy(id).orderBy("pre")
     # a page's nodes are bounded by the page
     swept = nodes.withColumns({"reach": F.max("last").over(siblings.rowsBetween(Window.unboundedPreceding, -1)), "prior": F.lag("pre").over(order)})
-    met = swept.join(up, [id, "parent"], "left")
+    met = swept.join(large(up), [id, "parent"], "left")
     tests = {
         "repeated": F.col("prior") == F.col("pre"),
         "orphan": (F.col("parent") >= 0) & F.col("p_last").isNull(),
@@ -140,7 +140,7 @@ def tree_faults(nodes: DataFrame, id: str = "page_id") -> DataFrame:
 @query("tree_integrity", "SELECT fault, 0::BIGINT AS n FROM (SELECT unnest(['repeated', 'orphan', 'backward', 'outside', 'crossing', 'depth', 'gap']) AS fault)")
 def tree_integrity(spark, sf):
     """How many nodes of the parsed pages have each fault: none."""
-    nodes = node_table(read(spark, sf, "pages").select("page_id", "html")).select("page_id", "pre", "parent", "last", "depth")
+    nodes = written(node_table(read(spark, sf, "pages").select("page_id", "html")).select("page_id", "pre", "parent", "last", "depth"), "tree-nodes")
     every = spark.createDataFrame([(f,) for f in TREE_FAULTS], "fault string")
     return every.join(tree_faults(nodes).groupBy("fault").agg(F.count(F.lit(1)).alias("n")), "fault", "left").na.fill(0, ["n"])
 

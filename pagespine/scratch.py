@@ -28,6 +28,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def large(df: DataFrame) -> DataFrame:
+    """``df`` for a join by shuffle. What pages are taken apart into has many times the rows that the planner guesses from their
+    compressed files; left to it, such a table is broadcast, and the driver can't hold it."""
+    return df.hint("shuffle_merge")
+
+
 def numbered(rows: DataFrame, order: list, out: str) -> DataFrame:
     """Adds the place of each row in ``order``, from 1, without gathering the rows: they are dealt by ranges, sorted and
     written, and a part's places begin behind those of the parts before it."""

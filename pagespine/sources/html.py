@@ -219,4 +219,5 @@ def pruned(nodes: Column) -> Column:
 
 def node_table(pages: DataFrame, id: str = "page_id", html: str = "html") -> DataFrame:
     """One row per node: the id and the node's fields."""
-    return with_nodes(pages.select(id, html), html).select(id, F.explode("nodes").alias("n")).select(id, "n.*")
+    # outer: else the planner tests the array's size first, by a parse of its own
+    return with_nodes(pages.select(id, html), html).select(id, F.explode_outer("nodes").alias("n")).filter("n IS NOT NULL").select(id, "n.*")
