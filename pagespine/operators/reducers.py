@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.trees import enclosing, places_of, subtree_digests
 from ..plans.selectors import ROLE_SELECTORS, css
-from ..scratch import written
+from ..scratch import large, written
 from ..sources.html import NON_CONTENT, hidden, node_text, with_nodes
 from ._registry import read, registry
 from .observe import region_runs
@@ -60,7 +60,8 @@ def structure(pages: DataFrame, id: str = "page_id") -> DataFrame:
     kept = kept.withColumn("spoken", F.array_distinct(spoken))
     named = lambda n: n["attrs"]["id"].isNotNull() | F.exists(F.map_keys(n["attrs"]), lambda k: k.startswith("data-"))
     row = F.transform("own", lambda n, i: F.struct(n["pre"].alias("pre"), n["parent"].alias("parent"), n["last"].alias("last"), n["tag"].alias("tag"), label(n).alias("label"), F.array_contains("spoken", n["pre"]).alias("own_text"), named(n).alias("named"), hidden(n).alias("unseen"), declared_count(n["attrs"]).alias("declared"), F.get("shapes", i).alias("shape")))
-    return kept.select(id, F.explode(row).alias("n")).select(id, "n.*")
+    # outer: else the planner tests the array's size first, by a parse of its own
+    return kept.select(id, F.explode_outer(row).alias("n")).filter("n IS NOT NULL").select(id, "n.*")
 
 
 def chains(elements: DataFrame, kids: DataFrame, id: str = "page_id") -> DataFrame:
@@ -71,12 +72,12 @@ def chains(elements: DataFrame, kids: DataFrame, id: str = "page_id") -> DataFra
     and isn't hidden.
     """
     wraps = (F.coalesce("kids", F.lit(0)) == 1) & ~F.col("own_text") & ~F.col("named") & ~F.col("unseen") & F.col("declared").isNull()
-    step = elements.join(kids, [id, "pre"], "left")
+    step = elements.join(large(kids), [id, "pre"], "left")
     step = step.select(id, "pre", F.when(wraps, F.col("child")).otherwise(F.col("pre")).alias("target"), F.when(wraps, 1).otherwise(0).alias("length"), F.when(wraps, F.array("label")).otherwise(F.array().cast("array<string>")).alias("path"))
     step = written(step, "chains")
     for _ in range(MAX_ROUNDS):
         ahead = step.select(id, F.col("pre").alias("target"), F.col("target").alias("further"), F.col("length").alias("more"), F.col("path").alias("rest"))
-        moved = step.join(ahead, [id, "target"])
+        moved = step.join(large(ahead), [id, "target"])
         after = written(moved.select(id, "pre", F.col("further").alias("target"), (F.col("length") + F.col("more")).alias("length"), F.concat("path", "rest").alias("path"), (F.col("more") > 0).alias("moved")), "chains")
         step = after.drop("moved")
         if not after.filter("moved").take(1):
@@ -86,7 +87,7 @@ def chains(elements: DataFrame, kids: DataFrame, id: str = "page_id") -> DataFra
 
 def outside(elements: DataFrame, skipped: DataFrame, id: str = "page_id") -> DataFrame:
     """The elements that are no (id, pre) of ``skipped`` and in none, by a running maximum of where skipped elements end."""
-    marked = elements.join(skipped.select(id, "pre", F.lit(True).alias("__skip")), [id, "pre"], "left")
+    marked = elements.join(large(skipped.select(id, "pre", F.lit(True).alias("__skip"))), [id, "pre"], "left")
     w = Window.partitionBy(id).orderBy("pre").rowsBetween(Window.unboundedPreceding, 0)
     reach = F.max(F.when(F.col("__skip"), F.col("last"))).over(w)
     return marked.withColumn("__reach", reach).filter(F.coalesce("__reach", F.lit(-1)) < F.col("pre")).drop("__skip", "__reach")
@@ -98,15 +99,15 @@ def depths(entries: DataFrame, id: str = "page_id") -> DataFrame:
     ends = entries.select(id, F.col("last").alias("at"), F.lit(1).alias("order"), F.lit(-1).alias("change"))
     w = Window.partitionBy(id).orderBy("at", "order").rowsBetween(Window.unboundedPreceding, 0)
     level = begins.unionByName(ends).withColumn("depth", F.sum("change").over(w) - 1).filter("change = 1").select(id, F.col("at").alias("pre"), F.col("depth").cast("int"))
-    return entries.join(level, [id, "pre"])
+    return entries.join(large(level), [id, "pre"])
 
 
 def member_runs(elements: DataFrame, id: str = "page_id") -> tuple[DataFrame, DataFrame]:
     """Regions (id, parent, shape, first, n, whole), and their members but for the first, which are not gone into."""
     runs = written(region_runs(elements.select(id, "parent", "pre", "shape"), id, MIN_RUN), "member-runs")
     sizes = elements.groupBy(id, "parent").agg(F.count(F.lit(1)).alias("all"))
-    regions = runs.join(sizes, [id, "parent"]).withColumn("whole", F.col("n") == F.col("all")).drop("all")
-    skipped = elements.join(runs.select(id, "parent", "shape", "first"), [id, "parent", "shape"]).filter("pre <> first").select(id, "pre")
+    regions = runs.join(large(sizes), [id, "parent"]).withColumn("whole", F.col("n") == F.col("all")).drop("all")
+    skipped = elements.join(large(runs.select(id, "parent", "shape", "first")), [id, "parent", "shape"]).filter("pre <> first").select(id, "pre")
     return regions, skipped
 
 
@@ -121,18 +122,18 @@ def dom_entries(pages: DataFrame, id: str = "page_id") -> DataFrame:
     seen = written(outside(elements, skipped, id), "seen")
     firsts = regions.select(id, F.col("first").alias("pre"), "parent", F.col("n").alias("observed"), "whole")
     holders = elements.select(id, F.col("pre").alias("parent"), F.col("declared").alias("said"))
-    firsts = firsts.join(holders, [id, "parent"], "left").select(id, "pre", "observed", F.when(F.col("whole"), F.col("said")).alias("declared"))
+    firsts = firsts.join(large(holders), [id, "parent"], "left").select(id, "pre", "observed", F.when(F.col("whole"), F.col("said")).alias("declared"))
     # a region's first member is an entry of its own: no chain runs through it
-    marked = seen.join(firsts.select(id, "pre", F.lit(True).alias("region")), [id, "pre"], "left")
+    marked = seen.join(large(firsts.select(id, "pre", F.lit(True).alias("region"))), [id, "pre"], "left")
     kids = elements.groupBy(id, F.col("parent").alias("pre")).agg(F.count(F.lit(1)).alias("kids"), F.min("pre").alias("child"))
     folds = chains(marked.withColumn("named", F.col("named") | F.coalesce("region", F.lit(False))), kids, id)
     # what a wrapper holds is within its chain; all else begins one
-    within = folds.filter("length > 0").select(id, F.col("pre").alias("parent")).join(seen.select(id, "pre", "parent"), [id, "parent"])
-    starts = folds.join(within.select(id, "pre"), [id, "pre"], "left_anti")
-    entries = starts.select(id, F.col("pre").alias("start"), F.col("target").alias("pre"), "path").join(seen.select(id, "pre", "last", "label"), [id, "pre"]).withColumn("label", F.array_join(F.concat("path", F.array("label")), " > "))
-    entries = entries.join(firsts.withColumnRenamed("pre", "start"), [id, "start"], "left")
+    within = folds.filter("length > 0").select(id, F.col("pre").alias("parent")).join(large(seen.select(id, "pre", "parent")), [id, "parent"])
+    starts = folds.join(large(within.select(id, "pre")), [id, "pre"], "left_anti")
+    entries = starts.select(id, F.col("pre").alias("start"), F.col("target").alias("pre"), "path").join(large(seen.select(id, "pre", "last", "label")), [id, "pre"]).withColumn("label", F.array_join(F.concat("path", F.array("label")), " > "))
+    entries = written(entries.join(large(firsts.withColumnRenamed("pre", "start")), [id, "start"], "left"), "entries")
     levels = depths(entries.select(id, "pre", "last"), id).select(id, "pre", "depth")
-    told = entries.join(levels, [id, "pre"]).filter(F.col("depth") <= MAX_DEPTH)
+    told = entries.join(large(levels), [id, "pre"]).filter(F.col("depth") <= MAX_DEPTH)
     return told.select(id, "pre", "start", "label", "depth", F.when(F.col("observed").isNull(), "element").otherwise("region").alias("kind"), "observed", "declared", F.when(F.col("observed").isNotNull(), F.coalesce(F.col("declared") == F.col("observed"), F.lit(False))).alias("complete"))
 
 
@@ -201,12 +202,12 @@ def ax_entries(nodes: DataFrame, id: str = "page_id") -> DataFrame:
     regions, skipped = member_runs(nodes, id)
     same = nodes.groupBy(id, "role", "name").agg(F.count(F.lit(1)).alias("times"))
     nth = F.row_number().over(Window.partitionBy(id, "role", "name").orderBy("pre"))
-    aimed = nodes.withColumn("nth", nth).join(same, [id, "role", "name"])
+    aimed = nodes.withColumn("nth", nth).join(large(same), [id, "role", "name"])
     text = F.concat("role", F.when(F.col("name") != "", F.concat(F.lit(' "'), "name", F.lit('"'))).otherwise(""), F.when(F.col("times") > 1, F.concat(F.lit(" #"), F.col("nth").cast("string"))).otherwise(""))
     seen = outside(aimed.withColumn("label", text), skipped, id)
     found = depths(written(seen, "ax-seen"), id).filter(F.col("depth") <= MAX_DEPTH)
     firsts = regions.select(id, F.col("first").alias("pre"), F.col("n").alias("observed"))
-    return found.join(firsts, [id, "pre"], "left").select(id, "pre", "depth", "label", "role", "name", "ignored", F.when(F.col("observed").isNull(), "node").otherwise("region").alias("kind"), "observed")
+    return found.join(large(firsts), [id, "pre"], "left").select(id, "pre", "depth", "label", "role", "name", "ignored", F.when(F.col("observed").isNull(), "node").otherwise("region").alias("kind"), "observed")
 
 
 @query("ax_entries")
@@ -227,4 +228,4 @@ def ax_items(spark, sf):
     """Of each page how many list items its lists hold, by hoisted parents."""
     nodes = written(ax_nodes(read(spark, sf, "pages")).select("page_id", "pre", "parent", "role"), "ax-nodes")
     lists = nodes.filter("role = 'list'").select("page_id", F.col("pre").alias("parent"))
-    return nodes.filter("role = 'listitem'").join(lists, ["page_id", "parent"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("items"))
+    return nodes.filter("role = 'listitem'").join(large(lists), ["page_id", "parent"]).groupBy("page_id").agg(F.count(F.lit(1)).alias("items"))
