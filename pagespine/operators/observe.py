@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.structured import ld_types
 from ..functions.text import class_tokens
 from ..functions.trees import enclosing
-from ..scratch import written
+from ..scratch import large, written
 from ..sources.html import node_table, with_nodes
 from ._registry import read, registry
 from .pages import _TAGS, shapes
@@ -164,7 +164,7 @@ def region_index(spark, sf):
     body = with_shapes(nodes)
     label = F.concat(F.col("tag"), F.when(F.coalesce(F.col("attrs")["id"], F.lit("")) != "", F.concat(F.lit("#"), F.col("attrs")["id"])).otherwise(""), F.when(F.coalesce(F.col("attrs")["class"], F.lit("")) != "", F.concat(F.lit("."), F.substring_index(F.trim(F.col("attrs")["class"]), " ", 1))).otherwise(""))
     exemplars = nodes.select("page_id", F.col("pre").alias("first"), label.alias("exemplar"))
-    return region_runs(body).join(exemplars, ["page_id", "first"]).select("page_id", "parent", "first", "shape", "exemplar", F.col("n").alias("members"))
+    return region_runs(body).join(large(exemplars), ["page_id", "first"]).select("page_id", "parent", "first", "shape", "exemplar", F.col("n").alias("members"))
 
 
 @query("adjacent_runs", """WITH i AS (SELECT l_orderkey, l_returnflag, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pre FROM lineitem),
@@ -213,7 +213,7 @@ def page_anchors(spark, sf):
 def nearest_anchors(nodes: DataFrame, found: DataFrame, id: str = "page_id") -> DataFrame:
     """id, pre, anchor, key: of each element the nearest element at or above it that has a key (``found``), by one walk over a page's
     elements in order."""
-    own = nodes.filter(F.col("tag") != "#text").select(id, "pre", "last").join(found.select(id, "pre", "key"), [id, "pre"], "left")
+    own = nodes.filter(F.col("tag") != "#text").select(id, "pre", "last").join(large(found.select(id, "pre", "key")), [id, "pre"], "left")
     page = own.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("pre", "last", "key"))).alias("own"))
     page = page.withColumn("near", enclosing(F.col("own"), lambda n: n["key"].isNotNull(), itself=True))
     page = page.withColumn("keys", F.map_from_entries(F.transform(F.filter("own", lambda n: n["key"].isNotNull()), lambda n: F.struct(n["pre"], n["key"]))))
