@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.trees import descents, markup
-from ..scratch import written
+from ..scratch import large, written
 from ..sources.html import let, node_table, node_text, subtree, with_nodes
 from ._registry import read, registry
 from .compiled import bounded_prefix
@@ -48,7 +48,7 @@ def steps(elements: DataFrame, id: str = "page_id") -> DataFrame:
     told = told.filter(F.col("name").rlike(SAFE_NAME) & ~F.col("value").rlike(STEP_RESERVED))
     alone = told.groupBy(id, "parent", "tag", "name", "value").agg(F.count(F.lit(1)).alias("n"), F.min("pre").alias("pre"), F.min("at").alias("at")).filter("n = 1")
     best = alone.groupBy(id, "pre").agg(F.min_by(F.struct("name", "value"), "at").alias("best"))
-    joined = elements.join(tags, [id, "parent", "tag"]).join(best, [id, "pre"], "left")
+    joined = elements.join(large(tags), [id, "parent", "tag"]).join(large(best), [id, "pre"], "left")
     by_attribute = F.concat("tag", F.lit("[@"), F.col("best.name"), F.lit('="'), F.col("best.value"), F.lit('"]'))
     return joined.select(id, "pre", F.when(F.col("same_tag") == 1, F.col("tag")).when(F.col("best").isNotNull(), by_attribute).otherwise(F.concat("tag", F.lit("["), F.col("same").cast("string"), F.lit("]"))).alias("step"))
 
@@ -56,13 +56,13 @@ def steps(elements: DataFrame, id: str = "page_id") -> DataFrame:
 def addresses(elements: DataFrame, id: str = "page_id") -> DataFrame:
     """id, pre, address of all elements (id, pre, parent, last, tag, attrs, same)."""
     found = anchors(elements, id)
-    each = elements.join(steps(elements, id), [id, "pre"]).join(found, [id, "pre"], "left")
+    each = elements.join(large(steps(elements, id)), [id, "pre"]).join(large(found), [id, "pre"], "left")
     rows = each.groupBy(id).agg(F.array_sort(F.collect_list(F.struct("pre", "parent", "step", "key"))).alias("own"))
     rows = rows.withColumn("place", F.map_from_arrays("own.pre", F.transform("own", lambda n, i: i)))
     rows = rows.withColumn("parents", F.transform("own", lambda n: F.coalesce(F.try_element_at(F.col("place"), n["parent"]), F.lit(-1))))
     rows = rows.withColumn("paths", descents(F.col("parents"), F.col("own.step"), F.transform("own", lambda n: n["key"].isNotNull())))
     long = rows.select(id, F.explode(F.arrays_zip(F.col("own.pre").alias("pre"), F.col("paths").alias("path"))).alias("x")).select(id, "x.*")
-    near = long.join(nearest_anchors(elements, found, id), [id, "pre"], "left")
+    near = long.join(large(nearest_anchors(elements, found, id)), [id, "pre"], "left")
     below = F.when(F.col("path") == "", F.lit("")).otherwise(F.concat(F.lit("|."), "path"))
     return near.select(id, "pre", F.when(F.col("key").isNull(), F.col("path")).otherwise(F.concat(anchored(F.col("key")), below)).alias("address"))
 
@@ -132,7 +132,7 @@ def resolved(asked: DataFrame, elements: DataFrame, members: DataFrame | None =
     """
     want = written(asked.select(id, "address").distinct().withColumn("p", parsed(F.col("address"))), "asked-addresses")
     keys = elements.select(id, "pre", F.explode(anchor_keys(F.col("tag"), F.col("attrs"))).alias("anchor")).groupBy(id, "anchor").agg(F.count(F.lit(1)).alias("n"), F.min("pre").alias("at")).filter("n = 1").drop("n")
-    start = want.filter("p IS NOT NULL").withColumn("anchor", F.col("p.anchor")).join(keys, [id, "anchor"], "left")
+    start = want.filter("p IS NOT NULL").withColumn("anchor", F.col("p.anchor")).join(large(keys), [id, "anchor"], "left")
     now = start.filter("anchor IS NULL OR at IS NOT NULL").select(id, "address", "p", F.coalesce("at", F.lit(-1)).alias("at"))
     longest = want.agg(F.coalesce(F.max(F.size("p.steps")), F.lit(0))).first()[0]
     children = elements.select(id, F.col("parent").alias("at"), F.col("tag"), F.col("pre").alias("next"), "attrs", "same")
@@ -140,7 +140,7 @@ def resolved(asked: DataFrame, elements: DataFrame, members: DataFrame | None =
     now = now.filter("size(p.steps) > 0")
     for k in range(longest):
         step = now.withColumn("s", F.get("p.steps", F.lit(k))).withColumn("tag", F.col("s.tag"))
-        met = step.join(children, [id, "at", "tag"]).filter(F.col("s.name").isNull() | (F.col("attrs")[F.col("s.name")] == F.col("s.value"))).filter(F.col("s.place").isNull() | (F.col("s.place") == F.col("same")))
+        met = step.join(large(children), [id, "at", "tag"]).filter(F.col("s.name").isNull() | (F.col("attrs")[F.col("s.name")] == F.col("s.value"))).filter(F.col("s.place").isNull() | (F.col("s.place") == F.col("same")))
         met = met.groupBy(id, "address").agg(F.count(F.lit(1)).alias("n"), F.min("next").alias("at"), F.first("p").alias("p")).filter("n = 1")
         now = written(met.select(id, "address", "p", "at"), "address-steps")
         done = done.unionByName(now.filter(f"size(p.steps) = {k + 1}"))
@@ -150,9 +150,9 @@ def resolved(asked: DataFrame, elements: DataFrame, members: DataFrame | None =
     if members is not None:
         picks = done.filter("p.key IS NOT NULL OR p.ordinal IS NOT NULL").select(id, "address", F.col("at").alias("container"), F.col("p.shape").alias("shape"), F.col("p.key").alias("want_key"), F.col("p.ordinal").alias("want_ordinal"))
         inside = members.select(id, "container", "shape", "key", "ordinal", "pre")
-        hits = picks.join(inside, [id, "container", "shape"]).filter(F.coalesce(F.col("want_key") == F.col("key"), F.col("want_ordinal") == F.col("ordinal")))
+        hits = picks.join(large(inside), [id, "container", "shape"]).filter(F.coalesce(F.col("want_key") == F.col("key"), F.col("want_ordinal") == F.col("ordinal")))
         plain = plain.unionByName(hits.groupBy(id, "address").agg(F.count(F.lit(1)).alias("n"), F.min("pre").alias("pre")).filter("n = 1").drop("n"))
-    return asked.join(plain, [id, "address"], "left")
+    return asked.join(large(plain), [id, "address"], "left")
 
 
 def inspected(pages: DataFrame, found: DataFrame, most_bytes: int = INSPECT_BYTES, id: str = "page_id") -> DataFrame:

@@ -20,12 +20,12 @@ def plans(monkeypatch):
     return lambda df: told(df) and seen
 
 
-@pytest.mark.parametrize("module, name", [(sequences, "tree_integrity"), (reducers, "dom_entries"), (observe, "region_index")])
+@pytest.mark.parametrize("module, name", [(sequences, "tree_integrity"), (reducers, "dom_entries"), (observe, "region_index"), (addresses, "page_addresses")])
 def test_no_table_of_nodes_is_broadcast(spark, tiny, plans, module, name):
     found = plans(module.QUERIES[name](spark, tiny))
     assert found and not [p for p in found if "BroadcastHashJoin" in p.replace("BroadcastHashJoin [fault", "")]
 
 
-@pytest.mark.parametrize("module, name", [(sequences, "tree_integrity"), (reducers, "dom_entries"), (observe, "region_index")])
+@pytest.mark.parametrize("module, name", [(sequences, "tree_integrity"), (reducers, "dom_entries"), (observe, "region_index"), (addresses, "page_addresses")])
 def test_pages_are_parsed_once(spark, tiny, plans, module, name):
     assert sum(p.count("[nodes(html") for p in plans(module.QUERIES[name](spark, tiny))) == 1
