@@ -73,6 +73,20 @@ def weighted_jaccard(layer: str, a: Column, b: Column) -> Column:
     return F.when(union == 0, 1.0).otherwise(total(F.array_intersect(a, b)) / union)
 
 
+def with_weights(sets: DataFrame) -> DataFrame:
+    """Adds ``weights``: of each layer in the struct ``own`` the weights of its features, in their order."""
+    weights = lambda layer: F.transform(F.col("own")[layer], lambda x: weight(layer, x)).alias(layer)
+    return sets.withColumn("weights", F.struct(*map(weights, sets.schema["own"].dataType.names)))
+
+
+def weighted_overlap(a: Column, in_a: Column, b: Column, in_b: Column) -> Column:
+    """``weighted_jaccard`` of sets a and b whose features' weights are known."""
+    total = lambda w: F.aggregate(w, F.lit(0.0), lambda n, x: n + x)
+    shared = F.round(total(F.zip_with(a, in_a, lambda x, w: F.when(F.array_contains(b, x), w).otherwise(0.0))), 9)
+    union = F.round(total(in_a) + total(in_b) - shared, 9)
+    return F.when(union == 0, 1.0).otherwise(shared / union)
+
+
 def features(pages: DataFrame) -> DataFrame:
     """page_id, skeleton, semantic, identity: sorted feature arrays of each page, from one parse."""
     nodes = F.col("nodes")
@@ -114,20 +128,24 @@ def match(joined: DataFrame) -> DataFrame:
     """Adds score, containment_score and same_shape for rows with a struct of features on either side (own, their).
 
     Layers that the structs lack don't take part. All that both sides carry (skeleton and semantic always, the others with
-    ``MIN_OPTIONAL`` features or more) have to reach their thresholds; thin pages match nothing.
+    ``MIN_OPTIONAL`` features or more) have to reach their thresholds; thin pages match nothing. Weights that stand beside
+    the features (own_weights, their_weights) are used, else they are found for each row.
     """
     own, their = F.col("own"), F.col("their")
-    layers, known = {}, joined.schema["own"].dataType.names
+    layers, found, known = {}, {}, joined.schema["own"].dataType.names
     for layer in (x for x in THRESHOLDS if x in known):
         a, b = own[layer], their[layer]
         carried = F.lit(True) if layer in ("skeleton", "semantic") else (F.size(a) >= MIN_OPTIONAL) & (F.size(b) >= MIN_OPTIONAL)
-        layers[layer] = (F.when(carried, weighted_jaccard(layer, a, b)), F.when(carried, containment(a, b)))
+        near = weighted_overlap(a, F.col("own_weights")[layer], b, F.col("their_weights")[layer]) if "own_weights" in joined.columns else weighted_jaccard(layer, a, b)
+        # columns of their own, as the scores and the verdict all read them
+        found |= {f"__near_{layer}": F.when(carried, near), f"__held_{layer}": F.when(carried, containment(a, b))}
+        layers[layer] = (F.col(f"__near_{layer}"), F.col(f"__held_{layer}"))
     thick = (F.size(own["skeleton"]) >= MIN_SKELETON) & (F.size(their["skeleton"]) >= MIN_SKELETON)
     same = thick
     for layer, (w, _) in layers.items():
         same = same & F.coalesce(w >= THRESHOLDS[layer], F.lit(True))
     mean = lambda i: F.when(thick, F.round(sum((F.coalesce(v[i], F.lit(0.0)) for v in layers.values()), F.lit(0.0)) / sum((F.when(v[i].isNotNull(), 1).otherwise(0) for v in layers.values()), F.lit(0)), 9)).otherwise(0.0)
-    return joined.select("*", mean(0).alias("score"), mean(1).alias("containment_score"), same.alias("same_shape"))
+    return joined.withColumns(found).select(*joined.columns, mean(0).alias("score"), mean(1).alias("containment_score"), same.alias("same_shape"))
 
 
 @query("page_matches")

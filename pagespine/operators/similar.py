@@ -14,9 +14,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import numbered, written
+from ..scratch import large, numbered, written
 from ._registry import read, registry
-from .observe import MIN_SKELETON, THRESHOLDS, features, match, weight
+from .observe import MIN_SKELETON, THRESHOLDS, features, match, weight, with_weights
 
 QUERIES, SQL, query = registry()
 
@@ -77,12 +77,18 @@ def _met(bound: float):
     return run
 
 
+def parts(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def candidates(posts: DataFrame, bound: float) -> DataFrame:
     """(a, b) with a < b, each pair once, of the ids in ``posts``; if these have a ``side``, only pairs of different sides."""
     posts = posts if "side" in posts.columns else posts.withColumn("side", F.lit(None).cast("int"))
     sizes = posts.groupBy("rank").agg((F.count(F.lit(1)) / BLOCK).cast("int").alias("last"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     spread = posts.join(sizes, "rank").withColumn("block", F.pmod(F.xxhash64("id"), F.col("last") + 1).cast("int"))
     spread = spread.select("*", F.explode(F.sequence(F.lit(0), "last")).alias("other")).select("rank", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), F.struct("block", "id", "total", "rest", "before", "side").alias("m"))
+    # by a number of its own, as Spark gathers parts by their bytes, and work grows with pairs
+    spread = spread.repartition(parts(posts), "rank", "low", "high")
     lists = spread.groupBy("rank", "low", "high").agg(F.collect_list("m").alias("members")).filter("size(members) > 1")
     return lists.select("low", "high", "members").mapInArrow(_met(bound), "a long, b long")
 
@@ -103,11 +109,21 @@ def weighed(sets: DataFrame) -> DataFrame:
     return sets.filter(F.size("own.skeleton") >= MIN_SKELETON).select("id", F.transform("own.skeleton", lambda x: F.struct(x.alias("item"), weight("skeleton", x).alias("weight"))).alias("items"))
 
 
+def compared(met: DataFrame, a: str, own: DataFrame, b: str, their: DataFrame) -> DataFrame:
+    """``match`` of pairs of ids in the columns a and b, of sets (id, own) on either side. Features are weighed once a set, not once a pair,
+    and pairs are dealt to all tasks, as those of one list come from one task."""
+    met = met.repartition(parts(met), a, b)
+    for key, sets, name in ((a, own, "own"), (b, their, "their")):
+        sets = with_weights(sets.select("id", "own")).select(F.col("id").alias(key), F.col("own").alias(name), F.col("weights").alias(f"{name}_weights"))
+        sets = written(sets.withColumn("__told", F.concat_ws("", *[F.col(name)[k] for k in sets.schema[name].dataType.names])), "weighed-sets")
+        met = met.join((F.broadcast if small(sets, "__told") else large)(sets.drop("__told")), key)
+    return match(met)
+
+
 def matching_pairs(sets: DataFrame) -> DataFrame:
     """a, b, score, containment_score of all pairs of distinct feature sets that have one shape."""
     met = similar_pairs(weighed(sets), THRESHOLDS["skeleton"])
-    own, their = sets.select(F.col("id").alias("a"), "own"), sets.select(F.col("id").alias("b"), F.col("own").alias("their"))
-    return match(met.join(own, "a").join(their, "b")).filter("same_shape").select("a", "b", "score", "containment_score")
+    return compared(met, "a", sets, "b", sets).filter("same_shape").select("a", "b", "score", "containment_score")
 
 
 def sectioned(pages: DataFrame) -> DataFrame:

@@ -68,3 +68,19 @@ def test_six_layers(spark):
     assert [r["same_shape"] for r in got] == [True, False, True, False]
     assert got[0]["score"] == 1.0 and got[2]["score"] == 1.0
     assert got[3]["score"] == pytest.approx((4 + (1.0 + 0.25) / (1.0 + 0.25 + 0.25 + 1.5 + 1.5)) / 5, abs=1e-6)
+
+
+def test_features_are_weighed_once_a_set(spark, small):
+    """Pairs are compared by weights that stand beside the sets, and dealt anew before: a pair costs no pattern."""
+    pages = similar.sectioned(spark.read.parquet(f"{small}/pages.parquet").limit(40))
+    sets = similar.written(similar.feature_sets(observe.features(pages)), "sets")
+    both = observe.with_weights(sets)
+    a = both.select(F.col("id").alias("a"), "own", F.col("weights").alias("own_weights"))
+    b = both.select(F.col("id").alias("b"), F.col("own").alias("their"), F.col("weights").alias("their_weights"))
+    pairs = a.join(b, F.col("a") < F.col("b"))
+    shown = lambda df: sorted(tuple(r) for r in df.select("a", "b", "score", "containment_score", "same_shape").collect())
+    assert shown(observe.match(pairs)) == shown(observe.match(pairs.drop("own_weights", "their_weights")))
+    compared = similar.compared(pairs.select("a", "b"), "a", sets, "b", sets)
+    assert shown(compared) == shown(observe.match(pairs))
+    plan = compared._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" not in plan and "RepartitionByExpression" in plan
