@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import class_tokens
 from ..functions.trees import descents, places_of
-from ..scratch import written
+from ..scratch import large, written
 from ..sources.html import node_text, with_nodes
 from ._registry import read, registry
-from .observe import IDENTITY_ATTRIBUTES, THRESHOLDS, features, match
-from .similar import candidates, feature_sets, ordered, postings, ranked, sectioned, weighed
+from .observe import IDENTITY_ATTRIBUTES, THRESHOLDS, features
+from .similar import candidates, compared, feature_sets, ordered, postings, ranked, sectioned, weighed
 
 QUERIES, SQL, query = registry()
 
@@ -38,12 +38,11 @@ def classified(pages: DataFrame, stored: DataFrame) -> DataFrame:
     posts = postings(ordered(items, ranked(items), THRESHOLDS["skeleton"])).withColumn("side", (F.col("id") % 2).cast("int"))
     met = candidates(posts, THRESHOLDS["skeleton"]).select(*[F.when(F.col("a") % 2 == side, F.col("a")).otherwise(F.col("b")).alias(name) for side, name in ((0, "stored"), (1, "asked"))])
     met = met.select(F.floor(F.col("stored") / 2).alias("reference"), F.floor(F.col("asked") / 2).alias("asked"))
-    joined = met.join(stored.select(F.col("id").alias("reference"), F.col("own").alias("their")), "reference").join(sets.select(F.col("id").alias("asked"), "own"), "asked")
-    good = written(match(joined).filter("same_shape").select("asked", "reference", "score"), "matches")
+    good = written(compared(met, "asked", sets, "reference", stored).filter("same_shape").select("asked", "reference", "score"), "matches")
     best = good.groupBy("asked").agg(F.max("score").alias("best"))
-    near = good.join(best, "asked").filter(F.col("score") >= F.col("best") - MARGIN).groupBy("asked").agg(F.min("reference").alias("reference"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
+    near = good.join(large(best), "asked").filter(F.col("score") >= F.col("best") - MARGIN).groupBy("asked").agg(F.min("reference").alias("reference"), F.max("score").alias("score"), F.count(F.lit(1)).alias("n"))
     keys = [c for c in found.columns if c != "page_id"]
-    told = found.join(sets.select(F.col("id").alias("asked"), "own.*"), keys).select("page_id", "asked").join(near, "asked", "left")
+    told = found.join(large(sets.select(F.col("id").alias("asked"), "own.*")), keys).select("page_id", "asked").join(large(near), "asked", "left")
     return told.select("page_id", "reference", "score", F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "match").otherwise("ambiguous").alias("status"))
 
 
