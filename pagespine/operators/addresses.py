@@ -101,7 +101,7 @@ def member_keys(members: DataFrame, id: str = "page_id") -> DataFrame:
     long = members.select(id, "region", "pre", F.posexplode(keys).alias("tier", "key"))
     alone = long.groupBy(id, "region", "key").agg(F.count(F.lit(1)).alias("n"), F.min("pre").alias("pre"), F.min("tier").alias("tier")).filter("n = 1")
     best = alone.groupBy(id, "region", "pre").agg(F.min_by("key", "tier").alias("key"))
-    return members.join(best, [id, "region", "pre"], "left")
+    return members.join(large(best), [id, "region", "pre"], "left")
 
 
 def region_members(pages: DataFrame, elements: DataFrame, id: str = "page_id") -> DataFrame:
@@ -109,9 +109,12 @@ def region_members(pages: DataFrame, elements: DataFrame, id: str = "page_id") -
     runs = region_runs(elements.filter(F.col("shape").isNotNull()), id)
     holders = addresses(elements, id).withColumnRenamed("pre", "parent")
     region = F.concat("address", F.when(F.element_at(F.split("address", r"\|"), -1).contains("#"), "&shape=").otherwise("#shape="), "shape")
-    inside = elements.join(runs.select(id, "parent", "shape"), [id, "parent", "shape"]).join(holders, [id, "parent"])
-    texts = with_nodes(pages.select(id, "html")).select(id, F.explode(F.transform(F.filter("nodes", lambda n: n["shape"].isNotNull()), lambda n: F.struct(n["pre"].alias("pre"), F.trim(F.regexp_replace(node_text(F.col("nodes"), n), r"(?U)\s+", " ")).alias("text")))).alias("t")).select(id, "t.*")
-    members = inside.withColumn("region", region).join(texts, [id, "pre"])
+    inside = written(elements.join(large(runs.select(id, "parent", "shape")), [id, "parent", "shape"]).join(large(holders), [id, "parent"]), "region-insides")
+    # only members are read, as a page's outer elements repeat all of its text
+    wanted = inside.groupBy(id).agg(F.collect_set("pre").alias("wanted"))
+    text = lambda p: let(F.element_at("nodes", p + 1), lambda n: F.struct(p.alias("pre"), F.trim(F.regexp_replace(node_text(F.col("nodes"), n), r"(?U)\s+", " ")).alias("text")))
+    texts = with_nodes(pages.select(id, "html").join(large(wanted), id)).select(id, F.explode_outer(F.transform("wanted", text)).alias("t")).select(id, "t.*")
+    members = inside.withColumn("region", region).join(large(texts), [id, "pre"])
     place = F.row_number().over(Window.partitionBy(id, "region").orderBy("pre")) - 1
     keyed = member_keys(members.select(id, "region", F.col("parent").alias("container"), "shape", "pre", "last", "attrs", "text"), id).withColumn("ordinal", place)
     own = F.when(F.col("key").isNotNull(), F.concat(F.lit("&key="), F.url_encode("key"))).otherwise(F.concat(F.lit("&ordinal="), F.col("ordinal").cast("string")))
