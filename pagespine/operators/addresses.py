@@ -161,8 +161,8 @@ def resolved(asked: DataFrame, elements: DataFrame, members: DataFrame | None =
 def inspected(pages: DataFrame, found: DataFrame, most_bytes: int = INSPECT_BYTES, id: str = "page_id") -> DataFrame:
     """``found`` (id, address, pre) with the element's HTML, its bytes, and whether it was cut at the budget."""
     asked = found.filter("pre IS NOT NULL").groupBy(id).agg(F.collect_list(F.struct("address", "pre")).alias("asked"))
-    each = with_nodes(pages.select(id, "html")).join(asked, id).select(id, "nodes", F.explode("asked").alias("a"))
-    own = each.select(id, "a.*", let(F.element_at("nodes", F.col("a.pre") + 1), lambda n: subtree(F.col("nodes"), n)).alias("own"))
+    part = lambda a: F.struct(a["address"].alias("address"), a["pre"].alias("pre"), let(F.element_at("nodes", a["pre"] + 1), lambda n: subtree(F.col("nodes"), n)).alias("own"))
+    own = with_nodes(pages.select(id, "html").join(large(asked), id)).select(id, F.explode_outer(F.transform("asked", part)).alias("a")).select(id, "a.*")
     return own.select(id, "address", "pre", markup(F.col("own"), most_bytes).alias("m")).select(id, "address", "pre", "m.*")
 
 

@@ -20,7 +20,7 @@ def plans(monkeypatch):
     return lambda df: told(df) and seen
 
 
-@pytest.mark.parametrize("module, name", [(sequences, "tree_integrity"), (reducers, "dom_entries"), (observe, "region_index"), (addresses, "page_addresses"), (addresses, "region_expansions")])
+@pytest.mark.parametrize("module, name", [(sequences, "tree_integrity"), (reducers, "dom_entries"), (observe, "region_index"), (addresses, "page_addresses"), (addresses, "region_expansions"), (addresses, "member_inspections")])
 def test_no_table_of_nodes_is_broadcast(spark, tiny, plans, module, name):
     found = plans(module.QUERIES[name](spark, tiny))
     assert found and not [p for p in found if "BroadcastHashJoin" in p.replace("BroadcastHashJoin [fault", "")]
